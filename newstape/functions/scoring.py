@@ -7,6 +7,7 @@ before, negation, capitals, "but", "least", exclamation and question marks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +24,12 @@ QUESTION = 0.18
 MANY_QUESTIONS = 0.96
 DAMPING = (1.0, 0.95, 0.9)
 
-Lookup = Callable[[Column], Column]
+
+class Lookup(NamedTuple):
+    """How a word finds its valence: ``has`` is the cheap membership test, ``value`` the valence."""
+
+    has: Callable[[Column], Column]
+    value: Callable[[Column], Column]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,27 +38,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lookup_in(terms: dict[str, float]) -> Lookup:
-    """Valence of a word from a word list held in the plan (hash-set membership per valence)."""
-    single = {t.lower(): float(v) for t, v in terms.items()}
+    """Valences from a word list held in the plan: hash-set membership, one set per valence."""
     by_valence: dict[float, list[str]] = {}
-    for term, valence in single.items():
-        by_valence.setdefault(valence, []).append(term)
+    for term, valence in terms.items():
+        by_valence.setdefault(float(valence), []).append(term.lower())
+    members = [term for group in by_valence.values() for term in group]
 
-    def find(word: Column) -> Column:
-        value = None
-        for valence, members in sorted(by_valence.items()):
-            hit = word.isin(members)
-            value = F.when(hit, F.lit(valence)) if value is None else value.when(hit, F.lit(valence))
-        if value is None:
-            return F.lit(None).cast("double")
-        return F.when(word.isin(list(single)), value)
+    def value(word: Column) -> Column:
+        branches = F.lit(None).cast("double")
+        for valence, group in by_valence.items():
+            branches = F.when(word.isin(group), F.lit(valence)).otherwise(branches)
+        return branches
 
-    return find
+    return Lookup(lambda word: word.isin(members), value)
 
 
 def lookup_map(column: Column) -> Lookup:
-    """Valence of a word from a map column that holds the row's own lexicon hits."""
-    return lambda word: F.try_element_at(column, word)
+    """Valences from a map column that holds the row's own lexicon hits."""
+    return Lookup(
+        lambda word: F.map_contains_key(column, word), lambda word: F.try_element_at(column, word)
+    )
 
 
 def _boost(word: Column) -> Column:
@@ -72,13 +77,18 @@ def _at(words: Column, i: Column) -> Column:
     return F.when(i >= 0, F.coalesce(F.get(words, i), F.lit(""))).otherwise(F.lit(""))
 
 
-def _word_valence(words: Column, lows: Column, i: Column, find: Lookup, some_caps: Column, rules: bool) -> Column:
-    low = _at(lows, i)
-    base = find(low)
-    if not rules:
-        return base
-    louder = _is_caps(_at(words, i)) & some_caps
-    start = base + F.when(louder & (base > 0), CAPS).when(louder, -CAPS).otherwise(0.0)
+def _word_valence(
+    words: Column, lows: Column, i: Column, find: Lookup, some_caps: Column | None
+) -> Column:
+    """Valence of the lexicon word at i after all rules that look at its neighbours.
+
+    ``some_caps`` is None where the text is known to be lower case.
+    """
+    low = F.get(lows, i)
+    start = find.value(low)
+    if some_caps is not None:
+        louder = _is_caps(F.get(words, i)) & some_caps
+        start = start + F.when(louder, F.when(start > 0, CAPS).otherwise(-CAPS)).otherwise(0.0)
 
     def look_back(distance: int) -> Callable[[Column], Column]:
         before = i - distance
@@ -86,11 +96,12 @@ def _word_valence(words: Column, lows: Column, i: Column, find: Lookup, some_cap
 
         def strengthen(valence: Column) -> Column:
             raw = _boost(word)
-            caps = F.when(
-                _is_caps(_at(words, before)) & some_caps,
-                F.when(valence > 0, CAPS).otherwise(-CAPS),
-            ).otherwise(0.0)
-            signed = F.when(valence < 0, -raw).otherwise(raw) + caps
+            signed = F.when(valence < 0, -raw).otherwise(raw)
+            if some_caps is not None:
+                signed = signed + F.when(
+                    _is_caps(_at(words, before)) & some_caps,
+                    F.when(valence > 0, CAPS).otherwise(-CAPS),
+                ).otherwise(0.0)
             return valence + F.coalesce(signed * DAMPING[distance - 1], F.lit(0.0))
 
         def negate(valence: Column) -> Column:
@@ -113,14 +124,14 @@ def _word_valence(words: Column, lows: Column, i: Column, find: Lookup, some_cap
             )
 
         def step(valence: Column) -> Column:
-            applies = (before >= 0) & find(word).isNull()
+            applies = (before >= 0) & ~find.has(word)
             return F.when(applies, let(strengthen(valence), negate)).otherwise(valence)
 
         return step
 
     def least(valence: Column) -> Column:
         near, mid = _at(lows, i - 1), _at(lows, i - 2)
-        turned = (near == "least") & find(near).isNull() & ~mid.isin("at", "very")
+        turned = (near == "least") & ~find.has(near) & ~mid.isin("at", "very")
         return F.when(turned, valence * NEGATED).otherwise(valence)
 
     one, two, three = (look_back(d) for d in (1, 2, 3))
@@ -150,11 +161,13 @@ def score_expr(
     rules: bool = True,
     empty_neutral: float = 0.0,
     phrases: Lookup | None = None,
+    lower_case: bool = False,
 ) -> Column:
-    """Struct ``compound, pos, neu, neg`` of a cleaned text.
+    """Struct ``compound, pos, neu, neg`` of a cleaned text (single blanks between words).
 
     ``rules=False`` keeps the word valences only. ``phrases`` adds the valence of adjacent word
-    pairs (first word of the pair carries it). ``empty_neutral`` is ``neu`` of a text without words.
+    pairs, carried by the first word of the pair. ``empty_neutral`` is ``neu`` of a text without
+    words. ``lower_case`` tells that the text has no capitals, which saves two passes.
     """
     empty = F.struct(
         F.lit(0.0).alias("compound"),
@@ -164,41 +177,48 @@ def score_expr(
     )
 
     def with_words(words: Column) -> Column:
+        if lower_case:
+            return scored(words, words)
         return let(F.transform(words, F.lower), lambda lows: scored(words, lows))
 
     def scored(words: Column, lows: Column) -> Column:
         n = F.size(words)
-        lookup = find
-        if phrases is not None:
-            def lookup(word: Column) -> Column:  # pairs are looked up by position below
-                return find(word)
-
         places = F.sequence(F.lit(0), n - 1)
 
-        def has_value(i: Column) -> Column:
-            hit = find(_at(lows, i)).isNotNull()
-            return hit | pair(i).isNotNull() if phrases is not None else hit
-
         def pair(i: Column) -> Column:
-            return phrases(F.concat_ws(" ", _at(lows, i), _at(lows, i + 1)))
+            return F.concat_ws(" ", F.get(lows, i), F.get(lows, i + 1))
 
-        caps_count = F.size(F.filter(words, _is_caps)) if rules else F.lit(0)
+        def is_hit(i: Column) -> Column:
+            hit = find.has(F.get(lows, i))
+            return hit | phrases.has(pair(i)) if phrases is not None else hit
 
-        def values(some_caps: Column) -> Column:
+        def values(some_caps: Column | None, but: Column | None) -> Column:
             def value(i: Column) -> Column:
-                single = _word_valence(words, lows, i, lookup, some_caps, rules)
-                plain = F.coalesce(pair(i), single) if phrases is not None else single
-                if not rules:
+                if rules:
+                    plain = _word_valence(words, lows, i, find, some_caps)
+                else:
+                    plain = find.value(F.get(lows, i))
+                if phrases is not None:
+                    plain = F.coalesce(phrases.value(pair(i)), plain)
+                if but is None:
                     return plain
-                but = F.array_position(lows, F.lit("but")) - 1
-                return F.when(but < 0, plain).otherwise(
-                    F.when(i < but, plain * 0.5).when(i > but, plain * 1.5).otherwise(plain)
-                )
-
-            return F.transform(F.filter(places, has_value), value)
-
-        some_caps = (caps_count > 0) & (caps_count < n)
-        return let(some_caps, lambda s: let(values(s), lambda found: summed(found, n)))
+                weight = F.when(but < 0, 1.0).when(i < but, 0.5).when(i > but, 1.5).otherwise(1.0)
+                return plain * weight
+
+            return F.transform(F.filter(places, is_hit), value)
+
+        if not rules:
+            return let(values(None, None), lambda found: summed(found, n))
+        # Facts about the whole text are bound once, outside the loop over its words.
+        but = F.array_position(lows, F.lit("but")).cast("int") - 1
+        if lower_case:
+            return let(but, lambda b: let(values(None, b), lambda found: summed(found, n)))
+        capitals = F.size(F.filter(words, _is_caps))
+        some_caps = (capitals > 0) & (capitals < n)
+        facts = F.struct(some_caps.alias("caps"), but.alias("but"))
+        return let(
+            facts, lambda f: let(values(f["caps"], f["but"]), lambda found: summed(found, n))
+        )
 
     def summed(found: Column, n: Column) -> Column:
         zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"), F.lit(0.0).alias("m"), F.lit(0).alias("k"))

@@ -33,9 +33,9 @@ def clean_text_light(c: Column | str) -> Column:
 
 
 def words_of(c: Column | str) -> Column:
-    """Words of a text: split at white space, punctuation stripped unless 2 or fewer characters
-    would be left (so that short symbols such as ``:)`` survive)."""
-    raw = F.filter(F.split(_col(c), rf"(?U){SPACE}+"), lambda w: w != "")
+    """Words of a cleaned text (single blanks): punctuation is stripped from both ends unless 2 or
+    fewer characters would be left, so that short symbols such as ``:)`` survive."""
+    raw = F.filter(F.split(_col(c), " "), lambda w: w != "")
 
     def strip(w: Column) -> Column:
         bare = F.btrim(w, F.lit(PUNCTUATION))

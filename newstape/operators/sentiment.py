@@ -43,12 +43,13 @@ def lexicon_score(
     rules: bool = True,
     empty_neutral: float = 0.0,
     match_phrases: bool = False,
+    lower_case: bool = False,
 ) -> DataFrame:
     """Score a cleaned text column with a word list. No shuffle, no Python, safe in streams."""
     find = _inline(lexicon)
     pairs = {t: v for t, v in lexicon.items() if " " in t} if match_phrases else {}
     phrases = lookup_in(pairs) if pairs else None
-    return _spread(df, score_expr(F.col(text), find, rules, empty_neutral, phrases))
+    return _spread(df, score_expr(F.col(text), find, rules, empty_neutral, phrases, lower_case))
 
 
 def lexicon_score_join(
@@ -91,7 +92,12 @@ def score_news(
     terms = {**(lexicon or {}), **(FINANCE_TERMS if finance else {})}
     cleaned = df.withColumn("cleaned_text", clean_text(column))
     return lexicon_score(
-        cleaned, terms, rules=rules, empty_neutral=0.0 if finance else 1.0, match_phrases=match_phrases
+        cleaned,
+        terms,
+        rules=rules,
+        empty_neutral=0.0 if finance else 1.0,
+        match_phrases=match_phrases,
+        lower_case=True,
     )
 
 
