@@ -110,8 +110,11 @@ def blocks(
 ) -> DataFrame:
     """Assign rows to position blocks, copying each row to every block whose frames reach it.
 
-    ``back`` / ``ahead``: how many rows before / after a row its frames may read.
+    ``back`` / ``ahead``: how many rows before / after a row its frames may read. A frame that
+    already sits on blocks (``over_blocks(keep_index=True)``) is left as it is.
     """
+    if BLOCK in df.columns:
+        return df
     i = F.col(index)
     if back == 0 and ahead == 0:
         return df.withColumn(BLOCK, F.floor(i / F.lit(size))).withColumn(OWN, F.lit(True))
@@ -137,12 +140,16 @@ def over_blocks(
     size: int = BLOCK_ROWS,
     keep_index: bool = False,
 ) -> DataFrame:
-    """Run ``body(frame, window)`` on blocks and give back each input row once."""
+    """Run ``body(frame, window)`` on blocks and give back each input row once.
+
+    ``keep_index`` leaves position and block on the rows, so that a scan can go on from the same
+    partitioning.
+    """
     keys = as_keys(keys)
     indexed = row_index(df, keys, order, bucket, fill)
     out = body(blocks(indexed, back, ahead, size), block_window(keys)).where(F.col(OWN))
-    drop = [BLOCK, OWN, *[f"_fill_{c}" for c in fill]]
-    return out.drop(*drop, *([] if keep_index else [INDEX, COUNT]))
+    out = out.drop(*[f"_fill_{c}" for c in fill])
+    return out if keep_index else out.drop(BLOCK, OWN, INDEX, COUNT)
 
 
 def forward_fill(
