@@ -25,7 +25,7 @@ def clip_tiny(c: Column | str) -> Column:
 
 def score_text(c: Column | str) -> Column:
     value = _col(c)
-    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.4f", clip_tiny(value)))
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.4f", F.round(clip_tiny(value), 4)))
 
 
 def count_text(c: Column | str) -> Column:

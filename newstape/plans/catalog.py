@@ -799,8 +799,8 @@ def ema12(spark, d):
 @query(
     "macd",
     sql(
-        """select ticker, date, round(e12 - e26, 3) as macd, round(sig, 3) as macd_signal,
-                  round(e12 - e26 - sig, 3) as macd_hist from e join s using (ticker, i)""",
+        """select ticker, date, round(e12 - e26, 2) as macd, round(sig, 2) as macd_signal,
+                  round(e12 - e26 - sig, 2) as macd_hist from e join s using (ticker, i)""",
         "bars",
         recursive=True,
         extra=EMA_SQL,
@@ -808,15 +808,15 @@ def ema12(spark, d):
 )
 def macd(spark, d):
     out = series.macd(views.bars(spark, d))
-    return rounded(out.select("ticker", "date", "macd", "macd_signal", "macd_hist"), 3)
+    return rounded(out.select("ticker", "date", "macd", "macd_signal", "macd_hist"), 2)
 
 
 @query(
     "technical_indicators",
     sql(
         f"""select s.ticker, s.date, {sma_sql(20, 'sma20')}, {sma_sql(50, 'sma50')},
-                   round({RSI_VALUE}, 5) as rsi14, round(e12 - e26, 3) as macd,
-                   round(e12 - e26 - sig, 3) as macd_hist, round({STD20}, 3) as bb_std
+                   round({RSI_VALUE}, 5) as rsi14, round(e12 - e26, 2) as macd,
+                   round(e12 - e26 - sig, 2) as macd_hist, round({STD20}, 3) as bb_std
             from s join e using (ticker, i) join gl using (ticker, date)""".replace("order by date", "order by s.date").replace(
             "partition by ticker", "partition by s.ticker"
         ),
@@ -828,7 +828,7 @@ def macd(spark, d):
 def technical_indicators(spark, d):
     out = series.add_technical_indicators(views.bars(spark, d))
     columns = ("sma20", "sma50", "rsi14", "macd", "macd_hist", "bb_std")
-    return rounded(out.select("ticker", "date", *columns), 3, rsi14=5, sma20=4, sma50=4)
+    return rounded(out.select("ticker", "date", *columns), 3, rsi14=5, sma20=4, sma50=4, macd=2, macd_hist=2)
 
 
 @query(
@@ -1227,14 +1227,14 @@ def histogram20(spark, d):
     "describe",
     sql(
         """select ticker, count(close) as count, round(avg(close), 3) as mean, round(stddev_samp(close), 3) as std,
-                  min(close) as min, max(close) as max, round(quantile_cont(close, 0.25), 3) as p25,
-                  round(quantile_cont(close, 0.5), 3) as p50, round(quantile_cont(close, 0.75), 3) as p75
+                  min(close) as min, max(close) as max, round(quantile_cont(close, 0.25), 4) as p25,
+                  round(quantile_cont(close, 0.5), 4) as p50, round(quantile_cont(close, 0.75), 4) as p75
            from bars group by 1""",
         "bars",
     ),
 )
 def describe(spark, d):
-    return rounded(profile.describe(views.bars(spark, d), "close"), 3, min=6, max=6)
+    return rounded(profile.describe(views.bars(spark, d), "close"), 3, min=6, max=6, p25=4, p50=4, p75=4)
 
 
 @query(
@@ -1920,7 +1920,7 @@ def recent_bars(spark, d):
 def score_text_sql(column: str) -> str:
     return (
         f"case when {column} is null then 'N/A' else printf('%.4f', round(case when abs({column}) < 0.00005"
-        f" then 0 else {column} end, 9)) end as {column}"
+        f" then 0 else {column} end, 4)) end as {column}"
     )
 
 
@@ -1936,14 +1936,13 @@ def score_text_sql(column: str) -> str:
 )
 def recent_sentiment(spark, d):
     scores = day_scores(spark, d).drop("sentiment_neutral", "sentiment_negative")
-    scores = scores.withColumns({c: F.round(c, 9) for c, kind in scores.dtypes if kind == "double"})
     return reports.recent_sentiment(scores)
 
 
 @query(
     "summary_card",
     sql(
-        f"""select ticker, 'Feb 01, 1995 - Jun 30, 1996' as date_range, printf('%.4f', round(a, 9)) as avg_sentiment,
+        f"""select ticker, 'Feb 01, 1995 - Jun 30, 1996' as date_range, printf('%.4f', round(a, 4)) as avg_sentiment,
                    sentiment_class, rows_in_range from card""",
         "daily",
         extra=AVG_SQL,
@@ -1967,10 +1966,10 @@ def rolling_overview(spark, d):
 
 @query(
     "sentiment_histogram",
-    sql(HISTOGRAM_BODY.format(6), "joined", extra=histogram_sql("sentiment_score", "joined")),
+    sql(HISTOGRAM_BODY.format(9), "joined", extra=histogram_sql("sentiment_score", "joined")),
 )
 def sentiment_histogram(spark, d):
-    return rounded(reports.daily_sentiment_histogram(views.bars(spark, d), day_scores(spark, d)))
+    return rounded(reports.daily_sentiment_histogram(views.bars(spark, d), day_scores(spark, d)), 9)
 
 
 # --- pages ----------------------------------------------------------------------------------------
