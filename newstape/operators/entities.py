@@ -16,7 +16,7 @@ from newstape.schema import ENTITY_TEXT_COLUMNS, pick_column
 ENTITY_TYPES = ("PERSON", "ORG", "GPE", "LOC", "PRODUCT", "DATE", "MONEY", "PERCENT")
 
 _MONTHS = (
-    "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?"
+    "(?:J(?:an(?:uary)?|une?|uly?)|Feb(?:ruary)?|Ma(?:r(?:ch)?|y)|A(?:pr(?:il)?|ug(?:ust)?)"
     "|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 )
 # Own patterns, written so that Java and RE2 agree on them.
@@ -30,72 +30,81 @@ Model = Callable[[str], Iterable[tuple[str, str]]]
 SHAPE = "entity string, entity_type string, _order int"
 
 
-def _finish(found: DataFrame, texts: DataFrame, key: str, keep: list[str]) -> DataFrame:
-    """One row per distinct entity of a text; the label found last wins."""
-    merged = (
+def _finish(found: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """One row per distinct entity of a text; the label found last wins. The ``keep`` columns belong
+    to the text, so grouping by them as well changes nothing and saves a join."""
+    return (
         found.where((F.length("entity") >= 2) & F.col("entity_type").isin(*ENTITY_TYPES))
-        .groupBy(key, "entity")
-        .agg(F.max_by("entity_type", F.struct("_order", "entity_type")).alias("entity_type"))
+        .groupBy(key, *keep, "entity")
+        .agg(F.max(F.struct("_order", "entity_type"))["entity_type"].alias("entity_type"))
     )
-    return merged.join(texts.select(key, *keep), key) if keep else merged
 
 
-def pattern_entities(df: DataFrame, key: str, text: str) -> DataFrame:
+def pattern_entities(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     squeezed = clean_text_light(text)
 
     def matches(i: int, kind: str, pattern: str) -> Column:
         def row(e: Column) -> Column:
             return F.struct(e.alias("entity"), F.lit(kind).alias("entity_type"), F.lit(i).alias("_order"))
 
-        return F.transform(F.regexp_extract_all(squeezed, F.lit(pattern), F.lit(0)), row)
+        return F.transform(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)), row)
 
     each = [matches(i, kind, pattern) for i, (kind, pattern) in enumerate(PATTERNS.items())]
-    return df.select(key, F.inline(F.array_distinct(F.concat(*each))))
+    cleaned = df.select(*ids, squeezed.alias("_text"))
+    return cleaned.select(*ids, F.inline(F.array_distinct(F.concat(*each))))
 
 
 def gazetteer_entities(
-    df: DataFrame, gazetteer: DataFrame, key: str, text: str, max_words: int = 3
+    df: DataFrame, gazetteer: DataFrame, ids: list[str], text: str, max_words: int = 3
 ) -> DataFrame:
     """Gazetteer names (``entity, entity_type``) that occur in the text as runs of whole words.
 
-    Every text contributes each distinct run of up to ``max_words`` words once; the equality join
-    with the gazetteer is left to Spark, which broadcasts it only if it is small.
+    Each word goes out once with its followers; an equality join on the first word finds the
+    candidates and the rest is compared in the join. Spark broadcasts the gazetteer if it is small
+    and may split hot first words if it is not.
     """
-    words = F.filter(
-        F.split(F.regexp_replace(clean_text_light(text), r"[^\p{L}\p{N}&' -]+", " "), " +"), lambda w: w != ""
-    )
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}&' -]+", " ")
+    words = F.filter(F.split(plain, " "), lambda w: w != "")
+    fields = [f"w{n}" for n in range(max_words)]
 
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
+    def run(i: Column) -> Column:
+        return F.struct(*[F.get("_words", i + n).alias(f) for n, f in enumerate(fields)])
 
-    runs = F.concat(*[runs_of(n) for n in range(1, max_words + 1)])
-    grams = (
-        df.select(key, words.alias("_words"))
+    spread = (
+        df.select(*ids, words.alias("_words"))
         .where(F.size("_words") > 0)
-        .select(key, F.explode(F.array_distinct(runs)).alias("entity"))
-    )
-    return grams.join(gazetteer.select("entity", "entity_type"), "entity").select(
-        key, "entity", "entity_type", F.lit(len(PATTERNS)).alias("_order")
+        .select(*ids, F.inline(F.transform(F.sequence(F.lit(0), F.size("_words") - 1), run)))
     )
-
-
-def model_entities(df: DataFrame, load_model: Callable[[], Model], key: str, text: str) -> DataFrame:
+    parts = F.split("entity", " ")
+    names = gazetteer.select(
+        F.get(parts, F.lit(0)).alias("w0"),
+        *[F.get(parts, F.lit(n)).alias(f"_g{n}") for n in range(1, max_words)],
+        "entity",
+        "entity_type",
+    ).where(F.size(parts) <= max_words)
+    same = F.lit(True)
+    for n in range(1, max_words):
+        same = same & (F.col(f"_g{n}").isNull() | (F.col(f"_g{n}") == F.col(f"w{n}")))
+    hits = spread.join(names, "w0").where(same)
+    return hits.select(*ids, "entity", "entity_type", F.lit(len(PATTERNS)).alias("_order"))
+
+
+def model_entities(df: DataFrame, load_model: Callable[[], Model], ids: list[str], text: str) -> DataFrame:
     """Entities from a model: ``load_model`` runs once per task, the model once per text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for batch in batches:
             rows = [
-                (row_key, entity, kind, i)
-                for row_key, body in zip(batch[key], batch[text])
+                (*own, entity, kind, i)
+                for *own, body in batch[[*ids, text]].itertuples(index=False, name=None)
                 if body
                 for i, (entity, kind) in enumerate(model(body))
             ]
-            yield pd.DataFrame(rows, columns=[key, "entity", "entity_type", "_order"])
+            yield pd.DataFrame(rows, columns=[*ids, "entity", "entity_type", "_order"])
 
-    shape = f"{key} {df.schema[key].dataType.simpleString()}, {SHAPE}"
-    return df.select(key, text).mapInPandas(run, shape)
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)
+    return df.select(*ids, text).mapInPandas(run, f"{kept}, {SHAPE}")
 
 
 def extract_entities(
@@ -109,14 +118,16 @@ def extract_entities(
 ) -> DataFrame:
     """``key, entity, entity_type`` plus the ``keep`` columns of the text's row. Whole texts are read."""
     column = pick_column(df, ENTITY_TEXT_COLUMNS, text)
+    kept = [c for c in keep if c in df.columns]
+    ids = [key, *kept]
     texts = df.where(F.col(column).isNotNull())
     if load_model is not None:
-        found = model_entities(texts, load_model, key, column)
+        found = model_entities(texts, load_model, ids, column)
     else:
-        found = pattern_entities(texts, key, column)
+        found = pattern_entities(texts, ids, column)
         if gazetteer is not None:
-            found = found.unionByName(gazetteer_entities(texts, gazetteer, key, column, max_words))
-    return _finish(found, texts, key, [c for c in keep if c in df.columns])
+            found = found.unionByName(gazetteer_entities(texts, gazetteer, ids, column, max_words))
+    return _finish(found, key, kept)
 
 
 def entity_type_counts(entities: DataFrame) -> DataFrame:

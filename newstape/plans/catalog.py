@@ -185,7 +185,7 @@ def sql(body: str, *names: str, recursive: bool = False, extra: str = "") -> str
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return sentiment.score_news(views.news(spark, d), views.WORD_VALENCES, finance=False)
+    return sentiment.score_news(views.texts(spark, d), views.WORD_VALENCES, finance=False)
 
 
 def day_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -298,12 +298,12 @@ def first_available(spark, d):
 
 @query("clean_text", sql(f"select doc_id, {STRICT_SQL} as cleaned_text from news", "news"))
 def clean_strict(spark, d):
-    return views.news(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
+    return views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
 
 
 @query("clean_text_light", sql(f"select doc_id, {LIGHT_SQL} as cleaned_text from news", "news"))
 def clean_light(spark, d):
-    return views.news(spark, d).select("doc_id", text.clean_text_light("headline").alias("cleaned_text"))
+    return views.texts(spark, d).select("doc_id", text.clean_text_light("headline").alias("cleaned_text"))
 
 
 @query("truncate_text", sql("select doc_id, substring(headline, 1, 1000) as shortened from news", "news"))
@@ -314,7 +314,7 @@ def truncate(spark, d):
 @query("sql_functions", sql(f"select doc_id, {STRICT_SQL} as strict, {LIGHT_SQL} as light from news", "news"))
 def sql_functions(spark, d):
     register(spark)
-    return views.news(spark, d).selectExpr(
+    return views.texts(spark, d).selectExpr(
         "doc_id", "clean_text(headline) as strict", "clean_text_light(headline) as light"
     )
 
@@ -509,13 +509,13 @@ from cleaned left join sums using (doc_id)
 
 @query("lexicon_unigram", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
 def lexicon_unigram(spark, d):
-    out = sentiment.score_news(views.news(spark, d), views.WORD_VALENCES, finance=False, rules=False)
+    out = sentiment.score_news(views.texts(spark, d), views.WORD_VALENCES, finance=False, rules=False)
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
 @query("lexicon_table_join", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
 def lexicon_table_join(spark, d):
-    cleaned = views.news(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
+    cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
     out = sentiment.lexicon_score_join(
         cleaned, views.lexicon(spark), "doc_id", rules=False, empty_neutral=1.0
     )
@@ -548,13 +548,13 @@ FINANCE_SQL = "lexicon as (select * from (values " + ", ".join(
     ),
 )
 def score_news_finance(spark, d):
-    out = sentiment.score_news(views.news(spark, d), finance=True, rules=False)
+    out = sentiment.score_news(views.texts(spark, d), finance=True, rules=False)
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
 @query("score_news_light")
 def score_news_light(spark, d):
-    out = sentiment.score_news_light(views.news(spark, d), views.WORD_VALENCES)
+    out = sentiment.score_news_light(views.texts(spark, d), views.WORD_VALENCES)
     return out.select("doc_id", "ticker", "date", *SCORE_COLUMNS.split(", "), "sentiment_category")
 
 
@@ -576,7 +576,7 @@ def score_news_light(spark, d):
 def finance_lexicon(spark, d):
     from newstape.functions.lexicon import finance_lexicon as merged
 
-    words = views.news(spark, d).select(F.explode(text.plain_words("headline")).alias("term"))
+    words = views.texts(spark, d).select(F.explode(text.plain_words("headline")).alias("term"))
     uses = words.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
     return uses.join(merged(spark, views.lexicon(spark)).select("term"), "term", "left_semi")
 
@@ -612,7 +612,7 @@ topics as (select ticker, doc_id, pos, word from words
     ),
 )
 def topics_top10(spark, d):
-    return sentiment.extract_topics(views.news(spark, d), 10)
+    return sentiment.extract_topics(views.texts(spark, d), 10)
 
 
 @query(
@@ -626,7 +626,7 @@ def topics_top10(spark, d):
     ),
 )
 def topics_by_ticker(spark, d):
-    return sentiment.extract_topics_by(views.news(spark, d), ["ticker"], 5)
+    return sentiment.extract_topics_by(views.texts(spark, d), ["ticker"], 5)
 
 
 ENTITY_SQL = (
@@ -664,7 +664,7 @@ ents as (select doc_id, entity, entity_type from (
 )
 def extract_entities(spark, d):
     return entities.extract_entities(
-        views.news(spark, d), gazetteer=views.gazetteer(spark), keep=("ticker", "date")
+        views.texts(spark, d), gazetteer=views.gazetteer(spark), keep=("ticker", "date")
     )
 
 
@@ -686,7 +686,7 @@ def entities_by_model(spark, d):
         word = re.compile(r"\b[A-Z][a-z]{2,}\b")
         return lambda body: [(w, "ORG") for w in word.findall(body)]
 
-    found = entities.extract_entities(views.news(spark, d), load_model=load, keep=("ticker",))
+    found = entities.extract_entities(views.texts(spark, d), load_model=load, keep=("ticker",))
     return found.groupBy("ticker").agg(F.count(F.lit(1)).alias("entities"))
 
 
@@ -2174,14 +2174,14 @@ def stream_sessions(spark, d):
 )
 def process_news_query(spark, d):
     config = JobConfig(scratch(spark, "news"), REF, views.WORD_VALENCES, finance=False)
-    out = process_news(views.news(spark, d), config)
+    out = process_news(views.texts(spark, d), config)
     return rounded(out.select("ticker", "date", "sentiment_score", "headline_count", "sentiment_category"))
 
 
 @query("daily_job", sql(FEATURES_BODY, "joined", extra=FEATURES_SQL))
 def daily_job(spark, d):
     config = JobConfig(scratch(spark, "job"), REF, views.WORD_VALENCES, finance=False)
-    paths = run_daily_job(spark, views.bars(spark, d), views.news(spark, d), config, views.gazetteer(spark))
+    paths = run_daily_job(spark, views.bars(spark, d), views.texts(spark, d), config, views.gazetteer(spark))
     out = spark.read.parquet(paths["features"])
     return rounded(out.select("ticker", "date", *series.FEATURES, "target"), volume_price_ratio=2)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newstape.sources.pages import TABLE_ID
+from newstape.sources.tables import spread_scan
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 FIRST_DAY = "1995-01-01"
@@ -76,6 +77,11 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headlines for queries that work through every text."""
+    return spread_scan(news(spark, sf_dir))
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(WORD_VALENCES.items()), "term string, valence double")
 
