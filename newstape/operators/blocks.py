@@ -58,18 +58,12 @@ def row_index(
     stamped = df.withColumn(BUCKET, bucket)
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
+    # max_by / min_by keep plain values in the buffer where the order is one column, so the partial
+    # aggregation hashes; it sorts only for composite orders.
     per_bucket = stamped.groupBy(*keys, BUCKET).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[
-            F.max(F.when(F.col(c).isNotNull(), F.struct(position.alias("o"), F.col(c).alias("v"))))[
-                "v"
-            ].alias(f"_last_{c}")
-            for c in fill
-        ],
-        *[
-            F.min(F.struct(position.alias("o"), F.col(c).alias("v")))["v"].alias(f"_head_{c}")
-            for c in first
-        ],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in fill],
+        *[F.min_by(c, position).alias(f"_head_{c}") for c in first],
     )
     by_bucket = Window.partitionBy(*keys).orderBy(BUCKET)
     before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
