@@ -3,7 +3,7 @@
 A window partitioned by ticker sends a ticker with a third of all rows to one task. Here every
 series is cut twice:
 
-* by **calendar bucket** (a year by default): per-bucket row counts and last values come from a
+* by **calendar bucket** (a year of dates, an hour of timestamps): per-bucket row counts and last values come from a
   partially aggregated ``groupBy``; prefix sums over that small table give each row its global
   position in its series and the value carried in from earlier buckets;
 * by **block of positions** (``BLOCK_ROWS`` rows): a frame of n rows sees at most n-1 rows of the
@@ -19,6 +19,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 4096
 
@@ -30,14 +31,26 @@ def as_keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def calendar_bucket(order: str) -> Column:
-    """Year of the order column; rows without a date share bucket 0 and come first."""
-    return F.coalesce(F.year(F.col(order)), F.lit(0))
+def calendar_bucket(df: DataFrame, order: str) -> Column:
+    """Coarse calendar slot of the order column: the year of a date, the hour of a timestamp.
+
+    Bars hold at most one row per ticker and interval, so the calendar bounds both the rows of a
+    bucket and the buckets of a series. Numbers are cut every ``BLOCK_ROWS``. Rows without a value
+    share one bucket and come first.
+    """
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.DateType):
+        slot = F.year(order)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        slot = F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(3600))
+    else:
+        return position_bucket(order)
+    return F.coalesce(slot.cast("bigint"), F.lit(-(2**62)))
 
 
 def position_bucket(order: str, size: int = BLOCK_ROWS) -> Column:
     """Bucket for series ordered by a number instead of a date."""
-    return F.coalesce(F.floor(F.col(order) / F.lit(size)), F.lit(-1))
+    return F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("bigint"), F.lit(-(2**62)))
 
 
 def row_index(
@@ -54,7 +67,7 @@ def row_index(
     get ``_first_<c>``: the value of the first row. Both ride on the same shuffle.
     """
     keys, order = as_keys(keys), as_keys(order)
-    bucket = calendar_bucket(order[0]) if bucket is None else bucket
+    bucket = calendar_bucket(df, order[0]) if bucket is None else bucket
     stamped = df.withColumn(BUCKET, bucket)
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
 

@@ -76,41 +76,50 @@ STRICT_SQL = (
 )
 LIGHT_SQL = r"trim(regexp_replace(coalesce(headline, ''), '\s+', ' ', 'g'))"
 
-# The scoring rules, step by step over one row per word.
-SCORED_SQL = f"""
-cleaned as (select *, {STRICT_SQL} as cleaned_text from news),
+
+
+def scored_sql(light: bool = False) -> str:
+    """The scoring rules, step by step over one row per word. ``light`` keeps case and symbols."""
+    boost = sql_list(BOOSTERS)
+    damp = sql_list(DAMPENERS)
+    negate = sql_list(NEGATIONS)
+    known = "(select term from lexicon)"
+
+    def step(into: str, frm: str, value: str, at: int, weight: float, special: str) -> str:
+        word, caps = f"l{at}", f"u{at}"
+        push = f"""(case when {word} in {boost} then {BOOST}::double when {word} in {damp} then -{BOOST}::double end
+                    * sign({value}) + case when {caps} and some_caps then case when {value} > 0 then 0.733::double
+                                      else -0.733::double end else 0 end) * {weight}::double"""
+        return f"""{into} as (select *, case when pos > {at} and {word} not in {known} then
+            ({value} + coalesce({push}, 0)) * case {special}
+             when {word} in {negate} or contains({word}, 'n''t') then -0.74::double else 1 end else {value} end as {into}_v from {frm})"""
+
+    two = "when l2 = 'never' and l1 in ('so', 'this') then 1.25::double when l2 = 'without' and l1 = 'doubt' then 1"
+    three = """when (l3 = 'never' and l2 in ('so', 'this')) or l1 in ('so', 'this') then 1.25::double
+               when l3 = 'without' and (l2 = 'doubt' or l1 = 'doubt') then 1"""
+    return f"""
+cleaned as (select *, {LIGHT_SQL if light else STRICT_SQL} as cleaned_text from news),
 split as (select doc_id, string_split(cleaned_text, ' ') as l from cleaned where cleaned_text <> ''),
 raw as (select doc_id, unnest(l) as w, unnest(range(1, len(l) + 1)) as pos from split),
-bare as (select doc_id, pos,
-                case when length(trim(w, {PUNCT_SQL})) <= 2 then w else trim(w, {PUNCT_SQL}) end as low from raw),
-near as (select b.*, l.valence as v,
-                coalesce(lag(low, 1) over p, '') as l1, coalesce(lag(low, 2) over p, '') as l2,
-                coalesce(lag(low, 3) over p, '') as l3, coalesce(lead(low) over p, '') as nx
-         from bare b left join lexicon l on l.term = b.low
+bare as (select doc_id, pos, case when length(trim(w, {PUNCT_SQL})) <= 2 then w else trim(w, {PUNCT_SQL}) end as w from raw),
+cased as (select doc_id, pos, lower(w) as low, w = upper(w) and w <> lower(w) as caps from bare),
+near as (select b.*, l.valence as v, coalesce(lead(low) over p, '') as nx,
+                coalesce(lag(low, 1) over p, '') as l1, coalesce(lag(low, 2) over p, '') as l2, coalesce(lag(low, 3) over p, '') as l3,
+                lag(caps, 1) over p as u1, lag(caps, 2) over p as u2, lag(caps, 3) over p as u3
+         from cased b left join lexicon l on l.term = b.low
          window p as (partition by doc_id order by pos)),
-facts as (select doc_id, count(*) as n, min(pos) filter (low = 'but') as but from near group by 1),
-h0 as (select *, low in {sql_list(BOOSTERS + DAMPENERS)} or (low = 'kind' and nx = 'of') as zero
-       from near where v is not null),
-h1 as (select *, case when pos > 1 and l1 not in (select term from lexicon) then
-         (v + sign(v) * case when l1 in {sql_list(BOOSTERS)} then {BOOST}::double
-                             when l1 in {sql_list(DAMPENERS)} then -{BOOST}::double else 0 end)
-         * case when l1 in {sql_list(NEGATIONS)} then -0.74::double else 1 end else v end as a from h0),
-h2 as (select *, case when pos > 2 and l2 not in (select term from lexicon) then
-         (a + sign(a) * 0.95::double * case when l2 in {sql_list(BOOSTERS)} then {BOOST}::double
-                             when l2 in {sql_list(DAMPENERS)} then -{BOOST}::double else 0 end)
-         * case when l2 = 'never' and l1 in ('so', 'this') then 1.25::double
-                when l2 = 'without' and l1 = 'doubt' then 1
-                when l2 in {sql_list(NEGATIONS)} then -0.74::double else 1 end else a end as b from h1),
-h3 as (select *, case when pos > 3 and l3 not in (select term from lexicon) then
-         (b + sign(b) * 0.9::double * case when l3 in {sql_list(BOOSTERS)} then {BOOST}::double
-                             when l3 in {sql_list(DAMPENERS)} then -{BOOST}::double else 0 end)
-         * case when (l3 = 'never' and l2 in ('so', 'this')) or l1 in ('so', 'this') then 1.25::double
-                when l3 = 'without' and (l2 = 'doubt' or l1 = 'doubt') then 1
-                when l3 in {sql_list(NEGATIONS)} then -0.74::double else 1 end else b end as c from h2),
-h4 as (select doc_id, pos, case when zero then 0 when l1 = 'least' and l1 not in (select term from lexicon)
-                                 and l2 not in ('at', 'very') then c * -0.74::double else c end as d from h3),
-h5 as (select h4.doc_id, d * case when but is null or pos = but then 1::double when pos < but then 0.5::double
-                                  else 1.5::double end as d from h4 join facts using (doc_id)),
+facts as (select doc_id, count(*) as n, min(pos) filter (low = 'but') as but,
+                 count(*) filter (caps) between 1 and count(*) - 1 as some_caps from near group by 1),
+h0 as (select near.*, some_caps, but, low in {boost} or low in {damp} or (low = 'kind' and nx = 'of') as zero,
+              v + case when caps and some_caps then case when v > 0 then 0.733::double else -0.733::double end else 0 end as h0_v
+       from near join facts using (doc_id) where v is not null),
+{step("h1", "h0", "h0_v", 1, 1.0, "when false then 1")},
+{step("h2", "h1", "h1_v", 2, 0.95, two)},
+{step("h3", "h2", "h2_v", 3, 0.9, three)},
+h4 as (select doc_id, pos, but, case when zero then 0 when l1 = 'least' and l1 not in {known}
+                                and l2 not in ('at', 'very') then h3_v * -0.74::double else h3_v end as d from h3),
+h5 as (select doc_id, d * case when but is null or pos = but then 1::double when pos < but then 0.5::double
+                               else 1.5::double end as d from h4),
 sums as (select doc_id, sum(d) as s, coalesce(sum(d + 1) filter (d > 0), 0) as p,
                 coalesce(sum(d - 1) filter (d < 0), 0) as m, count(*) filter (d <> 0) as k from h5 group by 1),
 marks as (select doc_id, least(length(cleaned_text) - length(replace(cleaned_text, '!', '')), 4) * 0.292::double
@@ -123,10 +132,13 @@ parts as (select f.doc_id, coalesce(s, 0) + sign(coalesce(s, 0)) * e as s,
           from facts f left join sums using (doc_id) join marks using (doc_id)),
 scored as (select c.*, coalesce(round(s / sqrt(s * s + 15), 4), 0) as sentiment_compound,
                   coalesce(round(p / (p + abs(m) + u), 3), 0) as sentiment_positive,
-                  coalesce(round(u / (p + abs(m) + u), 3), 1) as sentiment_neutral,
+                  coalesce(round(u / (p + abs(m) + u), 3), {0 if light else 1}) as sentiment_neutral,
                   coalesce(round(abs(m) / (p + abs(m) + u), 3), 0) as sentiment_negative
            from cleaned c left join parts using (doc_id))
 """
+
+
+SCORED_SQL = scored_sql()
 CATEGORY_SQL = "case when {0} >= 0.05 then 'Positive' when {0} <= -0.05 then 'Negative' else 'Neutral' end"
 DAILY_SQL = f"""
 daily as (select ticker, date, avg(sentiment_compound) as sentiment_score,
@@ -552,7 +564,16 @@ def score_news_finance(spark, d):
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
-@query("score_news_light")
+@query(
+    "score_news_light",
+    sql(
+        f"""select doc_id, ticker, date, {SCORE_COLUMNS},
+                   {CATEGORY_SQL.format("sentiment_compound")} as sentiment_category from scored""",
+        "news",
+        "lexicon",
+        extra=scored_sql(light=True),
+    ),
+)
 def score_news_light(spark, d):
     out = sentiment.score_news_light(views.texts(spark, d), views.WORD_VALENCES)
     return out.select("doc_id", "ticker", "date", *SCORE_COLUMNS.split(", "), "sentiment_category")
@@ -676,14 +697,21 @@ def entity_type_counts(spark, d):
     return entities.entity_type_counts(extract_entities(spark, d))
 
 
-@query("entities_by_model")
+@query(
+    "entities_by_model",
+    sql(
+        """select ticker, count(*) as entities from (
+             select distinct ticker, doc_id, unnest(regexp_extract_all(headline, '[A-Z][a-z]{2,}')) from news) group by 1""",
+        "news",
+    ),
+)
 def entities_by_model(spark, d):
     """Model mode with a small stand-in: capitalised words are taken for organisations."""
 
     def load():
         import re
 
-        word = re.compile(r"\b[A-Z][a-z]{2,}\b")
+        word = re.compile(r"[A-Z][a-z]{2,}")
         return lambda body: [(w, "ORG") for w in word.findall(body)]
 
     found = entities.extract_entities(views.texts(spark, d), load_model=load, keep=("ticker",))
@@ -2003,12 +2031,27 @@ def rows_per_page(spark, d):
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("html_rows")
+HEADING_SQL = """
+heads as (select page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1),
+                 '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' \t\n\r') as headline from pages)
+"""
+
+
+@query(
+    "html_rows",
+    sql("select page_id, cast(0 as int) as row_idx, headline from heads", extra=HEADING_SQL),
+)
 def html_rows(spark, d):
     return pages.extract_headings(views.pages(spark, d), "h1")
 
 
-@query("article_cards")
+@query(
+    "article_cards",
+    sql(
+        f"select page_id, cast(0 as int) as row_idx, date '{REF}' as date, '00:00' as time, headline from heads",
+        extra=HEADING_SQL,
+    ),
+)
 def article_cards(spark, d):
     """Page headings shown as article cards and read back."""
     heads = pages.extract_headings(views.pages(spark, d), "h1")
@@ -2155,7 +2198,14 @@ def burst_sessions(spark, d):
     return stamped(streams.burst_sessions(views.ticks(spark, d)), "session_start", "session_end")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    sql(
+        SESSIONS_BODY + " having max(ts) + interval 30 minute <= (select max(ts) - interval 1 hour from ticks)",
+        "ticks",
+        extra=SESSIONS_SQL,
+    ),
+)
 def stream_sessions(spark, d):
     """Append mode: bursts still open at the end of the input are not written."""
     out = streams.run_once(streams.burst_sessions_stream(tick_stream(spark, d)), scratch(spark, "sessions"))

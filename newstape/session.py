@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="newstape-")

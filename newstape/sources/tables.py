@@ -36,9 +36,9 @@ def read_bars(
 def spread_scan(scan: DataFrame) -> DataFrame:
     """Deal the rows of a small table out to all cores before heavy per-row work on texts.
 
-    A file of one row group is read by one task, however many cores wait. Only a scan that has fewer
+    A file of one row group is read by one task, however many cores wait. Only a scan with fewer
     splits than the session has cores is moved, that is at most cores * maxPartitionBytes of data; a
-    large table has splits enough and is left alone.
+    large table has splits enough and is left alone. Only the plan is looked at.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -53,6 +53,21 @@ def test_logistic_regression_finds_the_signal(tape):
     rows.unpersist()
 
 
+@pytest.mark.parametrize("balanced", [False, True])
+def test_logistic_regression_minimises_the_penalised_loss(tape, balanced):
+    """At the optimum of C * sum(loss) + |w|^2 / 2 the gradient vanishes."""
+    rows, features = modeling.prepare_data(*tape)
+    train = rows.where("role='train'").cache()
+    model = modeling.train_logistic_regression(train, features, c=2.0, balanced=balanced).stages[-1]
+    pdf = train.select(*features, "target").toPandas()
+    x, y, w = pdf[features].to_numpy(), pdf.target.to_numpy(), model.coefficients.toArray()
+    weight = len(y) / (2 * np.where(y == 1, y.sum(), (1 - y).sum())) if balanced else np.ones(len(y))
+    residual = weight * (1 / (1 + np.exp(-(x @ w + model.intercept))) - y)
+    gradient = 2.0 * x.T @ residual + w
+    assert np.abs(gradient).max() < 0.05 and abs(residual.sum()) < 0.05
+    train.unpersist()
+
+
 def test_trees_repeat_with_their_seed(tape):
     rows, features = modeling.prepare_data(*tape)
     rows = rows.cache()
