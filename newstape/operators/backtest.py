@@ -93,16 +93,10 @@ def calculate_returns(
     return compounded(rated, rates, capital, keys).drop(INDEX, COUNT)
 
 
-def performance_metrics(
-    returns: DataFrame,
-    capital: float = CAPITAL,
-    keys: str | Sequence[str] = "ticker",
-    order: str = "date",
-) -> DataFrame:
-    """One row per ticker: final value, total and annualized return, drawdown, Sharpe, win rate."""
+def _performance_sums(order: str) -> list[Column]:
     daily_free = (1.0 + RISK_FREE) ** (1.0 / TRADING_DAYS) - 1.0
     excess = F.col("strategy_returns") - F.lit(daily_free)
-    sums = returns.groupBy(*as_keys(keys)).agg(
+    return [
         F.max_by("strategy_cumulative", order).alias("final_value"),
         F.min("strategy_drawdown").alias("max_drawdown"),
         F.avg(excess).alias("_mean"),
@@ -110,21 +104,61 @@ def performance_metrics(
         F.count_if(F.col("strategy_returns") > 0).alias("_wins"),
         F.count_if(F.col("strategy_returns") < 0).alias("_losses"),
         F.count(F.lit(1)).alias("trading_days"),
-    )
+    ]
+
+
+def _performance_columns(capital: float) -> list[Column]:
     growth = F.col("final_value") / F.lit(capital)
-    return sums.select(
-        *as_keys(keys),
+    years_inverse = F.lit(float(TRADING_DAYS)) / F.col("trading_days")
+    sharpe = F.sqrt(F.lit(float(TRADING_DAYS))) * F.try_divide("_mean", "_std")
+    return [
         F.lit(float(capital)).alias("initial_capital"),
-        "final_value",
+        F.col("final_value"),
         (growth - 1).alias("total_return"),
-        F.when(growth >= 0, F.pow(growth, F.lit(float(TRADING_DAYS)) / F.col("trading_days")) - 1).alias(
-            "annualized_return"
-        ),
-        "max_drawdown",
-        (F.sqrt(F.lit(float(TRADING_DAYS))) * F.try_divide("_mean", "_std")).alias("sharpe_ratio"),
-        F.coalesce(F.try_divide(F.col("_wins"), F.col("_wins") + F.col("_losses")), F.lit(0.0)).alias("win_rate"),
-        "trading_days",
-    )
+        F.when(growth >= 0, F.pow(growth, years_inverse) - 1).alias("annualized_return"),
+        F.col("max_drawdown"),
+        sharpe.alias("sharpe_ratio"),
+        _ratio(F.col("_wins"), F.col("_wins") + F.col("_losses")).alias("win_rate"),
+        F.col("trading_days"),
+    ]
+
+
+def _ratio(x: Column, y: Column) -> Column:
+    return F.coalesce(F.try_divide(x, y), F.lit(0.0))
+
+
+def _confusion_sums(predicted: str, actual: str) -> list[Column]:
+    p, a = F.col(predicted), F.col(actual)
+    return [
+        F.count_if((p == 1) & (a == 1)).alias("true_positives"),
+        F.count_if((p == 1) & (a == 0)).alias("false_positives"),
+        F.count_if((p == 0) & (a == 0)).alias("true_negatives"),
+        F.count_if((p == 0) & (a == 1)).alias("false_negatives"),
+    ]
+
+
+def _confusion_columns() -> list[Column]:
+    cells = ("true_positives", "false_positives", "true_negatives", "false_negatives")
+    tp, fp, tn, fn = (F.col(c) for c in cells)
+    precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+    return [
+        *[F.col(c) for c in cells],
+        _ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"),
+        precision.alias("precision"),
+        recall.alias("recall"),
+        _ratio(2.0 * precision * recall, precision + recall).alias("f1_score"),
+    ]
+
+
+def performance_metrics(
+    returns: DataFrame,
+    capital: float = CAPITAL,
+    keys: str | Sequence[str] = "ticker",
+    order: str = "date",
+) -> DataFrame:
+    """One row per ticker: final value, total and annualized return, drawdown, Sharpe, win rate."""
+    keys = as_keys(keys)
+    return returns.groupBy(*keys).agg(*_performance_sums(order)).select(*keys, *_performance_columns(capital))
 
 
 def signal_confusion(
@@ -135,29 +169,8 @@ def signal_confusion(
 ) -> DataFrame:
     """Confusion counts of 0/1 columns, accuracy, precision, recall and F1 of class 1 (0 when
     undefined)."""
-    p, a = F.col(predicted), F.col(actual)
-    counts = df.groupBy(*as_keys(keys)).agg(
-        F.count_if((p == 1) & (a == 1)).alias("true_positives"),
-        F.count_if((p == 1) & (a == 0)).alias("false_positives"),
-        F.count_if((p == 0) & (a == 0)).alias("true_negatives"),
-        F.count_if((p == 0) & (a == 1)).alias("false_negatives"),
-    )
-    tp, fp, tn, fn = (
-        F.col(c) for c in ("true_positives", "false_positives", "true_negatives", "false_negatives")
-    )
-
-    def ratio(x: Column, y: Column) -> Column:
-        return F.coalesce(F.try_divide(x, y), F.lit(0.0))
-
-    rated = counts.withColumns(
-        {
-            "accuracy": ratio(tp + tn, tp + fp + tn + fn),
-            "precision": ratio(tp, tp + fp),
-            "recall": ratio(tp, tp + fn),
-        }
-    )
-    precision, recall = F.col("precision"), F.col("recall")
-    return rated.withColumn("f1_score", ratio(2.0 * precision * recall, precision + recall))
+    keys = as_keys(keys)
+    return df.groupBy(*keys).agg(*_confusion_sums(predicted, actual)).select(*keys, *_confusion_columns())
 
 
 def sentiment_returns(
@@ -187,10 +200,10 @@ def sentiment_returns(
 def report(
     returns: DataFrame, predicted: str, actual: str, capital: float = CAPITAL, keys: str | Sequence[str] = "ticker"
 ) -> DataFrame:
-    """Performance and signal quality side by side, one row per ticker."""
-    return performance_metrics(returns, capital, keys).join(
-        signal_confusion(returns, predicted, actual, keys), as_keys(keys)
-    )
+    """Performance and signal quality side by side, one row per ticker, from one aggregation."""
+    keys = as_keys(keys)
+    sums = returns.groupBy(*keys).agg(*_performance_sums("date"), *_confusion_sums(predicted, actual))
+    return sums.select(*keys, *_performance_columns(capital), *_confusion_columns())
 
 
 def backtest_sentiment_strategy(

@@ -2081,7 +2081,8 @@ def tick_stream(spark, d):
 
 
 def news_stream(spark, d):
-    raw = streams.stream_news(spark, d, DOCUMENTS_SCHEMA, name_filter="documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    raw = streams.stream_news(spark, d, DOCUMENTS_SCHEMA, name_filter="documents.parquet", spread=cores)
     ticker, day = views.news_columns(F.col("doc_id"))
     return raw.select(
         "doc_id",

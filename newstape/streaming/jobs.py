@@ -20,13 +20,17 @@ def stream_files(
     fmt: str = "parquet",
     files_per_trigger: int | None = None,
     name_filter: str | None = None,
+    spread: int | None = None,
 ) -> DataFrame:
+    """New files as rows. ``spread`` deals the rows of each micro-batch out to that many tasks, for
+    heavy work on few large files."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
-    return reader.load(path)
+    rows = reader.load(path)
+    return rows.repartition(spread) if spread else rows
 
 
 def stream_news(spark: SparkSession, path: str, schema: str = f"{NEWS}, ts timestamp", **kw) -> DataFrame:
