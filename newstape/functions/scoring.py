@@ -7,7 +7,6 @@ before, negation, capitals, "but", "least", exclamation and question marks.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,12 +23,8 @@ QUESTION = 0.18
 MANY_QUESTIONS = 0.96
 DAMPING = (1.0, 0.95, 0.9)
 
-
-class Lookup(NamedTuple):
-    """How a word finds its valence: ``has`` is the cheap membership test, ``value`` the valence."""
-
-    has: Callable[[Column], Column]
-    value: Callable[[Column], Column]
+# Valence of a word, NULL where the lexicon does not know it.
+Lookup = Callable[[Column], Column]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lookup_in(terms: dict[str, float]) -> Lookup:
-    """Valences from a word list held in the plan: hash-set membership, one set per valence."""
+    """Valences from a word list held in the plan: hash-set membership, then one set per valence."""
     by_valence: dict[float, list[str]] = {}
     for term, valence in terms.items():
         by_valence.setdefault(float(valence), []).append(term.lower())
@@ -48,16 +43,14 @@ def lookup_in(terms: dict[str, float]) -> Lookup:
         branches = F.lit(None).cast("double")
         for valence, group in by_valence.items():
             branches = F.when(word.isin(group), F.lit(valence)).otherwise(branches)
-        return branches
+        return F.when(word.isin(members), branches)
 
-    return Lookup(lambda word: word.isin(members), value)
+    return value
 
 
 def lookup_map(column: Column) -> Lookup:
     """Valences from a map column that holds the row's own lexicon hits."""
-    return Lookup(
-        lambda word: F.map_contains_key(column, word), lambda word: F.try_element_at(column, word)
-    )
+    return lambda word: F.try_element_at(column, word)
 
 
 def _boost(word: Column) -> Column:
@@ -78,14 +71,15 @@ def _at(words: Column, i: Column) -> Column:
 
 
 def _word_valence(
-    words: Column, lows: Column, i: Column, find: Lookup, some_caps: Column | None
+    words: Column, lows: Column, known: Column, i: Column, some_caps: Column | None
 ) -> Column:
     """Valence of the lexicon word at i after all rules that look at its neighbours.
 
-    ``some_caps`` is None where the text is known to be lower case.
+    ``known`` holds the plain valence of every word. ``some_caps`` is None where the text is known
+    to be lower case.
     """
     low = F.get(lows, i)
-    start = find.value(low)
+    start = F.get(known, i)
     if some_caps is not None:
         louder = _is_caps(F.get(words, i)) & some_caps
         start = start + F.when(louder, F.when(start > 0, CAPS).otherwise(-CAPS)).otherwise(0.0)
@@ -124,14 +118,14 @@ def _word_valence(
             )
 
         def step(valence: Column) -> Column:
-            applies = (before >= 0) & ~find.has(word)
+            applies = (before >= 0) & F.get(known, before).isNull()
             return F.when(applies, let(strengthen(valence), negate)).otherwise(valence)
 
         return step
 
     def least(valence: Column) -> Column:
         near, mid = _at(lows, i - 1), _at(lows, i - 2)
-        turned = (near == "least") & ~find.has(near) & ~mid.isin("at", "very")
+        turned = (near == "least") & F.get(known, i - 1).isNull() & ~mid.isin("at", "very")
         return F.when(turned, valence * NEGATED).otherwise(valence)
 
     one, two, three = (look_back(d) for d in (1, 2, 3))
@@ -182,24 +176,25 @@ def score_expr(
         return let(F.transform(words, F.lower), lambda lows: scored(words, lows))
 
     def scored(words: Column, lows: Column) -> Column:
+        # The lexicon is looked at once per word; everything after reads the array of valences.
+        return let(F.transform(lows, find), lambda known: with_valences(words, lows, known))
+
+    def with_valences(words: Column, lows: Column, known: Column) -> Column:
         n = F.size(words)
         places = F.sequence(F.lit(0), n - 1)
 
         def pair(i: Column) -> Column:
-            return F.concat_ws(" ", F.get(lows, i), F.get(lows, i + 1))
+            return phrases(F.concat_ws(" ", F.get(lows, i), F.get(lows, i + 1)))
 
         def is_hit(i: Column) -> Column:
-            hit = find.has(F.get(lows, i))
-            return hit | phrases.has(pair(i)) if phrases is not None else hit
+            hit = F.get(known, i).isNotNull()
+            return hit | pair(i).isNotNull() if phrases is not None else hit
 
         def values(some_caps: Column | None, but: Column | None) -> Column:
             def value(i: Column) -> Column:
-                if rules:
-                    plain = _word_valence(words, lows, i, find, some_caps)
-                else:
-                    plain = find.value(F.get(lows, i))
+                plain = _word_valence(words, lows, known, i, some_caps) if rules else F.get(known, i)
                 if phrases is not None:
-                    plain = F.coalesce(phrases.value(pair(i)), plain)
+                    plain = F.coalesce(pair(i), plain)
                 if but is None:
                     return plain
                 weight = F.when(but < 0, 1.0).when(i < but, 0.5).when(i > but, 1.5).otherwise(1.0)

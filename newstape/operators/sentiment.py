@@ -10,8 +10,8 @@ from newstape.functions.scoring import Lookup, lookup_in, lookup_map, score_expr
 from newstape.functions.text import clean_text, clean_text_light, plain_words, sentiment_category, words_of
 from newstape.schema import ENTITY_TEXT_COLUMNS, TEXT_COLUMNS, pick_column
 
-# A word list kept inside the plan stays this small; larger ones are joined (lexicon_score_join).
-MAX_INLINE_TERMS = 20000
+# A word list kept inside the plan stays this small; larger ones are joined.
+MAX_INLINE_TERMS = 10000
 
 
 def _spread(df: DataFrame, scores: Column) -> DataFrame:
@@ -76,6 +76,25 @@ def lexicon_score_join(
     return _spread(joined, score_expr(F.col(text), lookup_map(F.col("_hits")), rules, empty_neutral)).drop("_hits")
 
 
+def lexicon_score_table(
+    df: DataFrame,
+    lexicon: DataFrame,
+    key: str,
+    text: str = "cleaned_text",
+    rules: bool = True,
+    empty_neutral: float = 0.0,
+    largest_inline: int = MAX_INLINE_TERMS,
+) -> DataFrame:
+    """Scores with a lexicon table: inside the plan if it is proven small, by a join otherwise.
+
+    At most ``largest_inline`` + 1 terms are read to find out.
+    """
+    rows = lexicon.select("term", "valence").limit(largest_inline + 1).collect()
+    if len(rows) > largest_inline:
+        return lexicon_score_join(df, lexicon, key, text, rules, empty_neutral)
+    return lexicon_score(df, {r.term: r.valence for r in rows}, text, rules, empty_neutral)
+
+
 def score_news(
     df: DataFrame,
     lexicon: dict[str, float] | None = None,

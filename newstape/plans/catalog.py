@@ -525,6 +525,15 @@ def lexicon_unigram(spark, d):
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
+@query("lexicon_table", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
+def lexicon_table(spark, d):
+    cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
+    out = sentiment.lexicon_score_table(
+        cleaned, views.lexicon(spark), "doc_id", rules=False, empty_neutral=1.0
+    )
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
 @query("lexicon_table_join", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
 def lexicon_table_join(spark, d):
     cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))

@@ -134,6 +134,14 @@ def test_join_path_equals_inline(spark):
     a = sentiment.lexicon_score(df, FINANCE_TERMS).orderBy("doc_id").collect()
     b = sentiment.lexicon_score_join(df, lexicon_table(spark), "doc_id").orderBy("doc_id").collect()
     assert a == b
+    for largest in (10, 10000):
+        c = sentiment.lexicon_score_table(df, lexicon_table(spark), "doc_id", largest_inline=largest)
+        assert a == c.select(*a[0].asDict()).orderBy("doc_id").collect()
+
+
+def test_large_inline_lexicon(spark):
+    lexicon = {f"w{i}": (i % 80 - 40) / 10 for i in range(8000)} | {"good": 1.9}
+    assert scores(spark, ["not good w41"], lexicon)[0][0] == pytest.approx(compound(1.9 * -0.74 + 0.1 * -0.74), abs=1e-4)
 
 
 def test_lexicon_layers(spark):
