@@ -1979,8 +1979,10 @@ def recent_sentiment(spark, d):
 @query(
     "summary_card",
     sql(
-        f"""select ticker, 'Feb 01, 1995 - Jun 30, 1996' as date_range, printf('%.4f', round(a, 4)) as avg_sentiment,
-                   sentiment_class, rows_in_range from card""",
+        """select ticker, 'Feb 01, 1995 - Jun 30, 1996' as date_range,
+                  case when a is null then 'N/A' else printf('%.4f', round(a, 4)) end as avg_sentiment,
+                  coalesce(sentiment_class, 'neutral') as sentiment_class, coalesce(rows_in_range, 0) as rows_in_range
+           from (select distinct ticker from daily) left join card using (ticker)""",
         "daily",
         extra=AVG_SQL,
     ),

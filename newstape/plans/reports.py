@@ -56,9 +56,13 @@ def recent_sentiment(daily: DataFrame, n: int = 10, start: Date = None, end: Dat
 def summary_card(
     daily: DataFrame, bars: DataFrame, ref: dt.date, start: Date = None, end: Date = None
 ) -> DataFrame:
-    """Range text, mean score and its class per ticker. A missing bound comes from the bars."""
+    """Range text, mean score and its class per ticker. A missing bound comes from the bars; a ticker
+    without rows in the range shows ``N/A``."""
     in_range = in_date_range("date", start, end) if start or end else None
-    card = avg_sentiment(daily, in_range)
+    known = daily.select("ticker").distinct()
+    card = known.join(avg_sentiment(daily, in_range), "ticker", "left").na.fill(
+        {"sentiment_class": "neutral", "rows_in_range": 0}
+    )
     extent = date_extent(bars, ref).select(
         (F.lit(start).cast("date") if start else F.col("min_date")).alias("_from"),
         (F.lit(end).cast("date") if end else F.col("max_date")).alias("_to"),

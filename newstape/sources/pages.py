@@ -88,8 +88,9 @@ class _Headings(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.heading, self.cards = heading, cards
         self.open: list[tuple[str, frozenset]] = []
-        self.found: list[str] = []
+        self.found: list[tuple[int, str]] = []  # (number of the heading or card, text)
         self.text: str | None = None
+        self.place = -1
         self.done = False  # headline of the current card is taken
 
     def _inside(self, css: str) -> bool:
@@ -102,15 +103,17 @@ class _Headings(HTMLParser):
         if not self.cards:
             if tag == self.heading:
                 self.text = ""
-        elif tag == "div" and CARD in classes:
+                self.place += 1
+        elif tag == "div" and CARD in classes and self._inside(CARD_SECTION):
             self.done = False
+            self.place += 1
         elif tag == "a" and not self.done and self.text is None:
             if self._inside(CARD_SECTION) and self._inside(CARD) and self._inside(CARD_HEADLINE):
                 self.text = ""
 
     def handle_endtag(self, tag: str) -> None:
         if self.text is not None and tag == ("a" if self.cards else self.heading):
-            self.found.append(self.text.strip())
+            self.found.append((self.place, self.text.strip()))
             self.text, self.done = None, True
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
@@ -169,19 +172,20 @@ def extract_headings(pages: DataFrame, heading: str = "h1") -> DataFrame:
         parser = _Headings(heading, cards=False)
         parser.feed(html)
         parser.close()
-        return [(page_id, i, text) for i, text in enumerate(parser.found)]
+        return [(page_id, i, text) for i, text in parser.found]
 
     return _per_page(pages, parse, CARD_SHAPE, CARD_COLUMNS)
 
 
 def extract_article_cards(pages: DataFrame, fetched: Column | dt.date) -> DataFrame:
-    """Headlines of article cards. Cards carry no usable date: the fetch date, time ``00:00``."""
+    """Headlines of article cards; ``row_idx`` counts cards, also those without a headline. Cards
+    carry no usable date: the fetch date, time ``00:00``."""
 
     def parse(page_id: int, html: str) -> list[tuple]:
         parser = _Headings("h3", cards=True)
         parser.feed(html)
         parser.close()
-        return [(page_id, i, text) for i, text in enumerate(parser.found)]
+        return [(page_id, i, text) for i, text in parser.found]
 
     day = fetched if isinstance(fetched, Column) else F.lit(fetched)
     cards = _per_page(pages, parse, CARD_SHAPE, CARD_COLUMNS)
@@ -189,7 +193,7 @@ def extract_article_cards(pages: DataFrame, fetched: Column | dt.date) -> DataFr
 
 
 def limit_rows_per_page(rows: DataFrame, n: int) -> DataFrame:
-    """Rows among the first n table rows of their page; rows without a link count."""
+    """Rows among the first n table rows (or cards) of their page; rows without a link count."""
     return rows.where(F.col("row_idx") < n)
 
 

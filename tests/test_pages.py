@@ -60,6 +60,9 @@ def test_page_dialect(site):
 
 def test_cards_and_headings(site):
     assert found(pages.extract_article_cards(site, REF)) == [(REF, "00:00", "One A"), (REF, "00:00", "Two")]
+    cards = pages.extract_article_cards(site, REF)
+    assert [r.row_idx for r in cards.orderBy("row_idx").collect()] == [0, 3]
+    assert found(pages.limit_rows_per_page(cards, 3)) == [(REF, "00:00", "One A")]
     heads = pages.extract_headings(site.where(F.col("page_id") == 4))
     assert [r.headline for r in heads.orderBy("row_idx").collect()] == ["Head", "two"]
 
