@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +19,20 @@ class Network(NamedTuple):
     status: DataFrame
 
 
-def entity_counts(entities: DataFrame, order: Sequence[str] = ("row_id", "entity_type")) -> DataFrame:
-    """Rows per entity with the type of its first row."""
-    first = F.min(F.struct(*order, F.col("entity_type").alias("_type")))
-    return (
+def entity_counts(entities: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Rows per entity with the type of its first row (smallest type among rows of one id).
+
+    Rows are counted per (entity, type) first, with plain numbers in the hash table.
+    """
+    per_type = (
         entities.where(F.col("entity").isNotNull())
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("size"), first.alias("_first"))
-        .select("entity", "size", F.col("_first._type").alias("entity_type"), F.col("_first").alias("first_seen"))
+        .groupBy("entity", "entity_type")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias("_at"))
+    )
+    return (
+        per_type.groupBy("entity")
+        .agg(F.sum("_n").alias("size"), F.min(F.struct("_at", "entity_type")).alias("first_seen"))
+        .select("entity", "size", F.col("first_seen.entity_type").alias("entity_type"), "first_seen")
     )
 
 
@@ -135,14 +140,14 @@ def entity_network(
     text: str = "doc",
     top: int = 50,
     strict_top_n: bool = False,
-    order: Sequence[str] = ("row_id", "entity_type"),
+    row_id: str = "row_id",
 ) -> Network:
     """Nodes, edges and a status row.
 
     With fewer than two qualifying entities both tables are empty. ``strict_top_n`` keeps only edges
     between listed nodes; otherwise their other ends join the nodes with size 1.
     """
-    counts = entity_counts(entities, order)
+    counts = entity_counts(entities, row_id)
     status = network_status(counts, min_occurrences)
     enough = F.broadcast(status.where(F.col("status") == "ok").select(F.lit(1).alias("_one")))
 

@@ -266,7 +266,9 @@ def avg_sentiment(df: DataFrame, in_range: Column | None = None, keys: Sequence[
 
 def value_counts(df: DataFrame, column: str, row_id: str | Sequence[str]) -> DataFrame:
     """Rows per value in descending order; equal counts go by first appearance."""
+    ids = as_keys(row_id)
+    place = F.col(ids[0]) if len(ids) == 1 else F.struct(*ids)
     counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min(F.struct(*as_keys(row_id))).alias("_first")
+        F.count(F.lit(1)).alias("occurrences"), F.min(place).alias("_first")
     )
     return counted.orderBy(F.desc("occurrences"), F.asc("_first")).drop("_first")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newstape.functions.lexicon import FINANCE_TERMS, STOP_WORDS
 from newstape.functions.scoring import Lookup, lookup_in, lookup_map, score_expr
@@ -132,18 +133,26 @@ def category_summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def _place(df: DataFrame, key: str) -> Column:
+    """Order of a word in the corpus: row key, then position. Packed into one number for number
+    keys, so that the aggregation keeps it in its hash table; a struct would make it sort."""
+    if isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        step = F.lit(2**31).cast("decimal(10,0)")  # more than any array position
+        return F.col(key).cast("decimal(20,0)") * step + F.col("_pos")
+    return F.struct(key, "_pos")
+
+
 def word_counts(df: DataFrame, key: str, text: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Count and first place of every topic word: three or more of a-z, not a stop word.
 
-    The first place is (row key, position). Words are summed up inside each row before the shuffle
-    and partially aggregated per task, so a frequent word is no hot key.
+    Counts are partially aggregated per task, so a frequent word is no hot key.
     """
     by = by or []
     column = pick_column(df, ENTITY_TEXT_COLUMNS, text)
     words = df.select(*by, key, F.posexplode(plain_words(column)).alias("_pos", "word"))
     topical = words.where(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(STOP_WORDS))
     return topical.groupBy(*by, "word").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min(F.struct(key, "_pos")).alias("first_seen")
+        F.count(F.lit(1)).alias("occurrences"), F.min(_place(df, key)).alias("first_seen")
     )
 
 

@@ -1380,7 +1380,7 @@ def avg_sentiment(spark, d):
     sql("select entity, count(*) as occurrences from entities group by 1", "entities"),
 )
 def value_counts(spark, d):
-    return profile.value_counts(views.entities(spark, d), "entity", ["row_id", "entity_type"])
+    return profile.value_counts(views.entities(spark, d), "entity", "row_id")
 
 
 # --- order, duplicates, splits --------------------------------------------------------------------
