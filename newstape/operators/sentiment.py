@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newstape.functions.lexicon import FINANCE_TERMS, STOP_WORDS
-from newstape.functions.scoring import Lookup, lookup_in, lookup_map, score_expr
+from newstape.functions.scoring import lookup_in, lookup_map, score_expr
 from newstape.functions.text import clean_text, clean_text_light, plain_words, sentiment_category, words_of
 from newstape.schema import ENTITY_TEXT_COLUMNS, TEXT_COLUMNS, pick_column
 
@@ -31,10 +33,22 @@ def _spread(df: DataFrame, scores: Column) -> DataFrame:
     )
 
 
-def _inline(lexicon: dict[str, float]) -> Lookup:
-    if len(lexicon) > MAX_INLINE_TERMS:
-        raise ValueError("lexicon too large for the plan: use lexicon_score_join")
-    return lookup_in(lexicon)
+@lru_cache(maxsize=32)
+def _inline_scores(
+    text: str,
+    terms: tuple[tuple[str, float], ...],
+    rules: bool,
+    empty_neutral: float,
+    match_phrases: bool,
+    lower_case: bool,
+) -> Column:
+    """The scoring expression. It is a plain tree over a column name, so it is built once per word
+    list: that takes some hundred calls into the JVM."""
+    if len(terms) > MAX_INLINE_TERMS:
+        raise ValueError("lexicon too large for the plan: use lexicon_score_table")
+    pairs = {t: v for t, v in terms if " " in t} if match_phrases else {}
+    phrases = lookup_in(pairs) if pairs else None
+    return score_expr(F.col(text), lookup_in(dict(terms)), rules, empty_neutral, phrases, lower_case)
 
 
 def lexicon_score(
@@ -47,10 +61,8 @@ def lexicon_score(
     lower_case: bool = False,
 ) -> DataFrame:
     """Score a cleaned text column with a word list. No shuffle, no Python, safe in streams."""
-    find = _inline(lexicon)
-    pairs = {t: v for t, v in lexicon.items() if " " in t} if match_phrases else {}
-    phrases = lookup_in(pairs) if pairs else None
-    return _spread(df, score_expr(F.col(text), find, rules, empty_neutral, phrases, lower_case))
+    terms = tuple(lexicon.items())
+    return _spread(df, _inline_scores(text, terms, rules, empty_neutral, match_phrases, lower_case))
 
 
 def lexicon_score_join(

@@ -1057,6 +1057,20 @@ def join_sentiment(spark, d):
     return rounded(joined(spark, d).select("ticker", "date", "close", "sentiment_score", "headline_count"), close=2)
 
 
+@query(
+    "bars_news_counts",
+    sql(
+        """select ticker, date, close, coalesce(n, 0) as headline_count
+           from bars left join (select ticker, date, count(*) as n from news group by 1, 2) using (ticker, date)""",
+        "bars",
+        "news",
+    ),
+)
+def bars_news_counts(spark, d):
+    counts = views.news(spark, d).groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("headline_count"))
+    return joins.join_sentiment(views.bars(spark, d).select("ticker", "date", "close"), counts)
+
+
 @query(
     "semi_range",
     sql(

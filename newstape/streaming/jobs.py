@@ -49,10 +49,26 @@ def stream_scores(
 
 
 def stream_dedup(
-    news: DataFrame, keys: Sequence[str] = ("ticker", "headline"), delay: str = "1 day", ts: str = "ts"
+    news: DataFrame,
+    keys: Sequence[str] = ("ticker", "headline"),
+    delay: str = "1 day",
+    ts: str = "ts",
+    salts: int = 32,
 ) -> DataFrame:
-    """One row per key within the watermark delay; state is dropped behind it."""
-    return news.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    """One row per key within the watermark delay; state is dropped behind it.
+
+    Deduplication shuffles every row, so a headline with very many copies would meet in one task.
+    With ``salts`` > 1 copies are first removed per (key, slot of the input task), which spreads them
+    over that many tasks; what is left is at most ``salts`` rows per key.
+    """
+    marked = news.withWatermark(ts, delay)
+    if salts > 1:
+        marked = (
+            marked.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
+            .dropDuplicatesWithinWatermark([*keys, "_salt"])
+            .drop("_salt")
+        )
+    return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
 def stream_daily_sentiment(

@@ -100,8 +100,10 @@ def test_daily_sentiment_late_rows_and_dedup(spark, tmp_path):
     got = {(r.ticker, r.date.day): r.headline_count for r in out.collect()}
     # the row nine days behind the newest one is past the watermark and left out
     assert got == {("A", 1): 3, ("B", 1): 1, ("A", 2): 1, ("B", 10): 2}
-    unique = jobs.run_once(jobs.stream_dedup(news()), str(tmp_path / "u"))
-    heads = sorted((r.ticker, r.headline) for r in unique.collect())
+    for salts in (1, 3):
+        unique = jobs.run_once(jobs.stream_dedup(news(), salts=salts), str(tmp_path / f"u{salts}"))
+        heads = sorted((r.ticker, r.headline) for r in unique.collect())
+        assert heads == [("A", "loss"), ("A", "profit"), ("A", "profit gains"), ("B", "gain"), ("B", "loss")]
     assert heads == [("A", "loss"), ("A", "profit"), ("A", "profit gains"), ("B", "gain"), ("B", "loss")]
     bars = spark.createDataFrame([("A", dt.date(2024, 1, 1), 5.0)], "ticker string, date date, close double")
     joined = jobs.run_once(
