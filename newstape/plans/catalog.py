@@ -2056,9 +2056,12 @@ def rows_per_page(spark, d):
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# HTML lets these four references end without a semicolon.
 HEADING_SQL = """
-heads as (select page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1),
-                 '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' \t\n\r') as headline from pages)
+h1 as (select page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) as h from pages),
+named as (select page_id, regexp_replace(regexp_replace(regexp_replace(h, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+                 '&quot;?', '"', 'g') as h from h1),
+heads as (select page_id, trim(regexp_replace(h, '&amp;?', '&', 'g'), ' \t\n\r') as headline from named)
 """
 
 
