@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from newstape.llm import lm_scoring
+from newstape.llm import bpe, lm_scoring, quality, simhash, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_quality": quality.op3_quality,
+    "op6_simhash": simhash.op6_simhash,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
     "op1_lm_score": lm_scoring.OP1_SQL,
+    "op2_url_filter": url_filter.OP2_SQL,
 }
