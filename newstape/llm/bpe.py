@@ -193,7 +193,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
 
     A null text is an empty one: no ids. All rows and other columns stay; a column that is called ``ids`` is replaced.
     """
-    vocab = documents.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    vocab = documents.sparkSession.sparkContext.broadcast(tuple(load_vocabulary(path)))
     kept = [c for c in documents.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
             strings = strings_of(batch.column(text))
             sizes = pc.binary_length(strings).to_numpy(zero_copy_only=False)
             for part in _parts(batch, sizes):
-                flat, lengths = encode_texts(strings_of(part.column(text)), vocab.value)
+                flat, lengths = encode_texts(strings_of(part.column(text)), Vocabulary(*vocab.value))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.select(kept).columns, arrays], [*kept, ids])
@@ -215,11 +215,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
 
     A null array is an empty one. Ids outside the vocabulary have no text.
     """
-    vocab = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    vocab = encoded.sparkSession.sparkContext.broadcast(tuple(load_vocabulary(path)))
     kept = [c for c in encoded.columns if c != decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, sizes = vocab.value.offsets[:-1], np.diff(vocab.value.offsets)
+        own = Vocabulary(*vocab.value)
+        starts, sizes = own.offsets[:-1], np.diff(own.offsets)
         for batch in batches:
             lists = batch.column(ids)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -230,7 +231,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
                 known = (flat >= 0) & (flat < len(sizes))
                 flat = np.where(known, flat, 0)
                 size = np.where(known, sizes[flat], 0)
-                data = vocab.value.data[ragged(starts[flat], size)]
+                data = own.data[ragged(starts[flat], size)]
                 ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
                 raw = pa.Array.from_buffers(
                     pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]
