@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = r"\p{White_Space}"
 SPACES = "[\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Text bytes that are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 _words = regex.compile(PATTERN.replace(r"\s", SPACE).replace(r"\S", r"\P{White_Space}"))
 _units = regex.compile(rf"{SPACE}*\P{{White_Space}}+|{SPACE}+")
@@ -80,7 +80,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[0], starts[0] + 1, ... of pieces, one piece after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+    out = np.repeat((starts - (ends - lengths)).astype(np.int32 if total < 1 << 31 else np.int64), lengths)
+    out += np.arange(total, dtype=out.dtype)
+    return out
 
 
 def merge_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ def _unit_ids(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
     for w in {units[i] for i in special}:
         starts[words[w]], lengths[words[w]] = len(ids), 1
         ids = np.append(ids, vocab.special[w])
-    flat = ids[ragged(starts[code], lengths[code])]
+    flat = ids.astype(np.int32)[ragged(starts[code], lengths[code])]
     ends = np.concatenate([[0], np.cumsum(lengths[code])])[np.concatenate([[0], np.cumsum(count)])]
     return flat, ends[:-1], np.diff(ends)
 
@@ -203,7 +205,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
             for part in _parts(batch, sizes):
                 flat, lengths = encode_texts(strings_of(part.column(text)), Vocabulary(*vocab.value))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
                 yield pa.RecordBatch.from_arrays([*part.select(kept).columns, arrays], [*kept, ids])
 
     schema = documents.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
