@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,16 @@ def strings_of(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def slices(batch: pa.RecordBatch, column: int | str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``limit`` bytes of a text column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = np.cumsum(sizes) // limit
+    bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space, A-Z in lower case: their places in the distinct words, how many each
     text has, and the distinct words (binary)."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newstape.llm.common import mix, strings_of, words_of
+from newstape.llm.common import mix, slices, strings_of, words_of
 from newstape.session import cut_lineage
 
 GRAM_WORDS, WINDOW = 3, 4
@@ -86,15 +86,10 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"item_id": batch.column(0), "item": pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))})
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
-
-
 def _gram_counts(n: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, 0):
                 gram, text, _ = grams_of(*plain_words(strings_of(part.column(0))), n)
                 hit = _in_table(gram, table.value)
                 pairs = np.unique(np.stack([gram[hit], text[hit].astype(np.uint64)], 1), axis=0)
@@ -125,7 +120,7 @@ def _segments(n: int, reach: int, table):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, 1):
                 words, counts = plain_words(strings_of(part.column(1)))
                 gram, text, place = grams_of(words, counts, n)
                 hit = _in_table(gram, table.value)
@@ -199,7 +194,8 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
 
 def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _parts(batch, 1000):
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
             lists = {c: [np.array(x, np.int64) for x in part.column(c).to_pylist()] for c in ("item", "words")}
             score, begin, end = align(lists["item"], lists["words"])
             whole = np.array([MATCH * max(len(i), 1) for i in lists["item"]], float)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newstape.llm.common import (
-    block_of, bucket_bounds, hashes_of, mix, pack, pack_sorted, strings_of, text_bytes, unpack, unpack_sorted, words_of,
+    block_of, bucket_bounds, hashes_of, mix, pack, pack_sorted, slices, strings_of, text_bytes, unpack, unpack_sorted, words_of,
 )
 
 #: Texts of a block, in bytes; a block is what one group of a task holds.
@@ -235,12 +235,13 @@ def _scores(order: int, model: Model):
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash and count of the distinct words of each batch, ends included."""
     for batch in batches:
-        codes, counts, words = words_of(strings_of(batch.column(0)))
-        n = np.append(np.bincount(codes, minlength=len(words)), len(counts))
-        hashes = np.append(hashes_of(words), np.uint64(xxhash.xxh64_intdigest(END))).view(np.int64)
-        for lo in range(0, len(hashes), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            yield pa.record_batch({"word": pa.array(hashes[part]), "n": pa.array(n[part], pa.int64())})
+        for part in slices(batch, 0, BLOCK_BYTES):
+            codes, counts, words = words_of(strings_of(part.column(0)))
+            n = np.append(np.bincount(codes, minlength=len(words)), len(counts))
+            hashes = np.append(hashes_of(words), np.uint64(xxhash.xxh64_intdigest(END))).view(np.int64)
+            for lo in range(0, len(hashes), 1 << 16):
+                some = slice(lo, lo + (1 << 16))
+                yield pa.record_batch({"word": pa.array(hashes[some]), "n": pa.array(n[some], pa.int64())})
 
 
 def training_totals(training: DataFrame, text: str = "text") -> tuple[int, int]:

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.llm.common import strings_of, words_of
+from newstape.llm.common import slices, strings_of, words_of
 from newstape.session import cut_lineage
 
 #: Labelled training documents that a fit uses at most, about; they are chosen by a hash of the id.
@@ -91,8 +91,7 @@ def features_of(texts: pa.Array) -> np.ndarray:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
+        for part in slices(batch, 1):
             found = features_of(strings_of(part.column(1)))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "features"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.llm.common import strings_of
+from newstape.llm.common import slices, strings_of
 from newstape.llm.components import components
 from newstape.session import cut_lineage
 
@@ -59,8 +59,9 @@ def fingerprints(texts: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED)
 def _fingerprint_batches(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints(strings_of(batch.column(1)), words, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            for part in slices(batch, 1):
+                found = fingerprints(strings_of(part.column(1)), words, seed)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     return run
 
