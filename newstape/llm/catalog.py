@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from newstape.llm import bpe, lm_scoring, quality, simhash, url_filter
+from newstape.llm import ann, bpe, decontaminate, lm_scoring, packing, quality, simhash, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality": quality.op3_quality,
+    "op4_nearest": ann.op4_nearest,
+    "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
+    "op7_pack": packing.op7_pack,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
     "op1_lm_score": lm_scoring.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
+    "op5_warc": warc.OP5_SQL,
 }

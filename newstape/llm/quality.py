@@ -178,6 +178,20 @@ def score_documents(documents: DataFrame, ranking: Ranking) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(documents: DataFrame, ranking: Ranking) -> DataFrame:
+    """The rows of ``documents`` that score at least 0.5, with all their columns; repeated rows stay."""
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                strength = features_of(strings_of(part.column("text"))) @ np.array(ranking.weights)
+                kept = pa.array(1 / (1 + np.exp((ranking.threshold - strength) / ranking.scale)) >= 0.5)
+                yield pa.RecordBatch.from_arrays([c.filter(kept) for c in part.columns], names)
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and class of every document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

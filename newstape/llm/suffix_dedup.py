@@ -409,7 +409,8 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         "doc_id", "text", block_of("doc_id", "text", blocks).alias("block"), F.xxhash64("text").alias("text_key"),
         F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"),
     )
-    digests = dealt.select("block", "id", "text_key", F.sha2("text", 256).alias("digest"))
+    own = [F.col(c).alias(c) for c in ("block", "id", "text_key")]
+    digests = dealt.select(*own, F.sha2("text", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = digests.join(firsts, "digest").where("id > first")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "int"), ("data", "binary"))]
@@ -426,6 +427,36 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return by_block.cogroup(shared.unionByName(held).groupBy("block")).applyInArrow(results, result_schema)
 
 
+def _trim(column: str, size: str | None):
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            kept = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            found = dict(zip(names, batch.columns)) | {column: pa.array(kept, pa.string())}
+            if size:
+                found[size] = pa.array([len(t) for t in kept], pa.int64())
+            del found["kept"]
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+
+    return run
+
+
+def trimmed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``documents`` with the remaining text in ``text`` and its characters in ``n_chars``, if there is that column.
+
+    What is left of a cut character goes. Documents that lose their whole text go; empty ones stay. Rows whose text
+    loses nothing stay as they are; repeated rows stay as often as they lose nothing.
+    """
+    found = dedup(documents, length).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"])
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept", (F.col("n_removed") == F.col("n_bytes")).alias("_none"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    joined = documents.join(found, same, "left").where("_none is null or not _none").drop("_id", "_key", "_none")
+    cut = joined.where("kept is not null")
+    rest = joined.where("kept is null").drop("kept")
+    size = "n_chars" if "n_chars" in documents.columns else None
+    return rest.unionByName(cut.mapInArrow(_trim("text", size), documents.schema))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to documents with smaller ids."""
     found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
