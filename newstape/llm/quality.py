@@ -139,16 +139,19 @@ def preference_pairs(labelled: DataFrame, opponents: int = OPPONENTS) -> DataFra
     return met.select(difference.alias("difference"), F.when(turned, 0.0).otherwise(1.0).alias("label"))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, opponents: int = OPPONENTS) -> Ranking:
-    """Learns from (doc_id, features, quality) with labels 0 and 1; other labels and nulls are left out.
+def bounded_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, quality) of about ``fit_rows`` labelled documents at most, chosen by a hash of the id.
 
-    Of more than ``fit_rows`` rows a sample of that size, by a hash of the id, is used.
+    Labels other than 0 and 1, and rows without an id, are left out; of several labels of a document the largest counts.
     """
-    labelled = labelled.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    total = labelled.count()
-    share = min(1.0, fit_rows / max(total, 1))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = cut_lineage(labelled.where(chosen))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    share = min(1.0, fit_rows / max(known.count(), 1))
+    return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def fit(sample: DataFrame, opponents: int = OPPONENTS) -> Ranking:
+    """Learns from (doc_id, features, quality) with labels 0 and 1, a sample of bounded size."""
     pairs = preference_pairs(sample, opponents).select(array_to_vector("difference").alias("features"), "label")
     model = LogisticRegression(fitIntercept=False, standardization=True, regParam=1e-4, maxIter=60).fit(cut_lineage(pairs))
     weights = [float(w) for w in model.coefficients]
@@ -164,12 +167,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def learn(documents: DataFrame, labels: DataFrame, **options) -> Ranking:
-    """A ranking from the labelled documents that are not held out."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.where(~held_out())
-    texts = documents.select("doc_id", "text").join(known, "doc_id", "left_semi")
-    return fit(with_features(texts).join(known, "doc_id"), **options)
+def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, opponents: int = OPPONENTS) -> Ranking:
+    """A ranking from a bounded sample of the labelled documents that are not held out.
+
+    The sample's ids go to the documents (a broadcast of about ``fit_rows`` rows at most), so no text is shuffled.
+    """
+    sample = F.broadcast(cut_lineage(bounded_sample(labels.where(~held_out()), fit_rows)))
+    texts = documents.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
+    return fit(cut_lineage(with_features(texts).join(sample, "doc_id")), opponents)
 
 
 def score_documents(documents: DataFrame, ranking: Ranking) -> DataFrame:
