@@ -61,6 +61,14 @@ def hashes_of(words: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not taken yet."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newstape.llm.common import mix, slices, strings_of, words_of
+from newstape.llm.common import fresh, mix, slices, strings_of, words_of
 from newstape.session import cut_lineage
 
 GRAM_WORDS, WINDOW = 3, 4
@@ -244,8 +244,10 @@ def contaminated(
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item."""
-    found = contaminated(documents, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    own, key = fresh("_id", documents.columns), fresh("_key", documents.columns)
+    found = contaminated(documents, benchmark, **options)
+    found = found.select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key))
     return documents.join(found, same, "left_anti")
 
 

@@ -99,7 +99,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def with_features(documents: DataFrame) -> DataFrame:
     """(doc_id, features) of each row; null texts count as empty."""
-    return documents.select("doc_id", "text").mapInArrow(_feature_batches, "doc_id long, features array<double>")
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    return docs.mapInArrow(_feature_batches, "doc_id long, features array<double>")
 
 
 class Ranking(NamedTuple):
@@ -123,9 +124,7 @@ def preference_pairs(labelled: DataFrame, opponents: int = OPPONENTS) -> DataFra
     """
     counts = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
     good, bad = counts.get(1, 0), counts.get(0, 0)
-    if not good or not bad:
-        raise ValueError("a ranking needs labelled documents of both kinds")
-    slots = max(good, bad)
+    slots = max(good, bad, 1)
     dealt = labelled.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(opponents))))
     dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("doc_id", "round"), F.lit(slots)))
     side = {
@@ -151,9 +150,16 @@ def bounded_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
 
 def fit(sample: DataFrame, opponents: int = OPPONENTS) -> Ranking:
-    """Learns from (doc_id, features, quality) with labels 0 and 1, a sample of bounded size."""
-    pairs = preference_pairs(sample, opponents).select(array_to_vector("difference").alias("features"), "label")
-    model = LogisticRegression(fitIntercept=False, standardization=True, regParam=1e-4, maxIter=60).fit(cut_lineage(pairs))
+    """Learns from (doc_id, features, quality) with labels 0 and 1, a sample of bounded size.
+
+    Without documents of both labels there is nothing to prefer: every document then scores one half.
+    """
+    if sample.select("quality").distinct().count() < 2:
+        return Ranking([0.0] * len(FEATURES), 0.0, 1.0)
+    pairs = cut_lineage(preference_pairs(sample, opponents)).select(array_to_vector("difference").alias("features"), "label")
+    if not pairs.take(1):
+        return Ranking([0.0] * len(FEATURES), 0.0, 1.0)
+    model = LogisticRegression(fitIntercept=False, standardization=True, regParam=1e-4, maxIter=60).fit(pairs)
     weights = [float(w) for w in model.coefficients]
     strength = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
     ranked = sample.select(strength.alias("s"), "quality")

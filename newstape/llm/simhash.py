@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.llm.common import slices, strings_of
+from newstape.llm.common import fresh, slices, strings_of
 from newstape.llm.components import components
 from newstape.session import cut_lineage
 
@@ -100,7 +100,8 @@ def near_duplicates(
     own included. Null and empty texts have fingerprint zero and are linked like any other. Rows without a doc_id
     are linked too but never name a component. Repeated rows stay.
     """
-    prints = cut_lineage(documents.select("doc_id", "text").mapInArrow(_fingerprint_batches(words, seed), "doc_id long, fp long"))
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    prints = cut_lineage(docs.mapInArrow(_fingerprint_batches(words, seed), "doc_id long, fp long"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = links(nodes, max_bits, segments_for(nodes.count(), max_bits))
     member = components(found).withColumnRenamed("node", "fp")
@@ -116,8 +117,9 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     Of rows that repeat a kept doc_id all stay.
     """
     found = near_duplicates(documents, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    name = fresh("_kept", documents.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

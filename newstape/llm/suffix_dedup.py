@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newstape.llm.bpe import ragged
-from newstape.llm.common import block_of, bucket_bounds, mix, pack, pack_sorted, text_bytes, texts_of, unpack, unpack_sorted
+from newstape.llm.common import block_of, bucket_bounds, fresh, mix, pack, pack_sorted, text_bytes, texts_of, unpack, unpack_sorted
 
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 8 << 20
@@ -427,15 +427,14 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return by_block.cogroup(shared.unionByName(held).groupBy("block")).applyInArrow(results, result_schema)
 
 
-def _trim(column: str, size: str | None):
+def _trim(column: str, size: str | None, kept: str):
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            kept = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            found = dict(zip(names, batch.columns)) | {column: pa.array(kept, pa.string())}
+            texts = [b.decode("utf-8", "ignore") for b in batch.column(kept).to_pylist()]
+            found = dict(zip(batch.schema.names, batch.columns)) | {column: pa.array(texts, pa.string())}
             if size:
-                found[size] = pa.array([len(t) for t in kept], pa.int64())
-            del found["kept"]
+                found[size] = pa.array([len(t) for t in texts], pa.int64())
+            del found[kept]
             yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     return run
@@ -445,16 +444,22 @@ def trimmed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``documents`` with the remaining text in ``text`` and its characters in ``n_chars``, if there is that column.
 
     What is left of a cut character goes. Documents that lose their whole text go; empty ones stay. Rows whose text
-    loses nothing stay as they are; repeated rows stay as often as they lose nothing.
+    loses nothing stay as they are, and so do all other columns. Rows with equal doc_id and text are one document.
     """
+    columns = documents.columns
+    own, key, none, kept = (fresh(n, columns) for n in ("_id", "_key", "_none", "_kept"))
     found = dedup(documents, length).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept", (F.col("n_removed") == F.col("n_bytes")).alias("_none"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    joined = documents.join(found, same, "left").where("_none is null or not _none").drop("_id", "_key", "_none")
-    cut = joined.where("kept is not null")
-    rest = joined.where("kept is null").drop("kept")
-    size = "n_chars" if "n_chars" in documents.columns else None
-    return rest.unionByName(cut.mapInArrow(_trim("text", size), documents.schema))
+    found = found.select(
+        F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept").alias(kept),
+        (F.col("n_removed") == F.col("n_bytes")).alias(none),
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
+    joined = documents.join(found, same, "left").where(~F.coalesce(F.col(none), F.lit(False))).drop(own, key, none)
+    size = "n_chars" if "n_chars" in columns else None
+    if size:
+        joined = joined.withColumn(size, F.col(size).cast("long"))
+    cut = joined.where(F.col(kept).isNotNull()).mapInArrow(_trim("text", size, kept), joined.drop(kept).schema)
+    return joined.where(F.col(kept).isNull()).drop(kept).unionByName(cut)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def url_key(url: Column) -> Column:
 def with_record_types(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """Adds payload, its SHA-1, and what the page refers to (null: a response)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    own = pages.select("page_id", "url", payload.alias("payload"))
+    own = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
     own = own.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     groups = own.where(F.col("size") >= min_payload).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     several = groups.where("n > 1").drop("n")
