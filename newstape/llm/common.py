@@ -28,10 +28,13 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 
 def strings_of(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """The texts of an Arrow column as one array with wide offsets; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks] or [pa.array([], pa.large_string())])
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The texts of an Arrow column as one array with wide offsets; null counts as empty.
+
+    The array is copied together: Arrow's text functions go wrong on a cast slice whose offsets don't begin at zero.
+    """
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    whole = pa.concat_arrays([c.cast(pa.large_string()) for c in chunks] or [pa.array([], pa.large_string())])
+    return pc.fill_null(whole, "")
 
 
 def slices(batch: pa.RecordBatch, column: int | str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
