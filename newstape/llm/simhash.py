@@ -71,14 +71,18 @@ def segments_for(count: int, max_bits: int) -> int:
     return max(1, min(max_bits + 1, int(64 / max(12.8, math.log2(max(2, count))))))
 
 
+def _signed(bits: int) -> int:
+    return bits - (bits >> 63 << 64)
+
+
 def links(nodes: DataFrame, max_bits: int, segments: int) -> DataFrame:
     """Pairs (a, b) of different fingerprints ``fp`` of ``nodes`` that differ in at most ``max_bits`` bits."""
     widths = [64 // segments + (i < 64 % segments) for i in range(segments)]
     stored, probes, low = [], [], 0
     for number, width in enumerate(widths):
-        key = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+        key = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         radius = max_bits // segments
-        balls = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+        balls = [_signed(sum(1 << b for b in bits)) for n in range(radius + 1) for bits in combinations(range(width), n)]
         stored.append(nodes.select(F.lit(number).alias("segment"), key.alias("key"), F.col("fp").alias("b")))
         ball = nodes.select(F.lit(number).alias("segment"), key.alias("own"), F.col("fp").alias("a"), F.explode(F.array(*map(F.lit, balls))).alias("flip"))
         probes.append(ball.select("segment", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "own", "a").where("key <= own"))
