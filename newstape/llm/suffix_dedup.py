@@ -20,6 +20,7 @@ import hashlib
 import math
 import os
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from newstape.llm.bpe import ragged
 from newstape.llm.common import block_of, bucket_bounds, fresh, mix, pack, pack_sorted, text_bytes, texts_of, unpack, unpack_sorted
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 BLOCK_BYTES = 8 << 20
 #: Text for each range of anchors, in bytes; and for each range of fragments.
-ANCHOR_RANGE, FRAGMENT_RANGE = 64 << 20, 12 << 20
+ANCHOR_RANGE, FRAGMENT_RANGE = 64 << 20, 2 << 20
 #: Fragments whose suffixes are ordered together, about.
-COLLECTION = 1 << 15
+COLLECTION = 1 << 11
+#: Documents from which on an anchor's strings travel one by one, by their own hash: no task gets all its fragments.
+HOT_DOCUMENTS = 1 << 12
 CHUNK = 1 << 15
 NO_ID = np.iinfo(np.int64).max
 
@@ -95,6 +98,17 @@ class Fragments:
         out.__dict__ = self.__dict__ | {n: getattr(self, n)[wanted] for n in ("begin", "count", "text", "key")}
         return out
 
+    def one_by_one(self, hot: np.ndarray) -> Fragments:
+        """Fragments for which ``hot`` holds as single strings with keys of their own."""
+        if not hot.any():
+            return self
+        begin = ragged(self.begin[hot], self.count[hot])
+        key = np.repeat(self.key[hot], self.count[hot]) ^ _gram_hashes(self.data, self.length)[begin]
+        out = self.shared(~hot)
+        out.begin, out.count = np.append(out.begin, begin), np.append(out.count, np.ones(len(begin), np.int64))
+        out.text, out.key = np.append(out.text, np.repeat(self.text[hot], self.count[hot])), np.append(out.key, mix(key))
+        return out
+
     def strings(self) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Distinct fragments by anchor: their anchors in order, their bytes, and which one each fragment is."""
         raw = self.data.tobytes()
@@ -132,86 +146,99 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
             power = power * power
 
 
+class _Column:
+    """A sequential file of one column, read and written as a whole from its begin."""
+
+    def __init__(self, folder: str, name: str, dtype):
+        self.path, self.dtype, self.count = os.path.join(folder, name), dtype, 0
+        self.file = open(self.path, "w+b")  # noqa: SIM115
+
+    def write(self, values: np.ndarray) -> None:
+        self.file.seek(0)
+        self.file.write(values)
+        self.count = len(values)
+
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.fromfile(self.file, self.dtype, self.count)
+
+    def drop(self) -> None:
+        self.file.close()
+        os.remove(self.path)
+
+
 def smallest_holders(strings: list[bytes], ids: np.ndarray, length: int, folder: str) -> list[np.ndarray]:
     """For each string of ``length`` bytes in each fragment, the smallest id of the fragments that have it.
 
     Column-wise construction: round j inserts the suffix of length j of every fragment that is as long. A suffix cX
-    stands behind the m empty ones, behind all that begin with a smaller symbol, and behind as many that begin
-    with c as there are c in the transform before X's place. Records are (fragment, suffix length, common prefix with
-    the suffix before, symbol before the suffix); ``folder`` holds the file of records, which each round replaces.
-    Common prefixes count up to ``length`` and are kept from the round on in which suffixes are that long.
+    stands behind the m empty ones, behind all that begin with a smaller symbol, and behind as many that begin with
+    c as there are c in the transform before X's place. ``folder`` holds two files that each round reads and writes
+    anew: the suffixes in order (fragment, suffix length, symbol before the suffix, 0 for none) and the common prefix
+    of each with the one before. Common prefixes count up to ``length``; shorter suffixes can't have that many, so
+    they are kept from the round on in which suffixes are that long.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     m, longest = len(strings), int(sizes.max())
-    matrix = np.zeros((m, longest + 1), np.uint8)  # right-aligned; symbols are the bytes, 0 to 255
-    filled = np.arange(longest + 1) > longest - sizes[:, None]
-    matrix[filled] = np.frombuffer(b"".join(strings), np.uint8)
-    path = os.path.join(folder, "suffixes")
-    fields = np.dtype([("fragment", "<u4"), ("size", "<u2"), ("common", "u1"), ("symbol", "u1")])
-    columns = {
-        "fragment": np.arange(m, dtype=np.uint32), "size": np.zeros(m, np.uint16), "common": np.zeros(m, np.uint8),
-    }
-    records = np.zeros(m, fields)
-    for name, values in columns.items():
-        records[name] = values
-    records["symbol"] = matrix[:, longest]
-    records.tofile(path)
-    place = np.arange(m)  # of each fragment's longest suffix so far
-    begun = np.zeros(m, bool)  # records at these places stand for whole fragments: no symbol before them
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    used = np.bincount(data, minlength=256) > 0
+    codes = np.where(used, np.cumsum(used), 0).astype(np.uint16)  # symbols 1, 2, ... in the order of the bytes
+    narrow = np.uint8 if used.sum() < 256 else np.uint16
+    matrix = np.zeros((m, longest + 1), np.uint16)  # fragments end in the last column; zero before them
+    matrix[np.arange(longest + 1) > longest - sizes[:, None]] = codes[data]
+    fragment = np.arange(m, dtype=np.uint64) << np.uint64(32)
+    suffixes, prefixes = _Column(folder, "suffixes", np.uint64), _Column(folder, "prefixes", np.uint16)
+    suffixes.write(fragment | matrix[:, longest])
+    place = np.arange(m)  # of the suffix that each fragment got last
     for j in range(1, longest + 1):
-        records = np.fromfile(path, fields)
-        active = np.flatnonzero(sizes >= j)
-        symbol, n = records["symbol"], len(records)
-        open_end = ~begun
-        order = np.argsort(symbol, kind="stable")
-        order = order[open_end[order]]
+        records = suffixes.read()
+        n = len(records)
+        symbols = records.view(np.uint16)[::4].astype(narrow)
+        order = np.argsort(symbols, kind="stable")
         rank = np.empty(n, np.int64)
-        rank[order] = np.arange(len(order))
-        at = m + rank[place[active]]
-        new = np.zeros(n + len(active), fields)
+        rank[order] = np.arange(n)
+        active = np.flatnonzero(sizes >= j)
+        at = m + rank[place[active]] - np.count_nonzero(symbols == 0)
+        place[active] = at
         old = np.ones(n + len(active), bool)
         old[at] = False
-        new[old] = records
-        moved = np.flatnonzero(old)
-        place = moved[place]
-        place[active] = at
-        begun_new = np.zeros(len(new), bool)
-        begun_new[old] = begun
-        begun_new[at] = sizes[active] == j
-        begun = begun_new
-        new["fragment"][at], new["size"][at] = active, j
-        new["symbol"][at] = matrix[active, longest - j]
+        merged = np.empty(len(old), np.uint64)
+        merged[old] = records
+        merged[at] = fragment[active] | np.uint64(j << 16) | matrix[active, longest - j]
+        suffixes.write(merged)
         if j >= length:
-            near = np.unique(np.concatenate([at, np.minimum(at + 1, len(new) - 1)]))
-            new["common"][near] = _common(new, near, matrix, longest, length)
-        new.tofile(path)
-    records = np.fromfile(path, fields)
-    os.remove(path)
-    apart = records["common"] < length
-    group = np.cumsum(apart) - 1
-    starts = np.flatnonzero(apart)
-    least = np.minimum.reduceat(ids[records["fragment"]], starts)[group]
-    whole = np.flatnonzero(records["size"] >= length)
-    fragment, size = records["fragment"][whole].astype(np.int64), records["size"][whole].astype(np.int64)
+            common = np.zeros(len(old), np.uint16)
+            common[old] = prefixes.read() if j > length else 0
+            near = np.concatenate([at, at[at + 1 < len(old)] + 1])
+            common[near] = _common(merged, near, matrix, length)
+            prefixes.write(common)
+    records, common = suffixes.read(), prefixes.read()
+    suffixes.drop()
+    prefixes.drop()
+    owner, size = (records >> np.uint64(32)).astype(np.int64), (records >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)
+    apart = common < length
+    least = np.minimum.reduceat(ids[owner], np.flatnonzero(apart))[np.cumsum(apart) - 1]
+    whole = np.flatnonzero(size >= length)
+    owner, size = owner[whole], size[whole]
     counts = sizes - length + 1
     first = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int64)
-    out[first[fragment] + sizes[fragment] - size] = least[whole]
+    out[first[owner] + sizes[owner] - size] = least[whole]
     return np.split(out, first[1:])
 
 
-def _common(records: np.ndarray, at: np.ndarray, matrix: np.ndarray, longest: int, length: int) -> np.ndarray:
+def _common(records: np.ndarray, at: np.ndarray, matrix: np.ndarray, length: int) -> np.ndarray:
     """Symbols that the suffixes at these places share with those before them, up to ``length``."""
-    out = np.zeros(len(at), np.uint8)
-    both = np.flatnonzero((at > 0) & (records["size"][at] >= length) & (records["size"][np.maximum(at - 1, 0)] >= length))
-    columns = np.arange(length)
-    for lo in range(0, len(both), 1 << 16):
-        part = both[lo : lo + (1 << 16)]
-        a, b = records[at[part]], records[at[part] - 1]
-        x = matrix[a["fragment"][:, None], longest + 1 - a["size"][:, None].astype(np.int64) + columns]
-        y = matrix[b["fragment"][:, None], longest + 1 - b["size"][:, None].astype(np.int64) + columns]
+    out = np.zeros(len(at), np.uint16)
+    size = records.view(np.uint16)[1::4]
+    both = np.flatnonzero((at > 0) & (size[at] >= length) & (size[at - 1] >= length))
+    windows = np.lib.stride_tricks.sliding_window_view(matrix, length, axis=1)
+    for lo in range(0, len(both), 1 << 14):
+        part = at[both[lo : lo + (1 << 14)]]
+        owner = records.view(np.uint32)[1::2]
+        x = windows[owner[part], matrix.shape[1] - size[part].astype(np.int64)]
+        y = windows[owner[part - 1], matrix.shape[1] - size[part - 1].astype(np.int64)]
         differ = x != y
-        out[part] = np.where(differ.any(1), differ.argmax(1), length)
+        out[both[lo : lo + (1 << 14)]] = np.where(differ.any(1), differ.argmax(1), length)
     return out
 
 
@@ -228,7 +255,7 @@ _NOTE = "block int, bucket int, id long, text_key long, kind int, n int, data bi
 
 
 def _anchors(bits: int, length: int):
-    schema = "bucket int, block int, n int, keys binary, several binary"
+    schema = "bucket int, block int, n int, keys binary, docs binary"
 
     def run(table: pa.Table, notes: pa.Table) -> pa.Table:
         _, texts, _ = _live(table, notes.to_pylist())
@@ -236,18 +263,17 @@ def _anchors(bits: int, length: int):
         order = np.lexsort((found.text, found.key))
         key, text = found.key[order], found.text[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        other = np.concatenate([[False], (key[1:] == key[:-1]) & (text[1:] != text[:-1])])[: len(key)]
-        group = np.cumsum(first) - 1
+        another = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])[: len(key)]
         keys = key[first]
-        several = np.bincount(group[other], minlength=len(keys)) > 0
+        docs = np.bincount((np.cumsum(first) - 1)[another], minlength=len(keys)).astype(np.uint32)
         block, edges = table["block"][0].as_py() if table.num_rows else 0, bucket_bounds(keys, bits)
         rows = [
-            (b, block, int(hi - lo), pack_sorted(keys[lo:hi]), pack(several[lo:hi].astype(np.uint8)))
+            (b, block, int(hi - lo), pack_sorted(keys[lo:hi]), pack(docs[lo:hi]))
             for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]))
             if hi > lo
         ]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        names = ("bucket", "block", "n", "keys", "several")
+        names = ("bucket", "block", "n", "keys", "docs")
         return pa.table({m: pa.array([r[i] for r in rows], k) for i, (m, k) in enumerate(zip(names, kinds))})
 
     return run, schema
@@ -264,28 +290,30 @@ def _notes(blocks: list[int], buckets: list[int], kind: int, counts: list[int],
     )
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """For each anchor of each block whether two documents have it."""
-    rows = table.to_pylist()
-    keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
-    several = np.concatenate([unpack(r["several"], r["n"], np.uint8) for r in rows])
-    order = np.argsort(keys, kind="stable")
-    group = np.concatenate([[0], np.cumsum(keys[order][1:] != keys[order][:-1])])
-    weight = np.bincount(group, weights=1 + several[order])
-    shared = np.empty(len(keys), np.uint8)
-    shared[order] = weight[group] > 1
-    ends = np.cumsum([r["n"] for r in rows])
-    data = [pack(np.packbits(shared[e - r["n"] : e])) for r, e in zip(rows, ends)]
-    return _notes([r["block"] for r in rows], [r["bucket"] for r in rows], 1, [r["n"] for r in rows], data)
+def _shared_anchors(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each anchor of each block whether one document has it (0), several (1), or very many (2)."""
+        rows = table.to_pylist()
+        keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
+        docs = np.concatenate([unpack(r["docs"], r["n"], np.uint32) for r in rows])
+        order = np.argsort(keys, kind="stable")
+        group = np.concatenate([[0], np.cumsum(keys[order][1:] != keys[order][:-1])])
+        total = np.bincount(group, weights=docs[order])[group]
+        kind = np.empty(len(keys), np.uint8)
+        kind[order] = (total > 1).astype(np.uint8) + (total >= hot)
+        ends = np.cumsum([r["n"] for r in rows])
+        data = [pack(kind[e - r["n"] : e]) for r, e in zip(rows, ends)]
+        return _notes([r["block"] for r in rows], [r["bucket"] for r in rows], 1, [r["n"] for r in rows], data)
+
+    return run
 
 
 def _kept(found: Fragments, notes: list[dict]) -> Fragments:
-    """The fragments whose anchors several documents have."""
+    """The fragments whose anchors several documents have; strings one by one where very many have it."""
     rows = sorted((r for r in notes if r["kind"] == 1), key=lambda r: r["bucket"])
-    shared = [np.unpackbits(unpack(r["data"], -(-r["n"] // 8), np.uint8), count=r["n"]) for r in rows]
-    keys = np.unique(found.key)
-    flags = np.concatenate([np.zeros(0, np.uint8), *shared]).astype(bool)
-    return found.shared(flags[np.searchsorted(keys, found.key)] if len(keys) else np.zeros(0, bool))
+    kinds = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["data"], r["n"], np.uint8) for r in rows)])
+    kind = kinds[np.searchsorted(np.unique(found.key), found.key)] if len(kinds) else np.zeros(len(found.key), np.uint8)
+    return found.shared(kind > 0).one_by_one(kind[kind > 0] > 1)
 
 
 def _fragments(bits: int, length: int):
@@ -329,8 +357,10 @@ def _holders(length: int):
         least = np.full(len(seen), NO_ID)
         np.minimum.at(least, np.concatenate(numbers), np.concatenate(ids))
         pairs = list(seen)
-        order = sorted(range(len(pairs)), key=lambda i: pairs[i][0])
-        answers: list[np.ndarray] = [None] * len(pairs)
+        times = Counter(k for k, _ in pairs)
+        # An anchor with one distinct fragment has nothing to compare: all who hold it hold the same strings.
+        answers = [np.full(len(s) - length + 1, least[i]) if times[k] == 1 else None for i, (k, s) in enumerate(pairs)]
+        order = sorted((i for i, (k, _) in enumerate(pairs) if times[k] > 1), key=lambda i: pairs[i][0])
         with tempfile.TemporaryDirectory() as folder:
             lo = 0
             while lo < len(order):
@@ -401,6 +431,7 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     after all others; rows that share a doc_id, or have none, take nothing from each other. ``text_key`` is the
     text's XXH64, to tell such rows apart. Other columns are ignored; repeated rows stay.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = text_bytes(docs)
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -421,8 +452,10 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     results, result_schema = _results(length)
     by_block = dealt.groupBy("block")
     shared = by_block.cogroup(copies.groupBy("block")).applyInArrow(anchors, anchor_schema)
-    shared = copies.unionByName(shared.groupBy("bucket").applyInArrow(_shared_anchors, _NOTE))
+    shared = copies.unionByName(shared.groupBy("bucket").applyInArrow(_shared_anchors(HOT_DOCUMENTS), _NOTE))
     held = by_block.cogroup(shared.groupBy("block")).applyInArrow(fragments, fragment_schema)
+    # As many partitions as the session asks for: merged by size, small requests would still be much work for a task.
+    held = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
     held = held.groupBy("bucket").applyInArrow(_holders(length), _NOTE)
     return by_block.cogroup(shared.unionByName(held).groupBy("block")).applyInArrow(results, result_schema)
 

@@ -39,7 +39,7 @@ def collection(seed, alphabet):
 
 @pytest.mark.parametrize("seed, alphabet", [(1, "abcdefgh "), (2, "ab"), (3, "aaab\x00é\U0001f600")])
 def test_results_equal_brute_force(frame, monkeypatch, seed, alphabet):
-    for name, value in (("BLOCK_BYTES", 2500), ("ANCHOR_RANGE", 4000), ("FRAGMENT_RANGE", 2000), ("COLLECTION", 8), ("CHUNK", 300)):
+    for name, value in (("BLOCK_BYTES", 2500), ("ANCHOR_RANGE", 4000), ("FRAGMENT_RANGE", 2000), ("COLLECTION", 8), ("CHUNK", 300), ("HOT_DOCUMENTS", 9)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rows = collection(seed, alphabet)
     rows += [(500, rows[0][1]), (501, rows[0][1]), (502, None), (503, ""), (504, "x" * 49), (505, "x" * 49), (506, "x" * 5000)]
