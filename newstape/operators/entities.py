@@ -16,8 +16,8 @@ from newstape.schema import ENTITY_TEXT_COLUMNS, pick_column
 ENTITY_TYPES = ("PERSON", "ORG", "GPE", "LOC", "PRODUCT", "DATE", "MONEY", "PERCENT")
 
 _MONTHS = (
-    "(?:J(?:an(?:uary)?|une?|uly?)|Feb(?:ruary)?|Ma(?:r(?:ch)?|y)|A(?:pr(?:il)?|ug(?:ust)?)"
-    "|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+    "(?:January|Jan|February|Feb|March|Mar|April|Apr|May|June|Jun|July|Jul|August|Aug"
+    "|September|Sept|Sep|October|Oct|November|Nov|December|Dec)"
 )
 # Own patterns, written so that Java and RE2 agree on them.
 PATTERNS = {
@@ -27,6 +27,7 @@ PATTERNS = {
 }
 
 Model = Callable[[str], Iterable[tuple[str, str]]]
+_HIT = "entity: string, entity_type: string, _order: int"
 SHAPE = "entity string, entity_type string, _order int"
 
 
@@ -40,53 +41,60 @@ def _finish(found: DataFrame, key: str, keep: list[str]) -> DataFrame:
     )
 
 
-def pattern_entities(df: DataFrame, ids: list[str], text: str) -> DataFrame:
-    squeezed = clean_text_light(text)
+def _pattern_matches(squeezed: Column) -> Column:
+    """All pattern hits of a squeezed text as one array of (entity, entity_type, _order)."""
 
     def matches(i: int, kind: str, pattern: str) -> Column:
         def row(e: Column) -> Column:
             return F.struct(e.alias("entity"), F.lit(kind).alias("entity_type"), F.lit(i).alias("_order"))
 
-        return F.transform(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)), row)
+        return F.transform(F.regexp_extract_all(squeezed, F.lit(pattern), F.lit(0)), row)
+
+    return F.array_distinct(F.concat(*[matches(i, kind, p) for i, (kind, p) in enumerate(PATTERNS.items())]))
 
-    each = [matches(i, kind, pattern) for i, (kind, pattern) in enumerate(PATTERNS.items())]
-    cleaned = df.select(*ids, squeezed.alias("_text"))
-    return cleaned.select(*ids, F.inline(F.array_distinct(F.concat(*each))))
+
+def pattern_entities(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    cleaned = df.select(*ids, clean_text_light(text).alias("_text"))
+    return cleaned.select(*ids, F.inline(_pattern_matches(F.col("_text"))))
 
 
 def gazetteer_entities(
-    df: DataFrame, gazetteer: DataFrame, ids: list[str], text: str, max_words: int = 3
+    df: DataFrame, gazetteer: DataFrame, ids: list[str], text: str, patterns: bool = False
 ) -> DataFrame:
-    """Gazetteer names (``entity, entity_type``) that occur in the text as runs of whole words.
+    """Gazetteer names (``entity, entity_type``) that occur in the text as runs of whole words, of any
+    length; with ``patterns`` the pattern hits as well, from the same reading of the texts.
 
-    Each word goes out once with its followers; an equality join on the first word finds the
-    candidates and the rest is compared in the join. Spark broadcasts the gazetteer if it is small
-    and may split hot first words if it is not.
+    A name is looked for by its first two words (or its only one). Each text sends its distinct words
+    and word pairs to an equality join with the names, and itself along as one more element that no
+    name matches; names that share the words are then compared with the whole text. Spark broadcasts
+    the gazetteer if it is small and may split hot words if it is not.
     """
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}&' -]+", " ")
-    words = F.filter(F.split(plain, " "), lambda w: w != "")
-    fields = [f"w{n}" for n in range(max_words)]
-
-    def run(i: Column) -> Column:
-        return F.struct(*[F.get("_words", i + n).alias(f) for n, f in enumerate(fields)])
-
-    spread = (
-        df.select(*ids, words.alias("_words"))
-        .where(F.size("_words") > 0)
-        .select(*ids, F.inline(F.transform(F.sequence(F.lit(0), F.size("_words") - 1), run)))
+    numbered = df.select(
+        F.monotonically_increasing_id().alias("_row"),
+        *ids,
+        (_pattern_matches(clean_text_light(text)) if patterns else F.lit(None)).cast(f"array<struct<{_HIT}>>").alias("_found"),
+        F.filter(F.split(plain, " "), lambda w: w != "").alias("_words"),
+    )
+    numbered = numbered.select(
+        "_row",
+        "_words",
+        F.struct(*ids, "_found", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_plain")).alias("_whole"),
     )
+    nothing = F.lit(None).cast(numbered.schema["_whole"].dataType)
+    own = F.struct(F.concat(F.lit("\0"), F.col("_row").cast("string")).alias("_head"), F.col("_whole").alias("_whole"))
+    pairs = F.transform("_words", lambda w, i: F.concat_ws(" ", w, F.get("_words", i + 1)))
+    heads = F.transform(F.array_distinct(F.concat("_words", pairs)), lambda w: F.struct(w.alias("_head"), nothing.alias("_whole")))
+    spread = numbered.select("_row", F.inline(F.concat(F.array(own), heads)))
     parts = F.split("entity", " ")
-    names = gazetteer.select(
-        F.get(parts, F.lit(0)).alias("w0"),
-        *[F.get(parts, F.lit(n)).alias(f"_g{n}") for n in range(1, max_words)],
-        "entity",
-        "entity_type",
-    ).where(F.size(parts) <= max_words)
-    same = F.lit(True)
-    for n in range(1, max_words):
-        same = same & (F.col(f"_g{n}").isNull() | (F.col(f"_g{n}") == F.col(f"w{n}")))
-    hits = spread.join(names, "w0").where(same)
-    return hits.select(*ids, "entity", "entity_type", F.lit(len(PATTERNS)).alias("_order"))
+    names = gazetteer.where("entity is not null").select("entity", "entity_type", F.array_join(F.slice(parts, 1, 2), " ").alias("_head"))
+    met = spread.join(names, "_head", "left").where(F.col("entity").isNotNull() | F.col("_whole").isNotNull())
+    hit = F.when(F.col("entity").isNotNull(), F.struct("entity", "entity_type", F.lit(len(PATTERNS)).alias("_order")))
+    grouped = met.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), F.collect_list(hit).alias("_names"))
+    rows = grouped.select("_whole.*", "_names")
+    there = F.filter("_names", lambda e: F.contains(F.col("_plain"), F.concat(F.lit(" "), e["entity"], F.lit(" "))))
+    both = F.concat(F.coalesce("_found", F.array().cast(f"array<struct<{_HIT}>>")), there.cast(f"array<struct<{_HIT}>>"))
+    return rows.select(*ids, F.inline(both))
 
 
 def model_entities(df: DataFrame, load_model: Callable[[], Model], ids: list[str], text: str) -> DataFrame:
@@ -114,7 +122,6 @@ def extract_entities(
     gazetteer: DataFrame | None = None,
     load_model: Callable[[], Model] | None = None,
     keep: tuple[str, ...] = ("date",),
-    max_words: int = 3,
 ) -> DataFrame:
     """``key, entity, entity_type`` plus the ``keep`` columns of the text's row. Whole texts are read."""
     column = pick_column(df, ENTITY_TEXT_COLUMNS, text)
@@ -123,10 +130,10 @@ def extract_entities(
     texts = df.where(F.col(column).isNotNull())
     if load_model is not None:
         found = model_entities(texts, load_model, ids, column)
+    elif gazetteer is not None:
+        found = gazetteer_entities(texts, gazetteer, ids, column, patterns=True)
     else:
         found = pattern_entities(texts, ids, column)
-        if gazetteer is not None:
-            found = found.unionByName(gazetteer_entities(texts, gazetteer, ids, column, max_words))
     return _finish(found, key, kept)
 
 

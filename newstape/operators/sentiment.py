@@ -9,14 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newstape.functions.lexicon import FINANCE_TERMS, STOP_WORDS
-from newstape.functions.scoring import lookup_in, lookup_map, score_expr
+from newstape.functions.scoring import let, lookup_in, lookup_map, score_expr
 from newstape.functions.text import clean_text, clean_text_light, plain_words, sentiment_category, words_of
 from newstape.schema import ENTITY_TEXT_COLUMNS, TEXT_COLUMNS, pick_column
 
-# A word list kept inside the plan stays this small; larger ones are joined.
-MAX_INLINE_TERMS = 10000
-
-
 def _spread(df: DataFrame, scores: Column) -> DataFrame:
     return (
         df.withColumn("_scores", scores)
@@ -33,6 +29,26 @@ def _spread(df: DataFrame, scores: Column) -> DataFrame:
     )
 
 
+def normalized_terms(terms: dict[str, float]) -> dict[str, float]:
+    """Lower-case terms, one valence each: of terms that only differ in case the strongest counts, the
+    positive one if two are equally strong."""
+    out: dict[str, float] = {}
+    for term, valence in terms.items():
+        low, value = term.lower(), float(valence)
+        if low not in out or (abs(value), value) > (abs(out[low]), out[low]):
+            out[low] = value
+    return out
+
+
+def normalized_lexicon(lexicon: DataFrame) -> DataFrame:
+    """The same rule for a table (``term, valence``); rows with a NULL are left out."""
+    known = lexicon.where(F.col("term").isNotNull() & F.col("valence").isNotNull())
+    per_term = known.groupBy(F.lower("term").alias("term")).agg(
+        F.max(F.col("valence").cast("double")).alias("_high"), F.min(F.col("valence").cast("double")).alias("_low")
+    )
+    return per_term.select("term", F.when(F.col("_high") >= -F.col("_low"), F.col("_high")).otherwise(F.col("_low")).alias("valence"))
+
+
 @lru_cache(maxsize=32)
 def _inline_scores(
     text: str,
@@ -44,8 +60,6 @@ def _inline_scores(
 ) -> Column:
     """The scoring expression. It is a plain tree over a column name, so it is built once per word
     list: that takes some hundred calls into the JVM."""
-    if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError("lexicon too large for the plan: use lexicon_score_table")
     pairs = {t: v for t, v in terms if " " in t} if match_phrases else {}
     phrases = lookup_in(pairs) if pairs else None
     return score_expr(F.col(text), lookup_in(dict(terms)), rules, empty_neutral, phrases, lower_case)
@@ -60,52 +74,54 @@ def lexicon_score(
     match_phrases: bool = False,
     lower_case: bool = False,
 ) -> DataFrame:
-    """Score a cleaned text column with a word list. No shuffle, no Python, safe in streams."""
-    terms = tuple(lexicon.items())
-    return _spread(df, _inline_scores(text, terms, rules, empty_neutral, match_phrases, lower_case))
-
+    """Score a cleaned text column with a word list. No shuffle, no Python, safe in streams.
 
-def lexicon_score_join(
-    df: DataFrame,
-    lexicon: DataFrame,
-    key: str,
-    text: str = "cleaned_text",
-    rules: bool = True,
-    empty_neutral: float = 0.0,
-) -> DataFrame:
-    """Same scores with the lexicon as a table of any size (``term, valence``, one row per term).
-
-    Each text contributes its distinct words once; the join keeps the hits only, and the scoring
-    itself runs on the row's own hit map. No broadcast is forced: Spark decides by size.
+    The list becomes part of the plan, whatever its length. ``lexicon_score_table`` gives the same
+    scores for a lexicon that is a table.
     """
-    vocabulary = df.select(key, F.explode(F.array_distinct(F.transform(words_of(text), F.lower))).alias("term"))
-    hits = (
-        vocabulary.join(lexicon.select("term", "valence"), "term")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "valence"))).alias("_hits"))
-    )
-    none = F.create_map().cast("map<string,double>")
-    joined = df.join(hits, key, "left").withColumn("_hits", F.coalesce("_hits", none))
-    return _spread(joined, score_expr(F.col(text), lookup_map(F.col("_hits")), rules, empty_neutral)).drop("_hits")
+    terms = tuple(normalized_terms(lexicon).items())
+    return _spread(df, _inline_scores(text, terms, rules, empty_neutral, match_phrases, lower_case))
 
 
 def lexicon_score_table(
     df: DataFrame,
     lexicon: DataFrame,
-    key: str,
     text: str = "cleaned_text",
     rules: bool = True,
     empty_neutral: float = 0.0,
-    largest_inline: int = MAX_INLINE_TERMS,
+    match_phrases: bool = False,
+    lower_case: bool = False,
 ) -> DataFrame:
-    """Scores with a lexicon table: inside the plan if it is proven small, by a join otherwise.
+    """Same scores with the lexicon as a table of any size (``term, valence``), by one plan.
 
-    At most ``largest_inline`` + 1 terms are read to find out.
+    The texts are read once. Each row sends its distinct words (and word pairs, for phrases) to a
+    join with the lexicon, and itself along as one more element that no term matches; only hits and
+    the rows themselves are grouped again. No broadcast is forced: Spark decides by size.
     """
-    rows = lexicon.select("term", "valence").limit(largest_inline + 1).collect()
-    if len(rows) > largest_inline:
-        return lexicon_score_join(df, lexicon, key, text, rules, empty_neutral)
-    return lexicon_score(df, {r.term: r.valence for r in rows}, text, rules, empty_neutral)
+    def candidates(lows: Column) -> Column:
+        if not match_phrases:
+            return F.array_distinct(lows)
+        pairs = F.transform(lows, lambda w, i: F.concat_ws(" ", w, F.get(lows, i + 1)))
+        return F.array_distinct(F.concat(lows, pairs))
+
+    whole = F.struct(*df.columns)
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_whole"), F.transform(words_of(text), F.lower).alias("_lows"))
+    nothing = F.lit(None).cast(numbered.schema["_whole"].dataType)
+    own = F.struct(F.concat(F.lit("\0"), F.col("_row").cast("string")).alias("term"), F.col("_whole").alias("_whole"))
+    words = let(F.col("_lows"), lambda lows: F.transform(candidates(lows), lambda w: F.struct(w.alias("term"), nothing.alias("_whole"))))
+    spread = numbered.select("_row", F.inline(F.concat(F.array(own), words)))
+    met = spread.join(normalized_lexicon(lexicon), "term", "left")
+    met = met.where(F.col("valence").isNotNull() | F.col("_whole").isNotNull())
+    hit = F.when(F.col("valence").isNotNull(), F.struct("term", "valence"))
+    grouped = met.groupBy("_row").agg(
+        F.first("_whole", ignorenulls=True).alias("_whole"), F.map_from_entries(F.collect_list(hit)).alias("_hits")
+    )
+    rows = grouped.select("_whole.*", "_hits")
+    found = lookup_map(F.col("_hits"))
+    # The last word makes no pair; alone it is no phrase.
+    phrases = (lambda pair: F.when(pair.contains(" "), found(pair))) if match_phrases else None
+    scores = score_expr(F.col(text), found, rules, empty_neutral, phrases, lower_case)
+    return _spread(rows, scores).drop("_hits")
 
 
 def score_news(

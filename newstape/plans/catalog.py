@@ -528,18 +528,91 @@ def lexicon_unigram(spark, d):
 @query("lexicon_table", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
 def lexicon_table(spark, d):
     cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
-    out = sentiment.lexicon_score_table(
-        cleaned, views.lexicon(spark), "doc_id", rules=False, empty_neutral=1.0
-    )
+    out = sentiment.lexicon_score_table(cleaned, views.lexicon(spark), rules=False, empty_neutral=1.0)
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
 @query("lexicon_table_join", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
 def lexicon_table_join(spark, d):
+    """The lexicon as a stored table."""
     cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
-    out = sentiment.lexicon_score_join(
-        cleaned, views.lexicon(spark), "doc_id", rules=False, empty_neutral=1.0
+    path = scratch(spark, "lexicon")
+    views.lexicon(spark).write.parquet(path)
+    stored = spark.read.parquet(path)
+    out = sentiment.lexicon_score_table(cleaned, stored, rules=False, empty_neutral=1.0)
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
+# Other spellings and weaker repetitions of the same terms.
+MIXED_TERMS = [(t.title(), v) for t, v in views.WORD_VALENCES.items()] + [(t.upper(), v / 2) for t, v in views.WORD_VALENCES.items()]
+
+
+@query("lexicon_mixed_case", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
+def lexicon_mixed_case(spark, d):
+    """A table with capitals and repeated terms scores like the plain list."""
+    lexicon = spark.createDataFrame(MIXED_TERMS, "term string, valence double")
+    cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
+    out = sentiment.lexicon_score_table(cleaned, lexicon, rules=False, empty_neutral=1.0)
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
+@query("lexicon_mixed_case_list", sql(UNIGRAM_BODY, "news", "lexicon", extra=UNIGRAM_SQL))
+def lexicon_mixed_case_list(spark, d):
+    out = sentiment.score_news(views.texts(spark, d), dict(MIXED_TERMS), finance=False, rules=False)
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
+PHRASES = {"of the": 1.5, "in the": -2.0, "the": 0.5, "que la": -1.0, "der": 1.0}
+PHRASE_SQL = (
+    "lexicon as (select * from (values "
+    + ", ".join(f"('{t}', cast({v} as double))" for t, v in PHRASES.items())
+    + ") as t(term, valence)),"
+    + UNIGRAM_SQL.replace("unnest(l) as w from split", "unnest(l) as w, unnest(range(len(l))) as pos from split")
+    .replace("select doc_id, case when", "select doc_id, pos, case when")
+    .replace(
+        "sums as (",
+        """pairs as (select doc_id, low, low || ' ' || lead(low) over (partition by doc_id order by pos) as pair from bare),
+valued as (select doc_id, coalesce(p.valence, l.valence) as valence
+           from pairs left join lexicon p on p.term = pair left join lexicon l on l.term = low),
+sums as (""",
     )
+    .replace("from bare left join lexicon on term = low group by 1", "from valued group by 1")
+)
+
+
+@query("lexicon_phrases", sql(UNIGRAM_BODY, "news", extra=PHRASE_SQL))
+def lexicon_phrases(spark, d):
+    lexicon = spark.createDataFrame(list(PHRASES.items()), "term string, valence double")
+    cleaned = views.texts(spark, d).select("doc_id", text.clean_text("headline").alias("cleaned_text"))
+    out = sentiment.lexicon_score_table(cleaned, lexicon, rules=False, empty_neutral=1.0, match_phrases=True)
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
+@query("lexicon_phrases_list", sql(UNIGRAM_BODY, "news", extra=PHRASE_SQL))
+def lexicon_phrases_list(spark, d):
+    out = sentiment.score_news(views.texts(spark, d), PHRASES, finance=False, rules=False, match_phrases=True)
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
+@query(
+    "lexicon_large",
+    sql(
+        UNIGRAM_BODY,
+        "news",
+        extra=r"""lexicon as (
+            select w as term, (length(w) % 9 - 4) * 0.5::double as valence
+            from (select distinct unnest(string_split_regex(lower(headline), '[^\p{L}\p{N}_]+')) as w from news)
+            where regexp_full_match(w, '[a-z]{3,}')),"""
+        + UNIGRAM_SQL,
+    ),
+)
+def lexicon_large(spark, d):
+    """A lexicon with a valence for every plain word of the texts (tens of thousands of terms)."""
+    news = views.texts(spark, d)
+    words = news.select(F.explode(text.plain_words("headline")).alias("term")).where(F.col("term").rlike("^[a-z]{3,}$")).distinct()
+    lexicon = words.select("term", ((F.length("term") % 9 - 4) * 0.5).alias("valence"))
+    cleaned = news.select("doc_id", text.clean_text("headline").alias("cleaned_text"))
+    out = sentiment.lexicon_score_table(cleaned, lexicon, rules=False, empty_neutral=1.0)
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
@@ -573,6 +646,16 @@ def score_news_finance(spark, d):
     return out.select("doc_id", *SCORE_COLUMNS.split(", "))
 
 
+@query(
+    "score_news_finance_words",
+    sql(UNIGRAM_BODY.replace(", 3), 1)", ", 3), 0)"), "news", "lexicon", extra=UNIGRAM_SQL),
+)
+def score_news_finance_words(spark, d):
+    """The finance terms laid over a lexicon of words that occur (the finance terms do not)."""
+    out = sentiment.score_news(views.texts(spark, d), views.WORD_VALENCES, finance=True, rules=False)
+    return out.select("doc_id", *SCORE_COLUMNS.split(", "))
+
+
 @query(
     "score_news_light",
     sql(
@@ -698,6 +781,40 @@ def extract_entities(spark, d):
     )
 
 
+# Names of one to six words: the first words of the benchmark's items, which some documents hold.
+LONG_NAMES_SQL = r"""
+gaz as (select distinct array_to_string(l[1:1 + item_id % 6], ' ') as entity,
+               case item_id % 3 when 0 then 'ORG' when 1 then 'PERSON' else 'GPE' end as entity_type
+        from (select item_id, string_split_regex(trim(regexp_replace(text, '[^\p{L}\p{N}&'' -]+', ' ', 'g')), ' +') as l from benchmark)),
+light as (select doc_id, ticker, date, trim(regexp_replace(coalesce(headline, ''), '\s+', ' ', 'g')) as t,
+                 ' ' || array_to_string(string_split_regex(trim(regexp_replace(headline, '[^\p{L}\p{N}&'' -]+', ' ', 'g')), ' +'), ' ') || ' ' as plain
+          from news),
+found as (""" + " union all ".join(
+    f"select doc_id, ticker, date, unnest(regexp_extract_all(t, '{p}')) as entity, '{k}' as entity_type, {i} as o from light"
+    for i, (k, p) in enumerate(entities.PATTERNS.items())
+) + """ union all select doc_id, ticker, date, entity, entity_type, 3 from light join gaz on contains(plain, ' ' || entity || ' '))
+"""
+
+
+@query(
+    "extract_entities_long_names",
+    sql(
+        """select doc_id, ticker, date, entity, entity_type from (
+             select *, row_number() over (partition by doc_id, entity order by o desc, entity_type desc) as r
+             from found where length(entity) >= 2) where r = 1""",
+        "news",
+        extra=LONG_NAMES_SQL,
+    ),
+)
+def extract_entities_long_names(spark, d):
+    plain = F.regexp_replace("text", r"[^\p{L}\p{N}&' -]+", " ")
+    words = F.filter(F.split(plain, " "), lambda w: w != "")
+    kind = F.get(F.array(F.lit("ORG"), F.lit("PERSON"), F.lit("GPE")), (F.col("item_id") % 3).cast("int"))
+    size = (F.col("item_id") % 6 + 1).cast("int")
+    names = views.table(spark, d, "benchmark").select(F.array_join(F.slice(words, F.lit(1), size), " ").alias("entity"), kind.alias("entity_type"))
+    return entities.extract_entities(views.texts(spark, d), gazetteer=names.distinct(), keep=("ticker", "date"))
+
+
 @query(
     "entity_type_counts",
     sql("select entity_type, count(*) as occurrences from ents group by 1", "news", extra=EXTRACT_SQL),

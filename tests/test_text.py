@@ -122,25 +122,42 @@ def test_phrases(spark):
     assert pairs.sentiment_compound == compound(3.0)  # the pair and its second word
 
 
-def test_join_path_equals_inline(spark):
+def test_table_path_equals_list_path(spark):
     rows = [
-        (1, "Profit beats, NOT a loss! but probe looms"),
-        (2, ""),
-        (3, "very bullish growth??"),
-        (4, "nothing here"),
-        (5, None),
+        (1, "Profit beats, NOT a loss! but probe looms", 7),
+        (2, "", 7),
+        (3, "very bullish growth??", 7),
+        (4, "nothing here", 7),
+        (5, None, 7),
+        (5, "Profit beats", 8),
+        (5, "Profit beats", 8),
     ]
-    df = spark.createDataFrame(rows, "doc_id int, headline string").withColumn("cleaned_text", text.clean_text("headline"))
-    a = sentiment.lexicon_score(df, FINANCE_TERMS).orderBy("doc_id").collect()
-    b = sentiment.lexicon_score_join(df, lexicon_table(spark), "doc_id").orderBy("doc_id").collect()
-    assert a == b
-    for largest in (10, 10000):
-        c = sentiment.lexicon_score_table(df, lexicon_table(spark), "doc_id", largest_inline=largest)
-        assert a == c.select(*a[0].asDict()).orderBy("doc_id").collect()
+    df = spark.createDataFrame(rows, "doc_id int, headline string, term int").withColumn("cleaned_text", text.clean_text("headline"))
+    terms = {**FINANCE_TERMS, "Profit": 0.1, "PROBE": -9.0, "here nothing": 1.0, "nothing here": -2.0}
+    table = spark.createDataFrame([*terms.items(), ("loss", None), (None, 1.0)], "term string, valence double")
+    for options in ({}, {"rules": False, "empty_neutral": 1.0}, {"match_phrases": True}, {"lower_case": True}):
+        a = sentiment.lexicon_score(df, terms, **options)
+        b = sentiment.lexicon_score_table(df, table, **options)
+        assert a.columns == b.columns
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_terms_that_differ_in_case_only(spark):
+    terms = {"Good": 1.0, "GOOD": -1.0, "good": 0.5, "Bad": -2.0, "bad": 1.5}
+    assert sentiment.normalized_terms(terms) == {"good": 1.0, "bad": -2.0}
+    table = spark.createDataFrame(list(terms.items()), "term string, valence double")
+    assert {r.term: r.valence for r in sentiment.normalized_lexicon(table).collect()} == {"good": 1.0, "bad": -2.0}
+
+
+def test_table_path_reads_the_texts_once(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(1, "profit")], "doc_id int, cleaned_text string").write.parquet(path)
+    plan = sentiment.lexicon_score_table(spark.read.parquet(path), lexicon_table(spark))._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Scan parquet") == plan.toString().count("FileScan parquet") == 1
 
 
 def test_large_inline_lexicon(spark):
-    lexicon = {f"w{i}": (i % 80 - 40) / 10 for i in range(8000)} | {"good": 1.9}
+    lexicon = {f"w{i}": (i % 80 - 40) / 10 for i in range(12000)} | {"good": 1.9}
     assert scores(spark, ["not good w41"], lexicon)[0][0] == pytest.approx(compound(1.9 * -0.74 + 0.1 * -0.74), abs=1e-4)
 
 
