@@ -227,12 +227,16 @@ def compare_models(
         evaluate_model(model, test, name).withColumn("train_order", F.lit(i))
         for i, (name, model) in enumerate(models.items())
     ]
-    results = reduce(DataFrame.unionByName, rows)
+    rated = reduce(DataFrame.unionByName, rows)
+    # One row per model: collected once, so that no model scores its rows twice.
+    results = prepared.sparkSession.createDataFrame(rated.collect(), rated.schema)
     best = best_model(results).first()
     if model_path:
         metadata = {
             "features": features,
             "model_name": best.model_name,
+            "train_samples": train.count(),
+            "test_samples": test.count(),
             "metrics": {k: best[k] for k in ("accuracy", "precision", "recall", "f1")},
         }
         save_model(models[best.model_name], model_path, metadata)

@@ -1871,63 +1871,210 @@ def prepared(spark, d):
     return rows.where("role = 'train'"), rows.where("role = 'test'"), names
 
 
-@query("train_lr")
+# Fitted values differ between engines; what any right fit has in common does not: the rows it saw, a vanishing
+# gradient or the number of trees, and metrics that follow from the confusion matrix.
+PREPARED_SQL = """
+labelled as (select *, lead(close) over (partition by ticker order by date) - close as chg from joined),
+prep as (select ticker, date, close as price, cast(chg > 0 as int) as target,
+                case when row_number() over (partition by ticker order by date) - 1
+                          < floor(count(*) over (partition by ticker) * (1 - 0.2::double)) then 'train' else 'test' end as role
+         from labelled where chg is not null),
+sizes as (select count(*) filter (role = 'train') as train_rows, count(*) filter (role = 'train' and target = 1) as train_ups,
+                 count(*) filter (role = 'test') as test_rows, count(*) filter (role = 'test' and target = 1) as test_ups from prep)
+"""
+FIT_SQL = "select '{}' as model_name, *, {} as size, true as fitted, true as consistent from sizes"
+
+
+def ups(df: DataFrame) -> tuple[int, int]:
+    row = df.agg(F.count(F.lit(1)), F.count_if(F.col("target") == 1)).first()
+    return row[0], row[1]
+
+
+def consistent(quality) -> bool:
+    """Whether accuracy, precision, recall and F1 follow from the confusion matrix."""
+    (tn, fp), (fn, tp) = quality.confusion_matrix
+    precision = tp / (tp + fp) if tp + fp else 0.0
+    recall = tp / (tp + fn) if tp + fn else 0.0
+    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    pairs = ((quality.accuracy, (tp + tn) / (tn + fp + fn + tp)), (quality.precision, precision), (quality.recall, recall), (quality.f1, f1))
+    return all(abs(a - b) < 1e-9 for a, b in pairs)
+
+
+def fit_facts(spark, train, test, model, name: str, size: int, fitted: bool) -> DataFrame:
+    quality = modeling.evaluate_model(model, test, name).first()
+    (tn, fp), (fn, tp) = quality.confusion_matrix
+    row = (name, *ups(train), tn + fp + fn + tp, fn + tp, size, fitted, consistent(quality))
+    shape = "model_name string, train_rows bigint, train_ups bigint, test_rows bigint, test_ups bigint, size int, fitted boolean, consistent boolean"
+    return spark.createDataFrame([row], shape)
+
+
+def gradient_vanishes(model, train: DataFrame, names, c: float = 1.0) -> bool:
+    """Whether the mean gradient of the penalised loss is near zero in every direction."""
+    weights = model.stages[-1].coefficients.toArray()
+    scored_rows = modeling.predict(model, train)
+    off = F.col("probability") - F.col("target")
+    row = scored_rows.agg(F.count(F.lit(1)), F.avg(off), *[F.avg(off * F.col(n)) for n in names]).first()
+    slopes = [abs(row[1])] + [abs(g + w / (c * row[0])) for g, w in zip(row[2:], weights)]
+    return bool(max(slopes) < 1e-3)
+
+
+def accuracy_on(model, rows: DataFrame) -> float:
+    return modeling.evaluate_model(model, rows).first().accuracy
+
+
+@query("train_lr", sql(FIT_SQL.format("logistic_regression", "11"), "joined", extra=PREPARED_SQL))
 def train_lr(spark, d):
     train, test, names = prepared(spark, d)
-    return modeling.evaluate_model(modeling.train_logistic_regression(train, names), test, "logistic_regression")
+    model = modeling.train_logistic_regression(train, names)
+    size = len(model.stages[-1].coefficients.toArray())
+    return fit_facts(spark, train, test, model, "logistic_regression", size, gradient_vanishes(model, train, names))
 
 
-@query("train_rf")
+@query("train_rf", sql(FIT_SQL.format("random_forest", "100"), "joined", extra=PREPARED_SQL))
 def train_rf(spark, d):
+    """A hundred trees of depth up to 30: better on the training rows than their majority."""
     train, test, names = prepared(spark, d)
-    return modeling.evaluate_model(modeling.train_random_forest(train, names, trees=20), test, "random_forest")
+    model = modeling.train_random_forest(train, names)
+    rows, positive = ups(train)
+    fitted = accuracy_on(model, train) > max(positive, rows - positive) / rows
+    return fit_facts(spark, train, test, model, "random_forest", model.stages[-1].getNumTrees, fitted)
 
 
-@query("train_gbt")
+@query("train_gbt", sql(FIT_SQL.format("boosted_trees", "100"), "joined", extra=PREPARED_SQL))
 def train_gbt(spark, d):
+    """A hundred rounds: better on the training rows than their majority."""
     train, test, names = prepared(spark, d)
-    return modeling.evaluate_model(modeling.train_boosted_trees(train, names, rounds=10), test, "boosted_trees")
+    model = modeling.train_boosted_trees(train, names)
+    rows, positive = ups(train)
+    fitted = accuracy_on(model, train) > max(positive, rows - positive) / rows
+    return fit_facts(spark, train, test, model, "boosted_trees", model.stages[-1].getNumTrees, fitted)
 
 
-@query("predict")
+@query(
+    "predict",
+    sql("select ticker, date, target, true as in_range, true as fits from prep where role = 'test'", "joined", extra=PREPARED_SQL),
+)
 def predict(spark, d):
     train, test, names = prepared(spark, d)
     scored_rows = modeling.predict(modeling.train_logistic_regression(train, names), test)
-    return scored_rows.select("ticker", "date", "target", "prediction", "probability")
+    fits = F.col("prediction") == (F.col("probability") > 0.5).cast("int")
+    return scored_rows.select("ticker", "date", "target", F.col("probability").between(0, 1).alias("in_range"), fits.alias("fits"))
 
 
-FAST_TRAINERS = {
-    "logistic_regression": modeling.train_logistic_regression,
-    "random_forest": lambda train, names: modeling.train_random_forest(train, names, trees=20, max_depth=8),
-    "boosted_trees": lambda train, names: modeling.train_boosted_trees(train, names, rounds=10),
-}
-
-
-@query("compare_models")
+@query(
+    "compare_models",
+    sql(
+        """select name as model_name, test_rows, test_ups, train_rows, true as consistent, true as best_has_highest_f1
+           from sizes cross join (values ('logistic_regression'), ('random_forest'), ('boosted_trees')) as t(name)""",
+        "joined",
+        extra=PREPARED_SQL,
+    ),
+)
 def compare_models(spark, d):
     path = scratch(spark, "best-model")
-    out = modeling.compare_models(
-        views.bars(spark, d), day_scores(spark, d), model_path=path, trainers=FAST_TRAINERS
-    )
+    out = modeling.compare_models(views.bars(spark, d), day_scores(spark, d), model_path=path)
     _, metadata = models.load_model(path)
-    return out["results"].withColumn("best", F.lit(metadata["model_name"]))
+    found = out["results"].collect()  # one row per model
+    highest = max(r.f1 for r in found)
+    best = next(r.f1 for r in found if r.model_name == metadata["model_name"]) == highest
+    rows = []
+    for r in found:
+        (tn, fp), (fn, tp) = r.confusion_matrix
+        rows.append((r.model_name, tn + fp + fn + tp, fn + tp, metadata["train_samples"], consistent(r), best))
+    return spark.createDataFrame(
+        rows, "model_name string, test_rows bigint, test_ups bigint, train_rows bigint, consistent boolean, best_has_highest_f1 boolean"
+    )
+
+
+CV_SQL = FEATURES_SQL + """,
+complete as (select ticker, date, target from feats
+             where daily_return is not null and high_low_ratio is not null and close_to_open is not null and volume_price_ratio is not null
+               and volume_volatility is not null and sentiment_score_raw is not null and sentiment_ma2 is not null),
+counted as (select *, row_number() over (partition by ticker order by date) - 1 as i, count(*) over (partition by ticker) as n from complete),
+cut as (select *, least(5, greatest(2, n // 10)) as k, n // (least(5, greatest(2, n // 10)) + 1) as t from counted),
+long as (select c.*, f.fold, case when i < n - (k - fold) * t then 'train' else 'test' end as role
+         from cut c join (select unnest(range(5)) as fold) f on f.fold < c.k where i < n - (k - fold) * t + t),
+fold_sizes as (select fold, count(*) filter (role = 'train') as train_rows, count(*) filter (role = 'test') as test_rows,
+                      count(*) filter (role = 'train' and target = 1) as ups, count(*) filter (role = 'test' and target = 1) as test_ups
+               from long group by 1),
+rated as (select fold, train_rows, test_rows, cast(ups > train_rows - ups as int) as majority_class,
+                 case when ups > train_rows - ups then test_ups else test_rows - test_ups end / test_rows as baseline from fold_sizes)
+"""
 
 
-@query("crossval")
+@query(
+    "crossval",
+    sql("select fold, train_rows, test_rows, majority_class, round(baseline, 6) as baseline, true as in_range from rated", "joined", extra=CV_SQL),
+)
 def crossval(spark, d):
-    return modeling.cross_validate(views.bars(spark, d), day_scores(spark, d))["folds"]
+    folds = modeling.cross_validate(views.bars(spark, d), day_scores(spark, d))["folds"]
+    in_range = F.col("accuracy").between(0, 1).alias("in_range")
+    return folds.select("fold", "train_rows", "test_rows", "majority_class", F.round("baseline", 6).alias("baseline"), in_range)
 
 
-@query("feature_importance")
+@query(
+    "crossval_summary",
+    sql("select round(avg(baseline), 6) as avg_baseline, true as improvement_fits from rated", "joined", extra=CV_SQL),
+)
+def crossval_summary(spark, d):
+    """Mean accuracy, mean baseline and their difference, the result that validation prints."""
+    summary = modeling.cross_validate(views.bars(spark, d), day_scores(spark, d))["summary"]
+    fits = F.abs(F.col("avg_accuracy") - F.col("avg_baseline") - F.col("improvement")) < 1e-12
+    return summary.select(F.round("avg_baseline", 6).alias("avg_baseline"), fits.alias("improvement_fits"))
+
+
+@query(
+    "feature_importance",
+    "select feature, true as finite from (values " + ", ".join(f"('{f}')" for f in series.FEATURES) + ") as t(feature)",
+)
 def feature_importance(spark, d):
-    return modeling.cross_validate(views.bars(spark, d), day_scores(spark, d))["importance"]
+    found = modeling.cross_validate(views.bars(spark, d), day_scores(spark, d))["importance"]
+    value = next(c for c in found.columns if c != "feature")
+    return found.select("feature", (F.abs(value) < float("inf")).alias("finite"))
 
 
-@query("backtest_model")
+@query(
+    "backtest_model",
+    sql(
+        """select ticker, count(*) as trading_days, count(*) filter (target = 1) as actual_ups, true as consistent
+           from prep where role = 'test' group by 1""",
+        "joined",
+        extra=PREPARED_SQL,
+    ),
+)
 def backtest_model(spark, d):
     train, test, names = prepared(spark, d)
     scored_rows = modeling.predict(modeling.train_logistic_regression(train, names), test)
-    return backtest.backtest_model(scored_rows, price="price")[1]
+    report = backtest.backtest_model(scored_rows, price="price")[1]
+    total = F.col("true_positives") + F.col("false_positives") + F.col("true_negatives") + F.col("false_negatives")
+    right = F.abs(F.col("accuracy") - (F.col("true_positives") + F.col("true_negatives")) / total) < 1e-9
+    value = F.abs(F.col("final_value") / F.col("initial_capital") - 1 - F.col("total_return")) < 1e-9
+    drawn = F.col("max_drawdown").between(-1, 0)
+    return report.select(
+        "ticker",
+        "trading_days",
+        (F.col("true_positives") + F.col("false_negatives")).alias("actual_ups"),
+        (right & value & drawn & (total == F.col("trading_days"))).alias("consistent"),
+    )
+
+
+@query(
+    "eval_by_ticker",
+    sql(
+        """select ticker, count(*) as test_rows, count(*) filter (target = 1) as test_ups, true as in_range
+           from prep where role = 'test' group by 1""",
+        "joined",
+        extra=PREPARED_SQL,
+    ),
+)
+def eval_by_ticker(spark, d):
+    """The model rated one ticker at a time."""
+    train, test, names = prepared(spark, d)
+    scored_rows = modeling.predict(modeling.train_logistic_regression(train, names), test)
+    rated = modeling.evaluate_predictions(scored_rows, "logistic_regression", ["ticker"])
+    m = F.col("confusion_matrix")
+    in_range = F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)
+    return rated.select("ticker", (m[0][0] + m[0][1] + m[1][0] + m[1][1]).alias("test_rows"), (m[1][0] + m[1][1]).alias("test_ups"), in_range.alias("in_range"))
 
 
 # --- backtest -------------------------------------------------------------------------------------
