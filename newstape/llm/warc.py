@@ -278,7 +278,9 @@ def read_captures(wanted: DataFrame, folder: str, shards: list) -> DataFrame:
     if not shards:
         return spark.createDataFrame([], RECORD)
     asked = wanted.select("urlkey", "page_id").distinct().mapInArrow(place, "shard int, urlkey string, page_id long")
-    dealt = asked.repartitionByRange("shard", "urlkey", "page_id").sortWithinPartitions("shard", "urlkey", "page_id")
+    # As many ranges as the session asks for: merged by size, all small look-ups would be one task's.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.repartitionByRange(ranges, "shard", "urlkey", "page_id").sortWithinPartitions("shard", "urlkey", "page_id")
     return dealt.mapInArrow(read, RECORD)
 
 
