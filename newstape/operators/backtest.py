@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from newstape.operators.blocks import COUNT, INDEX, as_keys, over_blocks
+from newstape.operators.blocks import COUNT, INDEX, as_keys, null_safe, over_blocks
 from newstape.operators.joins import join_sentiment
 from newstape.operators.scans import compounded
 
@@ -67,6 +67,7 @@ def sentiment_positions(
     return marked.where(F.col("price_change").isNotNull())
 
 
+@null_safe
 def calculate_returns(
     df: DataFrame,
     price: str = "close",
@@ -173,6 +174,7 @@ def signal_confusion(
     return df.groupBy(*keys).agg(*_confusion_sums(predicted, actual)).select(*keys, *_confusion_columns())
 
 
+@null_safe
 def sentiment_returns(
     bars: DataFrame,
     daily: DataFrame,

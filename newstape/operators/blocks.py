@@ -9,13 +9,16 @@ series is cut twice:
 * by **block of positions** (``BLOCK_ROWS`` rows): a frame of n rows sees at most n-1 rows of the
   preceding blocks, so those rows are copied into the block that needs them and dropped afterwards.
 
-Both cuts depend on the data alone, so a re-run task yields the same rows. Series keys must not be
-NULL and a series holds one row per order value (or the order columns must break ties).
+Both cuts depend on the data alone, so a re-run task yields the same rows. A series holds one row
+per order value (or the order columns must break ties). Rows whose text key is NULL are a series of
+their own; a NULL in a key of another type raises an error.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,6 +34,47 @@ def as_keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+#: Stands for a NULL text key while a series is worked on, as equality joins would lose its rows.
+NULL_KEY = "\0"
+
+
+def fill_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Keys that equality joins can match: NULL text becomes ``NULL_KEY``, any other NULL is an error."""
+    filled = {}
+    for key in as_keys(keys):
+        if not df.schema[key].nullable:
+            continue
+        if isinstance(df.schema[key].dataType, T.StringType):
+            filled[key] = F.coalesce(key, F.lit(NULL_KEY))
+        else:
+            filled[key] = F.coalesce(key, F.raise_error(F.lit(f"series key {key} is NULL")).cast(df.schema[key].dataType))
+    return df.withColumns(filled) if filled else df
+
+
+def restore_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    texts = [k for k in as_keys(keys) if k in df.columns and isinstance(df.schema[k].dataType, T.StringType)]
+    return df.withColumns({k: F.nullif(F.col(k), F.lit(NULL_KEY)) for k in texts}) if texts else df
+
+
+def null_safe(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Wraps an operator over series (first argument: the rows; ``keys``) so that NULL keys keep their rows.
+
+    With ``keep_index`` the keys stay filled, as another scan goes on from the same partitioning.
+    """
+    shape = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kw) -> DataFrame:
+        bound = shape.bind(df, *args, **kw)
+        bound.apply_defaults()
+        first = next(iter(shape.parameters))
+        bound.arguments[first] = fill_keys(df, bound.arguments["keys"])
+        out = operator(*bound.args, **bound.kwargs)
+        return out if bound.arguments.get("keep_index") else restore_keys(out, bound.arguments["keys"])
+
+    return run
+
+
 def calendar_bucket(df: DataFrame, order: str) -> Column:
     """Coarse calendar slot of the order column: the year of a date, the hour of a timestamp.
 
@@ -135,6 +179,7 @@ def block_window(keys: Sequence[str], index: str = INDEX) -> WindowSpec:
     return Window.partitionBy(*keys, BLOCK).orderBy(index)
 
 
+@null_safe
 def over_blocks(
     df: DataFrame,
     body: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -159,6 +204,7 @@ def over_blocks(
     return out if keep_index else out.drop(BLOCK, OWN, INDEX, COUNT)
 
 
+@null_safe
 def forward_fill(
     df: DataFrame,
     columns: Sequence[str],

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newstape.operators.blocks import COUNT, INDEX, as_keys, row_index
+from newstape.operators.blocks import COUNT, INDEX, as_keys, null_safe, row_index
 
 
 def recent(df: DataFrame, n: int = 10, keys: str | Sequence[str] = "ticker", order: str = "date") -> DataFrame:
@@ -56,6 +56,7 @@ def combine_sources(
     return sort_recent(union, ["date"], ["source_rank", ties])
 
 
+@null_safe
 def time_split(
     df: DataFrame, test_size: float = 0.2, keys: str | Sequence[str] = "ticker", order: str | Sequence[str] = "date"
 ) -> DataFrame:
@@ -69,6 +70,7 @@ def fold_count(n: Column) -> Column:
     return F.least(F.lit(5), F.greatest(F.lit(2), F.floor(n / 10)))
 
 
+@null_safe
 def time_series_folds(
     df: DataFrame,
     k: int | None = None,

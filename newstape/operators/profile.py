@@ -50,8 +50,12 @@ def ols_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("ticker",))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Equal-width bins between the smallest and largest value; empty bins are listed with 0."""
-    values = df.where(F.col(column).isNotNull())
+    """Equal-width bins between the smallest and largest finite value; empty bins are listed with 0.
+
+    NULL, NaN and infinite values belong to no bin; keys without a finite value have no rows.
+    """
+    value = F.col(column).cast("double")
+    values = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
     bounds = values.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     # One value only: the bins span half a unit to each side of it.
     flat = F.col("_lo") == F.col("_hi")

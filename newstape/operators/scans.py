@@ -21,6 +21,7 @@ from newstape.operators.blocks import (
     block_window,
     blocks,
     join_summary,
+    null_safe,
     row_index,
 )
 
@@ -119,6 +120,7 @@ def compounded(
     return out.drop(BLOCK, OWN, *helpers)
 
 
+@null_safe
 def running_max(
     df: DataFrame,
     column: str,
@@ -147,6 +149,7 @@ def decay_of(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
+@null_safe
 def ema(
     df: DataFrame,
     outputs: dict[str, tuple[str, float]],

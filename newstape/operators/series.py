@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,11 +17,14 @@ from newstape.operators.blocks import (
     as_keys,
     block_window,
     blocks,
+    null_safe,
     over_blocks,
     row_index,
 )
 from newstape.operators.scans import compounded, decay_of, decayed_sums, running_max
 
+# Rates closer than this lose too many digits in the one-pass form of the signal.
+NEAR_DECAYS = 0.02
 INDICATORS = ("SMA20", "SMA50", "RSI14", "MACD", "BB")
 
 
@@ -122,6 +126,7 @@ def rsi(df: DataFrame, n: int = 14, column: str = "close", **kw) -> DataFrame:
     )
 
 
+@null_safe
 def macd(
     df: DataFrame,
     fast: int = 12,
@@ -137,7 +142,9 @@ def macd(
 
     The signal is an exponential average of two others. Two first-order filters in a row equal a
     weighted difference of the single filters, so the scan only keeps decayed sums of the price at
-    the three rates plus the fading first price; no second pass over the rows is needed.
+    the three rates plus the fading first price; no second pass over the rows is needed. Where two
+    rates are (nearly) equal that difference has no (or few) digits: the signal is then scanned from
+    the line itself.
     """
     keys = as_keys(keys)
     marked = df.withColumn("_gap", F.col(column).isNull())
@@ -158,6 +165,12 @@ def _macd_columns(
         for span in (fast, slow)
     }
     sums = {f"ema{span}": (weighted[span], decay_of(span)) for span in (fast, slow)}
+    if min(abs(decay_of(span) - bs) for span in (fast, slow)) < NEAR_DECAYS:
+        out = decayed_sums(df, sums, series, size)
+        out = out.withColumn("macd", F.col(f"ema{fast}") - F.col(f"ema{slow}"))
+        line = F.when(start, F.col("macd")).otherwise(F.col("macd") * F.lit(as_))
+        out = decayed_sums(out, {"macd_signal": (line, bs)}, series, size)
+        return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     sums["_past"] = (F.when(start, F.lit(0.0)).otherwise(price), bs)
     out = decayed_sums(df, sums, series, size)
     faded = F.pow(F.lit(bs), F.col(INDEX)) * F.col(f"_first_{column}")
@@ -360,6 +373,7 @@ def bars_in_news_window(
     )
 
 
+@null_safe
 def cumulative_return(
     df: DataFrame,
     rate: str,
@@ -380,11 +394,19 @@ def drawdown(
     return out.withColumn("drawdown", F.try_divide(F.col(column) - F.col("peak"), F.col("peak")))
 
 
+def tick_order(ts: str) -> Column:
+    """Time, then ``event_id``, as one number: aggregates keep it in their hash table, where a struct
+    would make them sort all ticks."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(19,0)")
+    event = F.col("event_id").cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    return micros * F.lit(Decimal(2**64)) + event
+
+
 def bars_from_ticks(
     ticks: DataFrame, interval: str = "1 day", keys: str | Sequence[str] = "ticker"
 ) -> DataFrame:
     """Open / high / low / close / volume per interval; ties in time go by ``event_id``."""
-    at = F.struct("ts", "event_id")
+    at = tick_order("ts")
     return (
         ticks.groupBy(*as_keys(keys), F.window("ts", interval).alias("_w"))
         .agg(

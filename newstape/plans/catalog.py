@@ -965,6 +965,62 @@ def macd(spark, d):
     return rounded(out.select("ticker", "date", "macd", "macd_signal", "macd_hist"), 2)
 
 
+@query(
+    "macd_equal_spans",
+    sql(
+        """select ticker, date, round(e12 - e26, 2) as macd, round(sig, 2) as macd_signal,
+                  round(e12 - e26 - sig, 2) as macd_hist from e join s using (ticker, i)""",
+        "bars",
+        recursive=True,
+        extra=EMA_SQL.replace("(2::double / 13)", "(2::double / 10)").replace("(11::double / 13)", "(8::double / 10)"),
+    ),
+)
+def macd_equal_spans(spark, d):
+    """The fast span equals the signal's."""
+    out = series.macd(views.bars(spark, d), fast=9)
+    return rounded(out.select("ticker", "date", "macd", "macd_signal", "macd_hist"), 2)
+
+
+# Bars of which one ticker is unknown.
+UNKNOWN_SQL = "unknown as (select * replace (nullif(ticker, '5-LOW') as ticker) from bars)"
+
+
+def bars_unknown(spark, d):
+    return views.bars(spark, d).withColumn("ticker", F.nullif("ticker", F.lit("5-LOW")))
+
+
+@query(
+    "null_ticker_changes",
+    sql(
+        """select ticker, date, round(close / nullif(lag(close) over w, 0) - 1, 6) as close_pct,
+                  case when row_number() over w - 1 < floor(count(*) over (partition by ticker) * (1 - 0.2::double)) then 'train' else 'test' end as role
+           from unknown window w as (partition by ticker order by date)""",
+        "bars",
+        extra=UNKNOWN_SQL,
+    ),
+)
+def null_ticker_changes(spark, d):
+    """Rows without a ticker are a series of their own."""
+    rows = ordering.time_split(series.pct_change(bars_unknown(spark, d)))
+    return rounded(rows.select("ticker", "date", "close_pct", "role"))
+
+
+@query(
+    "null_ticker_ema",
+    sql(
+        "select ticker, date, round(e12, 3) as ema12, round(e26, 3) as ema26 from e join s on s.ticker is not distinct from e.ticker and s.i = e.i".replace(
+            "select ticker", "select s.ticker"
+        ),
+        "bars",
+        recursive=True,
+        extra=UNKNOWN_SQL + "," + EMA_SQL.replace("from bars)", "from unknown)").replace("s.ticker = e.ticker", "s.ticker is not distinct from e.ticker"),
+    ),
+)
+def null_ticker_ema(spark, d):
+    out = scans.ema(bars_unknown(spark, d), {"ema12": ("close", 12), "ema26": ("close", 26)})
+    return rounded(out.select("ticker", "date", "ema12", "ema26"), 3)
+
+
 @query(
     "technical_indicators",
     sql(
@@ -1302,6 +1358,24 @@ def daily_numeric(spark, d):
     return rounded(daily.daily_sentiment_numeric(rows, REF, columns=columns))
 
 
+@query(
+    "daily_numeric_all",
+    sql(
+        f"""select ticker, case when doc_id % 7 = 1 then date '{REF}' - 1
+                   when doc_id % 7 in (2, 4, 5) then date else date '{REF}' end::date as date,
+                   round(avg(doc_id), 6) as doc_id, round(avg(sentiment_compound), 6) as sentiment_score,
+                   round(avg(sentiment_positive), 6) as sentiment_positive, count(headline) as headline_count
+            from scored group by 1, 2""",
+        "scored",
+    ),
+)
+def daily_numeric_all(spark, d):
+    cells = date_cells(spark, d).select("doc_id", "cell")
+    rows = scored(spark, d).drop("date").join(cells, "doc_id").withColumnRenamed("cell", "date")
+    rows = rows.select("ticker", "date", "doc_id", "headline", "sentiment_compound", "sentiment_positive")
+    return rounded(daily.daily_sentiment_numeric(rows, REF))
+
+
 @query(
     "daily_short",
     sql(
@@ -1725,6 +1799,54 @@ def network_status(spark, d):
     return network.network_status(network.entity_counts(views.entities(spark, d)), 2)
 
 
+@query(
+    "network_thresholds",
+    " union all ".join(
+        "(" + sql(f"select {n} as requested, count(*) as entities, case when count(*) < 2 then 'not enough entities' else 'ok' end as status from freq",
+                  "entities", extra=COUNTS_SQL.replace("{0}", str(n))) + ")"
+        for n in (1, 3, 5)
+    ),
+)
+def network_thresholds(spark, d):
+    counts = network.entity_counts(views.entities(spark, d))
+    parts = [network.network_status(counts, n).withColumn("requested", F.lit(n)) for n in (1, 3, 5)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("requested", "entities", "status")
+
+
+ONE_ENTITY_SQL = COUNTS_SQL.replace("{0}", "2").replace("from entities", "from entities where entity = (select min(entity) from entities)")
+
+
+@query(
+    "network_not_enough",
+    sql(
+        "select count(*) as entities, case when count(*) < 2 then 'not enough entities' else 'ok' end as status, 0::bigint as nodes, 0::bigint as edges from freq",
+        "entities",
+        extra=ONE_ENTITY_SQL,
+    ),
+)
+def network_not_enough(spark, d):
+    """One entity makes no network: no nodes, no edges."""
+    ents = views.entities(spark, d)
+    first = ents.agg(F.min("entity").alias("entity"))
+    found = network.entity_network(ents.join(first, "entity", "left_semi"))
+    status = found.status.select("entities", "status")
+    count = [part.agg(F.count(F.lit(1)).alias(name)) for part, name in ((found.nodes, "nodes"), (found.edges, "edges"))]
+    return status.join(count[0]).join(count[1])
+
+
+@query(
+    "network_strict_top",
+    sql(
+        "select * from edges where entity1 in (select entity from nodes) and entity2 in (select entity from nodes)",
+        "entities",
+        extra=COUNTS_SQL.replace("{0}", "2") + "," + NODES_SQL.format(5) + "," + EDGES_SQL,
+    ),
+)
+def network_strict_top(spark, d):
+    """Edges between the five largest nodes only."""
+    return network.entity_network(views.entities(spark, d), top=5, strict_top_n=True).edges
+
+
 RANGE_NETWORK = COUNTS_SQL.replace("{0}", "2").replace("from entities", "from ranged") + "," + EDGES_SQL.replace(
     "from entities", "from ranged"
 )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newstape.functions.text import sentiment_category
 from newstape.operators.joins import fill_sentiment
 from newstape.operators.sentiment import score_news
+from newstape.operators.series import tick_order
 from newstape.schema import NEWS, TICKS
 
 
@@ -95,7 +96,7 @@ def stream_daily_sentiment(
 
 def stream_bars(ticks: DataFrame, interval: str = "1 day", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Open / high / low / close / volume per interval of event time."""
-    at = F.struct(ts, "event_id")
+    at = tick_order(ts)
     grouped = ticks.withWatermark(ts, delay).groupBy("ticker", F.window(ts, interval).alias("_w"))
     return grouped.agg(
         F.min_by("price", at).alias("open"),
