@@ -20,7 +20,6 @@ import hashlib
 import math
 import os
 import tempfile
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from newstape.llm.common import block_of, bucket_bounds, fresh, mix, pack, pack_
 LENGTH, GRAM = 50, 24
 BLOCK_BYTES = 8 << 20
 #: Text for each range of anchors, in bytes; and for each range of fragments.
-ANCHOR_RANGE, FRAGMENT_RANGE = 64 << 20, 2 << 20
+ANCHOR_RANGE, FRAGMENT_RANGE = 16 << 20, 4 << 20
 #: Fragments whose suffixes are ordered together, about.
 COLLECTION = 1 << 11
 #: Documents from which on an anchor's strings travel one by one, by their own hash: no task gets all its fragments.
@@ -112,17 +111,16 @@ class Fragments:
     def strings(self) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Distinct fragments by anchor: their anchors in order, their bytes, and which one each fragment is."""
         raw = self.data.tobytes()
-        seen: dict[tuple[int, bytes], int] = {}
+        seen: dict[bytes, int] = {}
         ends = (self.begin + self.count + self.length - 1).tolist()
-        number = np.fromiter(
-            (seen.setdefault((k, raw[b:e]), len(seen)) for k, b, e in zip(self.key.tolist(), self.begin.tolist(), ends)),
-            np.int64, len(ends),
-        )
-        order = sorted(range(len(seen)), key=list(seen).__getitem__) if seen else []
+        codes = [seen.setdefault(raw[b:e], len(seen)) for b, e in zip(self.begin.tolist(), ends)]
+        number = np.array(codes, np.int64)
+        keys = np.empty(len(seen), np.uint64)
+        keys[number] = self.key  # equal bytes have equal anchors
+        ordered = sorted(zip(keys.tolist(), seen, range(len(seen))))
         place = np.empty(len(seen), np.int64)
-        place[order] = np.arange(len(seen))
-        pairs = sorted(seen)
-        return np.array([k for k, _ in pairs], np.uint64), [s for _, s in pairs], place[number]
+        place[[i for _, _, i in ordered]] = np.arange(len(seen))
+        return np.array([k for k, _, _ in ordered], np.uint64), [s for _, s, _ in ordered], place[number]
 
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -296,11 +294,13 @@ def _shared_anchors(hot: int):
         rows = table.to_pylist()
         keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
         docs = np.concatenate([unpack(r["docs"], r["n"], np.uint32) for r in rows])
-        order = np.argsort(keys, kind="stable")
-        group = np.concatenate([[0], np.cumsum(keys[order][1:] != keys[order][:-1])])
-        total = np.bincount(group, weights=docs[order])[group]
-        kind = np.empty(len(keys), np.uint8)
-        kind[order] = (total > 1).astype(np.uint8) + (total >= hot)
+        order = np.argsort(keys).astype(np.uint32)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        del keys
+        total = np.add.reduceat(docs[order].astype(np.int64), first)
+        kind = np.empty(len(order), np.uint8)
+        kind[order] = np.repeat((total > 1).astype(np.uint8) + (total >= hot), np.diff(first, append=len(order)))
         ends = np.cumsum([r["n"] for r in rows])
         data = [pack(kind[e - r["n"] : e]) for r, e in zip(rows, ends)]
         return _notes([r["block"] for r in rows], [r["bucket"] for r in rows], 1, [r["n"] for r in rows], data)
@@ -312,7 +312,11 @@ def _kept(found: Fragments, notes: list[dict]) -> Fragments:
     """The fragments whose anchors several documents have; strings one by one where very many have it."""
     rows = sorted((r for r in notes if r["kind"] == 1), key=lambda r: r["bucket"])
     kinds = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["data"], r["n"], np.uint8) for r in rows)])
-    kind = kinds[np.searchsorted(np.unique(found.key), found.key)] if len(kinds) else np.zeros(len(found.key), np.uint8)
+    order = np.argsort(found.key)
+    ascending = found.key[order]
+    kind = np.zeros(len(order), np.uint8)
+    if len(kinds):
+        kind[order] = kinds[np.concatenate([[0], np.cumsum(ascending[1:] != ascending[:-1])])]
     return found.shared(kind > 0).one_by_one(kind[kind > 0] > 1)
 
 
@@ -344,31 +348,37 @@ def _fragments(bits: int, length: int):
 def _holders(length: int):
     def run(table: pa.Table) -> pa.Table:
         """For each fragment of each block how the smallest holder of each of its strings differs from its own."""
-        seen: dict[tuple[int, bytes], int] = {}
+        seen: dict[bytes, int] = {}
         rows = table.to_pylist()
-        numbers, ids = [], []
+        numbers, ids, keys = [], [], []
         for r in rows:
-            keys, sizes = unpack_sorted(r["keys"], r["n"]).tolist(), unpack(r["sizes"], r["n"], np.uint16)
+            sizes = unpack(r["sizes"], r["n"], np.uint16)
             raw = pa.decompress(r["data"], decompressed_size=r["size"], codec="zstd", asbytes=True)
             ends = np.cumsum(sizes, dtype=np.int64).tolist()
-            begins = [0, *ends[:-1]]
-            numbers.append(np.array([seen.setdefault((k, raw[b:e]), len(seen)) for k, b, e in zip(keys, begins, ends)], np.int64))
+            numbers.append(np.array([seen.setdefault(raw[b:e], len(seen)) for b, e in zip([0, *ends[:-1]], ends)], np.int64))
             ids.append(unpack(r["ids"], r["n"], np.int64))
+            keys.append(unpack_sorted(r["keys"], r["n"]))
         least = np.full(len(seen), NO_ID)
         np.minimum.at(least, np.concatenate(numbers), np.concatenate(ids))
-        pairs = list(seen)
-        times = Counter(k for k, _ in pairs)
+        key = np.empty(len(seen), np.uint64)
+        key[np.concatenate(numbers)] = np.concatenate(keys)  # equal bytes have equal anchors
+        strings = list(seen)
+        order = np.argsort(key, kind="stable")
+        step = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(step) - 1
+        alone = (np.bincount(group) == 1)[group]
         # An anchor with one distinct fragment has nothing to compare: all who hold it hold the same strings.
-        answers = [np.full(len(s) - length + 1, least[i]) if times[k] == 1 else None for i, (k, s) in enumerate(pairs)]
-        order = sorted((i for i, (k, _) in enumerate(pairs) if times[k] > 1), key=lambda i: pairs[i][0])
+        answers = [np.full(len(s) - length + 1, low) if one else None for s, low, one in zip(strings, least.tolist(), alone.tolist())]
+        order = order[~alone[order]].tolist()
         with tempfile.TemporaryDirectory() as folder:
             lo = 0
             while lo < len(order):
                 hi = min(lo + COLLECTION, len(order))
-                while hi < len(order) and pairs[order[hi]][0] == pairs[order[hi - 1]][0]:
+                while hi < len(order) and group[order[hi]] == group[order[hi - 1]]:
                     hi += 1
                 part = order[lo:hi]
-                for i, holders in zip(part, smallest_holders([pairs[i][1] for i in part], least[part], length, folder)):
+                for i, holders in zip(part, smallest_holders([strings[i] for i in part], least[part], length, folder)):
                     answers[i] = holders
                 lo = hi
         data, sizes = [], []
@@ -402,8 +412,11 @@ def _results(length: int):
         at = ragged(found.begin, found.count)
         smaller = holders[ragged(first[number], found.count)] < np.repeat(order[found.text], found.count)
         starts = at[smaller]
-        change = np.bincount(starts, minlength=len(found.data) + length + 1) - np.bincount(starts + length, minlength=len(found.data) + length + 1)
-        gone = np.cumsum(change)[: len(found.data)] > 0
+        total = len(found.data)
+        begins = np.zeros(total + 1, bool)
+        begins[starts] = True
+        begun = np.cumsum(begins, dtype=np.int32)[:total]
+        gone = begun > np.concatenate([np.zeros(min(length, total), np.int32), begun[: max(total - length, 0)]])
         out, lo = [], 0
         for i, text in enumerate(whole):
             if copy[i] and len(text) >= length:
