@@ -393,7 +393,9 @@ def _holders(length: int):
 
 
 def _results(length: int):
-    schema = "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = (
+        "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+    )
 
     def run(table: pa.Table, notes: pa.Table) -> pa.Table:
         rows = notes.to_pylist()
@@ -427,9 +429,10 @@ def _results(length: int):
                 removed = int(own.sum())
                 spans = int(np.count_nonzero(np.diff(own.astype(np.int8), prepend=0) == 1))
                 kept = np.frombuffer(text, np.uint8)[~own].tobytes() if removed else text
-            out.append((len(text), removed, spans, kept, hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-        names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+            changed = (kept, kept.decode("utf-8", "ignore")) if removed else (None, None)
+            out.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *changed))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
         results = {m: pa.array([r[i] for r in out], k) for i, (m, k) in enumerate(zip(names, kinds))}
         return pa.table({"doc_id": table["doc_id"], "text_key": table["text_key"], **results})
 
@@ -437,10 +440,11 @@ def _results(length: int):
 
 
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text_key, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row of ``documents`` (doc_id, text).
+    """(doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text) of each row of ``documents``
+    (doc_id, text).
 
-    Texts count as UTF-8 bytes, a null one as empty; ``kept`` is what is left of them, ``n_spans`` the number of
-    maximal removed runs. Strings never cross documents and are judged on the input. Rows without a doc_id come
+    Texts count as UTF-8 bytes, a null one as empty; ``n_spans`` is the number of maximal removed runs. Where something
+    is removed, ``kept`` has the remaining bytes and ``kept_text`` their whole characters; else both are null. Strings never cross documents and are judged on the input. Rows without a doc_id come
     after all others; rows that share a doc_id, or have none, take nothing from each other. ``text_key`` is the
     text's XXH64, to tell such rows apart. Other columns are ignored; repeated rows stay.
     """
@@ -473,19 +477,6 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return by_block.cogroup(shared.unionByName(held).groupBy("block")).applyInArrow(results, result_schema)
 
 
-def _trim(column: str, size: str | None, kept: str):
-    def run(batches):
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(kept).to_pylist()]
-            found = dict(zip(batch.schema.names, batch.columns)) | {column: pa.array(texts, pa.string())}
-            if size:
-                found[size] = pa.array([len(t) for t in texts], pa.int64())
-            del found[kept]
-            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
-
-    return run
-
-
 def trimmed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``documents`` with the remaining text in ``text`` and its characters in ``n_chars``, if there is that column.
 
@@ -493,19 +484,18 @@ def trimmed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     loses nothing stay as they are, and so do all other columns. Rows with equal doc_id and text are one document.
     """
     columns = documents.columns
-    own, key, none, kept = (fresh(n, columns) for n in ("_id", "_key", "_none", "_kept"))
+    own, key, kept, none = (fresh(n, columns) for n in ("_id", "_key", "_kept", "_none"))
     found = dedup(documents, length).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"])
     found = found.select(
-        F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept").alias(kept),
+        F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept_text").alias(kept),
         (F.col("n_removed") == F.col("n_bytes")).alias(none),
     )
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
-    joined = documents.join(found, same, "left").where(~F.coalesce(F.col(none), F.lit(False))).drop(own, key, none)
-    size = "n_chars" if "n_chars" in columns else None
-    if size:
-        joined = joined.withColumn(size, F.col(size).cast("long"))
-    cut = joined.where(F.col(kept).isNotNull()).mapInArrow(_trim("text", size, kept), joined.drop(kept).schema)
-    return joined.where(F.col(kept).isNull()).drop(kept).unionByName(cut)
+    joined = documents.join(found, same, "left").where(~F.coalesce(F.col(none), F.lit(False)))
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast("long")
+    return joined.withColumns(new).select(columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,12 @@ def test_results_equal_brute_force(frame, monkeypatch, seed, alphabet):
     rows = collection(seed, alphabet)
     rows += [(500, rows[0][1]), (501, rows[0][1]), (502, None), (503, ""), (504, "x" * 49), (505, "x" * 49), (506, "x" * 5000)]
     rows += [(507, "x" * 60), (508, rows[1][1] + "y" * 70_000 + rows[2][1]), (None, rows[1][1] * 2), (None, rows[1][1] * 2), (50, rows[3][1])]
-    got = suffix_dedup.dedup(frame(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()
-    assert sorted((tuple(r)[:5] + (bytes(r.kept),) for r in got), key=str) == brute(rows)
+    got = suffix_dedup.dedup(frame(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text").collect()
+    wanted = brute(rows)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted((w[:5] for w in wanted), key=str)
+    changed = sorted(((r.doc_id, bytes(r.kept), r.kept_text) for r in got if r.n_removed), key=str)
+    assert changed == sorted(((w[0], w[5], w[5].decode("utf-8", "ignore")) for w in wanted if w[2]), key=str)
+    assert all(r.kept is None and r.kept_text is None for r in got if not r.n_removed)
 
 
 def test_smallest_holders(tmp_path):
