@@ -51,8 +51,18 @@ def daily_sentiment_stats(scored: DataFrame, keys: str | Sequence[str] = "ticker
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
-    """Columns of a number type; only the schema is looked at."""
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]
+    """Number columns plus text columns in which every value converts (one aggregate row is read)."""
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in skip]
+    if texts:
+        bad = df.agg(
+            *[
+                F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c)
+                for c in texts
+            ]
+        ).first()
+        numbers += [c for c in texts if bad[c] == 0]
+    return [c for c in df.columns if c in numbers]
 
 
 def daily_sentiment_numeric(
@@ -64,9 +74,8 @@ def daily_sentiment_numeric(
 ) -> DataFrame:
     """Mean of every numeric column per day after settling the dates.
 
-    Without ``columns`` these are the columns of a number type; ``columns`` may name text columns as
-    well, whose values that are no numbers don't count. Missing score -> 0, missing headlines ->
-    ``default_count``.
+    ``columns`` skips the look at text columns, the only ones whose values must be seen. Missing
+    score -> 0, missing headlines -> ``default_count``.
     """
     keys = as_keys(keys)
     skip = [*NOT_NUMERIC, *keys, "date"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newstape.functions.display import clip_tiny
 from newstape.operators.blocks import as_keys
 from newstape.schema import SCORE_COLUMNS
+from newstape.session import cut_lineage
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -89,13 +90,17 @@ def exact_quantiles(
     probabilities: Sequence[float] = (0.25, 0.5, 0.75),
     keys: Sequence[str] = ("ticker",),
     bins: int = 4096,
-    rounds: int = 2,
+    most: int = 65536,
+    rounds: int = 12,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, without sorting a key's values in one task.
 
-    Values are counted per distinct value, then per cell of an equal-width grid. Running counts
-    over the cells tell which cells hold the wanted ranks; only their values go on to the next,
-    finer grid. After ``rounds`` grids the values left in the wanted cells are ranked directly.
+    Values are counted per distinct value, then per cell of a grid. Running counts over the cells
+    tell which cells hold the wanted ranks; only their values go on to the next, finer grid, until no
+    wanted cell has more than ``most`` distinct values; these are ranked directly. The first grid is
+    equal in the logarithm, so that one far outlier does not put all others into one cell; the next
+    ones are equal in width. (``rounds`` ends the search where values are too close for a finer
+    grid.)
     """
     keys = list(keys)
     values = (
@@ -121,9 +126,14 @@ def exact_quantiles(
     def wanted(start: Column, n: Column) -> Column:
         return F.filter("_ranks", lambda r: (r >= start) & (r < start + n))
 
-    for _ in range(rounds):
+    def scaled(name: str, number: int) -> Column:
+        value = F.col(name)
+        return F.signum(value) * F.log1p(F.abs(value)) if number == 0 else value
+
+    values = cut_lineage(values)
+    for number in range(rounds):
         inside = values.join(cells.select(*keys, "_cell", "_lo", "_hi"), [*keys, "_cell"])
-        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        share = (scaled("_v", number) - scaled("_lo", number)) / (scaled("_hi", number) - scaled("_lo", number))
         spot = F.when(
             F.col("_hi") > F.col("_lo"), F.least(F.floor(share * bins), F.lit(bins - 1))
         ).otherwise(F.lit(0).cast("bigint"))
@@ -146,7 +156,12 @@ def exact_quantiles(
             F.col("_begin").alias("_start"),
             F.col("_found").alias("_ranks"),
         )
-        values = inside.select(*keys, "_v", "_n", F.col("_next").alias("_cell"))
+        cells = cut_lineage(cells)
+        finer_values = inside.select(*keys, "_v", "_n", F.col("_next").alias("_cell"))
+        values = cut_lineage(finer_values.join(cells.select(*keys, "_cell"), [*keys, "_cell"], "left_semi"))
+        fullest = values.groupBy(*keys, "_cell").count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= most:
+            break
 
     left = values.join(cells.select(*keys, "_cell", "_start", "_ranks"), [*keys, "_cell"])
     before = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)

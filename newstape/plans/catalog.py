@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newstape.functions import dates, display, text
@@ -250,6 +250,29 @@ def write_and_read_bars(spark, d):
     return tables.read_bars(spark, path).select(*BAR_COLUMNS.split(", "))
 
 
+@query("read_bars_csv", sql(f"select {BAR_COLUMNS} from bars", "bars"))
+def read_bars_csv(spark, d):
+    path = scratch(spark, "bars-csv")
+    tables.write_table(views.bars(spark, d), path, partition_by=(), fmt="csv")
+    return tables.read_bars(spark, path, fmt="csv").select(*BAR_COLUMNS.split(", "))
+
+
+@query("read_ticker_csv", sql(f"select {BAR_COLUMNS} from bars", "bars"))
+def read_ticker_csv(spark, d):
+    """One CSV for each ticker, named like it, without a ticker column."""
+    path = scratch(spark, "ticker-csv")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    bars = views.bars(spark, d)
+    for ticker in views.PRIORITIES:
+        part = f"{path}/parts/{ticker.split('-')[0]}"
+        bars.where(F.col("ticker") == ticker).drop("ticker").coalesce(1).write.option("header", True).csv(part)
+        store.mkdirs(hadoop.Path(f"{path}/files"))
+        written = next(f.getPath() for f in store.listStatus(hadoop.Path(part)) if f.getPath().getName().startswith("part-"))
+        store.rename(written, hadoop.Path(f"{path}/files/{ticker}_stock_data.csv"))
+    return tables.read_ticker_files(spark, f"{path}/files").select(*BAR_COLUMNS.split(", "))
+
+
 @query("header_rows", sql("select ticker, date, close, volume from bars where volume > 0", "bars"))
 def header_rows(spark, d):
     bars = views.bars(spark, d).select("ticker", "date", "close", "volume")
@@ -2414,6 +2437,39 @@ def sentiment_histogram(spark, d):
 # --- pages ----------------------------------------------------------------------------------------
 
 
+def shown_pages(news_rows: DataFrame, per_page: int = 20) -> DataFrame:
+    """Input of the page queries, as no given page has a news table: pages that show the given headlines (``row_idx``, ``date``, ``headline``).
+
+    A page holds ``per_page`` rows; only the first row of a day shows its date, as on real pages.
+    """
+    paged = news_rows.withColumn("page_id", F.floor(F.col("row_idx") / F.lit(per_page)))
+    above = F.lag("date").over(Window.partitionBy("page_id").orderBy("row_idx"))
+    clock = F.lit("12:45PM")
+    stamp = F.when(F.col("date").eqNullSafe(above), clock).otherwise(
+        F.concat(F.date_format("date", "MMM-dd-yy"), F.lit(" "), clock)
+    )
+    escaped = F.col("headline")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(safe))
+    line = F.concat(
+        F.lit("<tr><td>"), stamp, F.lit("</td><td><a href='#'>"), escaped, F.lit("</a></td></tr>")
+    )
+    lines = F.array_sort(F.collect_list(F.struct("row_idx", F.col("_line").alias("line"))))
+    return (
+        paged.withColumn("_line", line)
+        .groupBy("page_id")
+        .agg(lines.alias("_lines"))
+        .select(
+            "page_id",
+            F.concat(
+                F.lit(f'<table id="{pages.TABLE_ID}">'),
+                F.array_join(F.transform("_lines", lambda r: r["line"]), ""),
+                F.lit("</table>"),
+            ).alias("html"),
+        )
+    )
+
+
 @query(
     "news_table_pages",
     sql(
@@ -2425,7 +2481,7 @@ def sentiment_histogram(spark, d):
 def news_table_pages(spark, d):
     """Headlines shown on news-table pages and read back from them."""
     shown = views.news(spark, d).withColumn("row_idx", F.col("doc_id"))
-    return pages.news_from_pages(views.news_pages(shown), REF)
+    return pages.news_from_pages(shown_pages(shown), REF)
 
 
 @query(
@@ -2438,7 +2494,7 @@ def news_table_pages(spark, d):
 )
 def rows_per_page(spark, d):
     shown = views.news(spark, d).withColumn("row_idx", F.col("doc_id"))
-    rows = pages.limit_rows_per_page(pages.extract_news_rows(views.news_pages(shown)), 5)
+    rows = pages.limit_rows_per_page(pages.extract_news_rows(shown_pages(shown)), 5)
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -2613,17 +2669,10 @@ def burst_sessions(spark, d):
     return stamped(streams.burst_sessions(views.ticks(spark, d)), "session_start", "session_end")
 
 
-@query(
-    "stream_sessions",
-    sql(
-        SESSIONS_BODY + " having max(ts) + interval 30 minute <= (select max(ts) - interval 1 hour from ticks)",
-        "ticks",
-        extra=SESSIONS_SQL,
-    ),
-)
+@query("stream_sessions", sql(SESSIONS_BODY, "ticks", extra=SESSIONS_SQL))
 def stream_sessions(spark, d):
-    """Append mode: bursts still open at the end of the input are not written."""
-    out = streams.run_once(streams.burst_sessions_stream(tick_stream(spark, d)), scratch(spark, "sessions"))
+    """All bursts of the stream, those still open at its end included."""
+    out = streams.stream_bursts(tick_stream(spark, d), scratch(spark, "sessions"))
     return stamped(out, "session_start", "session_end")
 
 

@@ -33,17 +33,6 @@ def read_bars(
     return select_bars(_read(spark, path, schema, fmt), tickers, start, end)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a small table out to all cores before heavy per-row work on texts.
-
-    A file of one row group is read by one task, however many cores wait. Only a scan with fewer
-    splits than the session has cores is moved, that is at most cores * maxPartitionBytes of data; a
-    large table has splits enough and is left alone. Only the plan is looked at.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def select_bars(
     bars: DataFrame,
     tickers: Sequence[str] | None = None,
@@ -59,8 +48,7 @@ def select_bars(
 
 def ticker_of_file() -> Column:
     """Ticker from a file name such as ``ABC_stock_data.csv``: the part before the first ``_``."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return F.upper(F.split_part(name, F.lit("_"), F.lit(1)))
+    return F.upper(F.split_part(F.col("_metadata.file_name"), F.lit("_"), F.lit(1)))
 
 
 def read_ticker_files(spark: SparkSession, path: str, schema: str = BARS, fmt: str = "csv") -> DataFrame:

@@ -6,11 +6,10 @@ SQL engine that has the tables registered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.sources.pages import TABLE_ID
-from newstape.sources.tables import spread_scan
+from newstape.session import TEXT_TASKS_CONF
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 FIRST_DAY = "1995-01-01"
@@ -78,8 +77,13 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headlines for queries that work through every text."""
-    return spread_scan(news(spark, sf_dir))
+    """The headlines for queries that work through every text.
+
+    A file of one row group is read by one task. Where the session asks for it (``local_session`` does,
+    a cluster need not), the rows are dealt out to that many tasks first.
+    """
+    tasks = spark.conf.get(TEXT_TASKS_CONF, None)
+    return news(spark, sf_dir).repartition(int(tasks)) if tasks else news(spark, sf_dir)
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -117,36 +121,3 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
-
-
-def news_pages(news_rows: DataFrame, per_page: int = 20) -> DataFrame:
-    """News-table pages that show the given headlines (``row_idx``, ``date``, ``headline``).
-
-    A page holds ``per_page`` rows; only the first row of a day shows its date, as on real pages.
-    """
-    paged = news_rows.withColumn("page_id", F.floor(F.col("row_idx") / F.lit(per_page)))
-    above = F.lag("date").over(Window.partitionBy("page_id").orderBy("row_idx"))
-    clock = F.lit("12:45PM")
-    stamp = F.when(F.col("date").eqNullSafe(above), clock).otherwise(
-        F.concat(F.date_format("date", "MMM-dd-yy"), F.lit(" "), clock)
-    )
-    escaped = F.col("headline")
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(safe))
-    line = F.concat(
-        F.lit("<tr><td>"), stamp, F.lit("</td><td><a href='#'>"), escaped, F.lit("</a></td></tr>")
-    )
-    lines = F.array_sort(F.collect_list(F.struct("row_idx", F.col("_line").alias("line"))))
-    return (
-        paged.withColumn("_line", line)
-        .groupBy("page_id")
-        .agg(lines.alias("_lines"))
-        .select(
-            "page_id",
-            F.concat(
-                F.lit(f'<table id="{TABLE_ID}">'),
-                F.array_join(F.transform("_lines", lambda r: r["line"]), ""),
-                F.lit("</table>"),
-            ).alias("html"),
-        )
-    )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newstape.operators.blocks import BLOCK, COUNT, INDEX, OWN, as_keys, blocks, row_index
 from newstape.operators.scans import decay_of, decayed_sums
+from newstape.session import drop_folder
 from newstape.streaming.jobs import run_once
 
 
@@ -69,7 +70,7 @@ def stream_ema(
 ) -> DataFrame:
     """Run the stream over what is there; rows must arrive in order from batch to batch.
 
-    State tables are kept per batch, so a repeated batch starts from the same state.
+    The state tables of the last two batches are kept, so a repeated batch starts from the same state.
     """
     keys = as_keys(keys)
     names = list(spans)
@@ -85,6 +86,9 @@ def stream_ema(
         if state is not None:
             fresh = fresh.unionByName(state.join(fresh.select(*keys), keys, "left_anti"))
         fresh.write.mode("overwrite").parquet(f"{out}/state/{batch_id}")
+        if batch_id > 1:  # a repeated batch needs the state before it, nothing older
+            drop_folder(session, f"{out}/state/{batch_id - 2}")
+            drop_folder(session, f"{out}/averaged/{batch_id - 2}")
         return rows.drop(INDEX)
 
     run_once(ticks, out, on_batch=step)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from newstape.functions.text import sentiment_category
+from newstape.operators.blocks import forward_fill, over_blocks
 from newstape.operators.joins import fill_sentiment
 from newstape.operators.sentiment import score_news
 from newstape.operators.series import tick_order
@@ -121,40 +122,58 @@ def bars_with_streamed_sentiment(bars: DataFrame, daily: DataFrame) -> DataFrame
 def burst_sessions_stream(
     events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", ts: str = "ts"
 ) -> DataFrame:
-    """Bursts per ticker: events at most ``gap`` apart. Sessions are merged inside a task first."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Bursts per ticker: events at most ``gap`` apart; a burst is written once the watermark has passed it.
+
+    Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` (``local_session``
+    does) so that sessions are merged inside a task before the shuffle.
+    """
     grouped = events.withWatermark(ts, delay).groupBy("ticker", F.session_window(ts, gap).alias("_w"))
     return grouped.agg(F.count(F.lit(1)).alias("events")).select(
         "ticker", F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "events"
     )
 
 
-def burst_sessions(events: DataFrame, gap_minutes: int = 30, ts: str = "ts") -> DataFrame:
-    """The same bursts in batch, on a table that the calendar bounds.
-
-    Events of one gap-wide slot always belong to one burst, so they are merged first (partial sums
-    per task). What is left is at most one row per slot and ticker; bursts are runs of slots.
-    """
-    gap = F.make_dt_interval(mins=F.lit(gap_minutes))
+def burst_slots(events: DataFrame, gap_minutes: int = 30, ts: str = "ts") -> DataFrame:
+    """First and last time and count of the events of each gap-wide slot. Events of one slot always
+    belong to one burst, so this partial aggregation (batch or stream) bounds the rows by the calendar."""
     slots = events.groupBy("ticker", F.window(ts, f"{gap_minutes} minutes").alias("_w")).agg(
         F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("_n")
     )
-    series = Window.partitionBy("ticker").orderBy("_from")
-    gone = F.lag("_to").over(series) + gap < F.col("_from")
-    numbered = slots.withColumn("_new", F.coalesce(gone, F.lit(True)).cast("int"))
-    upto = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        numbered.withColumn("_burst", F.sum("_new").over(upto))
-        .groupBy("ticker", "_burst")
-        .agg(
-            F.min("_from").alias("session_start"),
-            (F.max("_to") + gap).alias("session_end"),
-            F.sum("_n").alias("events"),
-        )
-        .drop("_burst")
+    return slots.select("ticker", F.col("_w.start").alias("_slot"), "_from", "_to", "_n")
+
+
+def bursts_of_slots(slots: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Bursts as runs of slots, on blocks: no task owns a ticker."""
+    gap = F.make_dt_interval(mins=F.lit(gap_minutes))
+
+    def starts(x: DataFrame, w: WindowSpec) -> DataFrame:
+        apart = F.coalesce(F.lag("_to").over(w) + gap < F.col("_from"), F.lit(True))
+        return x.withColumn("_start", F.when(apart, F.col("_from")))
+
+    marked = over_blocks(slots, starts, back=1, order="_from")
+    runs = forward_fill(marked, ["_start"], order="_from")
+    return runs.groupBy("ticker", F.col("_start").alias("session_start")).agg(
+        (F.max("_to") + gap).alias("session_end"), F.sum("_n").alias("events")
     )
 
 
+def burst_sessions(events: DataFrame, gap_minutes: int = 30, ts: str = "ts") -> DataFrame:
+    """Bursts per ticker in batch: events at most ``gap_minutes`` apart."""
+    return bursts_of_slots(burst_slots(events, gap_minutes, ts), gap_minutes)
+
+
+def stream_bursts(
+    events: DataFrame, out: str, gap_minutes: int = 30, delay: str = "1 hour", ts: str = "ts"
+) -> DataFrame:
+    """Run the stream over what is there and return all bursts, those still open included.
+
+    The stream keeps slots (update mode, state dropped behind the watermark); bursts are made from
+    the stored slots, so a burst that goes on after this run grows with the next one.
+    """
+    slots = burst_slots(events.withWatermark(ts, delay), gap_minutes, ts)
+    return bursts_of_slots(run_once(slots, out, "update", ["ticker", "_slot"]), gap_minutes)
+
+
 def run_once(
     stream: DataFrame,
     out: str,

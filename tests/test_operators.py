@@ -279,3 +279,26 @@ def test_sentiment_strategy_matches_two_steps(spark):
     long = backtest.calculate_returns(two.select("ticker", "date", "close", F.lit(1).alias("position")))
     end = long.orderBy(F.desc("date")).first()
     assert end.strategy_cumulative == pytest.approx(end.asset_cumulative)
+
+
+def test_quantiles_with_an_outlier(spark):
+    values = [float(i % 977) + 0.25 for i in range(4000)] + [1e18, -1e18]
+    df = spark.createDataFrame([("A", v) for v in values], "ticker string, x double")
+    got = profile.exact_quantiles(df, "x", (0.0, 0.25, 0.5, 0.9, 1.0), bins=16, most=20).first()
+    expected = [float(np.quantile(values, p)) for p in (0.0, 0.25, 0.5, 0.9, 1.0)]
+    assert [got[f"p{n}"] for n in (0, 25, 50, 90, 100)] == pytest.approx(expected)
+
+
+def test_histogram_leaves_out_what_is_not_finite(spark):
+    rows = [("A", v) for v in (1.0, 2.0, 3.0, float("inf"), float("-inf"), float("nan"), None)] + [("B", float("inf"))]
+    df = spark.createDataFrame(rows, "ticker string, x double")
+    got = [(r.ticker, r.bin_start, r.frequency) for r in profile.histogram(df, "x", 2).orderBy("bin").collect()]
+    assert got == [("A", 1.0, 1), ("A", 2.0, 2)]
+
+
+def test_names_of_any_length(spark):
+    df = spark.createDataFrame([(1, "the Bank of New York Mellon said"), (2, "Bank of New York"), (3, None)], "doc_id int, headline string")
+    names = [("Bank of New York Mellon", "ORG"), ("New York", "GPE"), ("Mellon", "PERSON"), (None, "ORG"), ("Bank of Old", "ORG")]
+    gaz = spark.createDataFrame(names, "entity string, entity_type string")
+    got = {(r.doc_id, r.entity, r.entity_type) for r in entities.extract_entities(df, gazetteer=gaz, keep=()).collect()}
+    assert got == {(1, "Bank of New York Mellon", "ORG"), (1, "New York", "GPE"), (1, "Mellon", "PERSON"), (2, "New York", "GPE")}

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -220,3 +221,28 @@ def test_one_ticker_does_not_change_with_others(bars):
 def test_rows_are_kept_once(bars):
     out = over_blocks(bars, lambda x, w: x, back=9, ahead=5, size=3)
     assert out.count() == bars.count() and out.columns == bars.columns
+
+
+def test_rows_without_a_ticker_are_a_series_of_their_own(spark):
+    rows = [(t, dt.date(2024, 1, d), float(p)) for t in ("A", None) for d, p in ((1, 2), (2, 4), (3, 3))]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double")
+    changes = {(r.ticker, r.date.day): r.close_pct for r in series.pct_change(df).collect()}
+    assert changes == {(t, d): c for t in ("A", None) for d, c in ((1, None), (2, 1.0), (3, -0.25))}
+    averages = scans.ema(df, {"e": ("close", 3)})
+    assert {(r.ticker, r.date.day): r.e for r in averages.collect()} == {(t, d): e for t in ("A", None) for d, e in ((1, 2.0), (2, 3.0), (3, 3.0))}
+    peaks = series.drawdown(df, "close")
+    assert {(r.ticker, r.date.day): r.peak for r in peaks.collect()} == {(t, d): p for t in ("A", None) for d, p in ((1, 2.0), (2, 4.0), (3, 4.0))}
+    numbered = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1.0), (None, dt.date(2024, 1, 1), 1.0)], "ticker int, date date, close double")
+    with pytest.raises(Exception, match="series key ticker is NULL"):
+        series.pct_change(numbered).collect()
+
+
+@pytest.mark.parametrize("spans", [(9, 26, 9), (12, 9, 9), (9, 26, 9.1)])
+def test_macd_of_equal_spans(spark, spans):
+    close = [100 + 10 * math.sin(i / 3) + i % 7 for i in range(80)]
+    df = spark.createDataFrame([("A", dt.date(2024, 1, 1) + dt.timedelta(days=i), c) for i, c in enumerate(close)], "ticker string, date date, close double")
+    got = series.macd(df, *spans).orderBy("date").collect()
+    prices = pd.Series(close)
+    line = prices.ewm(span=spans[0], adjust=False).mean() - prices.ewm(span=spans[1], adjust=False).mean()
+    signal = line.ewm(span=spans[2], adjust=False).mean()
+    assert [r.macd_signal for r in got] == pytest.approx(signal.tolist(), abs=1e-9)

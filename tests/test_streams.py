@@ -75,6 +75,8 @@ def test_sessions(spark, tmp_path):
     out = jobs.run_once(jobs.burst_sessions_stream(stream), str(tmp_path / "o"))
     closed = {(r.ticker, r.events) for r in out.collect()}
     assert closed <= {(t, n) for t, _, n in expected}
+    every = jobs.stream_bursts(jobs.stream_ticks(spark, str(tmp_path / "in"), TICKS), str(tmp_path / "b"))
+    assert sorted(map(str, every.collect())) == sorted(map(str, batch.select(every.columns).collect()))
 
 
 def news_slices(spark, path):

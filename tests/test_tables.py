@@ -52,12 +52,14 @@ def test_sql_functions(spark):
     assert tuple(row) == ("aapl beats see now!", "", "A b", "Positive", "Negative")
 
 
-def test_small_scan_is_spread_and_large_is_not(spark, sf_dir):
-    cores = spark.sparkContext.defaultParallelism
-    scan = views.news(spark, sf_dir)
-    assert tables.spread_scan(scan).rdd.getNumPartitions() == cores
-    many = scan.repartition(2 * cores)
-    assert tables.spread_scan(many) is many
+def test_texts_are_dealt_out_where_the_session_asks(spark, sf_dir):
+    asked = int(spark.conf.get("spark.newstape.textTasks"))
+    assert views.texts(spark, sf_dir).rdd.getNumPartitions() == asked
+    spark.conf.unset("spark.newstape.textTasks")
+    try:
+        assert "Exchange" not in views.texts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.newstape.textTasks", str(asked))
 
 
 def test_daily_job_writes_every_table(spark, sf_dir, tmp_path):
