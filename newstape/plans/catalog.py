@@ -2067,7 +2067,7 @@ def accuracy_on(model, rows: DataFrame) -> float:
     return modeling.evaluate_model(model, rows).first().accuracy
 
 
-@query("train_lr", sql(FIT_SQL.format("logistic_regression", "11"), "joined", extra=PREPARED_SQL))
+@query("train_lr", sql(FIT_SQL.format("logistic_regression", "9"), "joined", extra=PREPARED_SQL))
 def train_lr(spark, d):
     train, test, names = prepared(spark, d)
     model = modeling.train_logistic_regression(train, names)

@@ -48,7 +48,8 @@ def select_bars(
 
 def ticker_of_file() -> Column:
     """Ticker from a file name such as ``ABC_stock_data.csv``: the part before the first ``_``."""
-    return F.upper(F.split_part(F.col("_metadata.file_name"), F.lit("_"), F.lit(1)))
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # names come percent-encoded
+    return F.upper(F.split_part(name, F.lit("_"), F.lit(1)))
 
 
 def read_ticker_files(spark: SparkSession, path: str, schema: str = BARS, fmt: str = "csv") -> DataFrame:
