@@ -37,6 +37,8 @@ ANCHOR_RANGE, FRAGMENT_RANGE = 16 << 20, 4 << 20
 COLLECTION = 1 << 11
 #: Documents from which on an anchor's strings travel one by one, by their own hash: no task gets all its fragments.
 HOT_DOCUMENTS = 1 << 12
+#: Tasks that the copies of one text are dealt out to.
+SALTS = 16
 CHUNK = 1 << 15
 NO_ID = np.iinfo(np.int64).max
 
@@ -460,7 +462,10 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     own = [F.col(c).alias(c) for c in ("block", "id", "text_key")]
     digests = dealt.select(*own, F.sha2("text", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = digests.join(firsts, "digest").where("id > first")
+    # A text that a third of all documents repeat would meet its first in one task: both sides are salted.
+    salted = digests.withColumn("salt", F.pmod(F.xxhash64("id", "block"), F.lit(SALTS)))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    copies = salted.join(firsts, ["digest", "salt"]).where("id > first")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "int"), ("data", "binary"))]
     copies = copies.select("block", F.lit(None).cast("int").alias("bucket"), "id", "text_key", *nothing)
 
