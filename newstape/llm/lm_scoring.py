@@ -35,7 +35,7 @@ from newstape.llm.common import (
 )
 
 #: Texts of a block, in bytes; a block is what one group of a task holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct n-grams that all blocks together send to one key range, about.
 RANGE_KEYS = 2 << 20
 #: Words that a lane of the traversal scores.

@@ -30,7 +30,7 @@ from newstape.llm.bpe import ragged
 from newstape.llm.common import block_of, bucket_bounds, fresh, mix, pack, pack_sorted, text_bytes, texts_of, unpack, unpack_sorted
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Text for each range of anchors, in bytes; and for each range of fragments.
 ANCHOR_RANGE, FRAGMENT_RANGE = 16 << 20, 4 << 20
 #: Fragments whose suffixes are ordered together, about.
