@@ -93,7 +93,7 @@ def balanced_weights(df: DataFrame, label: str = "target") -> DataFrame:
     total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes")).withColumn("_one", F.lit(1))
     weights = counts.withColumn("_one", F.lit(1)).join(total, "_one")
     weights = weights.select(label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)  # one row per class
+    return df.join(weights, label)
 
 
 def train_logistic_regression(
@@ -257,9 +257,13 @@ def cross_validate(
     least_train: int = 30,
     keys: str | Sequence[str] = "ticker",
     folds: int | None = None,
+    fit_scope: str = "all",
 ) -> dict[str, DataFrame] | None:
     """Expanding-window validation of a balanced logistic regression.
 
+    ``fit_scope='all'`` scales once, with the test folds included; ``'train'`` scales every fold by
+    its training rows.
+
     Returns ``folds`` (accuracy and baseline per fold), ``summary`` and ``importance`` (mean
     coefficient per feature), or None below ``least_rows`` rows. The loop runs over at most five
     folds; each fit is a Spark job over all tickers.
@@ -267,11 +271,14 @@ def cross_validate(
     features = list(FEATURES)
     rows = create_features(join_sentiment(bars, daily, keys), label=True, keys=keys)
     complete = rows.na.drop(subset=[*features, "target"])
-    prepared = cut_lineage(standardize(complete, features, keys))
+    scaled = standardize(complete, features, keys) if fit_scope == "all" else complete
+    prepared = cut_lineage(scaled)
     if prepared.count() < least_rows:
         return None
     spark = bars.sparkSession
     long = time_series_folds(prepared, folds, keys)
+    if fit_scope == "train":
+        long = cut_lineage(standardize(long, features, [*as_keys(keys), "fold"], F.col("role") == "train"))
     sizes = (
         long.groupBy("fold")
         .agg(

@@ -106,6 +106,9 @@ def test_cross_validation(tape):
     row = out["summary"].first()
     assert row.improvement == pytest.approx(row.avg_accuracy - row.avg_baseline)
     assert modeling.cross_validate(*tape, least_rows=10**6) is None
+    by_fold = modeling.cross_validate(*tape, fit_scope="train")["folds"].orderBy("fold").collect()
+    assert [f.train_rows for f in by_fold] == [f.train_rows for f in folds]
+    assert all(f.accuracy > f.baseline for f in by_fold[1:])
 
 
 def test_metrics_without_positives(spark):
