@@ -74,7 +74,7 @@ class Fragments:
             change = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             begins.append(change + lo)
             anchors.append(place[change] + lo)
-            keys.append(h[place[change]])
+            keys.append(mix(h[place[change]]))  # smallest hashes crowd at zero: spread them over the ranges again
         begin = np.concatenate([np.zeros(0, np.int64), *begins])
         anchor = np.concatenate([np.zeros(0, np.int64), *anchors])
         key = np.concatenate([np.zeros(0, np.uint64), *keys])
