@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newstape.llm.common import slices, strings_of
+from newstape.llm.common import give_back, slices, strings_of
 
 #: The pattern of byte-level pre-tokenization (fixed by the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,6 +200,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for part in slices(batch, text, BATCH_BYTES):
                 flat, lengths = encode_texts(strings_of(part.column(text)), Vocabulary(*vocab.value))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newstape.llm.common import (
-    block_of, bucket_bounds, hashes_of, mix, pack, pack_sorted, slices, strings_of, text_bytes, unpack, unpack_sorted, words_of,
+    block_of, bucket_bounds, give_back, hashes_of, mix, pack, pack_sorted, slices, strings_of, text_bytes, unpack, unpack_sorted, words_of,
 )
 
 #: Texts of a block, in bytes; a block is what one group of a task holds.
@@ -111,6 +111,7 @@ def _requests(order: int, bits: int):
     schema = "bucket int, block int, n int, keys binary, trained binary"
 
     def one(table: pa.Table) -> pa.Table:
+        give_back()
         grams = NGrams(strings_of(table["text"]), order)
         keys = distinct(grams.every())
         training = np.sort(grams.every(~np.array(table["held_out"].to_pylist(), bool)))
@@ -206,6 +207,7 @@ def _scores(order: int, model: Model):
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def one(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         grams = NGrams(strings_of(docs["text"]), order)
         size, places = grams.places()
         rows = sorted(answers.select(["bucket", "n", "sums"]).to_pylist(), key=lambda r: r["bucket"])

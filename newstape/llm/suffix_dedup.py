@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newstape.llm.bpe import ragged
-from newstape.llm.common import block_of, bucket_bounds, fresh, mix, pack, pack_sorted, text_bytes, texts_of, unpack, unpack_sorted
+from newstape.llm.common import block_of, bucket_bounds, fresh, give_back, mix, pack, pack_sorted, text_bytes, texts_of, unpack, unpack_sorted
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Text for each range of anchors, in bytes; and for each range of fragments.
-ANCHOR_RANGE, FRAGMENT_RANGE = 16 << 20, 4 << 20
+ANCHOR_RANGE, FRAGMENT_RANGE = 32 << 20, 8 << 20
 #: Fragments whose suffixes are ordered together, about.
 COLLECTION = 1 << 11
 #: Documents from which on an anchor's strings travel one by one, by their own hash: no task gets all its fragments.
@@ -258,6 +258,7 @@ def _anchors(bits: int, length: int):
     schema = "bucket int, block int, n int, keys binary, docs binary"
 
     def run(table: pa.Table, notes: pa.Table) -> pa.Table:
+        give_back()
         _, texts, _ = _live(table, notes.to_pylist())
         found = Fragments(texts, length)
         order = np.lexsort((found.text, found.key))
@@ -293,6 +294,7 @@ def _notes(blocks: list[int], buckets: list[int], kind: int, counts: list[int],
 def _shared_anchors(hot: int):
     def run(table: pa.Table) -> pa.Table:
         """For each anchor of each block whether one document has it (0), several (1), or very many (2)."""
+        give_back()
         rows = table.to_pylist()
         keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
         docs = np.concatenate([unpack(r["docs"], r["n"], np.uint32) for r in rows])
@@ -326,6 +328,7 @@ def _fragments(bits: int, length: int):
     schema = "bucket int, block int, n int, keys binary, sizes binary, ids binary, size int, data binary"
 
     def run(table: pa.Table, notes: pa.Table) -> pa.Table:
+        give_back()
         rows = notes.to_pylist()
         ids, texts, _ = _live(table, rows)
         found = _kept(Fragments(texts, length), rows)
@@ -350,6 +353,7 @@ def _fragments(bits: int, length: int):
 def _holders(length: int):
     def run(table: pa.Table) -> pa.Table:
         """For each fragment of each block how the smallest holder of each of its strings differs from its own."""
+        give_back()
         seen: dict[bytes, int] = {}
         rows = table.to_pylist()
         numbers, ids, keys = [], [], []
@@ -400,6 +404,7 @@ def _results(length: int):
     )
 
     def run(table: pa.Table, notes: pa.Table) -> pa.Table:
+        give_back()
         rows = notes.to_pylist()
         ids, texts, copy = _live(table, rows)
         whole = texts_of(table["text"])
