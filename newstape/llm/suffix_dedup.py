@@ -398,6 +398,40 @@ def _holders(length: int):
     return run
 
 
+def _judged(table: pa.Table, notes: list[dict], length: int) -> list[tuple[bytes, int, int, bytes]]:
+    """For each row of a block: its text, how many bytes go, in how many runs, and what is left."""
+    ids, texts, copy = _live(table, notes)
+    whole = texts_of(table["text"])
+    found = _kept(Fragments(texts, length), notes)
+    _, strings, number = found.strings()
+    counts = np.array([len(s) - length + 1 for s in strings], np.int64)
+    first = np.cumsum(counts) - counts
+    least = np.full(len(strings), NO_ID)
+    order = np.array(ids, np.int64)
+    np.minimum.at(least, number, order[found.text])
+    parts = sorted((r for r in notes if r["kind"] == 2), key=lambda r: r["bucket"])
+    holders = np.concatenate([np.zeros(0, np.int64), *(unpack(r["data"], r["n"], np.int64) for r in parts)])
+    holders = holders + np.repeat(least, counts)
+    at = ragged(found.begin, found.count)
+    smaller = holders[ragged(first[number], found.count)] < np.repeat(order[found.text], found.count)
+    total = len(found.data)
+    begins = np.zeros(total + 1, bool)
+    begins[at[smaller]] = True
+    begun = np.cumsum(begins, dtype=np.int32)[:total]
+    gone = begun > np.concatenate([np.zeros(min(length, total), np.int32), begun[: max(total - length, 0)]])
+    out, lo = [], 0
+    for i, text in enumerate(whole):
+        if copy[i] and len(text) >= length:
+            out.append((text, len(text), 1, b""))
+            continue
+        own = gone[lo : lo + len(texts[i])]
+        lo += len(texts[i])
+        removed = int(own.sum())
+        spans = int(np.count_nonzero(np.diff(own.astype(np.int8), prepend=0) == 1))
+        out.append((text, removed, spans, np.frombuffer(text, np.uint8)[~own].tobytes() if removed else text))
+    return out
+
+
 def _results(length: int):
     schema = (
         "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
@@ -405,37 +439,8 @@ def _results(length: int):
 
     def run(table: pa.Table, notes: pa.Table) -> pa.Table:
         give_back()
-        rows = notes.to_pylist()
-        ids, texts, copy = _live(table, rows)
-        whole = texts_of(table["text"])
-        found = _kept(Fragments(texts, length), rows)
-        _, strings, number = found.strings()
-        counts = np.array([len(s) - length + 1 for s in strings], np.int64)
-        first = np.cumsum(counts) - counts
-        least = np.full(len(strings), NO_ID)
-        order = np.array(ids, np.int64)
-        np.minimum.at(least, number, order[found.text])
-        parts = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["bucket"])
-        holders = np.concatenate([np.zeros(0, np.int64), *(unpack(r["data"], r["n"], np.int64) for r in parts)])
-        holders = holders + np.repeat(least, counts)
-        at = ragged(found.begin, found.count)
-        smaller = holders[ragged(first[number], found.count)] < np.repeat(order[found.text], found.count)
-        starts = at[smaller]
-        total = len(found.data)
-        begins = np.zeros(total + 1, bool)
-        begins[starts] = True
-        begun = np.cumsum(begins, dtype=np.int32)[:total]
-        gone = begun > np.concatenate([np.zeros(min(length, total), np.int32), begun[: max(total - length, 0)]])
-        out, lo = [], 0
-        for i, text in enumerate(whole):
-            if copy[i] and len(text) >= length:
-                removed, spans, kept = len(text), 1, b""
-            else:
-                own = gone[lo : lo + len(texts[i])]
-                lo += len(texts[i])
-                removed = int(own.sum())
-                spans = int(np.count_nonzero(np.diff(own.astype(np.int8), prepend=0) == 1))
-                kept = np.frombuffer(text, np.uint8)[~own].tobytes() if removed else text
+        out = []
+        for text, removed, spans, kept in _judged(table, notes.to_pylist(), length):
             changed = (kept, kept.decode("utf-8", "ignore")) if removed else (None, None)
             out.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *changed))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
@@ -446,6 +451,19 @@ def _results(length: int):
     return run, schema
 
 
+def _trimmed(length: int):
+    def run(table: pa.Table, notes: pa.Table) -> pa.Table:
+        give_back()
+        judged = _judged(table, notes.to_pylist(), length)
+        rows = [i for i, (text, removed, _, _) in enumerate(judged) if not removed or removed < len(text)]
+        texts = [judged[i][3].decode("utf-8", "ignore") for i in rows]
+        changed = [judged[i][1] > 0 for i in rows]
+        rest = table["rest"].take(pa.array(rows, pa.int64()))
+        return pa.table({"rest": rest, "text": pa.array(texts, pa.string()), "changed": pa.array(changed, pa.bool_())})
+
+    return run
+
+
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text) of each row of ``documents``
     (doc_id, text).
@@ -455,14 +473,21 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     after all others; rows that share a doc_id, or have none, take nothing from each other. ``text_key`` is the
     text's XXH64, to tell such rows apart. Other columns are ignored; repeated rows stay.
     """
+    results, schema = _results(length)
+    by_block, notes = _answered(documents, length, [])
+    return by_block.cogroup(notes.groupBy("block")).applyInArrow(results, schema)
+
+
+def _answered(documents: DataFrame, length: int, rest: list):
+    """The documents by block, with ``rest`` beside them, and what the corpus answers each block."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest)
     size = text_bytes(docs)
     blocks = max(1, -(-size // BLOCK_BYTES))
     ranges = [max(0, math.ceil(math.log2(max(1, size / r)))) for r in (ANCHOR_RANGE, FRAGMENT_RANGE)]
     dealt = docs.select(
         "doc_id", "text", block_of("doc_id", "text", blocks).alias("block"), F.xxhash64("text").alias("text_key"),
-        F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"),
+        F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), *(["rest"] if rest else []),
     )
     own = [F.col(c).alias(c) for c in ("block", "id", "text_key")]
     digests = dealt.select(*own, F.sha2("text", 256).alias("digest"))
@@ -476,7 +501,6 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     anchors, anchor_schema = _anchors(ranges[0], length)
     fragments, fragment_schema = _fragments(ranges[1], length)
-    results, result_schema = _results(length)
     by_block = dealt.groupBy("block")
     shared = by_block.cogroup(copies.groupBy("block")).applyInArrow(anchors, anchor_schema)
     shared = copies.unionByName(shared.groupBy("bucket").applyInArrow(_shared_anchors(HOT_DOCUMENTS), _NOTE))
@@ -484,28 +508,24 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     # As many partitions as the session asks for: merged by size, small requests would still be much work for a task.
     held = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
     held = held.groupBy("bucket").applyInArrow(_holders(length), _NOTE)
-    return by_block.cogroup(shared.unionByName(held).groupBy("block")).applyInArrow(results, result_schema)
+    return by_block, shared.unionByName(held)
 
 
 def trimmed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``documents`` with the remaining text in ``text`` and its characters in ``n_chars``, if there is that column.
 
     What is left of a cut character goes. Documents that lose their whole text go; empty ones stay. Rows whose text
-    loses nothing stay as they are, and so do all other columns. Rows with equal doc_id and text are one document.
+    loses nothing stay as they are, and so do all other columns; they travel with the text, so no join follows.
     """
-    columns = documents.columns
-    own, key, kept, none = (fresh(n, columns) for n in ("_id", "_key", "_kept", "_none"))
-    found = dedup(documents, length).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"])
-    found = found.select(
-        F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept_text").alias(kept),
-        (F.col("n_removed") == F.col("n_bytes")).alias(none),
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
-    joined = documents.join(found, same, "left").where(~F.coalesce(F.col(none), F.lit(False)))
-    new = {"text": F.coalesce(kept, "text")}
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast("long")
-    return joined.withColumns(new).select(columns)
+    others, missing = [c for c in documents.columns if c != "text"], fresh("_missing", documents.columns)
+    rest = F.struct(*[F.col(c) for c in others], F.col("text").isNull().alias(missing)).alias("rest")
+    by_block, notes = _answered(documents, length, [rest])
+    shape = documents.select(rest).schema.add("text", "string").add("changed", "boolean")
+    found = by_block.cogroup(notes.groupBy("block")).applyInArrow(_trimmed(length), shape)
+    new = {c: F.col("rest")[c] for c in others} | {"text": F.when(~F.col("rest")[missing], F.col("text"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(new["n_chars"]).cast("long")
+    return found.select([new[c].alias(c) for c in documents.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
