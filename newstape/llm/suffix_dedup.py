@@ -469,9 +469,10 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     (doc_id, text).
 
     Texts count as UTF-8 bytes, a null one as empty; ``n_spans`` is the number of maximal removed runs. Where something
-    is removed, ``kept`` has the remaining bytes and ``kept_text`` their whole characters; else both are null. Strings never cross documents and are judged on the input. Rows without a doc_id come
-    after all others; rows that share a doc_id, or have none, take nothing from each other. ``text_key`` is the
-    text's XXH64, to tell such rows apart. Other columns are ignored; repeated rows stay.
+    is removed, ``kept`` has the remaining bytes and ``kept_text`` their whole characters; else both are null. Strings
+    never cross documents and are judged on the input. Rows without a doc_id come after all others; rows that share a
+    doc_id, or have none, take nothing from each other. ``text_key`` is the text's XXH64, to tell such rows apart.
+    Other columns are ignored; repeated rows stay.
     """
     results, schema = _results(length)
     by_block, notes = _answered(documents, length, [])
