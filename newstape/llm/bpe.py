@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = r"\p{White_Space}"
 SPACES = "[\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Text bytes that are encoded together.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 
 _words = regex.compile(PATTERN.replace(r"\s", SPACE).replace(r"\S", r"\P{White_Space}"))
 _units = regex.compile(rf"{SPACE}*\P{{White_Space}}+|{SPACE}+")
@@ -225,7 +225,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
         for batch in batches:
             lists = batch.column(ids)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in _parts(batch, counts * 4):
+            give_back()
+            for part in _parts(batch, counts * 8):
                 lists = part.column(ids)
                 n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
