@@ -1,34 +1,32 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Documents and benchmark items are sequences of plain words (lower case, without marks at their ends). Every stretch of
-``WINDOW`` n-grams of an item gives its rarest one, by the number of documents that hold it, as a seed. Rarity is a rank
-within the item, never a limit: an item that a third of all documents copy has seeds too. Documents are searched for
-seeds through a bit table of fixed size, exact joins follow, and every stretch of a document around a seed is aligned
-with the whole item. The score is the alignment's share of the best possible one, so edited copies are found as well.
+"""Benchmark decontamination: a bound on every alignment's score, then Smith-Waterman alignment.
+
+Documents and benchmark items are sequences of plain words (lower case, without marks at their ends). Documents are
+looked through in overlapping windows, so wide that any alignment that counts lies within one. Of a window and an item
+only the words and pairs of neighbouring words that both hold are counted: an alignment of m words, p of them right
+after the one before in both texts, has at most 2 * m points, less one for each of its m - 1 - p breaks. Windows whose
+counts allow the threshold are aligned with the whole item; no other window can reach it, so copies are found however
+they are edited and however many documents hold them. The score is the alignment's share of the best possible one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newstape.llm.common import fresh, mix, slices, strings_of, words_of
-from newstape.session import cut_lineage
 
-GRAM_WORDS, WINDOW = 3, 4
+#: Words of the shortest item and the shortest copy.
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-#: Bits of the table that documents are searched with (its size is fixed; what passes is joined exactly).
-TABLE_BITS = 22
-#: Cells of an alignment row that are filled together.
-ROW_CELLS = 1 << 20
+#: Cells of an alignment row that are filled together; items and cells of windows that are counted together.
+ROW_CELLS, ITEM_ROWS, COUNT_CELLS = 1 << 20, 256, 1 << 22
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚–—…·•¡¿"
 
 
@@ -54,31 +52,6 @@ def grams_of(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return gram, text, place
 
 
-def _in_table(gram: np.ndarray, table: np.ndarray) -> np.ndarray:
-    slot = gram >> np.uint64(64 - TABLE_BITS)
-    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bit_table(grams: DataFrame) -> np.ndarray:
-    """The bits of all ``gram``: 2**TABLE_BITS at most, whatever the number of grams."""
-    slots = grams.select(F.shiftrightunsigned("gram", 64 - TABLE_BITS).cast("int").alias("slot")).distinct()
-    bits = np.zeros(1 << TABLE_BITS, np.uint8)
-    bits[np.array([r[0] for r in slots.collect()], np.int64)] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def _item_grams(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, counts = plain_words(strings_of(batch.column(1)))
-            gram, text, place = grams_of(words, counts, n)
-            yield pa.record_batch(
-                {"item_id": batch.column(0).take(pa.array(text)), "place": pa.array(place.astype(np.int32)), "gram": pa.array(gram.view(np.int64))}
-            )
-
-    return run
-
-
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, counts = plain_words(strings_of(batch.column(1)))
@@ -86,65 +59,81 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"item_id": batch.column(0), "item": pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))})
 
 
-def _gram_counts(n: int, table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0):
-                gram, text, _ = grams_of(*plain_words(strings_of(part.column(0))), n)
-                hit = _in_table(gram, table.value)
-                pairs = np.unique(np.stack([gram[hit], text[hit].astype(np.uint64)], 1), axis=0)
-                found, times = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.record_batch({"gram": pa.array(found.view(np.int64)), "docs": pa.array(times, pa.int64())})
+class Benchmark(NamedTuple):
+    """Items as sequences of word hashes, the points that an alignment with each must reach, and the windows' step."""
 
-    return run
+    ids: np.ndarray
+    items: list[np.ndarray]
+    least: np.ndarray
+    step: int
 
 
-def seeds_of(documents: DataFrame, grams: DataFrame, n: int, window: int) -> DataFrame:
-    """(gram, item_id, place): of any ``window`` n-grams in a row of an item, the one in fewest documents.
+def benchmark_of(items: DataFrame, threshold: float, n: int) -> Benchmark:
+    """The items (item_id, item) of ``n`` words or more; an alignment must have ``n`` words' points in any case.
 
-    Items with fewer n-grams give the rarest of those they have; ties go to the smaller hash.
+    An alignment of an item's m words that reaches its points has fewer breaks than 2 * m less the points, so it
+    ends within ``step`` words of the document.
     """
-    table = documents.sparkSession.sparkContext.broadcast(bit_table(grams))
-    counts = documents.select("text").mapInArrow(_gram_counts(n, table), "gram long, docs long")
-    counts = counts.groupBy("gram").agg(F.sum("docs").alias("docs"))
-    rated = grams.join(counts, "gram", "left").withColumn("rank", F.struct(F.coalesce("docs", F.lit(0)), "gram", "place"))
-    ahead = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, window - 1)
-    last = Window.partitionBy("item_id")
-    rated = rated.withColumn("least", F.min("rank").over(ahead)).withColumn("n", F.count("*").over(last))
-    full = rated.where((F.col("place") + window <= F.col("n")) | (F.col("place") == 0))
-    return full.select("item_id", "least.gram", "least.place").distinct()
+    rows = items.where(F.size("item") >= n).orderBy("item_id").toArrow()
+    words = [np.array(r, np.int64) for r in rows.column("item").to_pylist()]
+    sizes = np.array([len(w) for w in words], np.int64)
+    least = np.maximum(np.ceil(threshold * MATCH * sizes - 1e-9), MATCH * n)
+    step = int((sizes + np.maximum(MATCH * sizes - least, 0)).max(initial=1))
+    return Benchmark(rows.column("item_id").to_numpy(), words, least, step)
 
 
-def _segments(n: int, reach: int, table):
-    schema = "doc_id long, text_key long, begin int, words array<long>, grams array<long>"
+def _held(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and pairs of items, ascending, and how often each item (column) has them."""
+    counts = np.array([len(i) for i in items], np.int64)
+    words = np.concatenate(items).view(np.uint64)
+    pairs, owner, _ = grams_of(words, counts, 2)
+    keys, code = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+    column = np.concatenate([np.repeat(np.arange(len(items)), counts), owner])
+    times = np.bincount(code * len(items) + column, minlength=len(keys) * len(items))
+    return keys, times.reshape(len(keys), len(items)).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                words, counts = plain_words(strings_of(part.column(1)))
-                gram, text, place = grams_of(words, counts, n)
-                hit = _in_table(gram, table.value)
-                gram, text, place = gram[hit], text[hit], place[hit]
-                ends = np.cumsum(counts)
-                begin = ends[text] - counts[text] + np.maximum(place - reach, 0)
-                end = np.minimum(ends[text], ends[text] - counts[text] + place + n + reach)
-                apart = np.ones(len(gram), bool)
-                apart[1:] = (text[1:] != text[:-1]) | (begin[1:] > end[:-1])
-                first = np.flatnonzero(apart)
-                last = np.append(first[1:], len(gram))
-                texts, rows = part.column(1), []
-                for lo, hi in zip(first.tolist(), last.tolist()):
-                    t = int(text[lo])
-                    own = (texts[t].as_py() or "").encode()
-                    stretch = words[begin[lo] : end[hi - 1]].view(np.int64)
-                    key = xxhash.xxh64_intdigest(own, 42)
-                    at = int(begin[lo] - ends[t] + counts[t])
-                    rows.append((part.column(0)[t].as_py(), key - (key >> 63 << 64), at, stretch, np.unique(gram[lo:hi]).view(np.int64)))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                names = ("doc_id", "text_key", "begin", "words", "grams")
-                yield pa.record_batch({m: pa.array([r[i] for r in rows], k) for i, (m, k) in enumerate(zip(names, kinds))})
-
-    return run, schema
+
+def candidates(words: np.ndarray, counts: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, window and item wherever the words and pairs that a window holds allow an alignment that counts.
+
+    Window k of a text holds the words from k * step to (k + 2) * step.
+    """
+    windows = np.where(counts > 0, np.maximum(-(-counts // bench.step) - 1, 1), 0)
+    first = np.cumsum(windows) - windows
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    pairs, owner, at = grams_of(words, counts, 2)
+    keys = np.concatenate([words, pairs])
+    text = np.concatenate([np.repeat(np.arange(len(counts)), counts), owner])
+    step = np.concatenate([place, at]) // bench.step
+    texts = np.repeat(np.arange(len(counts)), windows)
+    for lo in range(0, len(bench.items), ITEM_ROWS):
+        known, times = _held(bench.items[lo : lo + ITEM_ROWS])
+        code = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = np.flatnonzero(known[code] == keys)
+        late, early = np.minimum(step[hit], windows[text[hit]] - 1), np.maximum(step[hit] - 1, 0)
+        row = np.concatenate([first[text[hit]] + late, first[text[hit]] + np.minimum(early, late)])
+        cell = np.unique(row * len(known) + np.concatenate([code[hit], code[hit]]))
+        rows = max(1, COUNT_CELLS // len(known))
+        for begin in range(0, len(texts), rows):
+            size = min(rows, len(texts) - begin)
+            some = cell[slice(*np.searchsorted(cell, [begin * len(known), (begin + size) * len(known)]))]
+            held = np.zeros(size * len(known), np.float32)
+            held[some - begin * len(known)] = 1
+            points = 1 + held.reshape(size, len(known)) @ times
+            window, item = np.nonzero(points >= bench.least[lo : lo + ITEM_ROWS])
+            if len(item):
+                yield texts[begin + window], begin + window - first[texts[begin + window]], lo + item
+
+
+def stretches(text: np.ndarray, window: np.ndarray, item: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """Text, item, begin and end of the stretches that an item's overlapping windows of a text make up."""
+    order = np.lexsort((window, item, text))
+    text, window, item = text[order], window[order], item[order]
+    apart = np.ones(len(text), bool)
+    apart[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (window[1:] > window[:-1] + 2)
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], item[first], window[first] * step, np.minimum((window[last] + 2) * step, counts[text[first]])
 
 
 def _fill(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,52 +181,57 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return score, begin, end
 
 
-def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            lists = {c: [np.array(x, np.int64) for x in part.column(c).to_pylist()] for c in ("item", "words")}
-            score, begin, end = align(lists["item"], lists["words"])
-            whole = np.array([MATCH * max(len(i), 1) for i in lists["item"]], float)
-            first = part.column("begin").to_numpy()
-            yield pa.record_batch(
-                {
-                    "doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "item_id": part.column("item_id"),
-                    "score": pa.array(score / whole), "begin": pa.array(first + begin), "end": pa.array(first + end),
-                }
-            )
-
-
-def contaminated(
-    documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM_WORDS, window: int = WINDOW
-) -> DataFrame:
+FOUND = "doc_id long, text_key long, item_id long, score double, begin long, end long"
+
+
+def _alignments(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(*shared.value)
+        for batch in batches:
+            for part in slices(batch, 1):
+                words, counts = plain_words(strings_of(part.column(1)))
+                words_begin = np.cumsum(counts) - counts
+                for found in candidates(words, counts, bench):
+                    stretch = stretches(*found, counts, bench.step)
+                    for lo in range(0, len(stretch[0]), 1000):
+                        text, item, begin, end = (x[lo : lo + 1000] for x in stretch)
+                        bounds = zip(words_begin[text] + begin, words_begin[text] + end)
+                        texts = [words[x:y].view(np.int64) for x, y in bounds]
+                        items = [bench.items[i] for i in item]
+                        points, first, last = align(items, texts)
+                        good = points >= bench.least[item]
+                        text, item, begin = text[good], item[good], begin[good]
+                        keys = [xxhash.xxh64_intdigest((part.column(1)[t].as_py() or "").encode(), 42) for t in text.tolist()]
+                        whole = np.array([MATCH * len(bench.items[i]) for i in item], float)
+                        yield pa.record_batch(
+                            {
+                                "doc_id": part.column(0).take(pa.array(text)),
+                                "text_key": pa.array(np.array(keys, np.uint64).view(np.int64)),
+                                "item_id": pa.array(bench.ids[item], pa.int64()), "score": pa.array(points[good] / whole, pa.float64()),
+                                "begin": pa.array(begin + first[good], pa.int64()), "end": pa.array(begin + last[good], pa.int64()),
+                            }
+                        )
+
+    return run
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_key, item_id, score, begin, end): items that a document holds, copied or edited.
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text; ``score`` is the best alignment's share of a
     whole copy's, ``threshold`` at least; begin and end are words of the document. One row for each document and
     item; ``text_key`` (XXH64 of the text) tells rows apart that share a doc_id or have none. Null and empty texts,
-    and items of fewer than ``n`` words, have no row.
+    and items of fewer than ``n`` words, have no row; nor have alignments of fewer points than ``n`` words in a row
+    have. The benchmark is broadcast, as word hashes.
     """
     spark = documents.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     benchmark = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
     docs = documents.select(F.col("doc_id").cast("long"), "text")
-    items = cut_lineage(benchmark.mapInArrow(_items, "item_id long, item array<long>"))
-    grams = cut_lineage(benchmark.mapInArrow(_item_grams(n), "item_id long, place int, gram long"))
-    seeds = cut_lineage(seeds_of(docs, grams, n, window))
-    longest = items.agg(F.max(F.size("item"))).first()[0] or 0
-    table = spark.sparkContext.broadcast(bit_table(seeds))
-    segment, schema = _segments(n, math.ceil(1.25 * longest), table)
-    segments = cut_lineage(docs.mapInArrow(segment, schema))
-    hits = segments.select("doc_id", "text_key", "begin", F.explode("grams").alias("gram"))
-    pairs = hits.join(seeds.select("gram", "item_id").distinct(), "gram").select("doc_id", "text_key", "begin", "item_id").distinct()
-    texts = segments.groupBy("doc_id", "text_key", "begin").agg(F.first("words").alias("words"))
-    same = [pairs[c].eqNullSafe(texts[c]) for c in ("doc_id", "text_key", "begin")]
-    met = pairs.join(texts, same[0] & same[1] & same[2]).select(pairs["*"], texts["words"]).join(items, "item_id")
-    aligned = met.select("doc_id", "text_key", "item_id", "begin", "words", "item").mapInArrow(
-        _alignments, "doc_id long, text_key long, item_id long, score double, begin long, end long"
-    )
-    best = aligned.where(F.col("score") >= threshold).groupBy("doc_id", "text_key", "item_id")
+    items = benchmark.mapInArrow(_items, "item_id long, item array<long>")
+    # A plain tuple: broadcast values are unpickled without this package.
+    shared = spark.sparkContext.broadcast(tuple(benchmark_of(items, threshold, n)))
+    best = docs.mapInArrow(_alignments(shared), FOUND).groupBy("doc_id", "text_key", "item_id")
     top = best.agg(F.max(F.struct("score", -F.col("begin"), -F.col("end"))).alias("top"))
     return top.select("doc_id", "text_key", "item_id", "top.score", (-F.col("top.col2")).alias("begin"), (-F.col("top.col3")).alias("end"))
 

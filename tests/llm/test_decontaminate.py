@@ -66,6 +66,32 @@ def test_copies_and_edited_copies_are_found(spark, frame, texts):
     assert clean.columns == frame(rows).columns
 
 
+def test_every_alignment_that_counts_is_found(spark, frame, texts):
+    draw, line, items = texts
+    common = WORDS[:12]  # words that all items and documents share
+    items = [[draw.choice(common) if draw.random() < 0.4 else w for w in item] for item in items[:8]]
+    plain = lambda n: [draw.choice(common) if draw.random() < 0.4 else w for w in line(n)]
+    copies = []
+    for item in items:
+        for step in (2, 3, 4, 5, 6):  # every so manieth word replaced, left out, followed by another
+            copies.append([draw.choice(WORDS) if i % step == step - 1 else w for i, w in enumerate(item)])
+            copies.append([w for i, w in enumerate(item) if i % step != step - 1])
+            copies.append([w for i, x in enumerate(item) for w in [x, *line(int(i % step == 0))]])
+        copies.append([w for x in item for w in (x, draw.choice(WORDS))])
+    rows = [plain(draw.randrange(130)) + c + plain(draw.randrange(130)) for c in copies]
+    rows += [plain(90) for _ in range(20)] + [copies[3]] * 3
+    wanted = {}
+    for n, words in enumerate(rows):
+        for i, item in enumerate(items):
+            if (score := smith_waterman(item, words) / (2 * len(item))) >= decontaminate.THRESHOLD:
+                wanted[n, i] = score
+    assert len(wanted) > 90
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = frame([(n, " ".join(words)) for n, words in enumerate(rows)])
+    found = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == wanted and len(found) == len(wanted)
+
+
 def test_rows_without_id_and_repeated_rows(spark, frame, texts):
     _, line, items = texts
     copy = " ".join(items[0])
