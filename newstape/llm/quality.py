@@ -6,11 +6,13 @@ strengths: logistic regression without intercept on feature differences. A quant
 label 0 among the training labels, is the threshold between the classes.
 
 Features come from a document's whole text and from nothing else: shares of byte classes, repetition, lengths of
-words and lines. They are one pass over the text; only the labelled sample, of a bounded size, reaches the fit.
+words and lines. They are one pass over the text. The fit uses a sample of bounded size; the share, its quantile and
+the scale of the strengths come from all training labels.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,6 +32,8 @@ FIT_ROWS = 20_000
 #: Opponents of each document of the rarer label, in expectation (pairs grow with the sample, not with its square).
 OPPONENTS = 16
 FOLDS, HELD_OUT_FOLD = 3, 1
+#: Cells of a grid that a quantile is searched with.
+CELLS = 4096
 
 FEATURES = (
     "upper", "lower", "digit", "space", "newline", "mark", "symbol", "pipe", "beyond_ascii", "mark_run", "symbol_run",
@@ -103,6 +107,11 @@ def with_features(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(_feature_batches, "doc_id long, features array<double>")
 
 
+def strength_of(features, weights: list[float]) -> F.Column:
+    products = F.zip_with(features, F.array(*map(F.lit, weights)), lambda x, w: x * w)
+    return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+
 class Ranking(NamedTuple):
     """Strength = weights . features; ``threshold`` and ``scale`` put it on a scale from 0 to 1."""
 
@@ -111,8 +120,7 @@ class Ranking(NamedTuple):
     scale: float
 
     def score(self, features) -> F.Column:
-        products = F.zip_with(features, F.array(*map(F.lit, self.weights)), lambda x, w: x * w)
-        strength = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+        strength = strength_of(features, self.weights)
         return 1 / (1 + F.exp((F.lit(self.threshold) - strength) / F.lit(self.scale)))
 
 
@@ -138,34 +146,62 @@ def preference_pairs(labelled: DataFrame, opponents: int = OPPONENTS) -> DataFra
     return met.select(difference.alias("difference"), F.when(turned, 0.0).otherwise(1.0).alias("label"))
 
 
-def bounded_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, quality) of about ``fit_rows`` labelled documents at most, chosen by a hash of the id.
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of all labelled documents.
 
     Labels other than 0 and 1, and rows without an id, are left out; of several labels of a document the largest counts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
+def bounded_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, quality) of about ``fit_rows`` labelled documents at most, chosen by a hash of the id."""
+    known = known_labels(labels)
     share = min(1.0, fit_rows / max(known.count(), 1))
     return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def fit(sample: DataFrame, opponents: int = OPPONENTS) -> Ranking:
-    """Learns from (doc_id, features, quality) with labels 0 and 1, a sample of bounded size.
+def fit(sample: DataFrame, opponents: int = OPPONENTS) -> list[float] | None:
+    """Weights learned from (doc_id, features, quality) with labels 0 and 1, a sample of bounded size.
 
-    Without documents of both labels there is nothing to prefer: every document then scores one half.
+    Without documents of both labels there is nothing to prefer, and no weights.
     """
     if sample.select("quality").distinct().count() < 2:
-        return Ranking([0.0] * len(FEATURES), 0.0, 1.0)
+        return None
     pairs = cut_lineage(preference_pairs(sample, opponents)).select(array_to_vector("difference").alias("features"), "label")
     if not pairs.take(1):
-        return Ranking([0.0] * len(FEATURES), 0.0, 1.0)
+        return None
     model = LogisticRegression(fitIntercept=False, standardization=True, regParam=1e-4, maxIter=60).fit(pairs)
-    weights = [float(w) for w in model.coefficients]
-    strength = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    ranked = sample.select(strength.alias("s"), "quality")
-    losers = ranked.agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
-    row = ranked.agg(F.percentile("s", F.lit(losers)), F.stddev_samp("s")).first()
-    return Ranking(weights, row[0], max(row[1] or 0.0, 1e-9) / 4)
+    return [float(w) for w in model.coefficients]
+
+
+def quantile(values: DataFrame, column: str, p: float) -> float | None:
+    """The exact quantile, interpolated, of finite values; None without any.
+
+    The cell of a grid that holds the wanted rank becomes the next grid, until the rank is an edge of its cell: ``CELLS``
+    rows reach the driver each time, and no task holds or sorts all values.
+    """
+    n, lo, hi = values.agg(F.count(column), F.min(column), F.max(column)).first()
+    if not n:
+        return None
+    at = p * (n - 1)
+    rank = math.floor(at)
+    part, before = at - rank, 0
+    # The next value up, if it is wanted, always lies between lo and hi too.
+    while lo < hi:
+        spot = F.least(F.floor((F.col(column) - F.lit(lo)) / F.lit(hi - lo) * CELLS), F.lit(CELLS - 1))
+        inside = values.where(F.col(column).between(lo, hi)).groupBy(spot.alias("spot"))
+        rows = sorted(inside.agg(F.count("*"), F.min(column), F.max(column)).collect())
+        for i, (_, count, lo, hi) in enumerate(rows):
+            if rank < before + count:
+                break
+            before += count
+        if rank == before + count - 1 and i + 1 < len(rows):
+            return hi + (rows[i + 1][2] - hi) * part
+        if rank == before + count - 1:
+            return hi
+    return lo
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -174,13 +210,22 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, opponents: int = OPPONENTS) -> Ranking:
-    """A ranking from a bounded sample of the labelled documents that are not held out.
+    """A ranking from the labelled documents that are not held out: weights from a bounded sample, the rest from all.
 
-    The sample's ids go to the documents (a broadcast of about ``fit_rows`` rows at most), so no text is shuffled.
+    The sample's ids go to the documents (a broadcast of about ``fit_rows`` rows at most), and strengths are computed
+    before they meet their labels, so no text is shuffled. Without weights every document scores one half.
     """
-    sample = F.broadcast(cut_lineage(bounded_sample(labels.where(~held_out()), fit_rows)))
+    known = cut_lineage(known_labels(labels.where(~held_out())))
+    sample = F.broadcast(cut_lineage(bounded_sample(known, fit_rows)))
     texts = documents.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
-    return fit(cut_lineage(with_features(texts).join(sample, "doc_id")), opponents)
+    weights = fit(cut_lineage(with_features(texts).join(sample, "doc_id")), opponents)
+    if weights is None:
+        return Ranking([0.0] * len(FEATURES), 0.0, 1.0)
+    training = with_features(documents.where(F.col("doc_id").isNotNull() & ~held_out()))
+    ranked = training.select("doc_id", strength_of("features", weights).alias("s")).join(known, "doc_id").select("s", "quality")
+    ranked = cut_lineage(ranked)
+    losers, spread = ranked.agg(F.avg((F.col("quality") == 0).cast("double")), F.stddev_samp("s")).first()
+    return Ranking(weights, quantile(ranked, "s", losers), max(spread or 0.0, 1e-9) / 4)
 
 
 def score_documents(documents: DataFrame, ranking: Ranking) -> DataFrame:

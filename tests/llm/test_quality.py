@@ -57,3 +57,32 @@ def test_accepted_keeps_rows_as_they_are(spark, frame):
 def test_fit_rows_bound_the_sample(spark):
     labels = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     assert 300 < quality.bounded_sample(labels, 500).count() < 700
+
+
+def test_threshold_covers_all_training_labels(spark, frame):
+    draw = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(1500):
+        good = int(draw.random() < 0.8)
+        words = ["plain", "words", "of", "text", "!!!", "###", "BUY"]
+        weights = [6, 5, 5, 4, 1, 1, 1] if good else [2, 2, 2, 2, 3, 3, 3]
+        rows.append((i, " ".join(draw.choice(words, draw.integers(5, 60), p=np.array(weights) / sum(weights)))))
+        labels.append((i, good))
+    ranking = quality.learn(frame(rows), spark.createDataFrame(labels, "doc_id long, quality int"), fit_rows=200)
+    training = [i for i, _ in labels if zlib.crc32(str(i).encode()) % quality.FOLDS != quality.HELD_OUT_FOLD]
+    texts = pa.array([rows[i][1] for i in training], pa.large_string())
+    strength = quality.features_of(texts) @ np.array(ranking.weights)
+    bad = np.mean([labels[i][1] == 0 for i in training])
+    assert ranking.threshold == pytest.approx(np.quantile(strength, bad), rel=1e-9)
+    assert ranking.scale == pytest.approx(strength.std(ddof=1) / 4, rel=1e-9)
+
+
+@pytest.mark.parametrize("cells", [2, 4096])
+def test_quantiles_are_exact(spark, monkeypatch, cells):
+    monkeypatch.setattr(quality, "CELLS", cells)
+    draw = np.random.default_rng(2)
+    for values in ([3.0], [1.0, 2.0], [0.5] * 9, [*draw.normal(size=40).round(1), -1e9, 1e-9]):
+        table = spark.createDataFrame([(float(v),) for v in values], "v double").coalesce(1)
+        for p in (0.0, 0.37, 0.5, 1.0):
+            assert quality.quantile(table, "v", p) == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-15)
+    assert quality.quantile(table.limit(0), "v", 0.5) is None
