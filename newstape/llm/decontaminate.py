@@ -6,10 +6,15 @@ only the words and pairs of neighbouring words that both hold are counted: an al
 after the one before in both texts, has at most 2 * m points, less one for each of its m - 1 - p breaks. Windows whose
 counts allow the threshold are aligned with the whole item; no other window can reach it, so copies are found however
 they are edited and however many documents hold them. The score is the alignment's share of the best possible one.
+
+Of long items passages count as well: an alignment with the points of ``PASSAGE`` matching words is enough, whatever its
+share. Items of more than twice that length are looked for in overlapping pieces of equal length, that much at most, and
+half of a piece is enough: any ``PASSAGE`` words in a row are half of some piece, and so is any half of the item.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +30,8 @@ from newstape.llm.common import fresh, mix, slices, strings_of, words_of
 LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: A copied passage of so many words counts, however small a share of its item it is.
+PASSAGE = 50
 #: Cells of an alignment row that are filled together; items and cells of windows that are counted together.
 ROW_CELLS, ITEM_ROWS, COUNT_CELLS = 1 << 20, 256, 1 << 22
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚–—…·•¡¿"
@@ -60,26 +67,45 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Benchmark(NamedTuple):
-    """Items as sequences of word hashes, the points that an alignment with each must reach, and the windows' step."""
+    """Items as sequences of word hashes, the points that an alignment with each must reach, and how far it extends in
+    a document beyond a piece; the pieces that windows are searched for, their items and points; the windows' step."""
 
     ids: np.ndarray
     items: list[np.ndarray]
     least: np.ndarray
+    reach: np.ndarray
+    pieces: list[np.ndarray]
+    owner: np.ndarray
+    piece_least: np.ndarray
     step: int
 
 
-def benchmark_of(items: DataFrame, threshold: float, n: int) -> Benchmark:
+def benchmark_of(items: DataFrame, threshold: float, n: int, passage: int) -> Benchmark:
     """The items (item_id, item) of ``n`` words or more; an alignment must have ``n`` words' points in any case.
 
-    An alignment of an item's m words that reaches its points has fewer breaks than 2 * m less the points, so it
-    ends within ``step`` words of the document.
+    An alignment of m words that reaches its points has at most 2 * m less the points of breaks, so an item's ends within
+    ``reach`` words of the document (0 if the item is a piece), and a piece's within ``step``.
     """
     rows = items.where(F.size("item") >= n).orderBy("item_id").toArrow()
     words = [np.array(r, np.int64) for r in rows.column("item").to_pylist()]
     sizes = np.array([len(w) for w in words], np.int64)
-    least = np.maximum(np.ceil(threshold * MATCH * sizes - 1e-9), MATCH * n)
-    step = int((sizes + np.maximum(MATCH * sizes - least, 0)).max(initial=1))
-    return Benchmark(rows.column("item_id").to_numpy(), words, least, step)
+    least = np.maximum(np.minimum(np.ceil(threshold * MATCH * sizes - 1e-9), MATCH * passage), MATCH * n)
+    pieces, owner, piece_least = [], [], []
+    for i, item in enumerate(words):
+        halves = 2 * -(-len(item) // (2 * passage))
+        bounds = [k * len(item) // halves for k in range(halves + 1)]
+        for begin, end in zip(bounds, bounds[2:]):
+            pieces.append(item[begin:end])
+            owner.append(i)
+            piece_least.append(least[i] if halves == 2 else math.ceil(min(threshold, 0.5) * MATCH * (end - begin) - 1e-9))
+
+    def span(size: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return (size + np.maximum(MATCH * size - points, 0)).astype(np.int64)
+
+    reach = np.where(sizes > 2 * passage, span(sizes, least), 0)
+    enough = np.array(piece_least, float)
+    step = int(span(np.array([len(x) for x in pieces], np.int64), enough).max(initial=1))
+    return Benchmark(rows.column("item_id").to_numpy(), words, least, reach, pieces, np.array(owner, np.int64), enough, step)
 
 
 def _held(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +120,7 @@ def _held(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(words: np.ndarray, counts: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Text, window and item wherever the words and pairs that a window holds allow an alignment that counts.
+    """Text, window and item wherever the words and pairs that a window holds allow an alignment with a piece that counts.
 
     Window k of a text holds the words from k * step to (k + 2) * step.
     """
@@ -106,8 +132,8 @@ def candidates(words: np.ndarray, counts: np.ndarray, bench: Benchmark) -> Itera
     text = np.concatenate([np.repeat(np.arange(len(counts)), counts), owner])
     step = np.concatenate([place, at]) // bench.step
     texts = np.repeat(np.arange(len(counts)), windows)
-    for lo in range(0, len(bench.items), ITEM_ROWS):
-        known, times = _held(bench.items[lo : lo + ITEM_ROWS])
+    for lo in range(0, len(bench.pieces), ITEM_ROWS):
+        known, times = _held(bench.pieces[lo : lo + ITEM_ROWS])
         code = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         hit = np.flatnonzero(known[code] == keys)
         late, early = np.minimum(step[hit], windows[text[hit]] - 1), np.maximum(step[hit] - 1, 0)
@@ -120,9 +146,9 @@ def candidates(words: np.ndarray, counts: np.ndarray, bench: Benchmark) -> Itera
             held = np.zeros(size * len(known), np.float32)
             held[some - begin * len(known)] = 1
             points = 1 + held.reshape(size, len(known)) @ times
-            window, item = np.nonzero(points >= bench.least[lo : lo + ITEM_ROWS])
-            if len(item):
-                yield texts[begin + window], begin + window - first[texts[begin + window]], lo + item
+            window, piece = np.nonzero(points >= bench.piece_least[lo : lo + ITEM_ROWS])
+            if len(piece):
+                yield texts[begin + window], begin + window - first[texts[begin + window]], bench.owner[lo + piece]
 
 
 def stretches(text: np.ndarray, window: np.ndarray, item: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
@@ -195,6 +221,7 @@ def _alignments(shared):
                     stretch = stretches(*found, counts, bench.step)
                     for lo in range(0, len(stretch[0]), 1000):
                         text, item, begin, end = (x[lo : lo + 1000] for x in stretch)
+                        begin, end = np.maximum(begin - bench.reach[item], 0), np.minimum(end + bench.reach[item], counts[text])
                         bounds = zip(words_begin[text] + begin, words_begin[text] + end)
                         texts = [words[x:y].view(np.int64) for x, y in bounds]
                         items = [bench.items[i] for i in item]
@@ -215,11 +242,13 @@ def _alignments(shared):
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = LEAST_WORDS) -> DataFrame:
+def contaminated(
+    documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = LEAST_WORDS, passage: int = PASSAGE
+) -> DataFrame:
     """(doc_id, text_key, item_id, score, begin, end): items that a document holds, copied or edited.
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text; ``score`` is the best alignment's share of a
-    whole copy's, ``threshold`` at least; begin and end are words of the document. One row for each document and
+    whole copy's, ``threshold`` at least or that of ``passage`` words of the item; begin and end are words of the document. One row for each document and
     item; ``text_key`` (XXH64 of the text) tells rows apart that share a doc_id or have none. Null and empty texts,
     and items of fewer than ``n`` words, have no row; nor have alignments of fewer points than ``n`` words in a row
     have. The benchmark is broadcast, as word hashes.
@@ -230,7 +259,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     items = benchmark.mapInArrow(_items, "item_id long, item array<long>")
     # A plain tuple: broadcast values are unpickled without this package.
-    shared = spark.sparkContext.broadcast(tuple(benchmark_of(items, threshold, n)))
+    shared = spark.sparkContext.broadcast(tuple(benchmark_of(items, threshold, n, passage)))
     best = docs.mapInArrow(_alignments(shared), FOUND).groupBy("doc_id", "text_key", "item_id")
     top = best.agg(F.max(F.struct("score", -F.col("begin"), -F.col("end"))).alias("top"))
     return top.select("doc_id", "text_key", "item_id", "top.score", (-F.col("top.col2")).alias("begin"), (-F.col("top.col3")).alias("end"))

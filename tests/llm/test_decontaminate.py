@@ -92,6 +92,22 @@ def test_every_alignment_that_counts_is_found(spark, frame, texts):
     assert {(r.doc_id, r.item_id): r.score for r in found} == wanted and len(found) == len(wanted)
 
 
+def test_passages_of_long_items(spark, frame, texts):
+    draw, line, _ = texts
+    items = [line(300), line(200), line(101), line(120)]
+    edited = lambda item, step: [draw.choice(WORDS) if i % step == 0 else w for i, w in enumerate(item)]
+    parts = [items[0][130:230], items[1][7:97], items[2][40:90], items[0][:50], items[3][-50:], edited(items[0], 3), edited(items[1], 4)]
+    parts += [items[1][b : b + 50] for b in range(0, 151, 17)]
+    owner = [0, 1, 2, 0, 3, 0, 1] + [1] * len(range(0, 151, 17))
+    clean = [items[0][20:50], items[1][60:80], line(100)]
+    rows = [(n, line(draw.randrange(200)) + x + line(draw.randrange(200))) for n, x in enumerate(parts + clean)]
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(frame([(n, " ".join(x)) for n, x in rows]), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == list(enumerate(owner))
+    for r in found:
+        assert r.score == smith_waterman(items[r.item_id], rows[r.doc_id][1]) / (2 * len(items[r.item_id]))
+
+
 def test_rows_without_id_and_repeated_rows(spark, frame, texts):
     _, line, items = texts
     copy = " ".join(items[0])
