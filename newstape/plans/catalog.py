@@ -259,17 +259,17 @@ def read_bars_csv(spark, d):
 
 @query("read_ticker_csv", sql(f"select {BAR_COLUMNS} from bars", "bars"))
 def read_ticker_csv(spark, d):
-    """One CSV for each ticker, named like it, without a ticker column."""
+    """CSV files of each ticker, named like it, without a ticker column: one from each task that has rows of it."""
     path = scratch(spark, "ticker-csv")
     hadoop = spark._jvm.org.apache.hadoop.fs
     store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    bars = views.bars(spark, d)
+    views.bars(spark, d).write.partitionBy("ticker").option("header", True).csv(f"{path}/parts")
+    store.mkdirs(hadoop.Path(f"{path}/files"))
     for ticker in views.PRIORITIES:
-        part = f"{path}/parts/{ticker.split('-')[0]}"
-        bars.where(F.col("ticker") == ticker).drop("ticker").coalesce(1).write.option("header", True).csv(part)
-        store.mkdirs(hadoop.Path(f"{path}/files"))
-        written = next(f.getPath() for f in store.listStatus(hadoop.Path(part)) if f.getPath().getName().startswith("part-"))
-        store.rename(written, hadoop.Path(f"{path}/files/{ticker}_stock_data.csv"))
+        part = hadoop.Path(f"{path}/parts/ticker={ticker}")
+        written = [f.getPath() for f in store.listStatus(part)] if store.exists(part) else []
+        for number, file in enumerate(f for f in written if f.getName().startswith("part-")):
+            store.rename(file, hadoop.Path(f"{path}/files/{ticker}_stock_data_{number}.csv"))
     return tables.read_ticker_files(spark, f"{path}/files").select(*BAR_COLUMNS.split(", "))
 
 

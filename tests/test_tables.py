@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from newstape.functions.sql import register
+from newstape.plans import catalog
 from newstape.plans.jobs import JobConfig, run_daily_job
 from newstape.sources import tables, views
 
@@ -19,6 +20,18 @@ def test_ticker_files_and_headers(spark, tmp_path):
     ]
 
 
+def test_tickers_are_written_by_several_tasks(spark, sf_dir):
+    option = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(option, "false")
+    try:
+        back = catalog.read_ticker_csv(spark, sf_dir)
+    finally:
+        spark.conf.unset(option)
+    assert len(back.inputFiles()) > len(views.PRIORITIES)
+    bars = views.bars(spark, sf_dir).select(back.columns)
+    assert back.count() == bars.count() and bars.exceptAll(back).count() == 0
+
+
 def test_csv_round_trip(spark, sf_dir, tmp_path):
     bars = views.bars(spark, sf_dir)
     tables.write_table(bars, str(tmp_path / "csv"), partition_by=(), fmt="csv")
