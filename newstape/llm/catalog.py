@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newstape.llm import ann, bpe, decontaminate, lm_scoring, packing, quality, simhash, suffix_dedup, url_filter, warc
+from newstape.llm import ann, bpe, decontaminate, lm_scoring, packing, periodic, quality, simhash, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLES = {
