@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from newstape.llm import ann, bpe, decontaminate, lm_scoring, packing, periodic, quality, simhash, suffix_dedup, url_filter, warc
+from newstape.llm import (
+    ann,
+    bpe,
+    decontaminate,
+    fill_middle,
+    lm_scoring,
+    packing,
+    periodic,
+    quality,
+    simhash,
+    suffix_dedup,
+    url_filter,
+    warc,
+)
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -16,10 +29,12 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_bpe": bpe.op10_bpe,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
 }
 
 ORACLES = {
     "op1_lm_score": lm_scoring.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op12_fill_in_middle": fill_middle.OP12_SQL,
 }
