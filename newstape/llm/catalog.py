@@ -13,6 +13,7 @@ from newstape.llm import (
     quality,
     simhash,
     suffix_dedup,
+    toxicity,
     url_filter,
     warc,
 )
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLES = {

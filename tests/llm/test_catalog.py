@@ -15,4 +15,4 @@ def test_query_equals_its_sql(spark, sf_dir, connection, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES) == list(range(1, len(catalog.QUERIES) + 1))
+    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES) == list(range(1, 14))
