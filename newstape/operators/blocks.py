@@ -56,21 +56,38 @@ def restore_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return df.withColumns({k: F.nullif(F.col(k), F.lit(NULL_KEY)) for k in texts}) if texts else df
 
 
+#: Key of the one series that a table without keys is.
+WHOLE = "_whole"
+
+
 def null_safe(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Wraps an operator over series (first argument: the rows; ``keys``) so that NULL keys keep their rows.
+    """Wraps an operator over series (``keys``) so that NULL keys keep their rows in every table it is given.
 
-    With ``keep_index`` the keys stay filled, as another scan goes on from the same partitioning.
+    Tables that lack a key are left as they are in that key. Without any keys all rows are one series. Keys that came
+    filled (by an operator around this one) stay so, and with ``keep_index`` all do, as another scan goes on from the
+    same partitioning.
     """
     shape = inspect.signature(operator)
 
     @wraps(operator)
-    def run(df: DataFrame, *args, **kw) -> DataFrame:
-        bound = shape.bind(df, *args, **kw)
+    def run(*args, **kw) -> DataFrame:
+        bound = shape.bind(*args, **kw)
         bound.apply_defaults()
-        first = next(iter(shape.parameters))
-        bound.arguments[first] = fill_keys(df, bound.arguments["keys"])
+        given = as_keys(bound.arguments["keys"])
+        whole = not given
+        if whole:
+            bound.arguments["keys"] = [WHOLE]
+        open_keys = set()
+        for name, value in bound.arguments.items():
+            if isinstance(value, DataFrame):
+                rows = value.withColumn(WHOLE, F.lit(0)) if whole else value
+                own = [k for k in given if k in value.columns and value.schema[k].nullable]
+                open_keys |= set(own)
+                bound.arguments[name] = fill_keys(rows, own)
         out = operator(*bound.args, **bound.kwargs)
-        return out if bound.arguments.get("keep_index") else restore_keys(out, bound.arguments["keys"])
+        if whole:
+            return out.drop(WHOLE)
+        return out if bound.arguments.get("keep_index") else restore_keys(out, sorted(open_keys))
 
     return run
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newstape.operators.blocks import COUNT, INDEX, as_keys, fill_keys, position_bucket, restore_keys, row_index
+from newstape.operators.blocks import COUNT, INDEX, as_keys, null_safe, position_bucket, row_index
 
 
 def fill_sentiment(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -23,6 +23,7 @@ def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     return df.na.drop(subset=list(subset) if subset else None)
 
 
+@null_safe
 def join_sentiment(
     bars: DataFrame, daily: DataFrame, keys: str | Sequence[str] = "ticker", fill: bool = True
 ) -> DataFrame:
@@ -52,6 +53,7 @@ def entities_in_range(
     return semi_on(entities, news.where(in_range), link)
 
 
+@null_safe
 def carry_sentiment_asof(
     bars: DataFrame,
     daily: DataFrame,
@@ -66,12 +68,13 @@ def carry_sentiment_asof(
     marker = F.struct(F.col("date").alias("sentiment_date"), *[F.col(c) for c in columns])
     news_rows = daily.select(*keys, "date", F.lit(0).alias("_is_bar"), marker.alias("_seen"))
     bar_rows = bars.withColumn("_is_bar", F.lit(1))
-    both = fill_keys(bar_rows.unionByName(news_rows, allowMissingColumns=True), keys)
+    both = bar_rows.unionByName(news_rows, allowMissingColumns=True)
     filled = row_index(both, keys, ["date", "_is_bar"], fill=["_seen"]).where(F.col("_is_bar") == 1)
     out = filled.withColumns({c: F.col(f"_fill__seen.{c}") for c in ("sentiment_date", *columns)})
-    return restore_keys(out.drop("_is_bar", "_seen", "_fill__seen", INDEX, COUNT), keys)
+    return out.drop("_is_bar", "_seen", "_fill__seen", INDEX, COUNT)
 
 
+@null_safe
 def next_bar_date(
     daily: DataFrame, bars: DataFrame, keys: str | Sequence[str] = "ticker", name: str = "bar_date"
 ) -> DataFrame:
@@ -85,13 +88,14 @@ def next_bar_date(
     bar_rows = bars.select(
         *keys, back.alias("_order"), F.lit(0).alias("_is_news"), F.col("date").alias("_bar")
     )
-    both = fill_keys(news_rows.unionByName(bar_rows, allowMissingColumns=True), keys)
+    both = news_rows.unionByName(bar_rows, allowMissingColumns=True)
     bucket = position_bucket("_order", 366)
     filled = row_index(both, keys, ["_order", "_is_news"], bucket=bucket, fill=["_bar"])
     out = filled.where(F.col("_is_news") == 1).withColumn(name, F.col("_fill__bar"))
-    return restore_keys(out.drop("_order", "_is_news", "_bar", "_fill__bar", INDEX, COUNT), keys)
+    return out.drop("_order", "_is_news", "_bar", "_fill__bar", INDEX, COUNT)
 
 
+@null_safe
 def sentiment_on_next_bar(
     bars: DataFrame, daily: DataFrame, keys: str | Sequence[str] = "ticker"
 ) -> DataFrame:

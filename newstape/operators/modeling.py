@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newstape.operators.backtest import signal_confusion
-from newstape.operators.blocks import as_keys
+from newstape.operators.blocks import as_keys, null_safe
 from newstape.operators.joins import join_sentiment
 from newstape.operators.ordering import best_model, sort_importance, time_series_folds, time_split
 from newstape.operators.series import FEATURES, create_features, label_next_move
@@ -33,6 +33,7 @@ def available_features(df: DataFrame, candidates: Sequence[str] = FEATURE_CANDID
     return [c for c in candidates if c in df.columns]
 
 
+@null_safe
 def standardize(
     df: DataFrame,
     features: Sequence[str],

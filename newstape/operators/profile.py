@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newstape.functions.display import clip_tiny
-from newstape.operators.blocks import as_keys
+from newstape.operators.blocks import as_keys, null_safe
 from newstape.schema import SCORE_COLUMNS
 from newstape.session import cut_lineage
 
@@ -50,6 +50,7 @@ def ols_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = ("ticker",))
     )
 
 
+@null_safe
 def histogram(df: DataFrame, column: str, bins: int = 20, keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Equal-width bins between the smallest and largest finite value; empty bins are listed with 0.
 
@@ -84,6 +85,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, keys: Sequence[str] =
     )
 
 
+@null_safe
 def exact_quantiles(
     df: DataFrame,
     column: str,
@@ -187,6 +189,7 @@ def quantile_name(p: float) -> str:
     return "p" + format(100 * p, "g").replace(".", "_")
 
 
+@null_safe
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of a column."""
     basic = df.groupBy(*keys).agg(
@@ -232,6 +235,7 @@ def class_distribution(df: DataFrame, label: str = "target", keys: Sequence[str]
     return counts.withColumn("share", F.try_divide(F.col("rows"), F.sum("rows").over(whole)))
 
 
+@null_safe
 def majority_class(
     train: DataFrame, test: DataFrame, label: str = "target", keys: Sequence[str] = ("ticker",)
 ) -> DataFrame:

@@ -327,6 +327,7 @@ def date_spine(df: DataFrame, start: Column | str, end: Column | str, name: str
     return df.withColumn(name, F.explode(F.sequence(F.to_date(start), F.to_date(end))))
 
 
+@null_safe
 def trading_day_gaps(df: DataFrame, keys: str | Sequence[str] = "ticker") -> DataFrame:
     """Mondays to Fridays between a ticker's first and last bar that have no bar."""
     keys = as_keys(keys)
@@ -336,6 +337,7 @@ def trading_day_gaps(df: DataFrame, keys: str | Sequence[str] = "ticker") -> Dat
     return days.drop("_from", "_to").join(have, [*keys, "date"], "left_anti")
 
 
+@null_safe
 def gap_summary(df: DataFrame, first: int = 5, keys: str | Sequence[str] = "ticker") -> DataFrame:
     """Number of missing trading days per ticker and the first few of them as text."""
     keys = as_keys(keys)
@@ -360,6 +362,7 @@ def news_window_bounds(
     )
 
 
+@null_safe
 def bars_in_news_window(
     bars: DataFrame, news: DataFrame, keys: str | Sequence[str] = "ticker"
 ) -> DataFrame:

@@ -1914,6 +1914,82 @@ def type_legend(spark, d):
     return network.type_legend(network.entity_nodes(network.entity_counts(ents), 2))
 
 
+#: Bars, daily scores and headlines of the last ticker without it.
+NO_TICKER_SQL = "{0} as (select * replace (case when ticker = '5-LOW' then null else ticker end as ticker) from {1})"
+
+
+def without_ticker(df: DataFrame) -> DataFrame:
+    return df.withColumn("ticker", F.nullif("ticker", F.lit("5-LOW")))
+
+
+@query(
+    "null_ticker_sentiment",
+    sql("select ticker, date, close, round(sentiment_score, 6) as sentiment_score, headline_count from unknown", "joined",
+        extra=NO_TICKER_SQL.format("unknown", "joined")),
+)
+def null_ticker_sentiment(spark, d):
+    out = joins.join_sentiment(without_ticker(views.bars(spark, d)), without_ticker(day_scores(spark, d)))
+    return rounded(out.select("ticker", "date", "close", "sentiment_score", "headline_count"), close=2)
+
+
+@query(
+    "null_ticker_gaps",
+    sql("select nullif(ticker, '5-LOW') as ticker, date from gaps", "bars", extra=GAPS_SQL),
+)
+def null_ticker_gaps(spark, d):
+    return series.trading_day_gaps(without_ticker(views.bars(spark, d)))
+
+
+@query(
+    "null_ticker_window",
+    sql(
+        """select nullif(ticker, '5-LOW') as ticker, date, close from bars
+           join (select ticker, min(date) - 90 as a, max(date) + 5 as b from news group by 1) using (ticker) where date between a and b""",
+        "bars",
+        "news",
+    ),
+)
+def null_ticker_window(spark, d):
+    out = series.bars_in_news_window(without_ticker(views.bars(spark, d)), without_ticker(views.news(spark, d)))
+    return out.select("ticker", "date", "close")
+
+
+@query("null_ticker_histogram", sql(HISTOGRAM_BODY.format(6).replace("select ticker, g.bin", "select nullif(ticker, '5-LOW') as ticker, g.bin"),
+                                    "daily", extra=histogram_sql("sentiment_score", "daily")))
+def null_ticker_histogram(spark, d):
+    return rounded(profile.histogram(without_ticker(day_scores(spark, d)), "sentiment_score"))
+
+
+DESCRIBE_SQL = """count(close) as count, round(avg(close), 3) as mean, round(stddev_samp(close), 3) as std,
+                  min(close) as min, max(close) as max, round(quantile_cont(close, 0.25), 4) as p25,
+                  round(quantile_cont(close, 0.5), 4) as p50, round(quantile_cont(close, 0.75), 4) as p75"""
+
+
+@query("null_ticker_describe", sql(f"select nullif(ticker, '5-LOW') as ticker, {DESCRIBE_SQL} from bars group by 1", "bars"))
+def null_ticker_describe(spark, d):
+    return rounded(profile.describe(without_ticker(views.bars(spark, d)), "close"), 3, min=6, max=6, p25=4, p50=4, p75=4)
+
+
+@query("describe_all", sql(f"select {DESCRIBE_SQL} from bars", "bars"))
+def describe_all(spark, d):
+    """All tickers as one series."""
+    return rounded(profile.describe(views.bars(spark, d), "close", keys=()), 3, min=6, max=6, p25=4, p50=4, p75=4)
+
+
+@query(
+    "null_ticker_first_available",
+    sql(
+        """select nullif(ticker, '5-LOW') as ticker, date, close from bars where ticker > '3' union all
+           select nullif(ticker, '5-LOW'), date, close + 1 from bars where ticker <= '3'""",
+        "bars",
+    ),
+)
+def null_ticker_first_available(spark, d):
+    bars = without_ticker(views.bars(spark, d))
+    out = tables.first_available(bars.where("ticker > '3' or ticker is null"), bars.withColumn("close", F.col("close") + 1))
+    return out.select("ticker", "date", "close")
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 MODEL_FEATURES = ("open", "high", "low", "close", "volume")
@@ -1940,6 +2016,20 @@ def standardize(spark, d):
     return rounded(out.select("ticker", "date", *MODEL_FEATURES))
 
 
+@query(
+    "null_ticker_standardize",
+    sql(
+        "select nullif(ticker, '5-LOW') as ticker, date, " + ", ".join(z_sql(c) for c in MODEL_FEATURES) + " from split",
+        "bars",
+        extra=SPLIT_SQL,
+    ),
+)
+def null_ticker_standardize(spark, d):
+    split = ordering.time_split(without_ticker(views.bars(spark, d)))
+    out = modeling.standardize(split, MODEL_FEATURES, fit_on=F.col("role") == "train")
+    return rounded(out.select("ticker", "date", *MODEL_FEATURES))
+
+
 @query(
     "prepare_data",
     sql(

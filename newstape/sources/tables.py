@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newstape.functions.dates import in_date_range
+from newstape.operators.blocks import fill_keys, restore_keys
 from newstape.schema import BARS, NEWS
 
 
@@ -92,8 +93,9 @@ def list_datasets(bars: DataFrame, *sentiment: DataFrame) -> DataFrame:
 
 
 def first_available(first: DataFrame, second: DataFrame, key: str = "ticker") -> DataFrame:
-    """All rows of ``first``, and those of ``second`` for tickers that ``first`` lacks."""
-    rest = second.join(first.select(key).distinct(), key, "left_anti")
+    """All rows of ``first``, and those of ``second`` for tickers that ``first`` lacks. NULL is a ticker like any other."""
+    known = fill_keys(first.select(key), key).distinct()
+    rest = restore_keys(fill_keys(second, key).join(known, key, "left_anti").select(second.columns), key)
     return first.unionByName(rest, allowMissingColumns=True)
 
 
