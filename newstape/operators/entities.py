@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newstape.functions.text import clean_text_light
+from newstape.operators.gazetteer import AUTOMATON_NAMES, hits, small_gazetteer, word_form
 from newstape.schema import ENTITY_TEXT_COLUMNS, pick_column
 
 # Entity types that are kept (fixed values).
@@ -59,22 +60,48 @@ def pattern_entities(df: DataFrame, ids: list[str], text: str) -> DataFrame:
 
 
 def gazetteer_entities(
-    df: DataFrame, gazetteer: DataFrame, ids: list[str], text: str, patterns: bool = False
+    df: DataFrame,
+    gazetteer: DataFrame,
+    ids: list[str],
+    text: str,
+    patterns: bool = False,
+    most: int = AUTOMATON_NAMES,
 ) -> DataFrame:
     """Gazetteer names (``entity, entity_type``) that occur in the text as runs of whole words, of any
     length; with ``patterns`` the pattern hits as well, from the same reading of the texts.
 
-    A name is looked for by its first two words (or its only one). Each text sends its distinct words
-    and word pairs to an equality join with the names, and itself along as one more element that no
-    name matches; names that share the words are then compared with the whole text. Spark broadcasts
-    the gazetteer if it is small and may split hot words if it is not.
+    Names and texts are compared in word form, so marks inside and around names do not matter, and
+    nested and overlapping names are all found; names without a word never match. Up to ``most`` names
+    make an automaton that reads each text once, more are joined with the texts' first words; both ways
+    find the same.
+    """
+    names = small_gazetteer(gazetteer, most)
+    if names is None:
+        return _joined_entities(df, gazetteer, ids, text, patterns)
+    read = df.select(*ids, _own_patterns(text, patterns).alias("_found"), word_form(text).alias("_form"))
+    named = hits(read, names)
+    order = F.lit(len(PATTERNS))
+    there = F.transform("_names", lambda e: F.struct(e["entity"].alias("entity"), e["entity_type"].alias("entity_type"), order.alias("_order")))
+    both = F.concat(F.coalesce("_found", F.array().cast(f"array<struct<{_HIT}>>")), there.cast(f"array<struct<{_HIT}>>"))
+    return named.select(*ids, F.inline(both))
+
+
+def _own_patterns(text: str, patterns: bool) -> Column:
+    return (_pattern_matches(clean_text_light(text)) if patterns else F.lit(None)).cast(f"array<struct<{_HIT}>>")
+
+
+def _joined_entities(df: DataFrame, gazetteer: DataFrame, ids: list[str], text: str, patterns: bool) -> DataFrame:
+    """Names of a large gazetteer, looked for by their first two words (or the only one).
+
+    Each text sends its distinct words and word pairs to an equality join with the names, and itself
+    along as one more element that no name matches; names that share the words are then compared with the
+    whole text. Spark may split hot words.
     """
-    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}&' -]+", " ")
     numbered = df.select(
         F.monotonically_increasing_id().alias("_row"),
         *ids,
-        (_pattern_matches(clean_text_light(text)) if patterns else F.lit(None)).cast(f"array<struct<{_HIT}>>").alias("_found"),
-        F.filter(F.split(plain, " "), lambda w: w != "").alias("_words"),
+        _own_patterns(text, patterns).alias("_found"),
+        F.filter(F.split(word_form(text), " "), lambda w: w != "").alias("_words"),
     )
     numbered = numbered.select(
         "_row",
@@ -86,14 +113,15 @@ def gazetteer_entities(
     pairs = F.transform("_words", lambda w, i: F.concat_ws(" ", w, F.get("_words", i + 1)))
     heads = F.transform(F.array_distinct(F.concat("_words", pairs)), lambda w: F.struct(w.alias("_head"), nothing.alias("_whole")))
     spread = numbered.select("_row", F.inline(F.concat(F.array(own), heads)))
-    parts = F.split("entity", " ")
-    names = gazetteer.where("entity is not null").select("entity", "entity_type", F.array_join(F.slice(parts, 1, 2), " ").alias("_head"))
+    formed = gazetteer.where("entity is not null").select("entity", "entity_type", word_form("entity").alias("_form")).where("_form <> ''")
+    names = formed.withColumn("_head", F.array_join(F.slice(F.split("_form", " "), 1, 2), " "))
     met = spread.join(names, "_head", "left").where(F.col("entity").isNotNull() | F.col("_whole").isNotNull())
-    hit = F.when(F.col("entity").isNotNull(), F.struct("entity", "entity_type", F.lit(len(PATTERNS)).alias("_order")))
+    hit = F.when(F.col("entity").isNotNull(), F.struct("entity", "entity_type", F.lit(len(PATTERNS)).alias("_order"), "_form"))
     grouped = met.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), F.collect_list(hit).alias("_names"))
     rows = grouped.select("_whole.*", "_names")
-    there = F.filter("_names", lambda e: F.contains(F.col("_plain"), F.concat(F.lit(" "), e["entity"], F.lit(" "))))
-    both = F.concat(F.coalesce("_found", F.array().cast(f"array<struct<{_HIT}>>")), there.cast(f"array<struct<{_HIT}>>"))
+    there = F.filter("_names", lambda e: F.contains(F.col("_plain"), F.concat(F.lit(" "), e["_form"], F.lit(" "))))
+    plain = F.transform(there, lambda e: F.struct(e["entity"].alias("entity"), e["entity_type"].alias("entity_type"), e["_order"].alias("_order")))
+    both = F.concat(F.coalesce("_found", F.array().cast(f"array<struct<{_HIT}>>")), plain.cast(f"array<struct<{_HIT}>>"))
     return rows.select(*ids, F.inline(both))
 
 

@@ -838,6 +838,46 @@ def extract_entities_long_names(spark, d):
     return entities.extract_entities(views.texts(spark, d), gazetteer=names.distinct(), keep=("ticker", "date"))
 
 
+# The same names as they stand in the items, with all their marks, and pieces of them that overlap.
+MARKED_SQL = LONG_NAMES_SQL.replace(
+    LONG_NAMES_SQL[: LONG_NAMES_SQL.index("light as")],
+    r"""
+raws as (select item_id, string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as l from benchmark),
+gaz as (select distinct entity, entity_type, trim(regexp_replace(entity, '[^\p{L}\p{N}&''-]+', ' ', 'g')) as form from (
+          select array_to_string(l[1:1 + item_id % 6], ' ') as entity, 'ORG' as entity_type from raws union all
+          select array_to_string(l[2:4], ' ') || '.', 'GPE' from raws union all
+          select '"' || array_to_string(l[3:5], ' ') || '!"', 'PERSON' from raws)),
+""",
+).replace("contains(plain, ' ' || entity || ' ')", "form <> '' and contains(plain, ' ' || form || ' ')")
+
+
+@query(
+    "extract_entities_with_marks",
+    sql(
+        """select doc_id, ticker, date, entity, entity_type from (
+             select *, row_number() over (partition by doc_id, entity order by o desc, entity_type desc) as r
+             from found where length(entity) >= 2) where r = 1""",
+        "news",
+        extra=MARKED_SQL,
+    ),
+)
+def extract_entities_with_marks(spark, d):
+    """Names with dots, quotes and other marks, nested and overlapping."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    items = views.table(spark, d, "benchmark").select("item_id", words.alias("l"))
+
+    def part(entity, kind):
+        return items.select(entity.alias("entity"), F.lit(kind).alias("entity_type"))
+
+    def piece(start, size):
+        return F.array_join(F.slice("l", F.lit(start), size), " ")
+
+    names = part(piece(1, (F.col("item_id") % 6 + 1).cast("int")), "ORG")
+    names = names.union(part(F.concat(piece(2, F.lit(3)), F.lit(".")), "GPE"))
+    names = names.union(part(F.concat(F.lit('"'), piece(3, F.lit(3)), F.lit('!"')), "PERSON"))
+    return entities.extract_entities(views.texts(spark, d), gazetteer=names.distinct(), keep=("ticker", "date"))
+
+
 @query(
     "entity_type_counts",
     sql("select entity_type, count(*) as occurrences from ents group by 1", "news", extra=EXTRACT_SQL),
