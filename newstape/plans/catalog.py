@@ -2727,18 +2727,50 @@ def stream_daily(spark, d):
     return rounded(streams.run_once(scores, scratch(spark, "daily"), "update", ["ticker", "date"]))
 
 
+WEEK_SQL = sql(
+    """select ticker, cast(d as date) as date, round(avg(sentiment_compound), 6) as sentiment_score, count(headline) as headline_count
+       from scored, (select unnest(range(7)) as k) join_days, lateral (select scored.date - cast(k as int) as d) group by 1, 2""",
+    "scored",
+)
+
+
+@query("stream_week", WEEK_SQL)
+def stream_week(spark, d):
+    """Seven days that slide by one, from stored day panes."""
+    rows = streams.stream_scores(news_stream(spark, d), views.WORD_VALENCES, finance=False)
+    return rounded(streams.stream_window_sentiment(rows, scratch(spark, "week"), 7))
+
+
+@query("window_sentiment", WEEK_SQL)
+def window_sentiment(spark, d):
+    """The same windows as a batch report."""
+    return rounded(streams.window_sentiment(scored(spark, d), 7))
+
+
+ORDERS_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
 @query(
-    "stream_week",
+    "stream_join_streams",
     sql(
-        """select ticker, cast(d as date) as date, round(avg(sentiment_compound), 6) as sentiment_score, count(headline) as headline_count
-           from scored, (select unnest(range(7)) as k) join_days, lateral (select scored.date - cast(k as int) as d) group by 1, 2""",
-        "scored",
+        """select o_orderpriority as ticker, o_orderkey, round(o_totalprice, 2) as close, cast(o_orderdate as date) as date,
+                  round(coalesce(sentiment_score, 0), 6) as sentiment_score, coalesce(headline_count, 0) as headline_count
+           from orders left join daily on daily.ticker = o_orderpriority and daily.date = cast(o_orderdate as date)
+           where cast(o_orderdate as date) + interval 1 day
+                 <= least((select max(o_orderdate) from orders), (select max(date)::timestamp from news)) - interval 36 hours""",
+        "daily",
     ),
 )
-def stream_week(spark, d):
+def stream_join_streams(spark, d):
+    """Every streamed order price with the streamed headlines of its day, as far as the watermark has come."""
+    raw = streams.stream_files(spark, d, ORDERS_SCHEMA, name_filter="orders.parquet")
+    prices = raw.select(
+        F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderkey", F.col("o_totalprice").alias("close")
+    )
     rows = streams.stream_scores(news_stream(spark, d), views.WORD_VALENCES, finance=False)
-    scores = streams.stream_daily_sentiment(rows, size="7 days", slide="1 day").drop("sentiment_category")
-    return rounded(streams.run_once(scores, scratch(spark, "week"), "update", ["ticker", "date"]))
+    joined_rows = streams.stream_join_streams(prices, rows.select("ticker", "ts", "headline", "sentiment_compound"), "36 hours")
+    out = streams.run_once(joined_rows, scratch(spark, "joined-streams"))
+    return rounded(out.select("ticker", "o_orderkey", "close", "date", "sentiment_score", "headline_count"), close=2)
 
 
 @query("stream_bars", sql(TICK_BARS.format("1 day"), "ticks"))
@@ -2783,6 +2815,27 @@ def stream_ema_query(spark, d):
     return rounded(out.select("ticker", "event_id", "ema12"))
 
 
+@query(
+    "stream_ema_state",
+    sql(
+        """select ticker, event_id, round(e, 6) as ema12 from e join s using (ticker, i)
+           where time_bucket(interval 6 hours, ts) + interval 6 hours <= (select max(ts) from ticks) - interval 1 hour""",
+        "ticks",
+        recursive=True,
+        extra="""s as (select ticker, event_id, ts, price, row_number() over (partition by ticker order by ts, event_id) as i from ticks),
+                 e as (select ticker, i, price as e from s where i = 1 union all
+                       select s.ticker, s.i, s.price * (2::double / 13) + e.e * (11::double / 13)
+                       from e join s on s.ticker = e.ticker and s.i = e.i + 1)""",
+    ),
+)
+def stream_ema_state(spark, d):
+    """Averages carried in the state store, as far as the watermark has come."""
+    spans = {"ema12": 12}
+    carries = stream_ema.stream_carries(tick_stream(spark, d), scratch(spark, "carries"), spans, slot="6 hours")
+    rows = views.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return rounded(stream_ema.averages_of_slots(rows, carries, spans, slot="6 hours").select("ticker", "event_id", "ema12"))
+
+
 SESSIONS_SQL = """
 g as (select ticker, ts, case when ts - lag(ts) over w <= interval 30 minute then 0 else 1 end as fresh from ticks
       window w as (partition by ticker order by ts)),

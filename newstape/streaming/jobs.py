@@ -95,6 +95,60 @@ def stream_daily_sentiment(
     )
 
 
+def day_panes(scored: DataFrame, ts: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Sum and count of the scores and number of headlines per ticker and day: what any window of whole days is made of.
+
+    On a stream (``ts``) the days are kept until the watermark has passed them; in batch ``date`` is the day.
+    """
+    rows = scored.withWatermark(ts, delay) if ts else scored
+    day = F.window(ts, "1 day").alias("_w") if ts else F.col("date")
+    panes = rows.groupBy("ticker", day).agg(
+        F.sum("sentiment_compound").alias("_sum"), F.count("sentiment_compound").alias("_n"), F.count("headline").alias("_headlines")
+    )
+    return panes.withColumn("date", F.col("_w.start").cast("date")).drop("_w") if ts else panes
+
+
+def windows_of_panes(panes: DataFrame, days: int = 7) -> DataFrame:
+    """Means of every window of ``days`` days that holds a headline, by its first day (``date``).
+
+    Only panes are copied, one row per ticker and day, never headlines.
+    """
+    starts = F.sequence(F.date_sub("date", days - 1), F.col("date"))
+    spread = panes.select("ticker", F.explode(starts).alias("date"), "_sum", "_n", "_headlines")
+    return spread.groupBy("ticker", "date").agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("sentiment_score"), F.sum("_headlines").alias("headline_count")
+    )
+
+
+def window_sentiment(scored: DataFrame, days: int = 7) -> DataFrame:
+    """The sliding window as a batch report."""
+    return windows_of_panes(day_panes(scored), days)
+
+
+def stream_window_sentiment(scored: DataFrame, out: str, days: int = 7, delay: str = "1 day", ts: str = "ts") -> DataFrame:
+    """The sliding window over a stream: it stores day panes (update mode), windows are made from the stored ones."""
+    return windows_of_panes(run_once(day_panes(scored, ts, delay), out, "update", ["ticker", "date"]), days)
+
+
+def stream_join_streams(bars: DataFrame, scored: DataFrame, delay: str = "1 day", news_delay: str | None = None, ts: str = "ts") -> DataFrame:
+    """Streamed bars with the streamed headlines of their day: one row per bar, with 0 where there is no news.
+
+    Both sides wait in state until the watermark, the older of the two, has passed their day; then bars come out, matched
+    or not, and the state goes. Rows that come later than that are left out on either side.
+    """
+    daily = (
+        scored.withWatermark(ts, news_delay or delay)
+        .groupBy(F.col("ticker").alias("_ticker"), F.window(ts, "1 day").alias("_day"))
+        .agg(F.avg("sentiment_compound").alias("sentiment_score"), F.count("headline").alias("headline_count"))
+    )
+    dated = bars.withWatermark(ts, delay).withColumn("_w", F.window(ts, "1 day"))
+    same = F.col("ticker").eqNullSafe(F.col("_ticker")) & (F.col("_w") == F.col("_day"))
+    joined = dated.join(daily, same, "left_outer")
+    kept = [c for c in bars.columns if c != ts]
+    added = ["sentiment_score", "headline_count"]
+    return fill_sentiment(joined.select(*kept, F.col("_w.start").cast("date").alias("date"), *added), added)
+
+
 def stream_bars(ticks: DataFrame, interval: str = "1 day", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Open / high / low / close / volume per interval of event time."""
     at = tick_order(ts)
