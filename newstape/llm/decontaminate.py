@@ -1,20 +1,25 @@
-"""Benchmark decontamination: a bound on every alignment's score, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment decides.
 
-Documents and benchmark items are sequences of plain words (lower case, without marks at their ends). Documents are
-looked through in overlapping windows, so wide that any alignment that counts lies within one. Of a window and an item
-only the words and pairs of neighbouring words that both hold are counted: an alignment of m words, p of them right
-after the one before in both texts, has at most 2 * m points, less one for each of its m - 1 - p breaks. Windows whose
-counts allow the threshold are aligned with the whole item; no other window can reach it, so copies are found however
-they are edited and however many documents hold them. The score is the alignment's share of the best possible one.
+Documents and benchmark items are sequences of plain words (lower case, without marks at their ends). Their units are
+words and pairs of neighbouring words. An alignment of m words, p of them right after the one before in both texts, has
+at most 2 * m points, less one for each of its m - 1 - p breaks: to reach T points it must share m + p >= T - 1 of the
+2 * L - 1 units of an item of L words. So of any 2 * L - T + k units it shares k. The seeds of an item are its so many
+rarest units by their frequency in all documents; a passage that holds fewer than k of them cannot reach the threshold,
+however it was edited, and one that holds k is aligned with the item. Frequent units seed nothing they need not.
+
+Documents are looked through in overlapping windows, so wide that any alignment that counts lies within one; items of
+similar length share a width. The score is the alignment's share of the best possible one.
 
 Of long items passages count as well: an alignment with the points of ``PASSAGE`` matching words is enough, whatever its
-share. Items of more than twice that length are looked for in overlapping pieces of equal length, that much at most, and
-half of a piece is enough: any ``PASSAGE`` words in a row are half of some piece, and so is any half of the item.
+share. Items of more than ``WHOLE`` words are looked for in pieces of that length at most, which overlap by half: any
+alignment that counts within half a piece of the item is found.
+
+The benchmark is dealt into parts of about ``PART_WORDS`` words by a hash. A part's seeds travel with the tasks, and the documents are
+read once for each part: one of bounded size is broadcast, whatever the benchmark's.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.llm.common import fresh, mix, slices, strings_of, words_of
+from newstape.llm.common import give_back, mix, slices, strings_of, words_of
+from newstape.session import cut_lineage
 
 #: Words of the shortest item and the shortest copy.
 LEAST_WORDS = 3
@@ -32,8 +38,14 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: A copied passage of so many words counts, however small a share of its item it is.
 PASSAGE = 50
-#: Cells of an alignment row that are filled together; items and cells of windows that are counted together.
-ROW_CELLS, ITEM_ROWS, COUNT_CELLS = 1 << 20, 256, 1 << 22
+#: Words of the longest item that is looked for as a whole.
+WHOLE = 300
+#: Seeds that a passage must hold, of items of up to twice ``PASSAGE`` words; of longer ones half the units it must share.
+LEAST_SEEDS = 4
+#: Words of the benchmark that travel at once, about.
+PART_WORDS = 1_000_000
+#: Cells of an alignment row that are filled together, and text bytes that are searched together.
+ROW_CELLS, BATCH_BYTES = 1 << 19, 1 << 20
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚–—…·•¡¿"
 
 
@@ -59,96 +71,155 @@ def grams_of(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return gram, text, place
 
 
+def units_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and pairs of all texts: hash, text, and the place of the (first) word in its text."""
+    pairs, owner, at = grams_of(words, counts, 2)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    return np.concatenate([words, pairs]), np.concatenate([text, owner]), np.concatenate([place, at])
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, counts = plain_words(strings_of(batch.column(1)))
+        words, counts = plain_words(strings_of(batch.column("text")))
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        yield pa.record_batch({"item_id": batch.column(0), "item": pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))})
+        lists = pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))
+        yield pa.record_batch({"item_id": batch.column("item_id"), "item_key": batch.column("item_key"), "item": lists})
+
+
+class Seeds(NamedTuple):
+    """Pieces of similar length: ``units`` (ascending) seed ``pieces[starts[i]:starts[i + 1]]``, each ``times``; windows move by ``step``."""
+
+    step: int
+    units: np.ndarray
+    starts: np.ndarray
+    pieces: np.ndarray
+    times: np.ndarray
 
 
 class Benchmark(NamedTuple):
-    """Items as sequences of word hashes, the points that an alignment with each must reach, and how far it extends in
-    a document beyond a piece; the pieces that windows are searched for, their items and points; the windows' step."""
+    """Items as sequences of word hashes, the points that an alignment with each must reach, and how far it extends in a
+    document beyond a piece; of the pieces their item and how many seeds a window must hold; ``seeds`` by length."""
 
-    ids: np.ndarray
+    ids: list
+    keys: np.ndarray
     items: list[np.ndarray]
     least: np.ndarray
     reach: np.ndarray
-    pieces: list[np.ndarray]
     owner: np.ndarray
-    piece_least: np.ndarray
-    step: int
+    needed: np.ndarray
+    seeds: list
 
 
-def benchmark_of(items: DataFrame, threshold: float, n: int, passage: int) -> Benchmark:
-    """The items (item_id, item) of ``n`` words or more; an alignment must have ``n`` words' points in any case.
+def _span(size, points):
+    """Words that an alignment with so many points takes of the other text at most."""
+    return (size + np.maximum(MATCH * size - points, 0)).astype(np.int64)
 
-    An alignment of m words that reaches its points has at most 2 * m less the points of breaks, so an item's ends within
-    ``reach`` words of the document (0 if the item is a piece), and a piece's within ``step``.
-    """
-    rows = items.where(F.size("item") >= n).orderBy("item_id").toArrow()
-    words = [np.array(r, np.int64) for r in rows.column("item").to_pylist()]
-    sizes = np.array([len(w) for w in words], np.int64)
-    least = np.maximum(np.minimum(np.ceil(threshold * MATCH * sizes - 1e-9), MATCH * passage), MATCH * n)
-    pieces, owner, piece_least = [], [], []
-    for i, item in enumerate(words):
-        halves = 2 * -(-len(item) // (2 * passage))
-        bounds = [k * len(item) // halves for k in range(halves + 1)]
-        for begin, end in zip(bounds, bounds[2:]):
-            pieces.append(item[begin:end])
-            owner.append(i)
-            piece_least.append(least[i] if halves == 2 else math.ceil(min(threshold, 0.5) * MATCH * (end - begin) - 1e-9))
-
-    def span(size: np.ndarray, points: np.ndarray) -> np.ndarray:
-        return (size + np.maximum(MATCH * size - points, 0)).astype(np.int64)
-
-    reach = np.where(sizes > 2 * passage, span(sizes, least), 0)
-    enough = np.array(piece_least, float)
-    step = int(span(np.array([len(x) for x in pieces], np.int64), enough).max(initial=1))
-    return Benchmark(rows.column("item_id").to_numpy(), words, least, reach, pieces, np.array(owner, np.int64), enough, step)
-
-
-def _held(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words and pairs of items, ascending, and how often each item (column) has them."""
-    counts = np.array([len(i) for i in items], np.int64)
-    words = np.concatenate(items).view(np.uint64)
-    pairs, owner, _ = grams_of(words, counts, 2)
-    keys, code = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-    column = np.concatenate([np.repeat(np.arange(len(items)), counts), owner])
-    times = np.bincount(code * len(items) + column, minlength=len(keys) * len(items))
-    return keys, times.reshape(len(keys), len(items)).astype(np.float32)
-
-
-def candidates(words: np.ndarray, counts: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Text, window and item wherever the words and pairs that a window holds allow an alignment with a piece that counts.
+
+def pieces_of(size: int) -> list[tuple[int, int]]:
+    """Bounds of the pieces of an item: all of it, or overlapping parts of equal length."""
+    halves = 1 if size <= WHOLE else 2 * -(-size // WHOLE)
+    if halves == 1:
+        return [(0, size)]
+    bounds = [k * size // halves for k in range(halves + 1)]
+    return list(zip(bounds, bounds[2:]))
+
+
+def _frequencies(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part in slices(batch, 0, BATCH_BYTES):
+                units, _, _ = units_of(*plain_words(strings_of(part.column(0))))
+                code = np.minimum(np.searchsorted(known, units), len(known) - 1)
+                code, n = np.unique(code[known[code] == units], return_counts=True)
+                yield pa.record_batch({"unit": pa.array(known[code].view(np.int64)), "n": pa.array(n)})
+            give_back()
+
+    return run
+
+
+def frequencies(documents: DataFrame, units: np.ndarray) -> np.ndarray:
+    """How often the documents hold each unit (ascending), copies included; one row a unit reaches the driver."""
+    shared = documents.sparkSession.sparkContext.broadcast(units)
+    found = documents.select("text").mapInArrow(_frequencies(shared), "unit long, n long")
+    rows = found.groupBy("unit").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(units), np.int64)
+    total[np.searchsorted(units, rows.column("unit").to_numpy().view(np.uint64))] = rows.column("n").to_numpy()
+    return total
+
+
+def benchmark_of(rows: pa.Table, documents: DataFrame, threshold: float, n: int, passage: int) -> Benchmark:
+    """The items (item_id, item_key, item) of one part, with their seeds; an alignment must have ``n`` words' points in any case."""
+    items = [np.array(r, np.int64) for r in rows.column("item").to_pylist()]
+    sizes = np.array([len(w) for w in items], np.int64)
+    least = np.maximum(np.minimum(np.ceil(threshold * MATCH * sizes - 1e-9), MATCH * passage), MATCH * n).astype(np.int64)
+    parts = [(i, begin, end) for i, size in enumerate(sizes.tolist()) for begin, end in pieces_of(size)]
+    owner = np.array([i for i, _, _ in parts], np.int64)
+    words = [items[i][begin:end].view(np.uint64) for i, begin, end in parts]
+    counts = np.array([len(w) for w in words], np.int64)
+    units, piece, _ = units_of(np.concatenate(words), counts)
+    known, code = np.unique(units, return_inverse=True)
+    common = frequencies(documents, known)
+    shared = least[owner] - 1  # units that an alignment that counts must share
+    needed = np.minimum(np.where(counts <= 2 * passage, LEAST_SEEDS, (shared + 1) // 2), shared)
+    # The rarest units of each piece, all but shared - needed of them.
+    order = np.lexsort((code, common[code], piece))
+    per_piece = np.bincount(piece, minlength=len(words))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(per_piece) - per_piece, per_piece)
+    chosen = order[rank < (per_piece - shared + needed)[piece[order]]]
+    span = _span(counts, least[owner])
+    width = np.ceil(np.log2(np.maximum(span, 1))).astype(np.int64)
+    seeds = []
+    for w in np.unique(width):
+        own = chosen[width[piece[chosen]] == w]
+        pair, times = np.unique(code[own] * len(words) + piece[own], return_counts=True)
+        some, starts = np.unique(pair // len(words), return_index=True)
+        step = int(span[width == w].max())
+        seeds.append(tuple(Seeds(step, known[some], np.append(starts, len(pair)), pair % len(words), times)))
+    reach = np.where(sizes > WHOLE, _span(sizes, least), 0)
+    return Benchmark(rows.column("item_id").to_pylist(), rows.column("item_key").to_numpy(), items, least, reach, owner, needed, seeds)
+
+
+def benchmark_parts(documents: DataFrame, benchmark: DataFrame, threshold: float, n: int, passage: int) -> Iterator[Benchmark]:
+    """The benchmark's distinct rows of ``n`` words or more, part by part; rows without id or with equal ids stay apart."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    keyed = rows.select("item_id", F.xxhash64("text").alias("item_key"), "text")
+    items = cut_lineage(keyed.mapInArrow(_items, "item_id long, item_key long, item array<long>").where(F.size("item") >= n))
+    words = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    parts = -(-words // PART_WORDS)
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "item_key"), F.lit(parts)) == part).orderBy("item_id", "item_key").toArrow()
+        if own.num_rows:
+            yield benchmark_of(own, documents, threshold, n, passage)
+
+
+def candidates(
+    words: np.ndarray, counts: np.ndarray, seeds: Seeds, owner: np.ndarray, needed: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, window and item wherever a window holds as many seeds of a piece as an alignment that counts must share.
 
     Window k of a text holds the words from k * step to (k + 2) * step.
     """
-    windows = np.where(counts > 0, np.maximum(-(-counts // bench.step) - 1, 1), 0)
+    windows = np.where(counts > 0, np.maximum(-(-counts // seeds.step) - 1, 1), 0)
     first = np.cumsum(windows) - windows
-    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    pairs, owner, at = grams_of(words, counts, 2)
-    keys = np.concatenate([words, pairs])
-    text = np.concatenate([np.repeat(np.arange(len(counts)), counts), owner])
-    step = np.concatenate([place, at]) // bench.step
-    texts = np.repeat(np.arange(len(counts)), windows)
-    for lo in range(0, len(bench.pieces), ITEM_ROWS):
-        known, times = _held(bench.pieces[lo : lo + ITEM_ROWS])
-        code = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = np.flatnonzero(known[code] == keys)
-        late, early = np.minimum(step[hit], windows[text[hit]] - 1), np.maximum(step[hit] - 1, 0)
-        row = np.concatenate([first[text[hit]] + late, first[text[hit]] + np.minimum(early, late)])
-        cell = np.unique(row * len(known) + np.concatenate([code[hit], code[hit]]))
-        rows = max(1, COUNT_CELLS // len(known))
-        for begin in range(0, len(texts), rows):
-            size = min(rows, len(texts) - begin)
-            some = cell[slice(*np.searchsorted(cell, [begin * len(known), (begin + size) * len(known)]))]
-            held = np.zeros(size * len(known), np.float32)
-            held[some - begin * len(known)] = 1
-            points = 1 + held.reshape(size, len(known)) @ times
-            window, piece = np.nonzero(points >= bench.piece_least[lo : lo + ITEM_ROWS])
-            if len(piece):
-                yield texts[begin + window], begin + window - first[texts[begin + window]], bench.owner[lo + piece]
+    units, text, place = units_of(words, counts)
+    code = np.minimum(np.searchsorted(seeds.units, units), len(seeds.units) - 1)
+    hit = np.flatnonzero(seeds.units[code] == units)
+    code, text, step = code[hit], text[hit], place[hit] // seeds.step
+    late = np.minimum(step, windows[text] - 1)
+    early = np.minimum(np.maximum(step - 1, 0), late)
+    row = np.concatenate([first[text] + late, first[text] + early])
+    held = np.unique(row * len(seeds.units) + np.concatenate([code, code]))
+    row, code = held // len(seeds.units), held % len(seeds.units)
+    # Each seed that a window holds meets the pieces that it seeds.
+    many = np.diff(seeds.starts)[code]
+    at = np.repeat(seeds.starts[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    pair, place = np.unique(np.repeat(row, many) * len(owner) + seeds.pieces[at], return_inverse=True)
+    enough = np.bincount(place, weights=seeds.times[at], minlength=len(pair)) >= needed[pair % len(owner)]
+    row, piece = pair[enough] // len(owner), pair[enough] % len(owner)
+    texts = np.searchsorted(first + windows, row, side="right")
+    return texts, row - first[texts], owner[piece]
 
 
 def stretches(text: np.ndarray, window: np.ndarray, item: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
@@ -207,37 +278,47 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return score, begin, end
 
 
-FOUND = "doc_id long, text_key long, item_id long, score double, begin long, end long"
+FOUND = "doc_id long, text_key long, item_id long, item_key long, score double, begin long, end long"
+
+
+def found_in(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text, item, points, begin and end (words of the text) of all alignments that count."""
+    words, counts = plain_words(texts)
+    words_begin = np.cumsum(counts) - counts
+    for given in bench.seeds:
+        seeds = Seeds(*given)
+        near = candidates(words, counts, seeds, bench.owner, bench.needed)
+        if not len(near[0]):
+            continue
+        stretch = stretches(*near, counts, seeds.step)
+        for lo in range(0, len(stretch[0]), 1000):
+            text, item, begin, end = (x[lo : lo + 1000] for x in stretch)
+            begin, end = np.maximum(begin - bench.reach[item], 0), np.minimum(end + bench.reach[item], counts[text])
+            passages = [words[x:y].view(np.int64) for x, y in zip(words_begin[text] + begin, words_begin[text] + end)]
+            points, first, last = align([bench.items[i] for i in item], passages)
+            good = points >= bench.least[item]
+            yield text[good], item[good], points[good], (begin + first)[good], (begin + last)[good]
 
 
 def _alignments(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(*shared.value)
         for batch in batches:
-            for part in slices(batch, 1):
-                words, counts = plain_words(strings_of(part.column(1)))
-                words_begin = np.cumsum(counts) - counts
-                for found in candidates(words, counts, bench):
-                    stretch = stretches(*found, counts, bench.step)
-                    for lo in range(0, len(stretch[0]), 1000):
-                        text, item, begin, end = (x[lo : lo + 1000] for x in stretch)
-                        begin, end = np.maximum(begin - bench.reach[item], 0), np.minimum(end + bench.reach[item], counts[text])
-                        bounds = zip(words_begin[text] + begin, words_begin[text] + end)
-                        texts = [words[x:y].view(np.int64) for x, y in bounds]
-                        items = [bench.items[i] for i in item]
-                        points, first, last = align(items, texts)
-                        good = points >= bench.least[item]
-                        text, item, begin = text[good], item[good], begin[good]
-                        keys = [xxhash.xxh64_intdigest((part.column(1)[t].as_py() or "").encode(), 42) for t in text.tolist()]
-                        whole = np.array([MATCH * len(bench.items[i]) for i in item], float)
-                        yield pa.record_batch(
-                            {
-                                "doc_id": part.column(0).take(pa.array(text)),
-                                "text_key": pa.array(np.array(keys, np.uint64).view(np.int64)),
-                                "item_id": pa.array(bench.ids[item], pa.int64()), "score": pa.array(points[good] / whole, pa.float64()),
-                                "begin": pa.array(begin + first[good], pa.int64()), "end": pa.array(begin + last[good], pa.int64()),
-                            }
-                        )
+            for part in slices(batch, 1, BATCH_BYTES):
+                for text, item, points, begin, end in found_in(strings_of(part.column(1)), bench):
+                    keys = [xxhash.xxh64_intdigest((part.column(1)[t].as_py() or "").encode(), 42) for t in text.tolist()]
+                    whole = np.array([MATCH * len(bench.items[i]) for i in item], float)
+                    yield pa.record_batch(
+                        {
+                            "doc_id": part.column(0).take(pa.array(text)),
+                            "text_key": pa.array(np.array(keys, np.uint64).view(np.int64)),
+                            "item_id": pa.array([bench.ids[i] for i in item], pa.int64()),
+                            "item_key": pa.array(bench.keys[item], pa.int64()),
+                            "score": pa.array(points / whole, pa.float64()),
+                            "begin": pa.array(begin, pa.int64()), "end": pa.array(end, pa.int64()),
+                        }
+                    )
+            give_back()
 
     return run
 
@@ -245,36 +326,57 @@ def _alignments(shared):
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = LEAST_WORDS, passage: int = PASSAGE
 ) -> DataFrame:
-    """(doc_id, text_key, item_id, score, begin, end): items that a document holds, copied or edited.
-
-    ``documents`` has doc_id and text, ``benchmark`` item_id and text; ``score`` is the best alignment's share of a
-    whole copy's, ``threshold`` at least or that of ``passage`` words of the item; begin and end are words of the document. One row for each document and
-    item; ``text_key`` (XXH64 of the text) tells rows apart that share a doc_id or have none. Null and empty texts,
-    and items of fewer than ``n`` words, have no row; nor have alignments of fewer points than ``n`` words in a row
-    have. The benchmark is broadcast, as word hashes.
+    """(doc_id, text_key, item_id, item_key, score, begin, end): items that a document holds, copied or edited.
+
+    ``documents`` has doc_id and text, ``benchmark`` item_id and text, others are not read; ``score`` is the best
+    alignment's share of a whole copy's, ``threshold`` at least or that of ``passage`` words of the item; begin and end
+    are words of the document (of equally good alignments the first). One row for each document and item; ``text_key`` and
+    ``item_key`` (XXH64 of the texts) tell rows apart that share an id or have none, equal rows count once. Null and empty
+    texts, and items of fewer than ``n`` words, have no row; nor have alignments of fewer points than ``n`` words in a row
+    have. Whole texts are read, however long.
     """
-    spark = documents.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    benchmark = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
     docs = documents.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.mapInArrow(_items, "item_id long, item array<long>")
-    # A plain tuple: broadcast values are unpickled without this package.
-    shared = spark.sparkContext.broadcast(tuple(benchmark_of(items, threshold, n, passage)))
-    best = docs.mapInArrow(_alignments(shared), FOUND).groupBy("doc_id", "text_key", "item_id")
+    found = documents.sparkSession.createDataFrame([], FOUND)
+    for bench in benchmark_parts(docs, benchmark, threshold, n, passage):
+        # A plain tuple: broadcast values are unpickled without this package.
+        shared = documents.sparkSession.sparkContext.broadcast(tuple(bench))
+        found = found.unionByName(docs.mapInArrow(_alignments(shared), FOUND))
+    best = found.groupBy("doc_id", "text_key", "item_id", "item_key")
     top = best.agg(F.max(F.struct("score", -F.col("begin"), -F.col("end"))).alias("top"))
-    return top.select("doc_id", "text_key", "item_id", "top.score", (-F.col("top.col2")).alias("begin"), (-F.col("top.col3")).alias("end"))
+    return top.select(
+        "doc_id", "text_key", "item_id", "item_key", "top.score", (-F.col("top.col2")).alias("begin"), (-F.col("top.col3")).alias("end")
+    )
+
+
+def _kept(shared, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(*shared.value)
+        for batch in batches:
+            for part in slices(batch, text, BATCH_BYTES):
+                clean = np.ones(part.num_rows, bool)
+                for found in found_in(strings_of(part.column(text)), bench):
+                    clean[found[0]] = False
+                yield part.filter(pa.array(clean))
+            give_back()
+
+    return run
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
-    own, key = fresh("_id", documents.columns), fresh("_key", documents.columns)
-    found = contaminated(documents, benchmark, **options)
-    found = found.select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key))
-    return documents.join(found, same, "left_anti")
+def clean_documents(
+    documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = LEAST_WORDS, passage: int = PASSAGE
+) -> DataFrame:
+    """The documents that hold no item, with all their columns; rows are kept or dropped as they are read, none is shuffled.
+
+    Repeated rows and rows without an id stay or go each by its own text; null and empty texts stay.
+    """
+    clean = documents
+    for bench in benchmark_parts(documents, benchmark, threshold, n, passage):
+        shared = documents.sparkSession.sparkContext.broadcast(tuple(bench))
+        clean = clean.mapInArrow(_kept(shared, "text"), documents.schema)
+    return clean
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds, with its alignment."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return contaminated(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
+    return contaminated(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key", "item_key")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newstape.llm import decontaminate
@@ -114,7 +115,57 @@ def test_rows_without_id_and_repeated_rows(spark, frame, texts):
     benchmark = spark.createDataFrame([(0, copy), (0, copy), (None, copy)], "item_id long, text string")
     docs = frame([(None, copy), (None, "other words here"), (1, copy), (1, copy), (1, "clean text of the same id")])
     assert sorted(r.text for r in decontaminate.clean_documents(docs, benchmark).collect()) == ["clean text of the same id", "other words here"]
-    assert len(decontaminate.contaminated(docs, benchmark).collect()) == 2
+    # An item without an id is an item: two texts, found by the item with id 0 and by that without one.
+    found = sorted(((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()), key=str)
+    assert found == [(1, 0), (1, None), (None, 0), (None, None)]
+
+
+def test_items_of_one_id_are_all_looked_for(spark, frame, texts):
+    _, line, items = texts
+    benchmark = spark.createDataFrame([(7, " ".join(items[0])), (7, " ".join(items[1])), (7, None)], "item_id long, text string")
+    docs = frame([(i, " ".join(line(20) + items[i] + line(20))) for i in range(3)])
+    assert sorted(r.doc_id for r in decontaminate.contaminated(docs, benchmark).collect()) == [0, 1]
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, benchmark).collect()] == [2]
+
+
+@pytest.mark.parametrize("part", [decontaminate.PART_WORDS, 300])
+def test_thin_copies_of_longer_items(spark, frame, texts, monkeypatch, part):
+    """Every alignment with items of up to 300 words that counts, however thin, whatever the parts of the benchmark."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part)
+    draw, line, _ = texts
+    common = WORDS[:15]
+    plain = lambda n: [draw.choice(common) if draw.random() < 0.4 else w for w in line(n)]
+    items = [plain(n) for n in (150, 200, 250, 300, 60, 90)]
+    rows = []
+    for item in items:
+        for step in (2, 3, 4, 7):
+            rows.append([draw.choice(WORDS) if i % step == step - 1 else w for i, w in enumerate(item)])
+            rows.append([w for i, w in enumerate(item) if i % step != step - 1])
+            rows.append([w for i, x in enumerate(item) for w in [x, *line(int(i % step == 0))]])
+        rows.append([w for i in range(0, len(item), 10) for w in item[i : i + 5] + line(3)])
+    rows = [plain(draw.randrange(200)) + r + plain(draw.randrange(200)) for r in rows] + [plain(500) for _ in range(5)]
+    wanted = {}
+    for n, words in enumerate(rows):
+        for i, item in enumerate(items):
+            points = smith_waterman(item, words)
+            if points >= min(len(item), 2 * decontaminate.PASSAGE):
+                wanted[n, i] = points / (2 * len(item))
+    assert len(wanted) > 50
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(frame([(n, " ".join(words)) for n, words in enumerate(rows)]), benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_frequent_units_seed_nothing_they_need_not(spark, frame, texts):
+    """With a benchmark many times as large a text has hardly more pairs to align."""
+    draw, line, items = texts
+    rows = frame([(i, " ".join(line(300))) for i in range(60)])
+    words, counts = decontaminate.plain_words(decontaminate.strings_of(pa.array([r.text for r in rows.collect()])))
+    for many in (20, 400):
+        bench = spark.createDataFrame([(i, " ".join(line(40))) for i in range(many)], "item_id long, text string")
+        (part,) = decontaminate.benchmark_parts(rows, bench, 0.5, 3, 50)
+        pairs = sum(len(decontaminate.candidates(words, counts, decontaminate.Seeds(*s), part.owner, part.needed)[0]) for s in part.seeds)
+        assert pairs <= 0.01 * many * 60 * 4
 
 
 def test_empty_tables(spark, frame):
