@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -79,3 +80,34 @@ def test_empty_input(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+ODD = [(1, None, "en"), (2, "", None), (3, "one two three four", "en"), (3, "one two three four", "en"), (None, "no id at all here", "en"),
+       (None, "no id at all here", None), (4, "word " * 60_000, "en"), (5, " \n\t", "de"), (6, "a text without copies or passages", "fr")]
+
+
+@pytest.mark.parametrize("number", range(5))
+@pytest.mark.parametrize("columns", ["all", "two", "clash"])
+def test_stages_take_odd_rows(spark, sf_dir, number, columns):
+    """Nulls, empty and very long texts, repeated rows, rows without id, missing and clashing columns."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    if columns == "two":
+        docs = docs.select("text", "doc_id")
+    if columns == "clash":
+        names = ("block", "fp", "component_id", "features", "_key", "_kept", "ids", "decoded", "score", "rest", "unit")
+        docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    if number < 4:
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    if number in (0, 3, 4):  # equal rows stay or go together
+        assert sum(r.doc_id == 3 for r in rows) in (0, 2) and sum(r.doc_id is None for r in rows) in (0, 2)
+    if number == 3:
+        assert len(rows) == len(ODD)
+    if number == 4:
+        empty = hashlib.sha256(b"").hexdigest()
+        assert len(rows) == len(ODD) and {(r.n_tokens, r.decoded_sha256) for r in rows if r.doc_id in (1, 2)} == {(0, empty)}
+    if number == 1:
+        kept = sorted(str(r.doc_id) for r in rows)
+        assert kept == ["1", "3", "3", "4", "6", "None", "None"]  # 1 stands for all texts without words
