@@ -45,38 +45,47 @@ LEAST_SEEDS = 4
 #: Words of the benchmark that travel at once, about.
 PART_WORDS = 1_000_000
 #: Cells of an alignment row that are filled together, and text bytes that are searched together.
-ROW_CELLS, BATCH_BYTES = 1 << 19, 1 << 20
+ROW_CELLS, BATCH_BYTES = 1 << 19, 2 << 20
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚–—…·•¡¿"
 
 
-def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the plain words of all texts in a row, and how many each text has."""
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct plain words, the words of all texts in a row as places in them, and how many each text has."""
     codes, counts, words = words_of(texts)
     plain = [w.decode().lower().strip(MARKS) for w in words.to_pylist()]
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in plain), np.uint64, len(plain))
     some = np.array([bool(w) for w in plain], bool)[codes] if len(codes) else np.zeros(0, bool)
     kept = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], np.cumsum(counts)])]
-    return hashes[codes][some], np.diff(kept)
+    return hashes, codes[some], np.diff(kept)
+
+
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the plain words of all texts in a row, and how many each text has."""
+    hashes, codes, counts = coded_words(texts)
+    return hashes[codes], counts
 
 
-def grams_of(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of all texts: hash, text, and the place of the first word in its text."""
-    lengths = np.maximum(counts - n + 1, 0)
-    text = np.repeat(np.arange(len(counts)), lengths)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = (np.cumsum(counts) - counts)[text] + place
-    gram = np.zeros(len(at), np.uint64)
-    for i in range(n):
-        gram = mix(gram * np.uint64(31) + words[at + i])
-    return gram, text, place
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first) * np.uint64(31) + second)
 
 
-def units_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and pairs of all texts: hash, text, and the place of the (first) word in its text."""
-    pairs, owner, at = grams_of(words, counts, 2)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+def units_of(words: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and pairs of all texts: hash, text, and the place of the (first) word in its text.
+
+    With ``known``, a flag for each word, only words that have it, and pairs of two such.
+    """
+    at = np.arange(len(words)) if known is None else np.flatnonzero(known)
     text = np.repeat(np.arange(len(counts)), counts)
-    return np.concatenate([words, pairs]), np.concatenate([text, owner]), np.concatenate([place, at])
+    place = at - (np.cumsum(counts) - counts)[text[at]]
+    next_too = np.flatnonzero((at[1:] == at[:-1] + 1) & (text[at[1:]] == text[at[:-1]]))
+    pairs = pair_hashes(words[at[next_too]], words[at[next_too] + 1])
+    return np.concatenate([words[at], pairs]), np.concatenate([text[at], text[at[next_too]]]), np.concatenate([place, place[next_too]])
+
+
+def places_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in ``known`` (ascending, not empty), and which keys are there at all."""
+    code = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return code, known[code] == keys
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +108,8 @@ class Seeds(NamedTuple):
 
 class Benchmark(NamedTuple):
     """Items as sequences of word hashes, the points that an alignment with each must reach, and how far it extends in a
-    document beyond a piece; of the pieces their item and how many seeds a window must hold; ``seeds`` by length."""
+    document beyond a piece; of the pieces their item and how many seeds a window must hold; ``seeds`` by length;
+    ``vocabulary``: the words of all items, ascending."""
 
     ids: list
     keys: np.ndarray
@@ -109,6 +119,7 @@ class Benchmark(NamedTuple):
     owner: np.ndarray
     needed: np.ndarray
     seeds: list
+    vocabulary: np.ndarray
 
 
 def _span(size, points):
@@ -127,21 +138,28 @@ def pieces_of(size: int) -> list[tuple[int, int]]:
 
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, vocabulary = shared.value
         for batch in batches:
             for part in slices(batch, 0, BATCH_BYTES):
-                units, _, _ = units_of(*plain_words(strings_of(part.column(0))))
-                code = np.minimum(np.searchsorted(known, units), len(known) - 1)
-                code, n = np.unique(code[known[code] == units], return_counts=True)
-                yield pa.record_batch({"unit": pa.array(known[code].view(np.int64)), "n": pa.array(n)})
+                hashes, codes, counts = coded_words(strings_of(part.column(0)))
+                if not len(codes):
+                    continue
+                units, _, _ = units_of(hashes[codes], counts, places_in(vocabulary, hashes)[1][codes])
+                code, there = places_in(known, units)
+                n = np.bincount(code[there], minlength=len(known))
+                some = np.flatnonzero(n)
+                yield pa.record_batch({"unit": pa.array(known[some].view(np.int64)), "n": pa.array(n[some])})
             give_back()
 
     return run
 
 
-def frequencies(documents: DataFrame, units: np.ndarray) -> np.ndarray:
-    """How often the documents hold each unit (ascending), copies included; one row a unit reaches the driver."""
-    shared = documents.sparkSession.sparkContext.broadcast(units)
+def frequencies(documents: DataFrame, units: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """How often the documents hold each unit (ascending), copies included; one row a unit reaches the driver.
+
+    ``vocabulary`` has the words that the units are made of, ascending.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((units, vocabulary))
     found = documents.select("text").mapInArrow(_frequencies(shared), "unit long, n long")
     rows = found.groupBy("unit").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(len(units), np.int64)
@@ -160,7 +178,8 @@ def benchmark_of(rows: pa.Table, documents: DataFrame, threshold: float, n: int,
     counts = np.array([len(w) for w in words], np.int64)
     units, piece, _ = units_of(np.concatenate(words), counts)
     known, code = np.unique(units, return_inverse=True)
-    common = frequencies(documents, known)
+    vocabulary = np.unique(np.concatenate(words))
+    common = frequencies(documents, known, vocabulary)
     shared = least[owner] - 1  # units that an alignment that counts must share
     needed = np.minimum(np.where(counts <= 2 * passage, LEAST_SEEDS, (shared + 1) // 2), shared)
     # The rarest units of each piece, all but shared - needed of them.
@@ -178,7 +197,7 @@ def benchmark_of(rows: pa.Table, documents: DataFrame, threshold: float, n: int,
         step = int(span[width == w].max())
         seeds.append(tuple(Seeds(step, known[some], np.append(starts, len(pair)), pair % len(words), times)))
     reach = np.where(sizes > WHOLE, _span(sizes, least), 0)
-    return Benchmark(rows.column("item_id").to_pylist(), rows.column("item_key").to_numpy(), items, least, reach, owner, needed, seeds)
+    return Benchmark(rows.column("item_id").to_pylist(), rows.column("item_key").to_numpy(), items, least, reach, owner, needed, seeds, vocabulary)
 
 
 def benchmark_parts(documents: DataFrame, benchmark: DataFrame, threshold: float, n: int, passage: int) -> Iterator[Benchmark]:
@@ -194,18 +213,17 @@ def benchmark_parts(documents: DataFrame, benchmark: DataFrame, threshold: float
             yield benchmark_of(own, documents, threshold, n, passage)
 
 
-def candidates(
-    words: np.ndarray, counts: np.ndarray, seeds: Seeds, owner: np.ndarray, needed: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(units: tuple[np.ndarray, ...], counts: np.ndarray, seeds: Seeds, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, window and item wherever a window holds as many seeds of a piece as an alignment that counts must share.
 
-    Window k of a text holds the words from k * step to (k + 2) * step.
+    ``units``: see ``units_of``. Window k of a text holds the words from k * step to (k + 2) * step.
     """
+    owner, needed = bench.owner, bench.needed
     windows = np.where(counts > 0, np.maximum(-(-counts // seeds.step) - 1, 1), 0)
     first = np.cumsum(windows) - windows
-    units, text, place = units_of(words, counts)
-    code = np.minimum(np.searchsorted(seeds.units, units), len(seeds.units) - 1)
-    hit = np.flatnonzero(seeds.units[code] == units)
+    hashes, text, place = units
+    code, there = places_in(seeds.units, hashes)
+    hit = np.flatnonzero(there)
     code, text, step = code[hit], text[hit], place[hit] // seeds.step
     late = np.minimum(step, windows[text] - 1)
     early = np.minimum(np.maximum(step - 1, 0), late)
@@ -283,11 +301,14 @@ FOUND = "doc_id long, text_key long, item_id long, item_key long, score double,
 
 def found_in(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[np.ndarray, ...]]:
     """Text, item, points, begin and end (words of the text) of all alignments that count."""
-    words, counts = plain_words(texts)
-    words_begin = np.cumsum(counts) - counts
+    hashes, codes, counts = coded_words(texts)
+    if not len(codes):
+        return
+    words, words_begin = hashes[codes], np.cumsum(counts) - counts
+    units = units_of(words, counts, places_in(bench.vocabulary, hashes)[1][codes])
     for given in bench.seeds:
         seeds = Seeds(*given)
-        near = candidates(words, counts, seeds, bench.owner, bench.needed)
+        near = candidates(units, counts, seeds, bench)
         if not len(near[0]):
             continue
         stretch = stretches(*near, counts, seeds.step)

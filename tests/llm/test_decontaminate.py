@@ -164,7 +164,8 @@ def test_frequent_units_seed_nothing_they_need_not(spark, frame, texts):
     for many in (20, 400):
         bench = spark.createDataFrame([(i, " ".join(line(40))) for i in range(many)], "item_id long, text string")
         (part,) = decontaminate.benchmark_parts(rows, bench, 0.5, 3, 50)
-        pairs = sum(len(decontaminate.candidates(words, counts, decontaminate.Seeds(*s), part.owner, part.needed)[0]) for s in part.seeds)
+        units = decontaminate.units_of(words, counts)
+        pairs = sum(len(decontaminate.candidates(units, counts, decontaminate.Seeds(*s), part)[0]) for s in part.seeds)
         assert pairs <= 0.01 * many * 60 * 4
 
 
