@@ -56,30 +56,33 @@ FINANCE_TERMS = {
 # weaken the word after them, and words that negate.
 BOOST = 0.293
 BOOSTERS = (
-    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing "
-    "enormous enormously entirely especially exceptional exceptionally extreme extremely "
-    "fabulously flipping flippin frackin fracking fricking frickin frigging friggin fully fuckin "
-    "fucking fuggin fugging greatly hella highly hugely incredible incredibly intensely major "
-    "majorly more most particularly purely quite really remarkably so substantially thoroughly "
-    "total totally tremendous tremendously uber unbelievably unusually utter utterly very"
-).split()
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply",
+    "effing", "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme",
+    "extremely", "fabulously", "flipping", "flippin", "frackin", "fracking", "fricking", "frickin", "frigging",
+    "friggin", "fully", "fuckin", "fucking", "fuggin", "fugging", "greatly", "hella", "highly", "hugely",
+    "incredible", "incredibly", "intensely", "major", "majorly", "more", "most", "particularly", "purely", "quite",
+    "really", "remarkably", "so", "substantially", "thoroughly", "total", "totally", "tremendous", "tremendously",
+    "uber", "unbelievably", "unusually", "utter", "utterly", "very",
+)
 DAMPENERS = (
-    "almost barely hardly kinda kindof kind-of less little marginal marginally occasional "
-    "occasionally partly scarce scarcely slight slightly somewhat sorta sortof sort-of"
-).split()
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginal", "marginally",
+    "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat", "sorta",
+    "sortof", "sort-of",
+)
 NEGATIONS = (
-    "aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't "
-    "doesn't dont hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't "
-    "mightn't mustn't neednt needn't never none nope nor not nothing nowhere oughtnt shant "
-    "shouldnt uhuh wasnt werent oughtn't shan't shouldn't uh-uh wasn't weren't without wont "
-    "wouldnt won't wouldn't rarely seldom despite"
-).split()
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't", "can't",
+    "couldn't", "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt",
+    "neither", "don't", "hadn't", "hasn't", "haven't", "isn't", "mightn't", "mustn't", "neednt", "needn't", "never",
+    "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent",
+    "oughtn't", "shan't", "shouldn't", "uh-uh", "wasn't", "weren't", "without", "wont", "wouldnt", "won't",
+    "wouldn't", "rarely", "seldom", "despite",
+)
 
 # Words left out of topics.
 STOP_WORDS = (
-    "the and to of a in that is for on with said its was by as at from be an are has have had will "
-    "would could should may can"
-).split()
+    "the", "and", "to", "of", "a", "in", "that", "is", "for", "on", "with", "said", "its", "was", "by", "as", "at",
+    "from", "be", "an", "are", "has", "have", "had", "will", "would", "could", "should", "may", "can",
+)
 
 
 def lexicon_table(spark: SparkSession, terms: dict[str, float] | None = None) -> DataFrame:

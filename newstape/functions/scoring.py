@@ -54,11 +54,11 @@ def lookup_map(column: Column) -> Lookup:
 
 
 def _boost(word: Column) -> Column:
-    return F.when(word.isin(BOOSTERS), F.lit(BOOST)).when(word.isin(DAMPENERS), F.lit(-BOOST))
+    return F.when(word.isin(*BOOSTERS), F.lit(BOOST)).when(word.isin(*DAMPENERS), F.lit(-BOOST))
 
 
 def _negates(word: Column) -> Column:
-    return word.isin(NEGATIONS) | word.contains("n't")
+    return word.isin(*NEGATIONS) | word.contains("n't")
 
 
 def _is_caps(word: Column) -> Column:

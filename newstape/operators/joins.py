@@ -95,7 +95,6 @@ def next_bar_date(
     return out.drop("_order", "_is_news", "_bar", "_fill__bar", INDEX, COUNT)
 
 
-@null_safe
 def sentiment_on_next_bar(
     bars: DataFrame, daily: DataFrame, keys: str | Sequence[str] = "ticker"
 ) -> DataFrame:

@@ -178,7 +178,7 @@ def word_counts(df: DataFrame, key: str, text: str | None = None, by: list[str]
     by = by or []
     column = pick_column(df, ENTITY_TEXT_COLUMNS, text)
     words = df.select(*by, key, F.posexplode(plain_words(column)).alias("_pos", "word"))
-    topical = words.where(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(STOP_WORDS))
+    topical = words.where(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(*STOP_WORDS))
     return topical.groupBy(*by, "word").agg(
         F.count(F.lit(1)).alias("occurrences"), F.min(_place(df, key)).alias("first_seen")
     )
