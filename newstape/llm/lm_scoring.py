@@ -258,7 +258,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def score_documents(documents: DataFrame, order: int = 2, scale: float = 2.0, power: float = 0.9) -> DataFrame:
+def score_documents(documents: DataFrame, order: int = 3, scale: float = 2.0, power: float = 0.9) -> DataFrame:
     """Scores ``documents`` (doc_id, text, held_out) by the model of those that are not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score; one row for
@@ -315,16 +315,21 @@ docs as (
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\\x20\\x09-\\x0D]+'), [' end']) as w
   from documents, crc_table),
-tokens as (select doc_id, held_out, unnest(w[:-2]) as h, unnest(w[2:]) as w from docs),
+tokens as (
+  select doc_id, held_out, unnest(list_concat([null], w[:-3])) as g, unnest(w[:-2]) as h, unnest(w[2:]) as w from docs),
 words as (select w, count(*) as c from tokens where not held_out group by w),
 histories as (select h, count(*) as c from tokens where not held_out group by h),
 pairs as (select h, w, count(*) as c from tokens where not held_out group by h, w),
+triples as (select g, h, w, count(*) as c from tokens where not held_out and g is not null group by g, h, w),
 totals as (select coalesce(sum(c), 0) as n, count(*) as v from words),
 known as (
-  select doc_id, held_out, n, words.c as c, (coalesce(words.c, 0) + 1) / (n + v + 1) as p,
-    coalesce(pairs.c, 0) as pc, coalesce(histories.c, 0) as hc
-  from tokens cross join totals left join words using (w) left join histories using (h) left join pairs using (h, w))
+  select doc_id, held_out, n, words.c as c, (coalesce(words.c, 0) + 1) / (n + v + 1) as p, coalesce(histories.c, 0) as hc,
+    coalesce(pairs.c, 0) as pc, coalesce(longer.c, 0) as gc, coalesce(triples.c, 0) as tc
+  from tokens cross join totals left join words using (w) left join histories using (h) left join pairs using (h, w)
+    left join pairs as longer on longer.h = tokens.g and longer.w = tokens.h left join triples using (g, h, w)),
+second as (select *, case when hc = 0 then p else (pc + 2 * hc ** 0.9 * p) / (hc + 2 * hc ** 0.9) end as p2 from known)
 select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast(any_value(n) as bigint) as train_tokens,
-  round(sum(log10(p)), 6) as base_score, round(sum(case when hc = 0 then log10(p) else log10((pc + 2 * hc ** 0.9 * p) / (hc + 2 * hc ** 0.9)) end), 6) as score
-from known group by doc_id, held_out
+  round(sum(log10(p)), 6) as base_score,
+  round(sum(log10(case when gc = 0 then p2 else (tc + 2 * gc ** 0.9 * p2) / (gc + 2 * gc ** 0.9) end)), 6) as score
+from second group by doc_id, held_out
 """

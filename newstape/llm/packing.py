@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.llm.bpe import ragged
-from newstape.llm.common import block_of, strings_of, text_bytes
+from newstape.llm.bpe import BATCH_BYTES, Vocabulary, encode_texts, load_vocabulary, public_vocabulary, ragged
+from newstape.llm.common import block_of, slices, strings_of, text_bytes
 from newstape.llm.warc import new_folder
 
 #: Tokens of a row; text of a block in bytes.
@@ -93,6 +93,30 @@ def byte_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+def bpe_ids(spark: SparkSession, path: str, end: str = "<|endoftext|>") -> tuple[Callable, int, str]:
+    """A ``tokenize`` for ``pack`` that gives the ids of a vocabulary file, each text followed by the id of ``end``,
+    with a padding id (the first that the vocabulary does not use) and the type that holds them.
+
+    The spelling of ``end`` inside a text is that id too, as the tokenizer has it. The vocabulary travels with the tasks:
+    its size is that of the file.
+    """
+    loaded = load_vocabulary(path)
+    vocab, pad_id = spark.sparkContext.broadcast(tuple(loaded)), len(loaded.offsets) - 1
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own = Vocabulary(*vocab.value)
+        done = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for part in slices(pa.record_batch([texts], ["text"]), "text", BATCH_BYTES):
+            done.append(encode_texts(strings_of(part.column("text")), own))
+        lengths = np.concatenate([n for _, n in done])
+        counts = lengths + 1
+        ids = np.full(int(counts.sum()), own.special[end], np.int32)
+        ids[ragged(np.cumsum(counts) - counts, lengths)] = np.concatenate([flat for flat, _ in done])
+        return ids, counts
+
+    return run, pad_id, "uint16" if pad_id < 1 << 16 else "uint32"
+
+
 ROW = (
     "block int, row int, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
     "doc_ids array<long>, pieces array<int>"
@@ -177,8 +201,9 @@ def positions_of(cu_seqlens: np.ndarray, context: int) -> np.ndarray:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed as byte-level ids, written, and read back: one row for each packed row."""
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document packed as token ids of a public vocabulary, written, and read back: one row for each packed row."""
+    tokenize, pad_id, dtype = bpe_ids(spark, public_vocabulary())
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenize=tokenize, pad_id=pad_id, dtype=dtype)
     stored = write_packed(packed, new_folder(spark, "packed"))
     return stored.select(
         "block", "row", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "pieces", F.sha2("ids", 256).alias("ids_sha256")

@@ -75,3 +75,26 @@ def test_positions_start_again():
 def test_byte_ids():
     ids, counts = packing.byte_ids(pa.array(["a", "", "é"], pa.large_string()))
     assert counts.tolist() == [2, 1, 3] and ids.tolist() == [97, 256, 256, 0xC3, 0xA9, 256]
+
+
+def test_token_ids_of_a_vocabulary(spark, frame, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(packing, "BATCH_BYTES", 50)
+    path = packing.public_vocabulary()
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [None, "", "two  spaces, Ärger and 日本", "x<|endoftext|>y", *(f"word {i} " * i for i in range(30)), "long " * 300]
+    tokenize, pad_id, dtype = packing.bpe_ids(spark, path)
+    assert (pad_id, dtype) == (50257, "uint16")
+    stored = packing.pack(frame(list(enumerate(texts))), 64, tokenize, pad_id, dtype).collect()
+    pieces = {}
+    for r in stored:
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == 64 and (ids[r.n_tokens :] == pad_id).all() and (ids[: r.n_tokens] < pad_id).all()
+        for doc, piece, lo, hi in zip(r.doc_ids, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:]):
+            pieces[doc, piece] = ids[lo:hi].tolist()
+    for doc, text in enumerate(texts):
+        own = [pieces[key] for key in sorted(k for k in pieces if k[0] == doc)]
+        assert [x for p in own for x in p] == [*library.encode(text or "", add_special_tokens=False).ids, 50256]
