@@ -85,56 +85,83 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(keys: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Place and rank of each pair among the sorted pair keys; the rank is their number where there is no such pair."""
+    at = np.minimum(np.searchsorted(vocab.keys, keys), len(vocab.keys) - 1)
+    return at, np.where(vocab.keys[at] == keys, vocab.ranks[at], len(vocab.ranks))
+
+
 def merge_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words in a row, and how many each word has."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    symbols = vocab.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-    word = np.repeat(np.arange(len(words)), lengths)
+    """The ids of all words in a row, and how many each word has.
+
+    Each symbol keeps the rank of its pair with the next one; a round looks up only the pairs next to its merges.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    data = np.frombuffer(b"".join(words), np.uint8)
+    symbols, word = vocab.byte_ids[data], np.repeat(np.arange(len(words)), lengths)
     none = len(vocab.ranks)
+    at, rank = np.zeros(len(symbols), np.int64), np.full(len(symbols), none, np.int64)
+    if len(data) > 1:  # pairs of bytes: all there can be are looked up once
+        every = _ranks((vocab.byte_ids[:, None] << 32 | vocab.byte_ids).reshape(-1), vocab)
+        pair = data[:-1].astype(np.int64) << 8 | data[1:]
+        at[:-1] = every[0][pair]
+        rank[:-1] = np.where(word[:-1] == word[1:], every[1][pair], none)
     done_words, done_symbols = [], []
     while len(symbols):
-        key = symbols[:-1] << 32 | symbols[1:]
-        at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
-        rank = np.where((vocab.keys[at] == key) & (word[:-1] == word[1:]), vocab.ranks[at], none)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        number = np.cumsum(np.concatenate([[True], word[1:] != word[:-1]])) - 1
-        best = np.minimum.reduceat(np.append(rank, none), first)
-        pairs = np.flatnonzero((rank == best[number[:-1]]) & (rank < none))
+        begins = np.concatenate([[True], word[1:] != word[:-1]])
+        best = np.repeat(low := np.minimum.reduceat(rank, first := np.flatnonzero(begins)), np.diff(first, append=len(symbols)))
+        pairs = np.flatnonzero((rank == best) & (rank < none))
         run = np.concatenate([[True], np.diff(pairs) > 1]) if len(pairs) else np.zeros(0, bool)
         place = np.arange(len(pairs)) - np.maximum.accumulate(np.where(run, np.arange(len(pairs)), 0))
         pairs = pairs[place % 2 == 0]
         symbols[pairs] = vocab.merged[at[pairs]]
         keep = np.ones(len(symbols), bool)
         keep[pairs + 1] = False
-        going = best[number] < none
-        ended = ~going & keep
-        done_words.append(word[ended])
-        done_symbols.append(symbols[ended])
-        keep &= going
-        symbols, word = symbols[keep], word[keep]
+        changed = np.zeros(len(symbols), bool)
+        changed[pairs] = True
+        changed[pairs[pairs > 0] - 1] = True
+        if (low == none).any():
+            going = best < none
+            ended = ~going & keep
+            done_words.append(word[ended])
+            done_symbols.append(symbols[ended])
+            keep &= going
+        symbols, word, at, rank, changed = symbols[keep], word[keep], at[keep], rank[keep], changed[keep]
+        near = np.flatnonzero(changed)
+        inside = near[near + 1 < len(symbols)]
+        inside = inside[word[inside] == word[inside + 1]]
+        rank[near] = none
+        at[inside], rank[inside] = _ranks(symbols[inside] << 32 | symbols[inside + 1], vocab)
     if not done_words:
         return np.zeros(0, np.int64), lengths
     word, symbols = np.concatenate(done_words), np.concatenate(done_symbols)
     return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
-def _unit_ids(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the units in a row; where each unit begins; how many ids it has. A special token is a unit of its own."""
-    found = list(map(_words.findall, units))
-    special = [i for i, unit in enumerate(units) if unit in vocab.special]
-    for i in special:
-        found[i] = [units[i]]
-    words = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
-    code = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64)
-    count = np.fromiter(map(len, found), np.int64, len(units))
-    ids, lengths = merge_words([b"" if w in vocab.special else w.encode() for w in words], vocab)
-    starts = np.cumsum(lengths) - lengths
-    for w in {units[i] for i in special}:
-        starts[words[w]], lengths[words[w]] = len(ids), 1
-        ids = np.append(ids, vocab.special[w])
-    flat = ids.astype(np.int32)[ragged(starts[code], lengths[code])]
-    ends = np.concatenate([[0], np.cumsum(lengths[code])])[np.concatenate([[0], np.cumsum(count)])]
-    return flat, ends[:-1], np.diff(ends)
+def _unit_ids(pieces: list[str], units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in a row of ``pieces``, a space before each, and of ``units``; where each begins; how many ids it has.
+
+    Pieces hold no space and no white space at their ends, so one search finds the words of all: no word reaches from
+    one piece into the next, and those that begin with a space begin a piece. A special token is a unit of its own.
+    """
+    words = _words.findall("".join([" ", " ".join(pieces)])) if pieces else []
+    found = [[unit] if unit in vocab.special else _words.findall(unit) for unit in units]
+    inside = pc.starts_with(every := pa.array(chain(words, *found), pa.large_string()), " ").to_numpy(zero_copy_only=False)
+    begins = np.flatnonzero(inside[: len(words)].astype(bool))
+    count = np.concatenate([np.diff(begins, append=len(words)), np.fromiter(map(len, found), np.int64, len(found))])
+    coded = every.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    ids, lengths = merge_words(coded.dictionary.cast(pa.large_binary()).to_pylist(), vocab)
+    starts, ids = np.cumsum(lengths) - lengths, ids.astype(np.int32)
+    ends = np.cumsum(count)
+    for i, unit in enumerate(units):
+        if unit in vocab.special:
+            word = code[ends[len(pieces) + i] - 1]
+            starts[word], lengths[word] = len(ids), 1
+            ids = np.append(ids, np.int32(vocab.special[unit]))
+    flat = ids[ragged(starts[code], lengths[code])]
+    bounds = np.concatenate([[0], np.cumsum(lengths[code])])[np.concatenate([[0], ends])]
+    return flat, bounds[:-1], np.diff(bounds)
 
 
 def _odd_pieces(pieces: pa.Array, vocab: Vocabulary) -> np.ndarray:
@@ -161,8 +188,10 @@ def encode_texts(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     plain = ~strange[text]
     wanted = np.zeros(2 * len(distinct), bool)
     wanted[codes[plain]] = True
-    place = (np.cumsum(wanted) - 1)[codes[plain]]
-    units = [distinct[w >> 1] if w & 1 else " " + distinct[w >> 1] for w in np.flatnonzero(wanted).tolist()]
+    place = np.concatenate([np.cumsum(wanted[::2]) - 1, np.cumsum(wanted[1::2]) - 1 + wanted[::2].sum()])
+    place = place.reshape(2, -1).T.reshape(-1)[codes[plain]]
+    # Pieces after a space come first, those that begin a text behind them.
+    spaced, leading = np.flatnonzero(wanted[::2]), np.flatnonzero(wanted[1::2])
     seen: dict[str, int] = {}
     others, sizes = [], []
     cut = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
@@ -171,8 +200,9 @@ def encode_texts(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
         own = [u for part in parts for u in ([part] if part in vocab.special else _units.findall(part))]
         others.extend([seen.setdefault(u, len(seen)) for u in own])
         sizes.append(len(own))
-    flat, starts, lengths = _unit_ids(units + list(seen), vocab)
-    unit = np.concatenate([place, np.array(others, np.int64) + len(units)])
+    texts_of_units = [list(map(distinct.__getitem__, some.tolist())) for some in (spaced, leading)]
+    flat, starts, lengths = _unit_ids(texts_of_units[0], texts_of_units[1] + list(seen), vocab)
+    unit = np.concatenate([place, np.array(others, np.int64) + len(spaced) + len(leading)])
     owner = np.concatenate([text[plain], np.repeat(np.flatnonzero(strange), np.array(sizes, np.int64))])
     if len(others):
         order = np.argsort(owner, kind="stable")

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstape.llm.bpe import BATCH_BYTES, Vocabulary, encode_texts, load_vocabulary, public_vocabulary, ragged
+from newstape.llm.bpe import Vocabulary, encode_texts, load_vocabulary, public_vocabulary, ragged
 from newstape.llm.common import block_of, slices, strings_of, text_bytes
 from newstape.llm.warc import new_folder
 
 #: Tokens of a row; text of a block in bytes.
 CONTEXT, BLOCK_BYTES = 4096, 8 << 20
+#: Text bytes that are encoded together: a block, but for very long texts.
+BATCH_BYTES = 8 << 20
 #: Byte-level ids: the bytes of the text, then an end.
 END_ID, PAD_ID = 256, 257
 
