@@ -3,9 +3,9 @@
 A window partitioned by ticker sends a ticker with a third of all rows to one task. Here every
 series is cut twice:
 
-* by **calendar bucket** (a year of dates, an hour of timestamps): per-bucket row counts and last values come from a
-  partially aggregated ``groupBy``; prefix sums over that small table give each row its global
-  position in its series and the value carried in from earlier buckets;
+* by **calendar bucket** (a year of dates, an hour of timestamps; an hour with very many rows is cut into ranges of
+  time): per-bucket row counts and last values come from a partially aggregated ``groupBy``; prefix sums over that
+  small table give each row its global position in its series and the value carried in from earlier buckets;
 * by **block of positions** (``BLOCK_ROWS`` rows): a frame of n rows sees at most n-1 rows of the
   preceding blocks, so those rows are copied into the block that needs them and dropped afterwards.
 
@@ -25,6 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 4096
+#: An hour is crowded from this many rows on (and from a ``CROWDED_SLOTS``-th of all rows, so that there are fewer of them).
+CROWDED_ROWS = 65536
+CROWDED_SLOTS = 4096
+#: Ranges that a crowded hour is cut into, and the rows by which their bounds are chosen.
+PIECES = 256
+SAMPLED_ROWS = 4096
 
 BUCKET, BLOCK, OWN = "_bucket", "_blk", "_own"
 INDEX, COUNT = "row_idx", "row_cnt"
@@ -109,6 +115,51 @@ def calendar_bucket(df: DataFrame, order: str) -> Column:
     return F.coalesce(slot.cast("bigint"), F.lit(-(2**62)))
 
 
+def _crowded_pieces(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``BUCKET`` for timestamps: the hour, and inside a crowded hour the range of time the row lies in.
+
+    The bounds of the ranges are instants of rows chosen by a hash of the whole row and then sorted, so every reading of
+    the data finds the same ones (sampled bounds of an exchange, or approximate quantiles, would differ between the
+    branch that counts and the branch that numbers). Fewer than ``CROWDED_SLOTS`` hours can be crowded, whatever the
+    data: that is what bounds the broadcast tables. Rows of one instant stay together.
+    """
+    micros = F.unix_micros(F.col(order).cast("timestamp"))
+    timed = df.withColumn(BUCKET, calendar_bucket(df, order))
+    sizes = timed.where(F.col(order).isNotNull()).groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    least = sizes.agg(F.greatest(F.lit(float(CROWDED_ROWS)), F.sum("_n") / F.lit(float(CROWDED_SLOTS))).alias("_least"))
+    crowded = sizes.join(F.broadcast(least), F.col("_n") > F.col("_least")).drop("_least")
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    lot = F.pmod(F.xxhash64(*hashed), F.lit(2**30))
+    chosen = timed.join(F.broadcast(crowded), [*keys, BUCKET]).where(lot < F.lit(2.0**30 * SAMPLED_ROWS) / F.col("_n"))
+    sampled = chosen.groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_set(micros)).alias("_all"))
+    step = F.greatest(F.size("_all") / F.lit(float(PIECES)), F.lit(1.0))
+    bounds = F.filter("_all", lambda _, i: F.floor(i / step) != F.floor((i - 1) / step))
+    cuts = sampled.select(*keys, BUCKET, bounds.alias("_cuts"))
+    placed = timed.join(F.broadcast(cuts), [*keys, BUCKET], "left")
+    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_us"))))
+    slot = F.when(F.col(order).isNull(), F.col(BUCKET)).otherwise(F.col(BUCKET) * F.lit(2 * PIECES) + piece)
+    return placed.withColumn("_us", micros).withColumn(BUCKET, slot).drop("_cuts", "_us")
+
+
+def _undated(df: DataFrame, order: Sequence[str]) -> Column:
+    """Bucket of rows without a date: by their number, if the next order column is one; they come first in any case."""
+    first = F.lit(-(2**62))
+    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType):
+        number = F.floor(F.col(order[1]) / F.lit(BLOCK_ROWS)).cast("bigint")
+        return first + F.coalesce(number, F.lit(-(2**52)))
+    return first
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``BUCKET`` of every row, from the data alone."""
+    kind = df.schema[order[0]].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        out = _crowded_pieces(df, keys, order[0])
+    else:
+        out = df.withColumn(BUCKET, calendar_bucket(df, order[0]))
+    return out.withColumn(BUCKET, F.when(F.col(order[0]).isNull(), _undated(df, order)).otherwise(F.col(BUCKET)))
+
+
 def position_bucket(order: str, size: int = BLOCK_ROWS) -> Column:
     """Bucket for series ordered by a number instead of a date."""
     return F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("bigint"), F.lit(-(2**62)))
@@ -128,8 +179,7 @@ def row_index(
     get ``_first_<c>``: the value of the first row. Both ride on the same shuffle.
     """
     keys, order = as_keys(keys), as_keys(order)
-    bucket = calendar_bucket(df, order[0]) if bucket is None else bucket
-    stamped = df.withColumn(BUCKET, bucket)
+    stamped = bucketed(df, keys, order) if bucket is None else df.withColumn(BUCKET, bucket)
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
     # max_by / min_by keep plain values in the buffer where the order is one column, so the partial

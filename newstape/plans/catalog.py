@@ -29,6 +29,7 @@ from newstape.operators import (
     sentiment,
     series,
 )
+from newstape.operators.blocks import over_blocks
 from newstape.plans import reports
 from newstape.plans.jobs import JobConfig, process_news, run_daily_job
 from newstape.session import cut_lineage, shared_dir
@@ -1283,6 +1284,26 @@ def tick_bars_minute(spark, d):
     return stamped(series.bars_from_ticks(views.ticks(spark, d), "1 minute"), "bar_start")
 
 
+@query(
+    "tick_moves",
+    sql(
+        """select ticker, event_id, row_number() over w - 1 as row_idx, count(*) over (partition by ticker) as row_cnt,
+                  round(price - lag(price) over w, 6) as move,
+                  round(avg(price) over (partition by ticker order by ts, event_id rows 4 preceding), 6) as mean5
+           from ticks window w as (partition by ticker order by ts, event_id)""",
+        "ticks",
+    ),
+)
+def tick_moves(spark, d):
+    """Ticks numbered in their own order, with frames over them."""
+
+    def body(x, w):
+        return x.withColumns({"move": F.col("price") - F.lag("price").over(w), "mean5": F.avg("price").over(w.rowsBetween(-4, 0))})
+
+    moved = over_blocks(views.ticks(spark, d), body, back=4, order=["ts", "event_id"], keep_index=True)
+    return rounded(moved.select("ticker", "event_id", "row_idx", "row_cnt", "move", "mean5"))
+
+
 # --- joins ----------------------------------------------------------------------------------------
 
 JOIN_COLUMNS = "ticker, date, close, round(sentiment_score, 6) as sentiment_score, headline_count"

@@ -111,3 +111,54 @@ def test_no_forced_broadcast_of_data(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastExchange" not in text
+
+
+@pytest.fixture
+def as_dealt(spark):
+    """Shuffle partitions as they are dealt, not merged afterwards."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def million_ticks(spark):
+    """A million ticks of one ticker in one hour, most of them in a burst of a second, and a few of others."""
+    micros = F.when(F.col("id") % 4 == 0, F.col("id") * 3600).otherwise(1_800_000_000 + F.col("id"))
+    ts = F.timestamp_micros(F.lit(1_700_000_000_000_000 // 3_600_000_000 * 3_600_000_000) + micros)
+    hot = spark.range(0, 1_000_000, numPartitions=8).select(F.lit("HOT").alias("ticker"), ts.alias("ts"), (F.col("id") % 97).cast("double").alias("close"))
+    return hot.unionByName(hot.where("close = 5").limit(50).withColumn("ticker", F.lit("COLD")))
+
+
+def test_a_crowded_hour_meets_many_tasks(spark, as_dealt):
+    numbered = blocks.row_index(million_ticks(spark), order="ts")
+    tasks = numbered.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("row_idx")).toPandas().n
+    assert len(tasks) == 4 and tasks.max() < 2 * tasks.median()
+    seen = numbered.where("ticker = 'HOT'").agg(F.count_distinct("row_idx"), F.min("row_idx"), F.max("row_idx"), F.max("row_cnt")).first()
+    assert tuple(seen) == (1_000_000, 0, 999_999, 1_000_000)
+
+
+@pytest.mark.parametrize("order", ["ts", ["ts", "place"]])
+def test_crowded_hours_are_numbered_as_by_one_window(spark, monkeypatch, order):
+    """Hours from 200 rows on are cut; many rows share an instant, some have none, keys may be NULL."""
+    monkeypatch.setattr(blocks, "CROWDED_ROWS", 200)
+    monkeypatch.setattr(blocks, "SAMPLED_ROWS", 64)
+    monkeypatch.setattr(blocks, "PIECES", 8)
+    ids = spark.range(0, 3000, numPartitions=3)
+    second = F.when(F.col("id") % 50 == 3, None).otherwise(F.pmod(F.hash("id"), F.lit(9000)))
+    instant = second if isinstance(order, list) else F.when(F.col("id") % 50 != 3, F.col("id") * 3)
+    rows = ids.select(
+        F.when(F.col("id") % 10 < 8, "a").when(F.col("id") % 10 < 9, "b").alias("ticker"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + instant).alias("ts"),
+        (F.lit(7 * 4096) - F.col("id") * 5).alias("place"),
+        F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("x"),
+    )
+    out = blocks.restore_keys(blocks.row_index(blocks.fill_keys(rows, "ticker"), order=order, fill=["x"]), "ticker").toPandas()
+    by = order if isinstance(order, list) else ["ts"]
+    for _, own in out.groupby("ticker", dropna=False):
+        dated = own.sort_values(by, na_position="first", kind="stable") if len(by) > 1 else own.sort_values("row_idx")
+        assert list(dated.row_idx) == list(range(len(own))) and set(own.row_cnt) == {len(own)}
+        if len(by) > 1:
+            filled = dated.x.ffill()
+            assert (dated._fill_x.fillna(-1) == filled.fillna(-1)).all()
+        else:
+            assert dated.ts.isna().to_numpy()[: dated.ts.isna().sum()].all() and dated.ts.dropna().is_monotonic_increasing
