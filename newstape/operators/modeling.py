@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from newstape.operators.backtest import signal_confusion
 from newstape.operators.blocks import as_keys, null_safe
+from newstape.operators.boosting import BoostedTrees, fit_boosted_trees
 from newstape.operators.joins import join_sentiment
 from newstape.operators.ordering import best_model, sort_importance, time_series_folds, time_split
 from newstape.operators.series import FEATURES, create_features, label_next_move
-from newstape.session import cut_lineage, ensure_checkpoint_dir
+from newstape.session import cut_lineage
 from newstape.sources.models import save_model
 
 # Feature candidates, used as far as the table has them (fixed values).
@@ -125,16 +126,10 @@ def train_random_forest(
 
 
 def train_boosted_trees(
-    train: DataFrame,
-    features: Sequence[str],
-    rounds: int = 100,
-    max_depth: int = 3,
-    rate: float = 0.1,
-    seed: int = SEED,
-) -> PipelineModel:
-    ensure_checkpoint_dir(train.sparkSession)  # boosting cuts its lineage every few rounds
-    classifier = GBTClassifier(maxIter=rounds, maxDepth=max_depth, stepSize=rate, seed=seed, checkpointInterval=10)
-    return _pipeline(classifier, features).fit(train)
+    train: DataFrame, features: Sequence[str], rounds: int = 100, max_depth: int = 3, rate: float = 0.1, **more
+) -> BoostedTrees:
+    """Second-order boosting with regularised leaves."""
+    return fit_boosted_trees(train, features, rounds=rounds, max_depth=max_depth, rate=rate, **more)
 
 
 TRAINERS = {
@@ -144,8 +139,10 @@ TRAINERS = {
 }
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BoostedTrees, df: DataFrame) -> DataFrame:
     """Class and probability of class 1; every input column stays on its row."""
+    if isinstance(model, BoostedTrees):
+        return model.predict(df)
     scored = model.transform(df)
     return scored.withColumns(
         {
@@ -173,7 +170,7 @@ def evaluate_predictions(
     )
 
 
-def evaluate_model(model: PipelineModel, test: DataFrame, model_name: str = "model") -> DataFrame:
+def evaluate_model(model: PipelineModel | BoostedTrees, test: DataFrame, model_name: str = "model") -> DataFrame:
     return evaluate_predictions(predict(model, test), model_name)
 
 

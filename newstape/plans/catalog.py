@@ -2243,7 +2243,7 @@ def train_gbt(spark, d):
     model = modeling.train_boosted_trees(train, names)
     rows, positive = ups(train)
     fitted = accuracy_on(model, train) > max(positive, rows - positive) / rows
-    return fit_facts(spark, train, test, model, "boosted_trees", model.stages[-1].getNumTrees, fitted)
+    return fit_facts(spark, train, test, model, "boosted_trees", len(model.trees), fitted)
 
 
 @query(

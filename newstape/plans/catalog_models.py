@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from newstape.operators import series_models
-from newstape.plans.catalog import CV_SQL, day_scores, query, rounded, sql
-from newstape.sources import views
+from newstape.operators import modeling, series_models
+from newstape.plans.catalog import CV_SQL, day_scores, query, rounded, scratch, sql
+from newstape.session import cut_lineage
+from newstape.sources import models, views
 
 #: Features of the fits that SQL repeats.
 TRAINED = ("close", "volume", "sentiment_score")
@@ -178,3 +179,85 @@ def importance_by_ticker(spark, d):
     """Mean weight of each feature over a ticker's folds, and its place from the largest down."""
     found = _validated(spark, d)["importance"]
     return rounded(series_models.ranked_importance(found), 4)
+
+
+#: Rounds, depth and cuts (of z-scores) of the boosted fit that SQL repeats.
+BOOST_ROUNDS, BOOST_DEPTH, BOOST_CUTS = 4, 2, (-1.25, -0.65, -0.15, 0.35, 0.85, 1.45)
+
+
+def boost_sql(rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH, rate: float = 0.1) -> str:
+    """Second-order boosting step by step: ``grown`` (one row per node) and ``ended`` (all rows with their last margin)."""
+    value = "case f " + " ".join(f"when {i} then {x}" for i, x in enumerate(TRAINED)) + " end"
+    tried = ", ".join(f"({i}, '{x}', {c}::double)" for i, x in enumerate(TRAINED) for c in BOOST_CUTS)
+    names = f"ticker, date, target, role, {', '.join(TRAINED)}"
+    parts = [
+        f"tried as (select * from (values {tried}) as t(f, feature, cut))",
+        f"m0 as materialized (select {names}, (select ln(avg(target) / (1 - avg(target))) from zs where role = 'train') as m from zs)",
+    ]
+    shown = []
+    for t in range(rounds):
+        parts.append(
+            f"""m{t}_0 as materialized (select *, 0 as node, 1 / (1 + exp(-m)) - target as g, exp(-m) / (1 + exp(-m)) ** 2 as h from m{t}),
+loss{t} as materialized (select avg(ln(1 + exp(m)) - target * m) as loss from m{t} where role = 'train')"""
+        )
+        for level in range(depth):
+            here = f"m{t}_{level}"
+            parts.append(
+                f"""{here}_sums as materialized (
+    select node, f, feature, cut, sum(g) as g, sum(h) as h, count(*) as n, sum(g) filter ({value} < cut) as gl, sum(h) filter ({value} < cut) as hl
+    from {here} cross join tried where role = 'train' and node >= {2**level - 1} group by all),
+{here}_best as materialized (
+    select * from (select *, gl ** 2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g ** 2 / (h + 1) as gain from {here}_sums where hl >= 1 and h - hl >= 1)
+    where gain > 1e-6 qualify row_number() over (partition by node order by round(gain, 9) desc, f, cut) = 1),
+m{t}_{level + 1} as materialized (
+    select r.* exclude (node), case when b.f is null then r.node else 2 * r.node + 1 + cast({value} >= cut as int) end as node
+    from {here} r left join (select node, f, cut from {here}_best) b on r.node = b.node)"""
+            )
+            shown.append(f"select {t} as tree, node, feature, cut, gain, g, h, n, null as value, loss from {here}_best cross join loss{t}")
+        parts.append(
+            f"""leaf{t} as materialized (
+    select node, sum(g) as g, sum(h) as h, count(*) as n, -{rate} * sum(g) / (sum(h) + 1) as value from m{t}_{depth} where role = 'train' group by node),
+m{t + 1} as materialized (select {names}, m + coalesce(value, 0) as m from m{t}_{depth} left join leaf{t} using (node))"""
+        )
+        shown.append(f"select {t} as tree, node, null as feature, null as cut, null as gain, g, h, n, value, loss from leaf{t} cross join loss{t}")
+    return ",\n".join([*parts, f"grown as ({' union all '.join(shown)})", f"ended as (select * from m{rounds})"])
+
+
+BOOST_SQL = TRAIN_SQL[: TRAIN_SQL.index("fitrows as")] + boost_sql()
+
+
+def _boosted(spark, d):
+    rows, _ = modeling.prepare_data(views.bars(spark, d), day_scores(spark, d))
+    rows = cut_lineage(rows)
+    cuts = {f: BOOST_CUTS for f in TRAINED}
+    model = modeling.train_boosted_trees(rows.where("role = 'train'"), TRAINED, BOOST_ROUNDS, BOOST_DEPTH, cuts=cuts)
+    return model, rows
+
+
+@query(
+    "boosted_nodes",
+    sql(
+        """select tree, cast(node as int) as node, feature, cut, round(gain, 5) as gain, round(g, 5) as g, round(h, 5) as h, n as "rows",
+                  round(value, 7) as value, round(loss, 7) as loss from grown""",
+        "joined",
+        extra=BOOST_SQL,
+    ),
+)
+def boosted_nodes(spark, d):
+    """Every node of a small boosted model: cuts and gains, sums of gradients and Hessians, weights of leaves, loss before the round."""
+    model, _ = _boosted(spark, d)
+    losses = F.array(*[F.lit(x) for x in model.losses])
+    shown = model.nodes(spark).withColumn("loss", F.get(losses, F.col("tree"))).drop("missing_left")
+    return rounded(shown, 5, value=7, loss=7, cut=2)
+
+
+@query(
+    "boosted_predictions",
+    sql("select ticker, date, target, round(1 / (1 + exp(-m)), 6) as probability from ended where role = 'test'", "joined", extra=BOOST_SQL),
+)
+def boosted_predictions(spark, d):
+    """Test rows by the same model, stored and read back."""
+    model, rows = _boosted(spark, d)
+    path = models.save_model(model, scratch(spark, "boosted"))
+    again, _ = models.load_model(path)
+    return rounded(modeling.predict(again, rows.where("role = 'test'")).select("ticker", "date", "target", "probability"))

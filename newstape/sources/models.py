@@ -8,21 +8,28 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from newstape.operators.boosting import BoostedTrees
 
-def save_model(model: PipelineModel, path: str, metadata: dict | None = None) -> str:
+
+def save_model(model: PipelineModel | BoostedTrees, path: str, metadata: dict | None = None) -> str:
     """Write the fitted stages and a metadata row below ``path``, replacing what was there."""
     spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
+    boosted = isinstance(model, BoostedTrees)
+    if boosted:
+        model.save(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    row = [(json.dumps(metadata or {}), stamp)]
-    spark.createDataFrame(row, "metadata string, saved_at string").coalesce(1).write.mode(
+    row = [(json.dumps(metadata or {}), stamp, boosted)]
+    spark.createDataFrame(row, "metadata string, saved_at string, boosted boolean").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/metadata")
     return path
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
+def load_model(path: str) -> tuple[PipelineModel | BoostedTrees, dict]:
     """(fitted stages, metadata)."""
     spark = SparkSession.active()
     row = spark.read.parquet(f"{path}/metadata").first()
-    return PipelineModel.load(f"{path}/model"), json.loads(row.metadata)
+    kind = BoostedTrees if row.asDict().get("boosted") else PipelineModel
+    return kind.load(f"{path}/model"), json.loads(row.metadata)
