@@ -90,7 +90,7 @@ def test_odd_tables(spark):
     """No rows are an error; rows without a label are left out; one class, constant and empty columns give a constant."""
     frame = spark.createDataFrame([(1.0, None, 3.0, 1), (1.0, None, 3.0, 1), (2.0, 5.0, None, None)], KINDS)
     model = boosting.fit_boosted_trees(frame, list("abc"), rounds=2)
-    assert all(n[2] is None for n in model.node_rows()) and [n[6] for n in model.node_rows()] == [2, 2]
+    assert all(n[2] is None for n in model.node_rows()) and [n[8] for n in model.node_rows()] == [2, 2]
     assert [r.prediction for r in model.predict(frame).collect()] == [1, 1, 1]
     with pytest.raises(ValueError):
         boosting.fit_boosted_trees(frame.where("target = 0"), list("abc"))
