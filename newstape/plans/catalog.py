@@ -2685,6 +2685,45 @@ def article_cards(spark, d):
     return pages.extract_article_cards(heads.select("page_id", card.alias("html")), REF)
 
 
+#: Where the given pages hold lists of links and articles.
+LINK_ROWS = pages.RowLayout(row="nav ul li", link="a", second="a@href")
+ARTICLES = pages.CardLayout(card="article", headline="h1")
+LINKS_SQL = """
+menus as (select page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>.*?</li>') as items from pages),
+links as (select page_id, cast(unnest(range(len(items))) as int) as row_idx, unnest(items) as item from menus),
+named_links as (select page_id, row_idx, regexp_extract(item, 'href="([^"]*)"', 1) as target,
+                       regexp_replace(regexp_extract(item, '(?s)<a [^>]*>(.*?)</a>', 1), '&lt;?', '<', 'g') as h from links),
+shown_links as (select page_id, row_idx, target, trim(regexp_replace(regexp_replace(regexp_replace(h, '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), ' \t\n\r') as headline
+                from named_links)
+"""
+
+
+@query("page_links", sql("select page_id, row_idx, headline, target, true as has_link from shown_links", extra=LINKS_SQL))
+def page_links(spark, d):
+    """Rows of links of the given pages, text and target, by selectors."""
+    rows = pages.extract_news_rows(views.pages(spark, d), LINK_ROWS)
+    return rows.select("page_id", "row_idx", "headline", F.col("second_cell").alias("target"), "has_link")
+
+
+@query(
+    "page_links_limited",
+    sql("select page_id, count(*) as links, max(headline) as last_headline from shown_links where row_idx < 4 group by 1", extra=LINKS_SQL),
+)
+def page_links_limited(spark, d):
+    """The first four rows of every given page, its feature being that limit."""
+    rows = pages.limit_rows_per_page(pages.extract_news_rows(views.pages(spark, d), LINK_ROWS), 4)
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.max("headline").alias("last_headline"))
+
+
+@query(
+    "page_articles",
+    sql(f"select page_id, cast(0 as int) as row_idx, date '{REF}' as date, '00:00' as time, headline from heads", extra=HEADING_SQL),
+)
+def page_articles(spark, d):
+    """Articles of the given pages as cards, by selectors."""
+    return pages.extract_article_cards(views.pages(spark, d), REF, ARTICLES)
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from newstape.functions.dates import parse_news_date, split_datetime_cell
 from newstape.operators.ordering import carry_forward_date
+from newstape.sources.selectors import VOID, select_items
 
 # How the two page layouts mark their parts.
 TABLE_ID = "news-table"
@@ -24,7 +26,6 @@ CARD_SECTION = "collection__elements"
 CARD = "element--article"
 CARD_HEADLINE = "article__headline"
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROW_SHAPE = "page_id bigint, row_idx int, date_cell string, headline string, second_cell string, has_link boolean"
 CARD_SHAPE = "page_id bigint, row_idx int, headline string"
 ROW_COLUMNS = ["page_id", "row_idx", "date_cell", "headline", "second_cell", "has_link"]
@@ -125,6 +126,22 @@ class _Headings(HTMLParser):
             self.text += data
 
 
+class RowLayout(NamedTuple):
+    """Selectors of another page layout: the rows, and inside a row its date, its link and a second cell."""
+
+    row: str
+    date: str = "td"
+    link: str = "a"
+    second: str = "td[2]"
+
+
+class CardLayout(NamedTuple):
+    """Selectors of another page layout: the cards and the headline inside a card."""
+
+    card: str
+    headline: str
+
+
 def _table_rows(page_id: int, html: str) -> list[tuple]:
     parser = _TableRows()
     parser.feed(html)
@@ -160,8 +177,15 @@ def _per_page(pages: DataFrame, parse, shape: str, columns: list[str]) -> DataFr
     return pages.select("page_id", "html").mapInPandas(run, shape)
 
 
-def extract_news_rows(pages: DataFrame) -> DataFrame:
-    """Every table row of each page's news table with its cells and link text, in page order."""
+def extract_news_rows(pages: DataFrame, layout: RowLayout | None = None) -> DataFrame:
+    """Every table row of each page's news table with its cells and link text, in page order.
+
+    ``layout`` reads the rows of other pages by its selectors.
+    """
+    if layout is not None:
+        fields = {"date_cell": layout.date, "headline": layout.link, "second_cell": layout.second}
+        rows = select_items(pages, layout.row, fields)
+        return rows.withColumn("has_link", F.col("headline").isNotNull())
     return _per_page(pages, _table_rows, ROW_SHAPE, ROW_COLUMNS)
 
 
@@ -177,9 +201,9 @@ def extract_headings(pages: DataFrame, heading: str = "h1") -> DataFrame:
     return _per_page(pages, parse, CARD_SHAPE, CARD_COLUMNS)
 
 
-def extract_article_cards(pages: DataFrame, fetched: Column | dt.date) -> DataFrame:
+def extract_article_cards(pages: DataFrame, fetched: Column | dt.date, layout: CardLayout | None = None) -> DataFrame:
     """Headlines of article cards; ``row_idx`` counts cards, also those without a headline. Cards
-    carry no usable date: the fetch date, time ``00:00``."""
+    carry no usable date: the fetch date, time ``00:00``. ``layout`` finds other cards by its selectors."""
 
     def parse(page_id: int, html: str) -> list[tuple]:
         parser = _Headings("h3", cards=True)
@@ -188,7 +212,10 @@ def extract_article_cards(pages: DataFrame, fetched: Column | dt.date) -> DataFr
         return [(page_id, i, text) for i, text in parser.found]
 
     day = fetched if isinstance(fetched, Column) else F.lit(fetched)
-    cards = _per_page(pages, parse, CARD_SHAPE, CARD_COLUMNS)
+    if layout is not None:
+        cards = select_items(pages, layout.card, {"headline": layout.headline}).where(F.col("headline").isNotNull())
+    else:
+        cards = _per_page(pages, parse, CARD_SHAPE, CARD_COLUMNS)
     return cards.select("page_id", "row_idx", day.alias("date"), F.lit("00:00").alias("time"), "headline")
 
 
@@ -228,9 +255,10 @@ def news_from_pages(
     dialect: str = "table",
     drop_undated: bool = True,
     source: str = "table",
+    layout: RowLayout | None = None,
 ) -> DataFrame:
     """Pages to dated headlines; ``max_articles`` limits table rows per page if given."""
-    rows = extract_news_rows(pages)
+    rows = extract_news_rows(pages, layout)
     if max_articles is not None:
         rows = limit_rows_per_page(rows, max_articles)
     return news_from_rows(rows, ref, dialect, drop_undated).withColumn("source", F.lit(source))
