@@ -28,6 +28,7 @@ from newstape.operators import (
     scans,
     sentiment,
     series,
+    tagger,
 )
 from newstape.operators.blocks import over_blocks
 from newstape.plans import reports
@@ -908,6 +909,13 @@ def entities_by_model(spark, d):
     return found.groupBy("ticker").agg(F.count(F.lit(1)).alias("entities"))
 
 
+@query("entities_by_tagger")
+def entities_by_tagger(spark, d):
+    """Entities of all whole texts by a tagger that has learnt from gazetteer hits."""
+    learnt = tagger.train_tagger(views.texts(spark, d), views.gazetteer(spark))
+    return entities.extract_entities(views.texts(spark, d), load_model=lambda: learnt, keep=("ticker", "date"))
+
+
 @query(
     "entity_top",
     sql(
