@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from newstape.operators.backtest import signal_confusion
 from newstape.operators.blocks import as_keys, null_safe
 from newstape.operators.boosting import BoostedTrees, fit_boosted_trees
+from newstape.operators.forest import Forest, fit_forest
 from newstape.operators.joins import join_sentiment
 from newstape.operators.ordering import best_model, sort_importance, time_series_folds, time_split
 from newstape.operators.series import FEATURES, create_features, label_next_move
@@ -116,13 +117,9 @@ def train_logistic_regression(
     return _pipeline(classifier, features).fit(train)
 
 
-def train_random_forest(
-    train: DataFrame, features: Sequence[str], trees: int = 100, max_depth: int = 30, seed: int = SEED
-) -> PipelineModel:
-    classifier = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=seed
-    )
-    return _pipeline(classifier, features).fit(train)
+def train_random_forest(train: DataFrame, features: Sequence[str], trees: int = 100, seed: int = SEED, **more) -> Forest:
+    """Trees of unlimited depth with exact splits."""
+    return fit_forest(train, features, trees=trees, seed=seed, **more)
 
 
 def train_boosted_trees(
@@ -139,9 +136,9 @@ TRAINERS = {
 }
 
 
-def predict(model: PipelineModel | BoostedTrees, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BoostedTrees | Forest, df: DataFrame) -> DataFrame:
     """Class and probability of class 1; every input column stays on its row."""
-    if isinstance(model, BoostedTrees):
+    if isinstance(model, BoostedTrees | Forest):
         return model.predict(df)
     scored = model.transform(df)
     return scored.withColumns(
@@ -170,7 +167,7 @@ def evaluate_predictions(
     )
 
 
-def evaluate_model(model: PipelineModel | BoostedTrees, test: DataFrame, model_name: str = "model") -> DataFrame:
+def evaluate_model(model: PipelineModel | BoostedTrees | Forest, test: DataFrame, model_name: str = "model") -> DataFrame:
     return evaluate_predictions(predict(model, test), model_name)
 
 

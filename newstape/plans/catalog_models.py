@@ -261,3 +261,21 @@ def boosted_predictions(spark, d):
     path = models.save_model(model, scratch(spark, "boosted"))
     again, _ = models.load_model(path)
     return rounded(modeling.predict(again, rows.where("role = 'test'")).select("ticker", "date", "target", "probability"))
+
+
+@query(
+    "forest_unlimited",
+    sql(
+        """select ticker, date, cast(target as int) as target, cast(target as int) as prediction, cast(target as double) as probability
+           from zs where role = 'train'""",
+        "joined",
+        extra=TRAIN_SQL[: TRAIN_SQL.index("fitrows as")].rstrip().rstrip(","),
+    ),
+)
+def forest_unlimited(spark, d):
+    """Trees of unlimited depth that see all rows: no training row is fitted with an error, so predictions are the targets."""
+    rows, names = modeling.prepare_data(views.bars(spark, d), day_scores(spark, d))
+    train = cut_lineage(rows.where("role = 'train'"))
+    model = modeling.train_random_forest(train, names, trees=3, bootstrap=False, group_rows=4096)
+    shown = modeling.predict(model, train).select("ticker", "date", F.col("target").cast("int").alias("target"), "prediction", "probability")
+    return rounded(shown)

@@ -73,7 +73,7 @@ def test_trees_repeat_with_their_seed(tape):
     rows = rows.cache()
     train, test = rows.where("role='train'"), rows.where("role='test'")
     for fit in (
-        lambda: modeling.train_random_forest(train, features, trees=5, max_depth=5),
+        lambda: modeling.train_random_forest(train, features, trees=5),
         lambda: modeling.train_boosted_trees(train, features, rounds=4),
     ):
         a, b = (modeling.evaluate_model(fit(), test).first() for _ in range(2))
@@ -85,7 +85,7 @@ def test_compare_save_and_load(tape, tmp_path):
     path = str(tmp_path / "model")
     trainers = {
         "logistic_regression": modeling.train_logistic_regression,
-        "forest": lambda t, f: modeling.train_random_forest(t, f, trees=5, max_depth=4),
+        "forest": lambda t, f: modeling.train_random_forest(t, f, trees=5),
     }
     out = modeling.compare_models(*tape, model_path=path, trainers=trainers)
     assert out["results"].count() == 2 and out["warning"] is None
