@@ -126,16 +126,18 @@ def _joined_entities(df: DataFrame, gazetteer: DataFrame, ids: list[str], text:
 
 
 def model_entities(df: DataFrame, load_model: Callable[[], Model], ids: list[str], text: str) -> DataFrame:
-    """Entities from a model: ``load_model`` runs once per task, the model once per text."""
+    """Entities from a model: ``load_model`` runs once per task, the model once per text, or its ``many`` (texts to lists
+    of entities, in their order) once per batch if it has that."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for batch in batches:
+            batch = batch[batch[text].astype(bool)]
+            read = model.many(batch[text]) if hasattr(model, "many") else map(model, batch[text])
             rows = [
                 (*own, entity, kind, i)
-                for *own, body in batch[[*ids, text]].itertuples(index=False, name=None)
-                if body
-                for i, (entity, kind) in enumerate(model(body))
+                for own, found in zip(batch[ids].itertuples(index=False, name=None), read)
+                for i, (entity, kind) in enumerate(found)
             ]
             yield pd.DataFrame(rows, columns=[*ids, "entity", "entity_type", "_order"])
 

@@ -21,13 +21,18 @@ from newstape.operators.gazetteer import word_form
 #: Pieces of texts that the tagger is fitted and rated on at most, their words, and the share that only rates it.
 PIECES, PIECE_WORDS, HELD_OUT = 2500, 48, 0.2
 ROUNDS = 4
-#: Words whose scores a task keeps.
-KEPT_WORDS = 100_000
+#: Words whose scores a task keeps, and words of texts that are decoded together.
+KEPT_WORDS, WORDS_AT_ONCE = 100_000, 100_000
 
-WORD = re.compile(r"(?:[^\W_]|[&'-])+")
+WORD = re.compile(r"[\w&'-]+")
 OUTSIDE = "O"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, digits, ``&``, ``'`` and ``-``, as in ``word_form``."""
+    return WORD.findall(text.replace("_", " "))
+
+
 def shape_of(word: str) -> str:
     """Capitals, small letters, digits and marks, runs counted once."""
     kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
@@ -79,34 +84,44 @@ class Tagger:
         self.allowed = np.array([[not b.startswith("I-") or a[1:] == b[1:] for b in self.tags] for a in self.tags])
         self.starts = np.array([not b.startswith("I-") for b in self.tags])
         self.f1: float | None = None
-        self._kept: dict[tuple[str, str | None], np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Scores of the words met so far, by role: left neighbour, the word itself, right neighbour; row 0 is no word."""
+        self._places: dict[str | None, int] = {None: 0}
+        self._tables = np.zeros((3, 0, len(self.tags)))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_kept": {}}
-
-    def _score(self, side: str, word: str | None) -> np.ndarray:
-        """Sum of the weights of a word by its role (itself, left or right neighbour)."""
-        known = self._kept.get((side, word))
-        if known is None:
-            names = own_features(word) if side == "own" else near_features(word, side)
-            places = [self.rows[n] for n in names if n in self.rows]
-            known = self.weights[places].sum(axis=0)
-            if len(self._kept) >= KEPT_WORDS:
-                self._kept.clear()
-            self._kept[side, word] = known
-        return known
-
-    def emissions(self, words: Sequence[str]) -> np.ndarray:
-        ends = [None, *words, None]
-        return np.array(
-            [self._score("left", ends[i]) + self._score("own", w) + self._score("right", ends[i + 2]) for i, w in enumerate(words)]
-        )
+        return self.__dict__ | {"_places": {None: 0}, "_tables": np.zeros((3, 0, len(self.tags)))}
+
+    def _sum(self, names: Iterable[str]) -> np.ndarray:
+        return self.weights[[self.rows[n] for n in names if n in self.rows]].sum(axis=0)
+
+    def _numbered(self, words: Iterable[str]) -> np.ndarray:
+        """Rows of the words in the tables, which grow by the words not met before."""
+        places, words = self._places, list(words)
+        got = np.array([places.setdefault(w, len(places)) for w in words], np.int64)
+        known = self._tables.shape[1]
+        if len(places) > known:
+            fresh = list(places)[known:]
+            rows = [[self._sum(near_features(w, "left")), self._sum(own_features(w)) if w is not None else self.steps[0] * 0, self._sum(near_features(w, "right"))] for w in fresh]
+            self._tables = np.concatenate([self._tables, np.array(rows).transpose(1, 0, 2)], axis=1)
+        return got
+
+    def emissions(self, texts: Sequence[Sequence[str]]) -> np.ndarray:
+        """Scores of all words of the texts, one text after the other, by tag."""
+        at = self._numbered(w for words in texts for w in words)
+        ends = np.cumsum([len(t) for t in texts])
+        before, after = np.roll(at, 1), np.roll(at, -1)
+        before[(ends - [len(t) for t in texts])[[len(t) > 0 for t in texts]]] = 0
+        after[(ends - 1)[[len(t) > 0 for t in texts]]] = 0
+        return self._tables[0][before] + self._tables[1][at] + self._tables[2][after]
 
     def decode(self, words: Sequence[str]) -> list[str]:
         """The tags of the largest sum of word and step weights among all allowed sequences."""
         if not words:
             return []
-        return [self.tags[t] for t in self._best(self.emissions(words))]
+        return [self.tags[t] for t in self._best(self.emissions([words]))]
 
     def _best(self, scores: np.ndarray) -> list[int]:
         steps = np.where(self.allowed, self.steps, -np.inf)
@@ -121,10 +136,61 @@ class Tagger:
             path.append(int(back[i, path[-1]]))
         return path[::-1]
 
-    def __call__(self, text: str) -> Iterator[tuple[str, str]]:
-        words = WORD.findall(text)
-        for first, after, kind in spans(self.decode(words)):
-            yield " ".join(words[first:after]), kind
+    def _best_of_all(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``_best`` of many texts, none of them empty, word by word over all texts that are long enough."""
+        steps = np.where(self.allowed, self.steps, -np.inf)
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        going = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # texts of more than t words
+        back, path = np.zeros(scores.shape, np.int16), np.zeros(len(scores), np.int64)
+        here = np.where(self.starts, scores[first], -np.inf)
+        for t in range(1, sizes[0]):
+            k = going[t]
+            ways = here[:k, :, None] + steps
+            said = ways.argmax(axis=1)
+            back[first[:k] + t] = said
+            here[:k] = np.take_along_axis(ways, said[:, None, :], axis=1)[:, 0] + scores[first[:k] + t]
+        at = here.argmax(axis=1)
+        for t in range(sizes[0] - 1, -1, -1):
+            k = going[t]
+            path[first[:k] + t] = at[:k]
+            at[:k] = back[first[:k] + t, at[:k]]
+        return path
+
+    def many(self, texts: Iterable[str]) -> Iterator[list[tuple[str, str]]]:
+        """The names of each text, a repeated one where it comes last, with its last type."""
+        waiting, held = [], 0
+        for text in texts:
+            waiting.append(words_of(text))
+            held += len(waiting[-1])
+            if held > WORDS_AT_ONCE:
+                yield from self._names(waiting)
+                waiting, held = [], 0
+        yield from self._names(waiting)
+
+    def _names(self, texts: list[list[str]]) -> Iterator[list[tuple[str, str]]]:
+        if len(self._places) > KEPT_WORDS:
+            self._forget()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        path = self._best_of_all(self.emissions(texts), sizes[sizes > 0]) if sizes.any() else np.zeros(0, np.int64)
+        start = 0
+        for words, size in zip(texts, sizes):
+            tags = path[start : start + size]
+            start += size
+            found: dict[str, str] = {}
+            begun = np.flatnonzero(tags % 2)  # B- tags have odd numbers, the I- tag of a type follows its B- tag
+            inside = tags % 2 + 2 * (tags > 0) == 2
+            for i in begun.tolist():
+                j = i + 1
+                while j < size and inside[j]:
+                    j += 1
+                name = " ".join(words[i:j])
+                found.pop(name, None)
+                found[name] = self.tags[tags[i]][2:]
+            yield list(found.items())
+
+    def __call__(self, text: str) -> list[tuple[str, str]]:
+        return next(self.many([text]))
 
     def fit(self, pieces: Sequence[tuple[list[str], list[str]]], rounds: int = ROUNDS, seed: int = 7) -> Tagger:
         """Perceptron updates over (words, tags), weights averaged over all of them."""
@@ -158,7 +224,7 @@ class Tagger:
         used = [(name, i) for name, i in self.rows.items() if weights[i].any()]
         self.weights = weights[[i for _, i in used]]
         self.rows = {name: i for i, (name, _) in enumerate(used)}
-        self._kept = {}
+        self._forget()
         return self
 
     def rate(self, pieces: Sequence[tuple[list[str], list[str]]]) -> float | None:
@@ -185,7 +251,7 @@ def marked_pieces(texts: DataFrame, gazetteer: DataFrame, text: str, pieces: int
     sample = spark.createDataFrame(rows, "piece_id int, piece string")
     found: dict[int, dict[tuple[str, ...], str]] = {}
     for r in gazetteer_entities(sample, gazetteer, ["piece_id"], "piece").collect():  # names in those pieces
-        form = tuple(WORD.findall(r.entity))
+        form = tuple(words_of(r.entity))
         own = found.setdefault(r.piece_id, {})
         own[form] = min(own.get(form, r.entity_type), r.entity_type)
     split = [(i, p.split(" ")) for i, p in rows]

@@ -24,7 +24,29 @@ def test_decoding_equals_all_sequences():
             if total > best:
                 best, found = total, list(path)
         assert model._best(scores) == found
-    assert model.decode([]) == [] and list(model("")) == []
+    assert model.decode([]) == [] and model("") == []
+
+
+def test_many_texts_at_once_equal_one_by_one(monkeypatch):
+    draw = np.random.default_rng(8)
+    pick = random.Random(8)
+    model = tagger.Tagger(["ORG", "GPE"])
+    model.steps = draw.normal(size=model.steps.shape)
+    names = sorted({f for w in "a b C d1 _e".split() for f in tagger.own_features(w) + tagger.near_features(w, "left") + tagger.near_features(w, "right")})
+    model.rows = {n: i for i, n in enumerate([*names, "left!", "right!"])}
+    model.weights = draw.normal(size=(len(model.rows), len(model.tags)))
+    texts = [" ".join(pick.choice("a b C d1 new".split()) for _ in range(pick.choice([0, 1, 2, 5, 40]))) for _ in range(60)]
+    alone = []
+    for text in texts:
+        words, last = tagger.words_of(text), {}
+        for i, j, kind in tagger.spans(model.decode(words)):
+            last.pop(" ".join(words[i:j]), None)
+            last[" ".join(words[i:j])] = kind
+        alone.append(list(last.items()))
+    for at_once in (10, 10**6):
+        monkeypatch.setattr(tagger, "WORDS_AT_ONCE", at_once)
+        assert list(model.many(texts)) == alone
+    assert sum(map(len, alone)) > 100
 
 
 def test_longest_names_from_the_left():
