@@ -127,18 +127,19 @@ def _crowded_pieces(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame
     timed = df.withColumn(BUCKET, calendar_bucket(df, order))
     sizes = timed.where(F.col(order).isNotNull()).groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     least = sizes.agg(F.greatest(F.lit(float(CROWDED_ROWS)), F.sum("_n") / F.lit(float(CROWDED_SLOTS))).alias("_least"))
-    crowded = sizes.join(F.broadcast(least), F.col("_n") > F.col("_least")).drop("_least")
+    crowded = sizes.join(F.broadcast(least), F.col("_n") > F.col("_least"))
+    shares = crowded.select(*keys, BUCKET, (F.lit(2.0**30 * SAMPLED_ROWS) / F.col("_n")).alias("_share"))
     hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    lot = F.pmod(F.xxhash64(*hashed), F.lit(2**30))
-    chosen = timed.join(F.broadcast(crowded), [*keys, BUCKET]).where(lot < F.lit(2.0**30 * SAMPLED_ROWS) / F.col("_n"))
-    sampled = chosen.groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_set(micros)).alias("_all"))
+    drawn = timed.select(*keys, BUCKET, micros.alias("_us"), F.pmod(F.xxhash64(*hashed), F.lit(2**30)).alias("_lot"))
+    chosen = drawn.join(F.broadcast(shares), [*keys, BUCKET]).where(F.col("_lot") < F.col("_share"))
+    sampled = chosen.groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_set("_us")).alias("_all"))
     step = F.greatest(F.size("_all") / F.lit(float(PIECES)), F.lit(1.0))
     bounds = F.filter("_all", lambda _, i: F.floor(i / step) != F.floor((i - 1) / step))
-    cuts = sampled.select(*keys, BUCKET, bounds.alias("_cuts"))
+    cuts = sampled.select(*keys, BUCKET, bounds.alias("_bucket_cuts"))
     placed = timed.join(F.broadcast(cuts), [*keys, BUCKET], "left")
-    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_us"))))
+    piece = F.when(F.col("_bucket_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_bucket_cuts", lambda c: c <= F.col("_bucket_us"))))
     slot = F.when(F.col(order).isNull(), F.col(BUCKET)).otherwise(F.col(BUCKET) * F.lit(2 * PIECES) + piece)
-    return placed.withColumn("_us", micros).withColumn(BUCKET, slot).drop("_cuts", "_us")
+    return placed.withColumn("_bucket_us", micros).withColumn(BUCKET, slot).drop("_bucket_cuts", "_bucket_us")
 
 
 def _undated(df: DataFrame, order: Sequence[str]) -> Column:

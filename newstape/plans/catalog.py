@@ -2739,7 +2739,7 @@ DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_ch
 
 
 def tick_stream(spark, d):
-    raw = streams.stream_ticks(spark, d, EVENTS_SCHEMA, name_filter="events.parquet")
+    raw = streams.stream_ticks(spark, streams.table_glob(d, "events.parquet"), EVENTS_SCHEMA)
     return raw.select(
         F.col("event_type").alias("ticker"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -2750,7 +2750,7 @@ def tick_stream(spark, d):
 
 def news_stream(spark, d):
     cores = spark.sparkContext.defaultParallelism
-    raw = streams.stream_news(spark, d, DOCUMENTS_SCHEMA, name_filter="documents.parquet", spread=cores)
+    raw = streams.stream_news(spark, streams.table_glob(d, "documents.parquet"), DOCUMENTS_SCHEMA, spread=cores)
     ticker, day = views.news_columns(F.col("doc_id"))
     return raw.select(
         "doc_id",
@@ -2831,7 +2831,7 @@ ORDERS_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_to
 )
 def stream_join_streams(spark, d):
     """Every streamed order price with the streamed headlines of its day, as far as the watermark has come."""
-    raw = streams.stream_files(spark, d, ORDERS_SCHEMA, name_filter="orders.parquet")
+    raw = streams.stream_files(spark, streams.table_glob(d, "orders.parquet"), ORDERS_SCHEMA)
     prices = raw.select(
         F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderkey", F.col("o_totalprice").alias("close")
     )

@@ -35,6 +35,15 @@ def stream_files(
     return rows.repartition(spread) if spread else rows
 
 
+def table_glob(folder: str, name: str) -> str:
+    """Path for ``stream_files`` of a stored table, be it one file or a folder of part files.
+
+    A stream takes a plain path for a folder, and filters by name see only the last part of it; a pattern
+    with one choice finds either.
+    """
+    return f"{folder}/{{{name}}}"
+
+
 def stream_news(spark: SparkSession, path: str, schema: str = f"{NEWS}, ts timestamp", **kw) -> DataFrame:
     return stream_files(spark, path, schema, **kw)
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newstape.operators import scans, series
+from newstape.operators.blocks import row_index
+from newstape.plans import catalog
 from newstape.schema import TICKS
 from newstape.sources import views
 from newstape.streaming import ema, jobs
@@ -115,3 +117,30 @@ def test_daily_sentiment_late_rows_and_dedup(spark, tmp_path):
     assert {(r.ticker, r.date.day): r.close for r in joined.collect()}[("A", 1)] == 5.0
     later = jobs.bars_with_streamed_sentiment(bars, out)
     assert later.first().headline_count == 3
+
+
+@pytest.mark.parametrize("name", ["stream_scores", "stream_dedup", "stream_daily", "stream_week", "stream_join_bars"])
+def test_tables_in_part_files(spark, tmp_path, name):
+    rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(["that was", "with this", "from that", "with", "for this", "was"] * 2)]
+    news = spark.createDataFrame(rows, catalog.DOCUMENTS_SCHEMA)
+    day = dt.datetime(1995, 1, 1)
+    orders = spark.createDataFrame([(i, 1, "O", 5.0 + i, day, t) for i, t in enumerate(views.PRIORITIES)], catalog.ORDERS_SCHEMA)
+    for parts in (1, 3):
+        news.repartition(parts, "doc_id").write.parquet(f"{tmp_path}/{parts}/documents.parquet")
+        orders.write.parquet(f"{tmp_path}/{parts}/orders.parquet")
+    one = tmp_path / "one"
+    one.mkdir()
+    for table in ("documents", "orders"):
+        spark.read.parquet(f"{tmp_path}/1/{table}.parquet").toPandas().to_parquet(one / f"{table}.parquet", coerce_timestamps="us")
+    found = [sorted(map(str, catalog.QUERIES[name](spark, str(d)).collect())) for d in (one, tmp_path / "1", tmp_path / "3")]
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("column", ["_n", "_us", "_cuts"])
+def test_series_of_times_may_have_any_columns(spark, column, monkeypatch):
+    monkeypatch.setattr("newstape.operators.blocks.CROWDED_ROWS", 4)
+    at = dt.datetime(2024, 1, 1, 10)
+    rows = [("A", at + dt.timedelta(minutes=m), 100 - m) for m in range(30)]
+    df = spark.createDataFrame(rows, f"ticker string, ts timestamp, {column} int")
+    found = row_index(df, order="ts").select("row_idx", "row_cnt", column).collect()
+    assert sorted(map(tuple, found)) == [(m, 30, 100 - m) for m in range(30)]
