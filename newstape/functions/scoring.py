@@ -48,11 +48,6 @@ def lookup_in(terms: dict[str, float]) -> Lookup:
     return value
 
 
-def lookup_map(column: Column) -> Lookup:
-    """Valences from a map column that holds the row's own lexicon hits."""
-    return lambda word: F.try_element_at(column, word)
-
-
 def _boost(word: Column) -> Column:
     return F.when(word.isin(*BOOSTERS), F.lit(BOOST)).when(word.isin(*DAMPENERS), F.lit(-BOOST))
 
@@ -151,17 +146,21 @@ def normalized(total: Column) -> Column:
 
 def score_expr(
     text: Column,
-    find: Lookup,
+    find: Lookup | None,
     rules: bool = True,
     empty_neutral: float = 0.0,
     phrases: Lookup | None = None,
     lower_case: bool = False,
+    known: Column | None = None,
+    known_pairs: Column | None = None,
 ) -> Column:
     """Struct ``compound, pos, neu, neg`` of a cleaned text (single blanks between words).
 
     ``rules=False`` keeps the word valences only. ``phrases`` adds the valence of adjacent word
     pairs, carried by the first word of the pair. ``empty_neutral`` is ``neu`` of a text without
     words. ``lower_case`` tells that the text has no capitals, which saves two passes.
+    Instead of ``find`` and ``phrases``, ``known`` and ``known_pairs`` may give the valences of all words and of the pairs
+    that they begin, as arrays (NULL: none).
     """
     empty = F.struct(
         F.lit(0.0).alias("compound"),
@@ -170,6 +169,8 @@ def score_expr(
         F.lit(0.0).alias("neg"),
     )
 
+    with_pairs = phrases is not None or known_pairs is not None
+
     def with_words(words: Column) -> Column:
         if lower_case:
             return scored(words, words)
@@ -177,23 +178,27 @@ def score_expr(
 
     def scored(words: Column, lows: Column) -> Column:
         # The lexicon is looked at once per word; everything after reads the array of valences.
+        if known is not None:
+            return with_valences(words, lows, known)
         return let(F.transform(lows, find), lambda known: with_valences(words, lows, known))
 
     def with_valences(words: Column, lows: Column, known: Column) -> Column:
-        n = F.size(words)
+        n = F.size(known)
         places = F.sequence(F.lit(0), n - 1)
 
         def pair(i: Column) -> Column:
+            if known_pairs is not None:
+                return F.get(known_pairs, i)
             return phrases(F.concat_ws(" ", F.get(lows, i), F.get(lows, i + 1)))
 
         def is_hit(i: Column) -> Column:
             hit = F.get(known, i).isNotNull()
-            return hit | pair(i).isNotNull() if phrases is not None else hit
+            return hit | pair(i).isNotNull() if with_pairs else hit
 
         def values(some_caps: Column | None, but: Column | None) -> Column:
             def value(i: Column) -> Column:
                 plain = _word_valence(words, lows, known, i, some_caps) if rules else F.get(known, i)
-                if phrases is not None:
+                if with_pairs:
                     plain = F.coalesce(pair(i), plain)
                 if but is None:
                     return plain
@@ -251,6 +256,8 @@ def score_expr(
             shares,
         )
 
+    if known is not None and not rules:
+        return F.when(F.size(known) == 0, empty).otherwise(with_valences(known, known, known))
     return let(
         words_of(text),
         lambda words: F.when(F.size(words) == 0, empty).otherwise(with_words(words)),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newstape.functions.lexicon import FINANCE_TERMS, STOP_WORDS
-from newstape.functions.scoring import let, lookup_in, lookup_map, score_expr
+from newstape.functions.scoring import let, lookup_in, score_expr
 from newstape.functions.text import clean_text, clean_text_light, plain_words, sentiment_category, words_of
 from newstape.schema import ENTITY_TEXT_COLUMNS, TEXT_COLUMNS, pick_column
 
@@ -83,6 +87,38 @@ def lexicon_score(
     return _spread(df, _inline_scores(text, terms, rules, empty_neutral, match_phrases, lower_case))
 
 
+#: Words of texts that a task holds as Python values at a time.
+WORDS_AT_ONCE = 100_000
+
+
+def _valences(match_phrases: bool) -> Callable[..., Column]:
+    """Valences of all words of a row and of the pairs that they begin, from the row's own lexicon hits.
+
+    A map column is searched from its start at every lookup, so a text with many different hits would cost their
+    number times its words; here each row has a hash table.
+    """
+    empty = pa.array([], pa.list_(pa.float64()))
+
+    @F.arrow_udf("struct<words: array<double>, pairs: array<double>>")
+    def look(words: pa.Array, terms: pa.Array, valences: pa.Array) -> pa.Array:
+        words, terms = (c.cast(pa.list_(pa.binary())) for c in (words, terms))
+        held = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)) // WORDS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(words)]
+        singles, doubles = [empty], [empty]
+        for a, b in zip(cuts, cuts[1:]):
+            one, two = [], []
+            for said, hits, values in zip(*(c.slice(a, b - a).to_pylist() for c in (words, terms, valences))):
+                known = dict(zip(hits, values))
+                one.append(None if said is None else [known.get(w) for w in said])
+                # The last word makes no pair.
+                two.append([known.get(w + b" " + v) for w, v in zip(said, said[1:])] if said and match_phrases else None)
+            singles.append(pa.array(one, pa.list_(pa.float64())))
+            doubles.append(pa.array(two, pa.list_(pa.float64())))
+        return pa.StructArray.from_arrays([pa.concat_arrays(singles), pa.concat_arrays(doubles)], ["words", "pairs"])
+
+    return look
+
+
 def lexicon_score_table(
     df: DataFrame,
     lexicon: DataFrame,
@@ -96,7 +132,7 @@ def lexicon_score_table(
 
     The texts are read once. Each row sends its distinct words (and word pairs, for phrases) to a
     join with the lexicon, and itself along as one more element that no term matches; only hits and
-    the rows themselves are grouped again. No broadcast is forced: Spark decides by size.
+    the rows themselves are grouped again, and each row looks its words up among its own hits. No broadcast is forced: Spark decides by size.
     """
     def candidates(lows: Column) -> Column:
         if not match_phrases:
@@ -113,15 +149,12 @@ def lexicon_score_table(
     met = spread.join(normalized_lexicon(lexicon), "term", "left")
     met = met.where(F.col("valence").isNotNull() | F.col("_whole").isNotNull())
     hit = F.when(F.col("valence").isNotNull(), F.struct("term", "valence"))
-    grouped = met.groupBy("_row").agg(
-        F.first("_whole", ignorenulls=True).alias("_whole"), F.map_from_entries(F.collect_list(hit)).alias("_hits")
-    )
-    rows = grouped.select("_whole.*", "_hits")
-    found = lookup_map(F.col("_hits"))
-    # The last word makes no pair; alone it is no phrase.
-    phrases = (lambda pair: F.when(pair.contains(" "), found(pair))) if match_phrases else None
-    scores = score_expr(F.col(text), found, rules, empty_neutral, phrases, lower_case)
-    return _spread(rows, scores).drop("_hits")
+    grouped = met.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), F.collect_list(hit).alias("_hits"))
+    rows = grouped.select("_whole.*", F.col("_hits.term").alias("_terms"), F.col("_hits.valence").alias("_valences"))
+    rows = rows.withColumn("_known", _valences(match_phrases)(F.transform(words_of(text), F.lower), "_terms", "_valences"))
+    pairs = F.col("_known.pairs") if match_phrases else None
+    scores = score_expr(F.col(text), None, rules, empty_neutral, None, lower_case, F.col("_known.words"), pairs)
+    return _spread(rows, scores).drop("_terms", "_valences", "_known")
 
 
 def score_news(
