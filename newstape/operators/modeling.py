@@ -73,10 +73,11 @@ def prepare_data(
     """Label, join, fill, drop incomplete rows, split by time and scale.
 
     Rows are dropped for missing features or target only. The unscaled close stays as ``price``.
-    ``fit_scope='all'`` scales with test rows included.
+    ``fit_scope='all'`` scales with test rows included. The daily table is written once, as the split and the scales
+    read the joined rows several times, each time down to the texts.
     """
     labelled = label_next_move(bars, target_shift, keys=keys)
-    joined = join_sentiment(labelled, daily, keys) if daily is not None else labelled
+    joined = join_sentiment(labelled, cut_lineage(daily), keys) if daily is not None else labelled
     features = available_features(joined)
     complete = joined.na.drop(subset=[*features, "price_change"]).withColumn("price", F.col("close"))
     split = time_split(complete, test_size, keys)
@@ -264,7 +265,8 @@ def cross_validate(
     folds; each fit is a Spark job over all tickers.
     """
     features = list(FEATURES)
-    rows = create_features(join_sentiment(bars, daily, keys), label=True, keys=keys)
+    # Features number the joined rows in several branches; without the cut each would score the texts.
+    rows = create_features(join_sentiment(bars, cut_lineage(daily), keys), label=True, keys=keys)
     complete = rows.na.drop(subset=[*features, "target"])
     scaled = standardize(complete, features, keys) if fit_scope == "all" else complete
     prepared = cut_lineage(scaled)

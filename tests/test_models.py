@@ -118,3 +118,19 @@ def test_metrics_without_positives(spark):
     assert row.confusion_matrix == [[1, 0], [1, 0]]
     report = {r["class"]: r for r in modeling.class_report(df).collect()}
     assert report[0].precision == 0.5 and report[1].support == 1 and report[1].f1 == 0
+
+
+@pytest.mark.parametrize("job", [lambda b, s: modeling.prepare_data(b, s)[0], lambda b, s: modeling.cross_validate(b, s)["folds"]])
+def test_texts_are_scored_once(spark, tape, job):
+    bars, scores = tape
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(score):
+        seen.add(1)
+        return score
+
+    scored = scores.select("ticker", "date", "headline_count", counted("sentiment_score").alias("_score"))
+    daily = scored.groupBy("ticker", "date").agg(F.avg("_score").alias("sentiment_score"), F.max("headline_count").alias("headline_count"))
+    job(bars, daily).collect()
+    assert seen.value == scores.count()
