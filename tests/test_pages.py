@@ -70,3 +70,13 @@ def test_cards_and_headings(site):
 def test_only_needed_columns_reach_python(site):
     plan = pages.extract_news_rows(site)._jdf.queryExecution().optimizedPlan().toString()
     assert "url" not in plan.split("Project")[-1].split("\n")[0]
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    """Three thousand pages of one task: a row-wise batch holds a hundred of them, an Arrow batch held them all."""
+    html = "<table id='news-table'>" + "<tr><td>Jan-01-24 12:45PM</td><td><a href='#'>x</a></td></tr>" * 2 + "</table>"
+    given = spark.range(3000).coalesce(1).select(F.col("id").alias("page_id"), F.when(F.col("id") != 7, F.lit(html)).alias("html"))
+    rows = pages.extract_news_rows(given)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan and "InArrow" not in plan
+    assert rows.count() == 2 * 2999 and rows.where("page_id is null or row_idx > 1 or not has_link").count() == 0
