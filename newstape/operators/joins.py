@@ -49,8 +49,14 @@ def semi_on(df: DataFrame, allowed: DataFrame, on: str | Sequence[str]) -> DataF
 def entities_in_range(
     entities: DataFrame, news: DataFrame, in_range: Column, link: str | Sequence[str] = "source_text"
 ) -> DataFrame:
-    """Entities of the texts that pass the date predicate."""
-    return semi_on(entities, news.where(in_range), link)
+    """Entities of the texts that pass the date predicate.
+
+    A hash join: the distinct texts of the range, a share of them per task, are held, and the entity rows, of which there
+    are far more, pass by without being sorted.
+    """
+    on = as_keys(link)
+    texts = news.where(in_range).select(*on).distinct()
+    return entities.join(texts.hint("shuffle_hash"), on, "left_semi")
 
 
 @null_safe

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newstape.operators.joins import entities_in_range
 
-# Distinct entities of one text that one task pairs up; larger texts are split.
+# Distinct entities of a slice of a text; larger texts are split, and two slices at most meet in one list.
 PAIR_SLICE = 256
 
 
@@ -75,9 +75,10 @@ def entity_edges(
     """Weight of each unordered pair: pairs of rows of the same text, summed over texts.
 
     Rows are first counted per (text, entity), so repeated rows never meet each other: a pair of
-    different entities weighs the product of its counts, an entity with itself c(c-1)/2. A text
-    with more than ``pair_slice`` distinct entities is split: its left sides are dealt out to
-    slices, its right sides copied to each, so no task pairs up a whole large text.
+    different entities weighs the product of its counts, an entity with itself c(c-1)/2. The entities of
+    a text meet as one list; those of a text with more than ``pair_slice`` are dealt out to slices by
+    their hash, and each two slices meet on their own, so no list and no task holds a whole large text.
+    Counting, listing and pairing are stages of their own, so a task holds the rows of one step only.
     """
     per_text = (
         entities.where(F.col(text).isNotNull())
@@ -85,37 +86,32 @@ def entity_edges(
         .groupBy(text, "entity")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    # Shuffled by more than the text, else Spark drops the shuffle: a stage of its own, which tells how few texts are large.
     large = (
         per_text.groupBy(text)
         .agg(F.count(F.lit(1)).alias("_d"))
         .where(F.col("_d") > pair_slice)
         .select(text, F.ceil(F.col("_d") / F.lit(pair_slice)).alias("_slices"))
+        .repartition(text, "_slices")
     )
     sliced = per_text.join(large, text, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
-    left = sliced.select(
+    dealt = sliced.select(
         text,
         F.pmod(F.xxhash64("entity"), F.col("_slices")).alias("_slice"),
-        F.col("entity").alias("entity1"),
-        F.col("c").alias("c1"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1)).alias("_other"),
+        "entity",
+        "c",
     )
-    right = sliced.select(
-        text,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1)).alias("_slice"),
-        F.col("entity").alias("entity2"),
-        F.col("c").alias("c2"),
-    )
-    pairs = (
-        left.join(right, [text, "_slice"])
-        .where(F.col("entity1") < F.col("entity2"))
-        .groupBy("entity1", "entity2")
-        .agg(F.sum(F.col("c1") * F.col("c2")).alias("weight"))
-    )
-    loops = (
-        per_text.where(F.col("c") > 1)
-        .groupBy(F.col("entity").alias("entity1"), F.col("entity").alias("entity2"))
-        .agg(F.sum(F.expr("c * (c - 1) div 2")).alias("weight"))
-    )
-    return pairs.unionByName(loops)
+    low, high = F.least("_slice", "_other"), F.greatest("_slice", "_other")
+    met = dealt.withColumns({"_low": low, "_high": high}).drop("_other").repartition(text, "_low", "_high")
+    lists = met.groupBy(text, "_low", "_high").agg(F.collect_list(F.struct("entity", "c", "_slice")).alias("_list"))
+    own = F.col("_low") == F.col("_high")
+    left = lists.select(own.alias("_own"), "_list", F.inline("_list").alias("entity1", "c1", "_slice1"))
+    both = left.select("_own", "entity1", "c1", "_slice1", F.inline("_list").alias("entity2", "c2", "_slice2"))
+    pair = (F.col("entity1") < F.col("entity2")) & (F.col("_own") | (F.col("_slice1") != F.col("_slice2")))
+    loop = (F.col("entity1") == F.col("entity2")) & F.col("_own") & (F.col("c1") > 1)
+    weight = F.when(F.col("entity1") == F.col("entity2"), F.expr("c1 * (c1 - 1) div 2")).otherwise(F.col("c1") * F.col("c2"))
+    return both.where(pair | loop).groupBy("entity1", "entity2").agg(F.sum(weight).alias("weight"))
 
 
 def implicit_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:

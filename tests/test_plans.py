@@ -113,6 +113,32 @@ def test_no_forced_broadcast_of_data(spark, sf_dir):
     assert "BroadcastExchange" not in text
 
 
+def test_pairs_are_made_without_sorted_joins(spark):
+    """Rows of texts in a range pass a hash join, and pairs come from lists: no task sorts the mentions, so its memory stays small."""
+    ents = spark.range(0, 4000).select(
+        (F.col("id") % 900).alias("doc"), F.concat(F.lit("e"), F.col("id") % 7).alias("entity"), F.lit("ORG").alias("entity_type"), F.col("id").alias("row_id"),
+    )
+    news = spark.range(0, 900).select(F.col("id").alias("doc"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("date"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = network.network_in_range(ents, news, F.col("date") < "2024-01-15", 1, link="doc").edges
+        text = plan(edges)
+        found = {(r.entity1, r.entity2): r.weight for r in edges.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.findall(r"SortMergeJoin \[doc#\d+L\], \[doc#\d+L\], LeftSemi", text)
+    assert not re.findall(r"SortMergeJoin \[doc#\d+L?, _slice", text)
+    kept = [(i % 900, f"e{i % 7}") for i in range(4000) if (i % 900) % 50 < 14]
+    expected = {}
+    for doc in {d for d, _ in kept}:
+        names = [e for d, e in kept if d == doc]
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                pair = (min(a, b), max(a, b))
+                expected[pair] = expected.get(pair, 0) + 1
+    assert found == expected
+
+
 @pytest.fixture
 def as_dealt(spark):
     """Shuffle partitions as they are dealt, not merged afterwards."""
