@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from newstape.operators.gazetteer import word_form
 PIECES, PIECE_WORDS, HELD_OUT = 2500, 48, 0.2
 ROUNDS = 4
 #: Words whose scores a task keeps, and words of texts that are decoded together.
-KEPT_WORDS, WORDS_AT_ONCE = 100_000, 100_000
+KEPT_WORDS, WORDS_AT_ONCE = 300_000, 300_000
 
 WORD = re.compile(r"[\w&'-]+")
 OUTSIDE = "O"
@@ -35,12 +36,18 @@ def words_of(text: str) -> list[str]:
 
 def shape_of(word: str) -> str:
     """Capitals, small letters, digits and marks, runs counted once."""
+    if word.isalpha() and word[1:].islower():  # most words
+        return "a" if word.islower() else "Aa" if word[0].isupper() else "a"
     kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1+", r"\1", "".join(kinds))
 
 
+#: Kinds of features of a word itself, in the order in which their weights are added up, and their values.
+OWN = {"w": str, "l": str.lower, "p": lambda word: word[:3], "s": lambda word: word[-3:], "h": shape_of}
+
+
 def own_features(word: str) -> list[str]:
-    return [f"w={word}", f"l={word.lower()}", f"p={word[:3]}", f"s={word[-3:]}", f"h={shape_of(word)}", "bias"]
+    return [*[f"{kind}={value(word)}" for kind, value in OWN.items()], "bias"]
 
 
 def near_features(word: str | None, side: str) -> list[str]:
@@ -90,22 +97,43 @@ class Tagger:
         """Scores of the words met so far, by role: left neighbour, the word itself, right neighbour; row 0 is no word."""
         self._places: dict[str | None, int] = {None: 0}
         self._tables = np.zeros((3, 0, len(self.tags)))
+        self._known: dict[str, dict[str, int]] = {}
+        self._padded = self._tables[0]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_places": {None: 0}, "_tables": np.zeros((3, 0, len(self.tags)))}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_padded", "_places", "_tables")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._forget()
+
+    def _begin(self) -> None:
+        """Rows of the weights by kind and value of their features, and the scores of no word."""
+        for name, row in self.rows.items():
+            kind, _, value = name.partition("=")
+            self._known.setdefault(kind, {})[value] = row
+        self._padded = np.vstack([self.weights, np.zeros((1, len(self.tags)))])  # the last row is that of unknown features
+        self._tables = np.stack([self._weights_of(kind, [""]) for kind in ("left!", "", "right!")])
 
-    def _sum(self, names: Iterable[str]) -> np.ndarray:
-        return self.weights[[self.rows[n] for n in names if n in self.rows]].sum(axis=0)
+    def _weights_of(self, kind: str, values: Iterable[str]) -> np.ndarray:
+        known, none = self._known.get(kind, {}), len(self.weights)
+        return self._padded[[known.get(v, none) for v in values]]
 
     def _numbered(self, words: Iterable[str]) -> np.ndarray:
         """Rows of the words in the tables, which grow by the words not met before."""
-        places, words = self._places, list(words)
+        places = self._places
         got = np.array([places.setdefault(w, len(places)) for w in words], np.int64)
+        if not self._tables.shape[1]:
+            self._begin()
         known = self._tables.shape[1]
         if len(places) > known:
-            fresh = list(places)[known:]
-            rows = [[self._sum(near_features(w, "left")), self._sum(own_features(w)) if w is not None else self.steps[0] * 0, self._sum(near_features(w, "right"))] for w in fresh]
-            self._tables = np.concatenate([self._tables, np.array(rows).transpose(1, 0, 2)], axis=1)
+            fresh = list(islice(places, known, None))
+            rows = np.zeros((3, len(fresh), len(self.tags)))
+            rows[0], rows[2] = self._weights_of("left", fresh), self._weights_of("right", fresh)
+            for kind, value in OWN.items():
+                rows[1] += self._weights_of(kind, map(value, fresh))
+            rows[1] += self._weights_of("bias", [""])
+            self._tables = np.concatenate([self._tables, rows], axis=1)
         return got
 
     def emissions(self, texts: Sequence[Sequence[str]]) -> np.ndarray:
@@ -139,23 +167,26 @@ class Tagger:
     def _best_of_all(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """``_best`` of many texts, none of them empty, word by word over all texts that are long enough."""
         steps = np.where(self.allowed, self.steps, -np.inf)
-        order = np.argsort(-sizes, kind="stable")
-        first, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        going = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # texts of more than t words
-        back, path = np.zeros(scores.shape, np.int16), np.zeros(len(scores), np.int64)
-        here = np.where(self.starts, scores[first], -np.inf)
-        for t in range(1, sizes[0]):
-            k = going[t]
-            ways = here[:k, :, None] + steps
-            said = ways.argmax(axis=1)
-            back[first[:k] + t] = said
-            here[:k] = np.take_along_axis(ways, said[:, None, :], axis=1)[:, 0] + scores[first[:k] + t]
-        at = here.argmax(axis=1)
-        for t in range(sizes[0] - 1, -1, -1):
-            k = going[t]
-            path[first[:k] + t] = at[:k]
-            at[:k] = back[first[:k] + t, at[:k]]
-        return path
+        ranks = np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")  # the longest text comes first
+        going = np.searchsorted(np.sort(-sizes), -np.arange(1, sizes.max() + 1), side="right")  # texts of more than t words
+        starts = np.cumsum(going) - going
+        # The words lie first word by first word, then second by second, ..., so each step reads one stretch.
+        moment = np.arange(len(scores)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = starts[moment] + np.repeat(ranks, sizes)
+        sums = np.empty(scores.shape[::-1])  # of the best way to each tag of each word, at first its own scores
+        sums[:, place] = scores.T
+        here = sums[:, : going[0]]
+        here[~self.starts] = -np.inf
+        for at, k in zip(starts[1:].tolist(), going[1:].tolist()):
+            before, here = here, sums[:, at : at + k]
+            here += (before[:, None, :k] + steps[:, :, None]).max(axis=0)
+        # Back from the last words: the tag before is the one that the largest sum came from.
+        path, tags = np.empty(len(scores), np.int64), np.empty(0, np.int64)
+        for at, k in zip(starts[::-1].tolist(), going[::-1].tolist()):
+            own = sums[:, at : at + k]
+            own[:, : len(tags)] += steps[:, tags]
+            path[at : at + k] = tags = own.argmax(axis=0)
+        return path[place]
 
     def many(self, texts: Iterable[str]) -> Iterator[list[tuple[str, str]]]:
         """The names of each text, a repeated one where it comes last, with its last type."""

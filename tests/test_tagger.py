@@ -1,4 +1,5 @@
 import itertools
+import pickle
 import random
 
 import numpy as np
@@ -49,6 +50,31 @@ def test_many_texts_at_once_equal_one_by_one(monkeypatch):
     assert sum(map(len, alone)) > 100
 
 
+def test_scores_of_words_come_from_one_lookup_a_kind(monkeypatch):
+    """Scores equal the sums over a word's own features and are made for all new words at once, forgotten tables included."""
+    draw = np.random.default_rng(3)
+    model = tagger.Tagger(["ORG", "GPE"])
+    words = ["Acme", "acme", "ÉTÉ", "x-1", "A&B", "new", "Acme"]
+    seen = words[:4]
+    names = sorted({f for w in seen for f in tagger.own_features(w) + tagger.near_features(w, "left") + tagger.near_features(w, "right")})
+    model.rows = {n: i for i, n in enumerate([*names, "left!", "right!"])}
+    model.weights = draw.normal(size=(len(model.rows), len(model.tags)))
+
+    def total(features):
+        return model.weights[[model.rows[f] for f in features if f in model.rows]].sum(axis=0)
+
+    ends = [None, *words, None]
+    expected = [total(tagger.near_features(ends[i], "left")) + total(tagger.own_features(w)) + total(tagger.near_features(ends[i + 2], "right")) for i, w in enumerate(words)]
+    calls = []
+    monkeypatch.setattr(tagger.Tagger, "_weights_of", lambda self, kind, values, f=tagger.Tagger._weights_of: calls.append(kind) or f(self, kind, values))
+    for _ in range(2):
+        assert np.array_equal(model.emissions([words]), np.array(expected))
+        model._forget()
+    assert len(calls) == 2 * (3 + 2 + len(tagger.OWN) + 1)  # however many words there are
+    again = pickle.loads(pickle.dumps(model))
+    assert np.array_equal(again.emissions([words]), np.array(expected))
+
+
 def test_longest_names_from_the_left():
     names = {("of", "the"): "ORG", ("the",): "GPE", ("the", "new", "deal"): "LOC"}
     tags = tagger.label_words("of the new deal the the new deal".split(), names)
