@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,18 @@ def test_patterns_and_gazetteer(spark):
     assert out.first().date == D(2021, 5, 3)
 
 
+def test_patterns_are_tried_only_where_they_can_begin(spark):
+    """Every pattern looks at one character before its alternatives, and finds what the plain pattern finds."""
+    months = "January Jan February Feb March Mar April Apr May June Jun July Jul August Aug September Sept Sep October Oct November Nov December Dec"
+    texts = [f"x{m} 3, 2021 and {m}. 14 {m}uary {m.lower()} 5" for m in months.split()]
+    texts += ["$5 $1,200.50 million €3 £7 thousand ¥9 $", "5% 5.5 percent 12 % .5% 1.2.3% percent", "2021-03-04 12021-03-045 2021-3-4", "", "JJan 1 FMay 22 7May 7 D 1 Okt 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, headline string")
+    found = entities.pattern_entities(df, ["doc_id"], "headline")
+    assert found._jdf.queryExecution().analyzed().toString().count("(?=[") == len(entities.PATTERNS)
+    expected = {(i, kind, m.group()) for i, t in enumerate(texts) for kind, p in entities.PATTERNS.items() for m in re.finditer(p, t)}
+    assert {(r.doc_id, r.entity_type, r.entity) for r in found.collect()} == expected and len(expected) > 50
+
+
 def test_model_mode_last_label_wins(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id int, headline string")
 
