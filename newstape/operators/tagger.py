@@ -23,7 +23,7 @@ from newstape.operators.gazetteer import word_form
 PIECES, PIECE_WORDS, HELD_OUT = 2500, 48, 0.2
 ROUNDS = 4
 #: Words whose scores a task keeps, and words of texts that are decoded together.
-KEPT_WORDS, WORDS_AT_ONCE = 300_000, 300_000
+KEPT_WORDS, WORDS_AT_ONCE = 150_000, 150_000
 
 WORD = re.compile(r"[\w&'-]+")
 OUTSIDE = "O"
@@ -143,7 +143,10 @@ class Tagger:
         before, after = np.roll(at, 1), np.roll(at, -1)
         before[(ends - [len(t) for t in texts])[[len(t) > 0 for t in texts]]] = 0
         after[(ends - 1)[[len(t) > 0 for t in texts]]] = 0
-        return self._tables[0][before] + self._tables[1][at] + self._tables[2][after]
+        scores = self._tables[0][before]
+        scores += self._tables[1][at]
+        scores += self._tables[2][after]
+        return scores
 
     def decode(self, words: Sequence[str]) -> list[str]:
         """The tags of the largest sum of word and step weights among all allowed sequences."""
